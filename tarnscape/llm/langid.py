@@ -62,17 +62,17 @@ def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 150) -> t
     """Linear SVM with squared hinge loss by accelerated gradient steps, then a sigmoid on its margins.
 
     Both classes weigh the same. Gives weights, bias, and slope and offset of the sigmoid."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    rate = 1 / (2 * 2 + 2 * reg)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y = y.astype(np.float32)
+    w, v = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
+    rate = np.float32(1 / (2 * 2 + 2 * reg))
     for k in range(steps):
-        gap = np.maximum(0, 1 - y * (x1 @ v))
-        grad = -2 * (x1.T @ (weight * y * gap)) + 2 * reg * v
+        pull = weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        grad = -2 * np.append(pull @ x, pull.sum()) + np.float32(2 * reg) * v
         fresh = v - rate * grad
-        v = fresh + k / (k + 3) * (fresh - w)
+        v = fresh + np.float32(k / (k + 3)) * (fresh - w)
         w = fresh
-    m, a, b = x1 @ w, 2.0, 0.0
+    m, a, b = (x @ w[:-1] + w[-1]).astype(float), 2.0, 0.0
     for _ in range(200):  # sigmoid, held near the margins' own scale
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
         g = weight * (p - (y > 0))
@@ -129,8 +129,8 @@ class Model:
         return out, score
 
 
-def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 100) -> Model | None:
-    """Fit on at most ``per_lang`` texts of each language (``max_langs`` * ``per_lang`` texts in all).
+def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 100, max_rows: int = 4_000) -> Model | None:
+    """Fit on at most ``per_lang`` texts of each language, and ``max_rows`` in all.
 
     Learns from text and non-null lang of documents whose crc32(doc_id) mod 3 isn't 1. The
     sample is the first of each language by a hash of doc_id, so reruns agree. With more than
@@ -138,18 +138,22 @@ def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 100) -> Model |
     learn = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     names = [r["lang"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    per_lang = max(1, min(per_lang, max_rows // max(1, len(names))))
     ids = learn.where(F.col("lang").isin(names)).select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
     picked = learn.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").select("doc_id", "lang", "text")
 
     def make(batches):
         for b in batches:
             f = [features(t) for t in b["text"]]
-            yield pd.DataFrame([(d, v, x.tobytes()) for d, v, x in zip(b["doc_id"], b["lang"], f, strict=True) if x is not None], columns=["doc_id", "lang", "x"])
+            yield pd.DataFrame([(d, v, x.astype(np.float16).tobytes()) for d, v, x in zip(b["doc_id"], b["lang"], f, strict=True) if x is not None], columns=["doc_id", "lang", "x"])
 
     got = picked.mapInPandas(make, "doc_id long, lang string, x binary").dropDuplicates(["doc_id", "lang"]).toPandas().sort_values(["lang", "doc_id"])
     if not len(got):
         return None
-    return Model(np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, DIMS), list(got["lang"]))
+    x = np.empty((len(got), DIMS), np.float32)
+    for i, raw in enumerate(got["x"]):
+        x[i] = np.frombuffer(raw, np.float16)
+    return Model(x, list(got["lang"]))
 
 
 def identify(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
