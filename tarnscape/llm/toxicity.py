@@ -45,14 +45,14 @@ class Machine:
     one. Linear weights follow FTRL with an L1 penalty, factors AdaGrad with a shrinkage of
     whole vectors: terms that tell nothing end at exactly zero and drop out."""
 
-    def __init__(self, docs: list[list[int]], y: np.ndarray, epochs: int = 5, batch: int = 128, seed: int = 11):
+    def __init__(self, docs: list, y: np.ndarray, epochs: int = 5, batch: int = 128, seed: int = 11):
         # penalties grow with the sample: sums of gradients do too
         l1, shrink = max(0.5, len(docs) / 800), max(2e-3, min(0.05, len(docs) / 160_000))
-        seen, count = np.unique(np.concatenate([np.asarray(d, np.int64) for d in docs] or [np.empty(0, np.int64)]), return_counts=True)
+        seen, count = np.unique(np.concatenate([*docs, np.empty(0, np.int32)]), return_counts=True)
         seen = seen[count >= max(2, len(docs) // 1000)]
-        place = np.full(BUCKETS, -1, np.int64)
+        place = np.full(BUCKETS, -1, np.int32)
         place[seen] = np.arange(len(seen))
-        rows = [place[np.asarray(d, np.int64)] for d in docs]
+        rows = [place[np.asarray(d, np.int32)] for d in docs]
         rows = [r[r >= 0] for r in rows]
         rng = np.random.default_rng(seed)
         n = len(seen)
@@ -88,16 +88,17 @@ class Machine:
         keep = (w != 0) | (np.linalg.norm(v, axis=1) > 1e-6)
         self.w0, self.w, self.v = w0, w[keep], v[keep]
         self.place = {int(b): i for i, b in enumerate(seen[keep])}
-        raw = np.array([self.raw(d) for d in docs])
+        at = np.where(keep, np.cumsum(keep) - 1, -1)
+        raw = np.array([self._sum(np.array([i for i in at[r] if i >= 0], np.int64)) for r in rows])
         self.w0 -= _best_cut(raw, y)
 
-    def raw(self, buckets: list[int]) -> float:
-        at = [i for i in map(self.place.get, buckets) if i is not None]
-        if not at:
-            return self.w0
+    def _sum(self, at: np.ndarray) -> float:
         v = self.v[at]
         return self.w0 + float(self.w[at].sum()) + 0.5 * float((v.sum(0) ** 2).sum() - (v**2).sum())
 
+    def raw(self, buckets: list[int]) -> float:
+        return self._sum(np.array([i for i in map(self.place.get, buckets) if i is not None], np.int64))
+
     def score(self, buckets: list[int]) -> float:
         return 1 / (1 + float(np.exp(-np.clip(self.raw(buckets), -30, 30))))
 
@@ -129,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Machine:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["toxic"].astype("int64"), "x": [np.array(terms(t, memo), np.int32).tobytes() for t in b["text"]]})
 
     got = rows.mapInPandas(make, "doc_id long, y long, x binary").toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-    return Machine([list(np.frombuffer(x, np.int32)) for x in got["x"]], got["y"].to_numpy(float).clip(0, 1))
+    return Machine([np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy(float).clip(0, 1))
 
 
 def scored(docs: DataFrame, model: Machine) -> DataFrame:
