@@ -1,5 +1,8 @@
 """Every registered query of the library proper, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from tarnscape.plans import geometry, grids, quality, registers, scalars  # noqa: F401
+from tarnscape.plans.base import ORACLE, QUERIES
+
+FLAGSHIP = "i1_sea_share_at_year"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
