@@ -66,6 +66,9 @@ contact [email info@firm.example.net] or call [phone +46 8 555 0142 77]
 reach me under [email kim_lee at example dot com] any time
 mail [email sales (at) shop (dot) example (dot) com] today
 her address: [email maria.silva [at] correo [dot] example [dot] es]
+write [email lena at post dot net] soon
+mail [email eva at web dot de] please
+ask [email sam at uni dot edu] first
 send it to [email tom at mail dot example dot org] please
 please call [phone +1 (375) 555-4393] after six
 tel [phone +49 30 5550 1188] or fax [phone +49 30 5550 1189]

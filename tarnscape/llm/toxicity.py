@@ -13,6 +13,8 @@ from tarnscape.llm.memo import Memo
 
 BUCKETS = 1 << 18
 FACTORS = 4
+#: Penalties: L1 on linear weights for each row of the sample, and on the length of a factor vector for each step.
+L1_SHARE, V_SHRINK = 1 / 500, 0.05
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -42,12 +44,14 @@ class Machine:
     """score = sigmoid(w0 + sum of w + half of (|sum of v|^2 - sum of |v|^2)) over the terms present.
 
     Presence counts, not frequency, so one insult weighs as much in a long text as in a short
-    one. Linear weights follow FTRL with an L1 penalty, factors AdaGrad with a shrinkage of
-    whole vectors: terms that tell nothing end at exactly zero and drop out."""
+    one. Linear weights come first, by FTRL with an L1 penalty that leaves most terms at
+    zero; then the terms left get factors, by AdaGrad with a shrinkage of whole vectors,
+    while linear weights go on. So interactions are learned between terms that tell
+    something, and the rest can't be memorized by them."""
 
     def __init__(self, docs: list, y: np.ndarray, epochs: int = 5, batch: int = 128, seed: int = 11):
-        # penalties grow with the sample: sums of gradients do too
-        l1, shrink = max(0.5, len(docs) / 800), max(2e-3, min(0.05, len(docs) / 160_000))
+        # the penalty on linear weights grows with the sample, as sums of gradients do
+        l1 = max(0.5, len(docs) * L1_SHARE)
         seen, count = np.unique(np.concatenate([*docs, np.empty(0, np.int32)]), return_counts=True)
         seen = seen[count >= max(2, len(docs) // 1000)]
         place = np.full(BUCKETS, -1, np.int32)
@@ -57,34 +61,40 @@ class Machine:
         rng = np.random.default_rng(seed)
         n = len(seen)
         z, s, w = np.zeros(n), np.zeros(n), np.zeros(n)
-        v, g2 = rng.normal(0, 0.02, (n, FACTORS)), np.full((n, FACTORS), 1e-2)
+        v, g2 = np.zeros((n, FACTORS)), np.full((n, FACTORS), 1e-2)
         w0, g0 = 0.0, 1e-2
-        for _ in range(epochs):
-            for pick in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
+        live = rows
+        for epoch in range(2 * epochs):
+            pairs = epoch >= epochs
+            if epoch == epochs:  # terms with a weight of their own get factors; the rest are out
+                v[w != 0] = rng.normal(0, 0.05, (int((w != 0).sum()), FACTORS))
+                live = [r[w[r] != 0] for r in rows]
+            for pick in np.array_split(rng.permutation(len(live)), max(1, len(live) // batch)):
                 if not len(pick):
                     continue
-                lens = np.array([len(rows[i]) for i in pick])
-                cat = np.concatenate([rows[i] for i in pick])
-                row = np.repeat(np.arange(len(pick)), lens)
-                linear = np.bincount(row, w[cat], len(pick))
-                total = np.stack([np.bincount(row, v[cat, f], len(pick)) for f in range(FACTORS)], 1)
-                own = np.bincount(row, (v[cat] ** 2).sum(1), len(pick))
-                p = 1 / (1 + np.exp(-np.clip(w0 + linear + 0.5 * ((total**2).sum(1) - own), -30, 30)))
-                e = p - y[pick]
+                cat = np.concatenate([live[i] for i in pick])
+                row = np.repeat(np.arange(len(pick)), [len(live[i]) for i in pick])
+                raw = w0 + np.bincount(row, w[cat], len(pick))
+                if pairs:
+                    total = np.stack([np.bincount(row, v[cat, f], len(pick)) for f in range(FACTORS)], 1)
+                    raw += 0.5 * ((total**2).sum(1) - np.bincount(row, (v[cat] ** 2).sum(1), len(pick)))
+                e = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[pick]
+                g0 += e.sum() ** 2
+                w0 -= 0.2 * e.sum() / np.sqrt(g0)
                 used, back = np.unique(cat, return_inverse=True)
                 gw = np.bincount(back, e[row], len(used))
                 root = np.sqrt(s[used] + gw**2)
                 z[used] += gw - (root - np.sqrt(s[used])) / 0.15 * w[used]
                 s[used] += gw**2
                 w[used] = np.where(np.abs(z[used]) <= l1, 0, -(z[used] - np.sign(z[used]) * l1) / (1e-3 + (1 + np.sqrt(s[used])) / 0.15))
-                pull = e[row, None] * (total[row] - v[cat])
-                gv = np.stack([np.bincount(back, pull[:, f], len(used)) for f in range(FACTORS)], 1)
-                g2[used] += gv**2
-                v[used] -= 0.03 * gv / np.sqrt(g2[used])
-                size = np.linalg.norm(v[used], axis=1, keepdims=True)
-                v[used] *= np.maximum(0, 1 - shrink / np.maximum(size, 1e-9))
-                g0 += e.sum() ** 2
-                w0 -= 0.2 * e.sum() / np.sqrt(g0)
+                if pairs:
+                    pull = e[row, None] * (total[row] - v[cat])
+                    gv = np.stack([np.bincount(back, pull[:, f], len(used)) for f in range(FACTORS)], 1)
+                    g2[used] += gv**2
+                    step = 0.05 / np.sqrt(g2[used])
+                    v[used] -= step * gv
+                    size = np.linalg.norm(v[used], axis=1, keepdims=True)
+                    v[used] *= np.maximum(0, 1 - step.mean(1, keepdims=True) * V_SHRINK / np.maximum(size, 1e-9))
         keep = (w != 0) | (np.linalg.norm(v, axis=1) > 1e-6)
         self.w0, self.w, self.v = w0, w[keep], v[keep]
         self.place = {int(b): i for i, b in enumerate(seen[keep])}
