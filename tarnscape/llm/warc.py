@@ -25,8 +25,10 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     the smallest page_id with one payload are all responses. A null html is an empty payload,
     a null page_id sorts last, and a null url gives no target."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    first = p.groupBy("digest").agg(F.min("page_id").alias("first"))
-    p = p.join(first, "digest")
+    # Only digests that repeat matter. Their table is written first, so Spark knows its size:
+    # it broadcasts a small one, and payloads then don't move; a large one joins by a shuffle.
+    first = p.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    p = p.join(cut(first.drop("n"), "repeated"), "digest", "left")
     again = (F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(key + ": "), value, F.lit("\r\n"))
