@@ -82,6 +82,11 @@ def stream_seed(seed: Column, stream: Column) -> Column:
     return _times(_wrap(stream + 1), F.lit(0x9E3779B1).cast("long")).bitwiseXOR(_wrap(seed))
 
 
+def _double(x: float) -> str:
+    """A literal that every SQL dialect takes for a double."""
+    return f"{x!r}" if "e" in repr(x) else f"{x!r}e0"
+
+
 def sweref_expressions(lon: str, lat: str) -> tuple[str, str]:
     """SQL for easting and northing in SWEREF 99 TM, by the series of Gauss-Krueger projection on GRS 80."""
     a, f = 6378137.0, 1 / 298.257222101
@@ -90,12 +95,12 @@ def sweref_expressions(lon: str, lat: str) -> tuple[str, str]:
     big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     ca, cb = (5 * e2**2 - e2**3) / 6, (104 * e2**3 - 45 * e2**4) / 120
     beta = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    p, d = f"radians({lat})", f"radians({lon} - 15.0)"
+    p, d = f"radians({lat})", f"radians({lon} - 15e0)"
     s = f"sin({p})"
-    conf = f"({p} - {s} * cos({p}) * ({e2!r} + {ca!r} * power({s}, 2) + {cb!r} * power({s}, 4)))"
+    conf = f"({p} - {s} * cos({p}) * ({_double(e2)} + {_double(ca)} * power({s}, 2) + {_double(cb)} * power({s}, 4)))"
     xi, eta = f"atan(tan({conf}) / cos({d}))", f"atanh(cos({conf}) * sin({d}))"
     north, east = xi, eta
     for i, b in enumerate(beta, 1):
-        north += f" + {b!r} * sin({2 * i} * {xi}) * cosh({2 * i} * {eta})"
-        east += f" + {b!r} * cos({2 * i} * {xi}) * sinh({2 * i} * {eta})"
-    return f"500000.0 + 0.9996 * {big!r} * ({east})", f"0.9996 * {big!r} * ({north})"
+        north += f" + {_double(b)} * sin({2 * i} * {xi}) * cosh({2 * i} * {eta})"
+        east += f" + {_double(b)} * cos({2 * i} * {xi}) * sinh({2 * i} * {eta})"
+    return f"500000e0 + 0.9996e0 * {_double(big)} * ({east})", f"0.9996e0 * {_double(big)} * ({north})"

@@ -74,7 +74,7 @@ def f12_horizon(spark, sf):
     return p.select("p_partkey", F.round(fn.horizon_m(F.col("p_retailprice") - 1000), 4).alias("horizon_m"), F.round(fn.refracted_drop_m(F.col("p_size") * F.col("p_size") * 1000000.0), 6).alias("drop_m"))
 
 
-_E, _N = fn.sweref_expressions("(11.0 + c_custkey % 130 / 10.0)", "(55.0 + c_custkey % 137 / 10.0)")
+_E, _N = fn.sweref_expressions("(11e0 + c_custkey % 130 / 10e0)", "(55e0 + c_custkey % 137 / 10e0)")
 
 
 @query(f"SELECT c_custkey, round({_E}, 3) AS e, round({_N}, 3) AS n FROM customer")
