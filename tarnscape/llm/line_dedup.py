@@ -10,6 +10,8 @@ from tarnscape.session import cut
 NO_ID = -(2**63)
 #: Characters of a line's segment. Shorter ones give fewer variants and more keys.
 SEGMENT = 256
+#: Bits of the filter that keeps lines out of a shuffle: 262,144 rows of 64 bits at most.
+FILTER_BITS = 1 << 24
 
 
 #: Cut off at both ends of a line before it is compared.
@@ -40,6 +42,20 @@ def _segments(segment: int, min_chars: int, made: str) -> Column:
     return F.expr(f"flatten(transform(filter(array(n, n - 1), m -> m >= {min_chars}), m -> {each}))")
 
 
+def _only(lines: DataFrame, places: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``lines`` whose ``at`` is in ``places``.
+
+    A bit set of hashed places, of a fixed size, goes to all tasks and drops most other lines
+    before the shuffle of the exact join. Where places outnumber its bits it lets more lines
+    through, which costs shuffle and changes no result."""
+    place = F.pmod(F.xxhash64("at"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = places.groupBy(word.alias("word")).agg(F.bit_or(one).alias("mask"))
+    maybe = lines.withColumn("word", word).join(F.broadcast(words), "word").where(F.call_function("shiftright", "mask", bit).bitwiseAND(F.lit(1)) == 1)
+    return maybe.drop("word", "mask").join(places, "at")
+
+
 def duplicate_lines(docs: DataFrame, min_chars: int = 20, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, line_no, of_doc_id, of_line_no, edits): every line that repeats an earlier one.
 
@@ -56,7 +72,8 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 20, segment: int = SEGMENT
     after; only where two different lines share such a key are the segment's deletion
     variants emitted and joined. That keeps the work linear in the length of a line. Groups
     of equal keys are reduced to their earliest line by a partial aggregate, so a hot line or
-    segment costs one row for each task. Every link found is checked with ``levenshtein``.
+    segment costs one row for each task. Texts are read again for those lines alone, behind a
+    bit set of their places. Every link found is checked with ``levenshtein``.
 
     Null texts have no lines and null doc_ids sort first. Blank lines never repeat anything.
     Rows that share a doc_id but not a text sort by line number, then by a hash of the text;
@@ -75,7 +92,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 20, segment: int = SEGMENT
     shared = cut(slim.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y").select("key"), "shared")
     kept = slim.join(shared, "key").select("k1").distinct()
     places = cut(first.join(kept, "k1").select("at", "n"), "places")
-    text = cut(lines_of(docs).join(places, "at").select("at", "n", "s"), "texts")
+    text = cut(_only(lines_of(docs), places).select("at", "n", "s"), "texts")
     each = text.select("at", "n", _segments(segment, min_chars, "struct({key} AS key, m AS m, {seg} AS seg)").alias("gs"))
     hit = each.select("at", "n", F.explode_outer("gs").alias("g")).select("at", "n", "g.key", "g.m", "g.seg").join(shared, "key")
 
