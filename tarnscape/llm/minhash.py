@@ -107,26 +107,29 @@ def _exact(percent: int):
     return keep
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = 75, m: int = ROWS * BANDS, width: int = 5) -> DataFrame:
-    """Pairs (a, b) that the likelihood keeps and whose full shingle sets then pass."""
-    s = reps.select("rep", "n", "sketch")
-    p = pairs.join(s.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    p = p.join(s.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    p = p.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-    likely = cut(p.mapInPandas(_near(m, max(0.0, percent / 100 - 0.2)), "a long, b long").distinct(), "likely")
-    ends = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
-    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep")
+def shingle_sets(reps: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
+    """(rep, x): the hashed shingles of each doc_id in ``reps``; texts are shuffled for this alone."""
 
     def sets(batches):
         memo = Memo(xxhash.xxh3_64_intdigest)
         for b in batches:
             yield pd.DataFrame({"rep": b["rep"], "x": [shingle_hashes(t, memo, width).tobytes() for t in b["text"]]})
 
-    full = cut(wanted.mapInPandas(sets, "rep long, x binary"), "sets")
+    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi")
+    return wanted.mapInPandas(sets, "rep long, x binary")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int = 75, m: int = ROWS * BANDS) -> DataFrame:
+    """Pairs (a, b) that the likelihood keeps and whose full shingle sets then pass.
+
+    A pair may come twice if its doc_id stands for two sets."""
+    s = reps.select("rep", "n", "sketch")
+    p = pairs.join(s.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    p = p.join(s.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    p = p.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+    likely = p.mapInPandas(_near(m, max(0.0, percent / 100 - 0.2)), "a long, b long")
     q = likely.join(full.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a").join(full.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
-    out = cut(q.mapInPandas(_exact(percent), "a long, b long").distinct(), "linked")
-    drop(full)
-    return out
+    return cut(q.mapInPandas(_exact(percent), "a long, b long"), "linked")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS, width: int = 5, rounds: int = 3) -> DataFrame:
@@ -139,7 +142,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     bucket of any size, first every class is compared with the bucket's smallest; components
     follow; later rounds compare with more centres, and only between components that share a
     bucket and aren't linked yet; the last round compares all pairs that are then left in
-    different components. So no link between components is lost and a large group of near
+    different components. It comes as soon as these are at most sixteen times as many as the
+    pairs that one more round of centres could give. So no link between components is lost and a large group of near
     copies costs a row a member, not a row a pair.
 
     Documents without words (null and blank texts) have n_shingles 0 and are alone. Null
@@ -147,18 +151,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     m = rows * bands
     sig = cut(sketches(docs, rows, bands, width), "sketches")
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(
-        named.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"]).dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps"
-    )
+    least = F.min(F.struct(F.col("doc_id").alias("rep"), "n", "sketch")).alias("least")
+    reps = cut(named.groupBy("h1", "h2").agg(least).select("h1", "h2", "least.*"), "reps")
+    classes = reps.select("h1", "h2", "rep")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * rows * i + 1, 2 * rows)) for i in range(bands)])
     banded = reps.select("rep", "n", F.explode(keys).alias("key"))
-    many = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("low")).where("c > 1")
+    many = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("low")).where("c > 1").drop("c")
     member = cut(banded.join(many, "key").select("key", "rep", "n", "low"), "buckets")
     # rows that share a doc_id but not a set are joined through it
     own = named.join(classes, ["h1", "h2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     tested = cut(member.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
-    links = verified(tested, reps, docs, percent, m, width)
+    full = cut(shingle_sets(member.select("rep").distinct(), docs, width), "sets")
+    links = verified(tested, reps, full, percent, m)
     twice = named.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("doc_id")
     extra = own.join(twice, own["a"] == twice["doc_id"], "left_semi")
     for step in range(1, rounds + 1):
@@ -170,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
         total = size.agg(F.sum((F.col("all") * F.col("all") - F.col("in")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not total["rows"]:
             break
-        last = step == rounds or total["pairs"] <= 4 * total["rows"]
+        last = step == rounds or total["pairs"] <= 16 * 8**step * total["rows"]
         centre = left
         if not last:
             spread = F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(8**step))
@@ -182,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
             apart = apart & F.expr("x.rep < y.rep")
         more = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         more = cut(more.join(tested, ["a", "b"], "left_anti"), "more")
-        found = verified(more, reps, docs, percent, m, width)
+        found = verified(more, reps, full, percent, m)
         links, tested = links.union(found), tested.union(more)
         if last:
             break
