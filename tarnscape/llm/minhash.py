@@ -132,6 +132,45 @@ def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int =
     return cut(q.mapInPandas(_exact(percent), "a long, b long"), "linked")
 
 
+def rarest(who: DataFrame, full: DataFrame, percent: int = 75, bits: int = 18) -> DataFrame:
+    """(rep, n, comp, key, at): for each set, as many of its rarest shingles as a similar set can't all lack.
+
+    A set of n shingles shares ceil(n * percent / 100) of them with any set at that similarity
+    or more. So two such sets, each in one order that holds for all, meet in their first
+    n - ceil(n * percent / 100) + 1. The order goes by how often the shingle's cell of
+    2**bits cells occurs, then by the shingle: passages of many documents come last and are
+    left out. ``at`` is the place in the order, from 0. The counts of the cells are of a fixed size and go to all tasks."""
+
+    def count(batches):
+        size = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for x in b["x"]:
+                size += np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        at = np.nonzero(size)[0]
+        yield pd.DataFrame({"at": at, "c": size[at]})
+
+    cells = full.select("x").mapInPandas(count, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    size = np.zeros(1 << bits, np.int64)
+    size[cells["at"].to_numpy()] = cells["c"].to_numpy()
+    shared = full.sparkSession.sparkContext.broadcast(size)
+
+    def pick(batches):
+        for b in batches:
+            for rep, n, comp, x in zip(b["rep"], b["n"], b["comp"], b["x"], strict=True):
+                x = np.frombuffer(x, np.uint64)
+                order = np.lexsort((x, shared.value[(x >> np.uint64(64 - bits)).astype(np.int64)]))
+                first = x[order[: len(x) + percent * len(x) // -100 + 1]]
+                yield pd.DataFrame({"rep": rep, "n": n, "comp": comp, "key": first.view(np.int64), "at": np.arange(len(first))})
+
+    return who.join(full, "rep").mapInPandas(pick, "rep long, n long, comp long, key long, at long")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose key occurs in more than one component."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    return rows.join(keys, "key")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS, width: int = 5, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
@@ -141,9 +180,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     group of thousands of copies is one row of the join. Register bands give buckets. In a
     bucket of any size, first every class is compared with the bucket's smallest; components
     follow; later rounds compare with more centres, and only between components that share a
-    bucket and aren't linked yet; the last round compares all pairs that are then left in
-    different components. It comes as soon as these are at most sixteen times as many as the
-    pairs that one more round of centres could give. So no link between components is lost and a large group of near
+    bucket and aren't linked yet; the last round compares, of all sets that then share a
+    bucket with another component, those that share one of their rarest shingles, which no
+    similar pair lacks (see rarest), so documents with a common passage aren't paired. It comes as soon as these are at most sixteen times as many as the
+    pairs that one more round of centres could give. So no link between components is lost, and a large group of near
     copies costs a row a member, not a row a pair.
 
     Documents without words (null and blank texts) have n_shingles 0 and are alone. Null
@@ -168,22 +208,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     for step in range(1, rounds + 1):
         comp = components(links)
         left = member.drop("low").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        left = cut(left.join(mixed, "key"), "left")
+        left = cut(_mixed(left), "left")
         size = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("in"))
         total = size.agg(F.sum((F.col("all") * F.col("all") - F.col("in")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not total["rows"]:
             break
         last = step == rounds or total["pairs"] <= 16 * 8**step * total["rows"]
-        centre = left
-        if not last:
+        if last:
+            who = left.select("rep", "n", "comp").distinct()
+            left = centre = cut(_mixed(cut(rarest(who, full, percent), "rarest")), "rare")
+        else:
             spread = F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(8**step))
             lows = left.groupBy("key", spread.alias("part")).agg(F.min("rep").alias("rep")).drop("part")
             centre = left.join(lows, ["key", "rep"])
         x, y = centre.alias("x"), left.alias("y")
         apart = F.expr("x.comp != y.comp AND x.rep != y.rep") & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
         if last:
-            apart = apart & F.expr("x.rep < y.rep")
+            # what two sets share from their first common shingle on must do for the similarity
+            enough = f"least(x.n - x.at, y.n - y.at) * {100 + percent} >= (x.n + y.n) * {percent}"
+            apart = apart & F.expr("x.rep < y.rep") & F.expr(enough)
         more = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         more = cut(more.join(tested, ["a", "b"], "left_anti"), "more")
         found = verified(more, reps, full, percent, m)
