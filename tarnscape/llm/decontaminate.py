@@ -1,19 +1,18 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance."""
-
-from itertools import repeat
+"""Benchmark decontamination: a search for pieces of items that loses none, then exact edit distance."""
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnscape.session import cut
 
-#: Random walks, and bit samples of each: a pair whose embeddings differ in 30 % of places meets with 1 - (1 - 0.7**8)**64 > 0.97.
-WALKS, TABLES, BITS = 4, 16, 8
-SEED_WORDS = 3
-_SYMBOLS = 1 << 12
+#: Characters of a piece at most (bits of a word), of a segment of text, and of a gram.
+PIECE, SEGMENT, GRAM = 64, 2048, 4
+#: Scores are read at every so many characters; pieces of fewer than SHORT are read at each.
+STRIDE, SHORT = 4, 24
+_LANES = 1 << 14
+_SLOTS = 1 << 18
 
 
 def normal(text: str | None) -> list[str]:
@@ -21,73 +20,123 @@ def normal(text: str | None) -> list[str]:
 
 
 class Bench:
-    """Items of a block of the benchmark: texts, seeds (runs of words) and LSH keys."""
+    """Items of a block of the benchmark: texts, and their pieces as bit masks for each symbol.
+
+    An item of n characters with int(rate * n) edits at most is cut into h pieces; one of
+    them has int(rate * n) // h edits at most, or all together would have more."""
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int = 9):
+    def __init__(self, ids: list[int], texts: list[str], rate: float = 0.2):
         words = [normal(t) for t in texts]
         keep = [i for i, w in enumerate(words) if w]
         self.ids = [ids[i] for i in keep]
         self.texts = [" ".join(words[i]) for i in keep]
-        gram, item, place = [], [], []
-        self.vocab = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for i in keep for w in words[i]}
-        self.spans = sorted({min(SEED_WORDS, len(words[i])) for i in keep})
-        for n, i in enumerate(keep):
-            w = words[i]
-            h = self.hashes(w)
-            starts = np.cumsum([0, *(len(x) + 1 for x in w[:-1])])
-            k = min(SEED_WORDS, len(w))
-            g = run_hashes(h, k)
-            gram.append(g)
-            item.append(np.full(len(g), n))
-            place.append(starts[: len(g)])
-        cat = lambda v, t: np.concatenate(v) if v else np.empty(0, t)
-        gram, item, place = cat(gram, np.uint64), cat(item, np.int64), cat(place, np.int64)
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.gram >> np.uint64(44)).astype(np.int64)] = True
-        rng = np.random.default_rng(seed)
-        longest = max(map(len, self.texts), default=1)
-        self.steps = rng.integers(0, 2, (WALKS, 3 * longest, _SYMBOLS), dtype=np.uint8)
-        self.unit = rng.random((WALKS, TABLES, BITS))
-        self.keys = self.sketch(self.texts, [len(t) for t in self.texts])
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        """Of the benchmark's words; all others are 0, which no run of an item holds."""
-        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.uint64, len(words))
-
-    def sketch(self, windows: list[str], sizes: list[int]) -> np.ndarray:
-        """(window, WALKS * TABLES) keys: bits sampled of each window's embeddings.
-
-        A walk reads a window from left to right for three times the item's length; at each
-        step a shared random bit of step and symbol says whether it moves on. Samples are
-        taken at the same steps for an item and its windows, as both use the item's length."""
-        n, width = len(windows), 3 * max(sizes, default=0)
-        x = np.zeros((n, max(map(len, windows), default=0) + 1), np.int64)
-        for i, t in enumerate(windows):
-            x[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % (_SYMBOLS - 1) + 1
-        rows, last, sizes = np.arange(n), x.shape[1] - 1, np.array(sizes)
-        out = []
-        for w in range(WALKS):
-            seen, at = np.zeros((n, width), np.int16), np.zeros(n, np.int64)
-            for j in range(width):
-                c = x[rows, at]
-                seen[:, j] = c
-                at = np.minimum(at + self.steps[w, j][c], last)
-            pick = (self.unit[w][None] * (3 * sizes)[:, None, None]).astype(np.int64)
-            got = seen[rows[:, None, None], pick]
-            key = np.zeros((n, TABLES), np.int64)
-            for b in range(BITS):
-                key = key * _SYMBOLS + got[:, :, b]
-            out.append(key)
-        return np.concatenate(out, 1) if out else np.zeros((n, 0), np.int64)
-
-
-def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    out = np.full(max(0, len(h) - k + 1), np.uint64(k))
-    for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
+        self.slack = [int(rate * len(t)) for t in self.texts]
+        alphabet = sorted({c for t in self.texts for c in t})
+        self.symbols = np.array([ord(c) for c in alphabet], np.uint32)
+        self.width = len(alphabet) + 1
+        item, stop, size, most, masks, grams = [], [], [], [], [], []
+        for n, t in enumerate(self.texts):
+            h = -(-len(t) // PIECE)
+            ends = [len(t) * k // h for k in range(h + 1)]
+            x = self.coded(t)
+            for a, b in zip(ends, ends[1:], strict=False):
+                item.append(n)
+                stop.append(b)
+                size.append(b - a)
+                most.append(self.slack[n] // h)
+                m = np.zeros(self.width, np.uint64)
+                for k, c in enumerate(x[a:b]):
+                    m[c] |= np.uint64(1 << k)
+                masks.append(m)
+                grams.append(self.slots(x[a:b]))
+        self.item, self.stop, self.size, self.most = (np.array(v, np.int64) for v in (item, stop, size, most))
+        self.masks = np.concatenate(masks) if masks else np.empty(0, np.uint64)
+        # grams of pieces, and how often each piece has each; grams that share a slot count as one
+        known = np.unique(np.concatenate([*grams, np.empty(0, np.int64)])).astype(np.int64)
+        self.known = np.zeros(_SLOTS, np.int32)
+        self.known[known] = np.arange(1, len(known) + 1)
+        self.counts = np.zeros((len(known) + 1, len(item)), np.uint16)
+        for n, g in enumerate(grams):
+            np.add.at(self.counts[:, n], self.known[g], 1)
+        # an edit changes GRAM grams at most, so a piece keeps the others
+        self.need = self.size - GRAM + 1 - GRAM * self.most
+
+    def coded(self, text: str) -> np.ndarray:
+        """Symbols of the benchmark as 1, 2, ...; all others, which match nothing, as 0."""
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(self.symbols):
+            return np.zeros(len(x), np.int32)
+        at = np.minimum(np.searchsorted(self.symbols, x), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == x, at + 1, 0).astype(np.int32)
+
+    def slots(self, x: np.ndarray) -> np.ndarray:
+        """Hashes of all grams of a coded text."""
+        n = max(0, len(x) - GRAM + 1)
+        out = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            out = out * np.uint64(self.width) + x[k : k + n].astype(np.uint64)
+        return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+
+def near_pieces(segments: list[np.ndarray], bench: Bench) -> list[tuple[int, int, int]]:
+    """(segment, piece, end) where a piece may end within its edits; ends are up to STRIDE late.
+
+    Every place with an edit distance within the bound is among them, others may be. Pieces
+    with too few grams in a segment are left out; for the rest, the bit vectors of
+    infix_distance run in one word for each segment and piece. The bits that are set upwards
+    less those downwards are the score, which changes by one a character at most."""
+    seg, piece = [], []
+    for n, x in enumerate(segments):
+        has = np.unique(bench.known[bench.slots(x)])
+        got = bench.counts[has[has > 0]].sum(0, dtype=np.int64)
+        p = np.nonzero(got >= bench.need)[0]
+        seg.append(np.full(len(p), n))
+        piece.append(p)
+    if not seg:
+        return []
+    seg, piece = np.concatenate(seg), np.concatenate(piece)
+    lengths = np.array([len(x) for x in segments])
+    out = []
+    for stride in (1, STRIDE):
+        of = np.nonzero((bench.size[piece] < SHORT) == (stride == 1))[0]
+        of = of[np.argsort(lengths[seg[of]], kind="stable")]
+        for at in range(0, len(of), _LANES):
+            s, p = seg[of[at : at + _LANES]], piece[of[at : at + _LANES]]
+            steps = -(-int(lengths[s].max()) // stride) * stride
+            here, back = np.unique(s, return_inverse=True)
+            text = np.zeros((steps, len(here)), np.int32)
+            for k, n in enumerate(here):
+                text[: lengths[n], k] = segments[n]
+            base = (p * bench.width).astype(np.int64)
+            ones = np.array([(1 << int(m)) - 1 for m in bench.size], np.uint64)[p]
+            bound = (bench.most[p] + stride - 1).astype(np.int16)
+            up, down = ones.copy(), np.zeros(len(p), np.uint64)
+            d, h, low = np.empty_like(up), np.empty_like(up), np.empty_like(up)
+            one = np.uint64(1)
+            for j in range(steps):
+                eq = bench.masks.take(text[j].take(back) + base)
+                np.bitwise_and(eq, up, out=d)
+                d += up
+                d ^= up
+                d |= eq
+                eq |= down
+                np.bitwise_or(d, up, out=h)
+                np.invert(h, out=h)
+                h |= down
+                np.bitwise_and(up, d, out=low)
+                h <<= one
+                low <<= one
+                np.bitwise_or(eq, h, out=up)
+                np.invert(up, out=up)
+                up |= low
+                np.bitwise_and(h, eq, out=down)
+                if j % stride == stride - 1:
+                    np.bitwise_and(up, ones, out=d)
+                    np.bitwise_and(down, ones, out=low)
+                    score = np.bitwise_count(d).astype(np.int16) - np.bitwise_count(low)
+                    hit = np.nonzero(score <= bound)[0]
+                    if len(hit):
+                        out += [(n, q, j + 1) for n, q in zip(s[hit].tolist(), p[hit].tolist(), strict=True)]
     return out
 
 
@@ -120,41 +169,47 @@ def infix_distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def hits_of(texts: list, bench: Bench, rate: float) -> list[tuple[int, int, int, int]]:
+def hits_of(texts: list, bench: Bench) -> list[tuple[int, int, int, int]]:
     """(text index, item index, edits, end of the match) of whole texts, the best for each pair."""
-    wanted: set[tuple[int, int, int]] = set()
+    lead = PIECE + int(bench.most.max(initial=0)) + STRIDE
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    flat: dict[int, str] = {}
+    segments, of = [], []
+
+    def search() -> None:
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for seg, piece, end in near_pieces(segments, bench):
+            n, start = of[seg]
+            i = int(bench.item[piece])
+            low = start + end - int(bench.stop[piece]) - 2 * bench.slack[i] - STRIDE
+            spans.setdefault((n, i), []).append((max(0, low), low + len(bench.texts[i]) + 4 * bench.slack[i] + 2 * STRIDE))
+        for (n, i), found in spans.items():
+            found.sort()
+            joined = [found[0]]
+            for a, z in found[1:]:
+                if a <= joined[-1][1]:
+                    joined[-1] = (joined[-1][0], max(z, joined[-1][1]))
+                else:
+                    joined.append((a, z))
+            for a, z in joined:
+                d, end = infix_distance(bench.texts[i], flat[n][a:z])
+                if d <= bench.slack[i]:
+                    best[n, i] = min(best.get((n, i), (d, a + end)), (d, a + end))
+
     for n, text in enumerate(texts):
         words = normal(text)
         if not words:
             continue
-        h, starts = bench.hashes(words), None
-        for k in bench.spans:
-            g = run_hashes(h, k)
-            pos = np.nonzero(bench.filter[(g >> np.uint64(44)).astype(np.int64)])[0]
-            lo, hi = np.searchsorted(bench.gram, g[pos], "left"), np.searchsorted(bench.gram, g[pos], "right")
-            for p, a, b in zip(pos[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                if starts is None:
-                    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-                for e in range(a, b):
-                    wanted.add((n, int(bench.item[e]), max(0, int(starts[p] - bench.place[e]))))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    flat: dict[int, str] = {}
-    todo = sorted(wanted, key=lambda x: (len(bench.texts[x[1]]), x))
-    for at in range(0, len(todo), 2048):
-        part = todo[at : at + 2048]
-        for n, _, _ in part:
-            if n not in flat:
-                flat[n] = " ".join(normal(texts[n]))
-        sizes = [len(bench.texts[i]) for _, i, _ in part]
-        keys = bench.sketch([flat[n][s : s + z] for (n, _, s), z in zip(part, sizes, strict=True)], sizes)
-        meet = (keys == bench.keys[[i for _, i, _ in part]]).any(1)
-        for (n, i, s), ok, z in zip(part, meet, sizes, strict=True):
-            if ok and best.get((n, i), (1, 0))[0]:
-                slack = int(rate * z)
-                a = max(0, s - slack)
-                d, end = infix_distance(bench.texts[i], flat[n][a : s + z + slack])
-                if d <= slack:
-                    best[n, i] = min(best.get((n, i), (d, a + end)), (d, a + end))
+        flat[n] = " ".join(words)
+        x = bench.coded(flat[n])
+        for a in range(0, len(x), SEGMENT):
+            segments.append(x[max(0, a - lead) : a + SEGMENT])
+            of.append((n, max(0, a - lead)))
+        if len(segments) >= 512:
+            search()
+            segments, of = [], []
+            flat.clear()
+    search()
     return [(n, i, d, end) for (n, i), (d, end) in sorted(best.items())]
 
 
@@ -162,11 +217,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, bloc
     """(doc_id, item_id, edits, item_chars, at_end): items that documents contain, with few edits.
 
     Texts and items are compared in lower case with single blanks. A document contains an
-    item if a substring is within ``rate`` edits per character of the item. Windows of the
-    item's size start where a run of three words of the item (all, if it has fewer) occurs;
-    a window and its item meet if one of the LSH tables over their CGK embeddings agrees;
-    then the exact edit distance decides. Seeds and tables may miss an item of which every
-    run of three words was edited; copies and lightly edited copies are always found.
+    item if a substring is within ``rate`` edits per character of the item. Such a substring
+    holds one piece of the item within that piece's share of the edits (Bench); all texts
+    are searched for all pieces, and the exact edit distance decides around each place
+    found. No item within the bound is missed.
 
     The benchmark goes to the tasks in blocks of at most ``block_chars`` characters, checked
     before each broadcast, one pass over the documents for each; an item longer than a block
@@ -180,13 +234,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, bloc
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").distinct().collect()
         mine.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        shared = spark.sparkContext.broadcast(Bench([r["item_id"] for r in mine], [r["text"] for r in mine]))
+        shared = spark.sparkContext.broadcast(Bench([r["item_id"] for r in mine], [r["text"] for r in mine], rate))
 
         def find(batches, shared=shared):
             bench = shared.value
             for batch in batches:
                 docs_of = batch["doc_id"].tolist()
-                rows = [(docs_of[n], bench.ids[i], d, len(bench.texts[i]), end) for n, i, d, end in hits_of(batch["text"].tolist(), bench, rate)]
+                rows = [(docs_of[n], bench.ids[i], d, len(bench.texts[i]), end) for n, i, d, end in hits_of(batch["text"].tolist(), bench)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_chars", "at_end"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         got = docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(find, "doc_id long, item_id long, edits long, item_chars long, at_end long")

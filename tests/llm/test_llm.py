@@ -264,6 +264,36 @@ def test_contamination_finds_edited_items_only(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def edited(rng, t, many):
+    """t with so many random edits, an equal share of each kind."""
+    t = list(t)
+    for e in range(many):
+        at = rng.randrange(len(t))
+        if e % 3 == 0:
+            t[at] = rng.choice("abcdefghijklmnopz")
+        elif e % 3 == 1:
+            t.insert(at, rng.choice("abcdefghijklmnopz"))
+        else:
+            del t[at]
+    return "".join(t)
+
+
+def test_no_item_within_the_bound_is_missed(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    items = [" ".join(word() for _ in range(n)) for n in (1, 2, 4, 8, 14, 20, 30, 45)]
+    third = [w[:-1] + "z" if k % 3 == 1 else w for k, w in enumerate(items[7].split(" "))]
+    texts = [" ".join(third), *[None, " ", "é 😀"]]
+    for share in (0.05, 0.1, 0.2):
+        for t in items * 4:
+            around = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(2)]
+            texts.append(f"{around[0]} {edited(rng, t, int(share * len(t)))} {around[1]}")
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contamination(df, bench).collect()}
+    brute = {(n, i): edit_infix(p, " ".join((t or "").split())) for n, t in enumerate(texts) for i, p in enumerate(items)}
+    assert got == {k: d for k, d in brute.items() if d <= int(0.2 * len(items[k[1]])) and (texts[k[0]] or "").strip()}
+
+
 # ---- nearest neighbours ----------------------------------------------------------------------
 
 
