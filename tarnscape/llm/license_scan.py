@@ -45,9 +45,27 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without written permission."],
 }
 
+_SOFTWARE = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_FORMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: Whole texts of the short licences, for whole licence files.
+WHOLE = {
+    "MIT": "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": f"{_FORMS} {_SOFTWARE}",
+    "BSD-3-Clause": f"{_FORMS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_SOFTWARE}",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+}
+
 _TERM = re.compile(r"[a-z0-9][a-z0-9.\-]*")
+_WORD = re.compile(r"\w+")
 _TAG = re.compile(r"<[^<>]*>")
-_CUE = re.compile(r"licen[sc]|redistribut|permission|public domain|unencumbered|rights reserved|cc0|\bcc by|source code form")
+#: All other tags stand within a line.
+_BLOCK = re.compile(
+    r"<(?:!|/?(?:address|article|aside|blockquote|body|br|button|caption|center|d[dlt]|details|dialog|div|fieldset|figcaption|figure|footer|form|h[1-6r]|head|header|html|iframe|legend|li|link|main|meta|nav|noscript|[ou]l|option|p|pre|script|section|select|style|summary|table|tbody|t[dhr]|template|textarea|tfoot|thead|title)\b)[^<>]*>", re.I
+)
+#: Every clause of a notice has one, so that a notice whose first words are missing is looked at too.
+_CUE = re.compile(
+    r"licen[sc]|redistribut|permission|public domain|unencumbered|rights reserved|cc0|\bcc by|source code form|free software|free of charge|deal in the software|without restriction|source and binary|with or without|conditions are met|copyright holder|endorse or promote|its contributors"
+)
 
 
 def terms(text: str) -> list[str]:
@@ -57,19 +75,43 @@ def terms(text: str) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
 
 
-VOCABULARY = sorted({t for forms in TEMPLATES.values() for f in forms for t in terms(f)})
+VOCABULARY = sorted({t for name, forms in TEMPLATES.items() for f in [*forms, *([WHOLE[name]] if name in WHOLE else [])] for t in terms(f)})
+
+
+#: Words of joined lines: the longest notice and half as many again.
+WINDOW = max(len(f.split()) for forms in TEMPLATES.values() for f in forms) * 3 // 2
 
 
 def segments(text: str | None) -> Iterator[str]:
-    """The lines of a whole text, with tags as line ends, that hold a licence cue; a sentence is one more."""
-    if not text or not _CUE.search(text.lower()):
+    """The lines of a whole text that hold a licence cue, their sentences, and all runs of lines around them.
+
+    Block tags are line ends, other tags vanish. A run joins two lines, or more while it has
+    WINDOW words at most, as notices are wrapped at any width; blank lines don't count."""
+    if not text:
         return
-    for line in _TAG.sub("\n", text).split("\n"):
-        if _CUE.search(line.lower()):
+    flat = _TAG.sub("", _BLOCK.sub("\n", text))
+    low = flat.lower()
+    # a cue may be cut by a line end and a comment mark
+    if not _CUE.search(low) and not _CUE.search(" ".join(_WORD.findall(low))):
+        return
+    lines = [x for x in flat.split("\n") if _WORD.search(x)]
+    words = [len(_WORD.findall(x)) for x in lines]
+    cue = [bool(_CUE.search(x.lower())) for x in lines]
+    cut_cue = [bool(_CUE.search(" ".join(_WORD.findall(f"{a} {b}".lower())))) for a, b in zip(lines, lines[1:], strict=False)]
+    for i, line in enumerate(lines):
+        if cue[i]:
             yield line
             parts = re.split(r"(?<=[a-z0-9)])[.;]\s+(?=[A-Z])", line)
             if len(parts) > 1:
                 yield from (p for p in parts if _CUE.search(p.lower()))
+        n, some = words[i], cue[i]
+        for j in range(i + 1, len(lines)):
+            n += words[j]
+            some = some or cue[j] or cut_cue[j - 1]
+            if j > i + 1 and n > WINDOW:
+                break
+            if some:
+                yield "\n".join(lines[i : j + 1])
 
 
 class Templates:
@@ -82,12 +124,13 @@ class Templates:
         self.idf = {t: float(np.log((1 + docs) / (1 + df.get(t, 0))) + 1) for t in VOCABULARY}
         self.post: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
-        for name, forms in TEMPLATES.items():
-            for f in forms:
-                v, norm = self.vector(f)
-                for t, x in v.items():
-                    self.post.setdefault(t, []).append((len(self.names), x / norm))
-                self.names.append(name)
+        notices = [(name, f) for name, forms in TEMPLATES.items() for f in forms]
+        self.notices = len(notices)
+        for name, f in [*notices, *WHOLE.items()]:
+            v, norm = self.vector(f)
+            for t, x in v.items():
+                self.post.setdefault(t, []).append((len(self.names), x / norm))
+            self.names.append(name)
 
     def vector(self, text: str) -> tuple[dict[str, float], float]:
         tf: dict[str, int] = {}
@@ -96,21 +139,32 @@ class Templates:
         v = {t: n * self.idf.get(t, self.rare) for t, n in tf.items()}
         return v, float(np.sqrt(sum(x * x for x in v.values())))
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The template nearest to any segment of the text (ties: first by name), by sparse dot products."""
+    def nearest(self, text: str, many: int) -> tuple[str | None, float]:
+        """The nearest of the first ``many`` templates (ties: first by name), by sparse dot products."""
+        v, norm = self.vector(text)
+        score = np.zeros(len(self.names))
+        for t, x in v.items():
+            for i, y in self.post.get(t, ()):
+                score[i] += x * y
+        if not norm:
+            return None, 0.0
+        s = score[:many] / norm
+        m = float(s.max())
+        return min(self.names[i] for i in np.nonzero(s >= m - 1e-12)[0]), m
+
+    def best(self, text: str | None, file: bool = False, least: float = 0.6) -> tuple[str | None, float]:
+        """The template nearest to any segment of the text; of a licence file, the one nearest to all of it if that is near enough.
+
+        So a licence that begins like a shorter one isn't taken for it."""
+        if file and text:
+            name, m = self.nearest(_TAG.sub("", _BLOCK.sub("\n", text)), len(self.names))
+            if m >= least:
+                return name, m
         top: tuple[float, str | None] = (0.0, None)
         for seg in segments(text):
-            v, norm = self.vector(seg)
-            score = np.zeros(len(self.names))
-            for t, x in v.items():
-                for i, y in self.post.get(t, ()):
-                    score[i] += x * y
-            if norm and score.size:
-                s = score / norm
-                m = float(s.max())
-                name = min(self.names[i] for i in np.nonzero(s >= m - 1e-12)[0])
-                if m > top[0] + 1e-12 or (abs(m - top[0]) <= 1e-12 and top[1] is not None and name < top[1]):
-                    top = (m, name)
+            name, m = self.nearest(seg, self.notices)
+            if name is not None and (m > top[0] + 1e-12 or (abs(m - top[0]) <= 1e-12 and top[1] is not None and name < top[1])):
+                top = (m, name)
         return top[1], top[0]
 
 
@@ -144,8 +198,9 @@ LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([-.][^/]*)?$"
 def scan(files: DataFrame, least: float = 0.6, any_file: bool = False) -> DataFrame:
     """All columns of ``files`` (path, text, ...), with licence, cosine, inherited and from_dir.
 
-    A file's own licence is that of the nearest template, if any line or sentence of its
-    whole text has a cosine of at least ``least``. A directory's licence comes from its
+    A file's own licence is that of the nearest template, if any line, sentence or run of
+    lines of its whole text has a cosine of at least ``least``; a licence file is compared
+    as a whole first. A directory's licence comes from its
     licence files (LICENSE, COPYING, NOTICE, ...), or with ``any_file`` from all its files:
     the most frequent, ties to the first by name. A file without its own licence inherits
     that of its nearest ancestor directory that has one: each path emits one row for each of
@@ -155,14 +210,14 @@ def scan(files: DataFrame, least: float = 0.6, any_file: bool = False) -> DataFr
     shared = files.sparkSession.sparkContext.broadcast(Templates(df, n))
 
     @F.pandas_udf("own string, cosine double")
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         t = shared.value
-        for b in batches:
-            found = [t.best(x) for x in b]
+        for texts, files_too in batches:
+            found = [t.best(x, bool(f), least) for x, f in zip(texts, files_too, strict=True)]
             yield pd.DataFrame({"own": [a if s >= least else None for a, s in found], "cosine": [s for _, s in found]})
 
     cols = files.columns
-    own = cut(files.withColumn("__m", match.asNondeterministic()("text")).select(*[F.col(c) for c in cols if c != "text"], "__m.own", "__m.cosine"), "own")
+    own = cut(files.withColumn("__m", match.asNondeterministic()("text", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))).select(*[F.col(c) for c in cols if c != "text"], "__m.own", "__m.cosine"), "own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     source = own.where(F.col("own").isNotNull() & F.col("path").isNotNull())
     source = source if any_file else source.where(F.col("path").rlike(LICENCE_FILE))

@@ -431,6 +431,22 @@ def test_cosine_equals_dense_arithmetic():
     assert t.best(seg)[0] == "Apache-2.0" and abs(t.best(seg)[1] - best) < 1e-9
 
 
+def test_notices_over_markup_and_wrapped_lines():
+    t = license_scan.Templates({"license": 5, "the": 50, "version": 9}, 100)
+    assert t.best('<p>Licensed under the <a href="/l">Apache License</a>, <b>Version</b> 2.0.</p>')[0] == "Apache-2.0"
+    assert t.best('<p>Licensed under the <a href="/l">Apache License</a>, <b>Version</b> 2.0.</p>')[1] > 0.99
+    for n, name in ((2, "GPL-2.0"), (3, "GPL-3.0")):
+        mark = ";:"[n - 2]
+        head = f" * This program is free software{mark} you can\n * redistribute it and/or modify\n * it under the terms of the GNU General\n * Public License{', version' if n == 3 else '; version'}\n * {n}\n"
+        assert t.best("int x = 1;\n/*\n" + head + " */\nint y;")[0] == name and t.best(head)[1] > 0.9
+    # no line of its own has a cue, and one cue is cut by a line end
+    mit = "to any person\nobtaining a copy of this software\nand associated documentation files, to deal\nin the Software without\nrestriction"
+    assert t.best(mit)[0] == "MIT" and t.best(mit)[1] >= 0.6
+    for name, text in license_scan.WHOLE.items():
+        w = f"Copyright (c) 2020 Somebody {text}".split()
+        assert t.best("\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)), file=True)[0] == name
+
+
 # ---- hard tables for all ---------------------------------------------------------------------
 
 
