@@ -35,17 +35,20 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 6, probes: int = 16, block: int = 4096, seed: int = 5, exact_below: int = 2048
+    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 32, block: int = 4096, seed: int = 5
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query.
 
-    ``vectors`` and ``queries`` have vec_id and embedding. A row is in each table's bucket of
-    its nearest signed axis after the table's pseudo-rotation; a query looks in the ``probes``
-    nearest axes of each table. Candidates are scored on the original vectors in double
+    ``vectors`` and ``queries`` have vec_id and embedding. Rows are parted into bands of
+    length, each within a factor of two; M is the largest length of a band. A row x gets one
+    more coordinate, sqrt(M^2 - |x|^2), and a query 0 there, so that in a band the nearest
+    direction is the largest inner product. A row is in each table's bucket of its nearest
+    signed axis after the table's pseudo-rotation; a query looks in the ``probes`` nearest
+    axes of each table (a quarter of the axes at least) in every band. This is the same at
+    every size of the tables. Candidates are scored on the original vectors in double
     precision, and ties go to the smaller vec_id; a query's own row is no candidate. A bucket
     of any size is dealt out in blocks of about ``block`` rows, and a block gives at most k
-    rows per query, so a bucket with a third of all rows is split and nothing is dropped.
-    Below ``exact_below`` rows all axes are probed, in one table, which is exact.
+    vec_ids per query, so a bucket with a third of all rows is split and nothing is dropped.
 
     Takes no part: null or empty vectors, zero vectors, null or non-finite components, null
     ids, and vectors of another length than most. Repeated vec_ids count once, by their
@@ -57,11 +60,17 @@ def nearest(
     sizes = base.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(2).collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, rows = sizes[0]["d"], sizes[0]["count"]
+    dim = sizes[0]["d"]
     base, ask = base.where(F.size("e") == dim), ask.where(F.size("e") == dim)
-    axes = 2 << max(0, int(dim - 1).bit_length())
-    if rows < exact_below:
-        tables, probes = 1, axes
+    axes = 2 << int(dim).bit_length()
+    probes = min(axes, max(probes, axes // 4))
+    # the binary logarithm of the length, which no length overflows
+    most = F.array_max(F.transform("e", F.abs))
+    length = F.log2("most") + F.log2(F.aggregate("e", F.lit(0.0), lambda t, v: t + v / F.col("most") * (v / F.col("most")))) / 2
+    base = base.withColumn("most", most).withColumn("length", length).withColumn("band", F.rint("length").cast("int")).drop("most")
+    # a row for each power of two that is the length of a vector, 2,200 at most
+    top = {r["band"]: r["m"] for r in base.groupBy("band").agg(F.max("length").alias("m")).collect()}
+    ask = ask.withColumn("length", F.lit(None).cast("double")).withColumn("band", F.lit(None).cast("int"))
 
     def hashed(many: int):
         def go(batches):
@@ -70,26 +79,29 @@ def nearest(
                     continue
                 e = np.array(b["e"].tolist(), np.float64).reshape(len(b), -1)
                 u = _unit(e / np.abs(e).max(axis=1, keepdims=True))
+                band = b["band"].to_numpy()
+                share = np.exp2(b["length"].to_numpy() - [top[x] for x in band])[:, None] if many == 1 else np.ones((len(b), 1))
+                u = np.concatenate([u * share, np.sqrt(np.maximum(0, 1 - share**2))], 1).astype(np.float32)
                 for t in range(tables):
                     y = rotated(u, t, seed)
                     both = np.stack([y, -y], 2).reshape(len(y), -1)
                     axis = both.argmax(1)[:, None] if many == 1 else np.argsort(-both, axis=1, kind="stable")[:, :many]
                     raw = [r.tobytes() for r in e]
                     ids = b["vec_id"].to_numpy()
-                    yield pd.DataFrame({"vec_id": np.repeat(ids, axis.shape[1]), "t": t, "axis": axis.ravel(), "e": [r for r in raw for _ in range(axis.shape[1])]})
+                    yield pd.DataFrame({"vec_id": np.repeat(ids, axis.shape[1]), "t": t, "axis": axis.ravel(), "band": np.repeat(band if many == 1 else np.zeros(len(b), int), axis.shape[1]), "e": [r for r in raw for _ in range(axis.shape[1])]})
 
         return go
 
-    shape = "vec_id long, t int, axis int, e binary"
+    shape = "vec_id long, t int, axis int, band int, e binary"
     stored = base.mapInPandas(hashed(1), shape)
     stored = cut(stored, "stored")
-    # tables * axes rows at most, whatever the size of the data
-    share = cut(stored.groupBy("t", "axis").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "share")
-    key, cols = ["t", "axis", "part"], ["t", "axis", "part", "vec_id", "e"]
+    # tables * axes rows at most for each band, whatever the size of the data
+    share = cut(stored.groupBy("t", "axis", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "share")
+    key, cols = ["t", "axis", "band", "part"], ["t", "axis", "band", "part", "vec_id", "e"]
     part, every = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    stored = stored.join(F.broadcast(share), ["t", "axis"]).withColumn("part", part).select(*cols).alias("stored")
-    asked = cut(ask.mapInPandas(hashed(probes), shape), "asked")
-    wanted = asked.join(F.broadcast(share.select("*")), ["t", "axis"]).withColumn("part", every).toDF(*[c if c != "blocks" else "b" for c in ["t", "axis", "vec_id", "e", "blocks", "part"]]).select(*cols)
+    stored = stored.join(F.broadcast(share), ["t", "axis", "band"]).withColumn("part", part).select(*cols).alias("stored")
+    asked = cut(ask.mapInPandas(hashed(probes), shape), "asked").drop("band")
+    wanted = asked.join(F.broadcast(share.select("*")), ["t", "axis"]).withColumn("part", every).select(*cols)
 
     def search(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -101,14 +113,20 @@ def nearest(
                 qv, qid = np.frombuffer(b"".join(part["e"]), np.float64).reshape(len(part), -1), part["vec_id"].to_numpy()
                 s = qv @ av.T
                 s[qid[:, None] == aid[None, :]] = -np.inf
-                keep = min(k, len(a))
-                floor = np.partition(s, len(a) - keep, axis=1)[:, len(a) - keep]
+                ids, first = np.unique(aid, return_index=True)
+                each = np.maximum.reduceat(s, first, axis=1)  # repeated vec_ids count once, before the first k are taken
+                keep = min(k, len(ids))
+                floor = np.partition(each, len(ids) - keep, axis=1)[:, len(ids) - keep]
                 slack = 1e-9 * (1 + np.abs(floor))
                 for i in range(len(part)):
                     near = np.nonzero((s[i] >= floor[i] - slack[i]) & (s[i] > -np.inf))[0]
+                    if not len(near):
+                        continue
                     score = (av[near] * qv[i]).sum(1)  # summed alike in every block, so ties are ties
-                    best = np.lexsort((aid[near], -score))[:keep]
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": aid[near][best], "score": score[best]}))
+                    one, at_first = np.unique(aid[near], return_index=True)
+                    score = np.maximum.reduceat(score, at_first)
+                    best = np.lexsort((one, -score))[:keep]
+                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": one[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     names = {c: f"q_{c}" for c in key}

@@ -333,6 +333,28 @@ def test_nearest_recall_with_hashing(spark):
     assert (got.groupby("query_id").size() == 20).all()
 
 
+def test_nearest_recall_on_vectors_of_mixed_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2500, 64))
+    x *= (rng.lognormal(0, 0.6, 2500) / np.linalg.norm(x, axis=1))[:, None]
+    x[7] *= 1e6  # one far longer than all others
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::50] @ x.T
+    s[np.arange(50), np.arange(50) * 50] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :10]
+    assert sum(len(got[50 * q] & set(w.tolist())) for q, w in enumerate(want)) / want.size > 0.93
+
+
+def test_copies_of_a_vector_id_take_one_place_in_a_block(spark):
+    rows = [(1, [1.0, 0.1])] * 30 + [(i, [1.0, 0.1 + i / 1000]) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id) for r in ann.nearest(df, spark.createDataFrame([(99, [1.0, -0.1])], df.schema), k=5).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
 # ---- learned operators -----------------------------------------------------------------------
 
 
