@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnscape.session import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
+#: A packet holds this share of its source's target at most, so a source ends that near to it.
+PACKETS = 100
 
 
 def size_of(text: Column) -> Column:
@@ -13,77 +17,163 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sized: DataFrame, cap: int = 3) -> DataFrame:
-    """(source, source_size, target): words that each source gives to the mix.
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds for each name the sum of its column over all rows that come before, in an order without ties.
+
+    Rows are dealt out by ranges of the order. A table of one row a range has the sums of
+    whole ranges, and each task sums its own range, so no task holds all rows."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    total = [F.coalesce(F.sum(n).over(before(Window.orderBy("__range"))), F.lit(0)).alias(f"__{n}") for n in sums]
+    per = ranged.groupBy("__range").agg(*[F.sum(v).alias(n) for n, v in sums.items()]).select(F.col("__range").alias("__r"), *total)
+    inner = before(Window.partitionBy("__range").orderBy(*order))
+    out = ranged.join(F.broadcast(per), F.col("__range") == F.col("__r"))
+    return out.select(*rows.columns, *[(F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, v in sums.items()])
+
+
+def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
+    """(source, source_size, target): words that each source gives to the mix, from (source, source_size).
 
     Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ... and share the words
     of all of them; a target ends at ``cap`` times its source's size, and what is over goes
     to the others by weight until no target is above. In closed form: sorted by cap/weight,
     the first k sources are full, where k is the least number for which the level of the
-    others stays under the next one's cap/weight. One row per source, so the ordered windows
-    run over the source table only."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    one = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    by = by.withColumn("w", ((F.row_number().over(one) - 1) % 3 + 1).cast("long"))
+    others stays under the next one's cap/weight. There may be as many sources as hosts:
+    ranks and running sums go over ranges, and the level is the least of one aggregate."""
+    named = [F.col("source").isNull(), F.col("source")]
+    by = running(sizes, named, rank=F.lit(1)).select("source", "source_size", (F.col("rank") % 3 + 1).cast("long").alias("w"))
     full = (F.col("source_size") * cap).cast("double")
-    order = Window.orderBy(full / F.col("w"), F.col("source").isNull(), F.col("source"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    by = by.withColumn("level", left.cast("double") / weight.cast("double"))
-    # the first source in order that isn't full sets the level of all
-    by = by.withColumn("lam", F.min(F.when(F.col("level") * F.col("w") <= full, F.struct(full / F.col("w"), F.col("level"))).otherwise(None)).over(everything)["level"])
-    return by.select("source", "source_size", F.coalesce(F.least(full, F.col("lam") * F.col("w")), full).alias("target"))
+    whole = by.agg(F.sum("source_size").alias("words"), F.sum("w").alias("weight")).first()
+    by = running(by, [full / F.col("w"), *named], fuller=F.col("source_size"), weight=F.col("w"))
+    level = (F.lit(whole["words"]) - cap * F.col("fuller")).cast("double") / (F.lit(whole["weight"]) - F.col("weight")).cast("double")
+    by = by.withColumn("level", level)
+    # the first source in order that isn't full sets the level of all; of equal ones, the first has the highest
+    first = by.where(F.col("level") * F.col("w") <= full).agg(F.min(F.struct((full / F.col("w")).alias("at"), (-F.col("level")).alias("less"))).alias("x")).first()["x"]
+    target = full if first is None else F.least(full, F.lit(-first["less"]) * F.col("w"))
+    return by.select("source", "source_size", target.alias("target"))
+
+
+def _lines(docs: DataFrame, seed: str) -> DataFrame:
+    """(doc_id, source, size, hash, text_hash, copies): equal rows as one, from one reading of the texts."""
+    h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), h.alias("hash"), F.coalesce(F.md5("text"), F.lit("")).alias("text_hash"))
+    return cut(slim.groupBy("doc_id", "source", "size", "hash", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+
+
+def _queue(docs: DataFrame, seed: str, rows_per_bucket: int, cap: int) -> tuple[DataFrame, int, int]:
+    """A written table with a row for each distinct document and the words before it in its source; the total budget; the number of ranges."""
+    rows = _lines(docs, seed)
+    sizes = cut(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), "sources")
+    goal = targets(sizes, cap).withColumnRenamed("source", "__g")
+    budget = sizes.agg(F.sum("source_size").alias("words")).first()["words"] or 0
+    many, hexits = rows.count(), 1
+    while 16**hexits * rows_per_bucket < many:
+        hexits += 1
+    rows = rows.withColumn("bucket", F.substring("hash", 1, hexits)).withColumn("length", F.col("size") * F.col("copies"))
+    per = rows.groupBy(F.col("source").alias("__s"), F.col("bucket").alias("__b")).agg(F.sum("length").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("__ahead", ahead).join(goal, F.expr("__s <=> __g")).drop("__g", "__n")
+    inner = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum("length").over(inner), F.lit(0))).join(per, F.expr("source <=> __s AND bucket = __b"))
+    rows = rows.withColumn("before", F.col("__ahead") + F.col("__in")).drop("__ahead", "__in", "__s", "__b", "bucket")
+    return cut(rows, "queue"), int(budget), max(1, many // rows_per_bucket)
+
+
+def _packets(cap: int) -> Column:
+    """All packets of a row of the queue that start before virtual time 1: from word lo to word hi of its source's repeated queue."""
+    most = f"greatest(1L, bigint(floor(target / {PACKETS})))"
+    start = "(r * source_size + before)"
+    many = f"least(bigint(ceil(length / {most})), bigint(ceil((target - {start}) / {most})))"
+    packet = f"struct({start} + i * {most} AS lo, {start} + least(length, (i + 1) * {most}) AS hi)"
+    rounds = f"transform(sequence(0L, {cap - 1}L), r -> CASE WHEN length > 0 AND {many} > 0 THEN transform(sequence(0L, {many} - 1), i -> {packet}) ELSE array() END)"
+    return F.expr(f"filter(flatten({rounds}), p -> p.lo < target)")
+
+
+def _range_of(hi: Column, ranges: int) -> Column:
+    return F.floor(hi / F.col("target") * ranges).cast("long")
+
+
+def _truncated(queue: DataFrame, budget: int, ranges: int, cap: int) -> tuple[DataFrame, int]:
+    """The packets of the range of finish times in which the budget ends, with the words taken of each; and that range.
+
+    All packets fall into ranges of finish times. A table with a row for each range has the
+    running words; the one in which they reach the budget is sorted, and cut there."""
+    each = queue.select("*", F.explode(_packets(cap)).alias("p")).select(*queue.columns, "p.lo", "p.hi", (F.col("p.hi") - F.col("p.lo")).alias("words"), (F.col("p.hi") / F.col("target")).alias("finish"))
+    per = cut(each.groupBy(_range_of(F.col("hi"), ranges).alias("range")).agg(F.sum("words").alias("words")), "ranges")
+    total = per.withColumn("after", F.sum("words").over(Window.orderBy("range")))
+    last = total.where(F.col("after") >= budget).agg(F.min(F.struct("range", "after", "words")).alias("x")).first()["x"]
+    if last is None:  # nothing is queued, or the last words are lost to rounding
+        return each.where("false").withColumn("taken", F.lit(0).cast("long")), 2**62
+    order = Window.orderBy("finish", F.col("source").isNull(), "source", "lo").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("words").over(order), F.lit(0))
+    left = F.lit(budget - (last["after"] - last["words"])) - ahead
+    edge = each.where(_range_of(F.col("hi"), ranges) == last["range"])
+    return edge.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")), last["range"]
+
+
+def _key(side: str = "") -> list[str]:
+    return [f"{side}{c}" for c in ("doc_id", "source", "size", "text_hash")]
+
+
+def _taken(docs: DataFrame, seed: str, rows_per_bucket: int, cap: int) -> DataFrame:
+    """The queue with taken: the words that the mix takes of a document and its copies."""
+    queue, budget, ranges = _queue(docs, seed, rows_per_bucket, cap)
+    edge, stop = _truncated(queue, budget, ranges, cap)
+    part = cut(edge.groupBy(*_key()).agg(F.sum("taken").alias("part")), "edge").withColumnsRenamed({c: f"__{c}" for c in _key()})
+    none = F.lit(0).cast("long")
+    whole = F.aggregate(_packets(cap), none, lambda t, p: t + F.when(_range_of(p["hi"], ranges) < stop, p["hi"] - p["lo"]).otherwise(none))
+    same = F.expr(" AND ".join(f"{c} <=> __{c}" for c in _key()))
+    return queue.withColumn("whole", whole).join(part, same, "left").withColumn("taken", F.col("whole") + F.coalesce("part", none)).drop("whole", "part", *_key("__"))
 
 
 def queued(docs: DataFrame, seed: str = "mix", rows_per_bucket: int = 20_000, cap: int = 3) -> DataFrame:
-    """The documents with size, source_size, target, before and taken.
+    """(doc_id, source, size, source_size, target, taken): a row for each row of docs.
 
     Each source's documents stand in a shuffled order, by md5 of seed and doc_id (ties: by
-    size, then by text hash), and the queue repeats up to ``cap`` times. A document's virtual finish time is the
-    words of its source up to its end over the source's target; as all sources share
-    one total budget, that budget is used up at virtual time 1, where the document in service is
-    cut. So a document gives, in each round of its queue, its words before that time.
+    size, then by a hash of the text), and the queue repeats up to ``cap`` times. It is
+    served in packets: documents, or parts of long ones, of at most a hundredth of the
+    source's target. A packet's virtual finish time is the words of its source up to its end
+    over the source's target. All packets that start before virtual time 1 are range-sorted
+    by finish time (ties: source, then place) and truncated at the total budget, the words of
+    all documents; the last packet is cut. So a source ends within a packet of its target.
 
     The running word count of a source is a sum over buckets of the shuffled order plus a sum
-    in a bucket, so a source with a third of all rows spreads over many tasks. Null texts and
-    sources without words give 0; repeated rows count each time."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", size_of(F.col("text"))).withColumn("__h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    rows = docs.count()
-    hexits = 1
-    while 16**hexits * rows_per_bucket < rows:
-        hexits += 1
-    sized = sized.withColumn("__b", F.substring("__h", 1, hexits)).withColumn("__t", F.xxhash64("text"))
-    slim = sized.select("source", "size", "__b")
-    per = slim.groupBy("source", "__b").agg(F.sum("size").alias("__s"))
-    ahead = F.coalesce(F.sum("__s").over(Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("__ahead", ahead)
-    goal = targets(slim, cap)
-    per = per.join(goal, per["source"].eqNullSafe(goal["source"])).select(per["source"].alias("__src"), F.col("__b").alias("__pb"), "__ahead", "source_size", "target")
-    inner = Window.partitionBy("source", "__b").orderBy("__h", "doc_id", "size", "__t").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.withColumn("__in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    out = out.join(per, F.expr("source <=> __src AND __b = __pb"))
-    before = F.col("__ahead") + F.col("__in")
-    goal_words = F.floor("target").cast("long")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal_words - e * F.col("source_size") - before)) for e in range(cap)), F.lit(0))
-    return out.withColumn("before", before).withColumn("taken", taken.cast("long")).drop("__h", "__t", "__in", "__src", "__pb", "__ahead", "__b")
-
-
-def mix(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
-    """One row for each time that a document enters the mix, in the order of the mix.
-
-    Adds round (from 0), finish (virtual time), and words (the part before virtual time 1:
-    all of the document, but for the last of a source). Range-sorted by finish time, so each
-    stretch of the output has the sources near their target weights."""
-    q = queued(docs, cap=cap, **how).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
-    start = F.col("round") * F.col("source_size") + F.col("before")
-    words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - start)).cast("long")
-    q = q.withColumn("finish", (start + F.col("size")) / F.col("target")).withColumn("words", words).where("words > 0")
-    return q.drop("before").orderBy("finish", "source", "doc_id", "round")
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of which the mix takes words, with size, source_size, target and taken."""
-    return queued(docs, **how).where("taken > 0").drop("before")
+    in a bucket, and the running count of the mix a sum over ranges of finish times plus a sum
+    in the last one, so a source with a third of all rows spreads over many tasks. Null texts
+    and sources without words give 0; a null source is a source of its own, and comes last.
+    Equal rows (doc_id, source, text) share their words evenly, to a word. Columns other than
+    doc_id, source and text aren't read."""
+    one = _taken(docs, seed, rows_per_bucket, cap).withColumn("k", F.explode(F.expr("sequence(0L, copies - 1)")))
+    share = F.floor(F.col("taken") / F.col("copies")) + (F.col("k") < F.col("taken") % F.col("copies")).cast("long")
+    return one.select("doc_id", "source", "size", "source_size", "target", share.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", rows_per_bucket: int = 20_000, cap: int = 3) -> DataFrame:
+    """(doc_id, source, finish, words): the packets of the mix in its order, range-sorted by finish time.
+
+    Each stretch of the output has the sources near their target weights."""
+    queue, budget, ranges = _queue(docs, seed, rows_per_bucket, cap)
+    edge, stop = _truncated(queue, budget, ranges, cap)
+    each = queue.select("doc_id", "source", "target", F.explode(_packets(cap)).alias("p")).where(_range_of(F.col("p.hi"), ranges) < stop)
+    each = each.select("doc_id", "source", (F.col("p.hi") / F.col("target")).alias("finish"), "p.lo", (F.col("p.hi") - F.col("p.lo")).alias("words"))
+    last = edge.select("doc_id", "source", "finish", "lo", F.col("taken").alias("words")).where("words > 0")
+    return each.unionByName(last).orderBy("finish", F.col("source").isNull(), "source", "lo").drop("lo")
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix", rows_per_bucket: int = 20_000, cap: int = 3) -> DataFrame:
+    """The documents of which the mix takes words (see queued), with size, source_size, target and taken.
+
+    All columns of docs stay; those that have one of these four names are replaced."""
+    got = _taken(docs, seed, rows_per_bucket, cap).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in (*_key(), "copies", "source_size", "target", "taken")])
+    got = cut(got, "taken")
+    text_hash = F.coalesce(F.md5("text"), F.lit(""))
+    j = docs.withColumn("__h", text_hash).join(got, F.expr("doc_id <=> __doc_id AND source <=> __source AND __h = __text_hash"))
+    share = F.floor(F.col("__taken") / F.col("__copies"))
+    if got.where("__taken % __copies > 0").isEmpty():
+        j = j.withColumn("__n", share)
+    else:  # equal rows are numbered, and the first ones take a word more
+        one = Window.partitionBy("__doc_id", "__source", "__text_hash").orderBy(F.lit(0))
+        more = j.where("__taken % __copies > 0").withColumn("__n", share + (F.row_number().over(one) <= F.col("__taken") % F.col("__copies")).cast("long"))
+        j = j.where("__taken % __copies = 0").withColumn("__n", share).unionByName(more)
+    made = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__n").cast("long")}
+    return j.where("__n > 0").select(*[F.col(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])

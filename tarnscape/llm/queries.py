@@ -34,7 +34,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.queued(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.queued(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +91,8 @@ ORACLE = {
           FROM s JOIN f USING (s) LEFT JOIN near USING (s))
         SELECT doc_id, line_no, o[1] AS of_doc_id, o[2] AS of_line_no, edits FROM d WHERE o IS NOT NULL""",
     "op6_mixing": """
-        WITH RECURSIVE d AS (SELECT doc_id, source, text, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
-            md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
+            md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h, coalesce(md5(text), '') AS t FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source),
         step(i, source, source_size, w, target, done) AS (
           SELECT 0, source, source_size, w, NULL::DOUBLE, FALSE FROM s
@@ -103,11 +103,18 @@ ORACLE = {
                 SELECT *, ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (target IS NOT NULL) OVER (), 0))::DOUBLE
                   / (sum(w) FILTER (target IS NULL) OVER ())::DOUBLE) AS lam FROM step WHERE i = (SELECT max(i) FROM step)))) WHERE more AND i < 10000),
         last AS (SELECT * FROM step WHERE i = (SELECT max(i) FROM step)),
-        t AS (SELECT source, source_size, coalesce(target, w * ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (target IS NOT NULL) OVER (), 0))::DOUBLE
+        goal AS (SELECT source, source_size, coalesce(target, w * ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (target IS NOT NULL) OVER (), 0))::DOUBLE
             / (sum(w) FILTER (target IS NULL) OVER ())::DOUBLE)) AS target FROM last),
-        q AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d)
-        SELECT q.doc_id, q.size, t.source_size, t.target,
-          (greatest(0, least(q.size, floor(t.target)::BIGINT - b)) + greatest(0, least(q.size, floor(t.target)::BIGINT - t.source_size - b))
-           + greatest(0, least(q.size, floor(t.target)::BIGINT - 2 * t.source_size - b)))::BIGINT AS taken
-        FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source""",
+        q AS (SELECT doc_id, source, size, t, h, count(*) AS copies, coalesce(sum(size * count(*)) OVER (PARTITION BY source ORDER BY h, doc_id, size, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
+          FROM d GROUP BY doc_id, source, size, t, h),
+        e AS (SELECT q.*, goal.source_size, goal.target, greatest(1, floor(goal.target / 100))::BIGINT AS most, r * goal.source_size + b AS a, size * copies AS n
+          FROM q JOIN goal ON q.source IS NOT DISTINCT FROM goal.source, (SELECT unnest([0, 1, 2])::BIGINT AS r)),
+        p AS (SELECT * FROM (SELECT *, a + i * most AS lo, a + least(n, (i + 1) * most) AS hi FROM (
+            SELECT *, unnest(range(least(ceil(n / most), ceil((target - a) / most))::BIGINT)) AS i FROM e WHERE n > 0 AND a < target)) WHERE lo < target),
+        f AS (SELECT *, greatest(0, least(hi - lo, (SELECT sum(source_size) FROM goal)
+            - coalesce(sum(hi - lo) OVER (ORDER BY hi::DOUBLE / target, source IS NULL, source, lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS words FROM p),
+        g AS (SELECT doc_id, source, size, t, sum(words)::BIGINT AS words FROM f GROUP BY doc_id, source, size, t)
+        SELECT q.doc_id, q.size, goal.source_size, goal.target, (coalesce(words, 0) // copies + CASE WHEN k < coalesce(words, 0) % copies THEN 1 ELSE 0 END)::BIGINT AS taken
+        FROM (SELECT *, unnest(range(copies)) AS k FROM q) AS q JOIN goal ON q.source IS NOT DISTINCT FROM goal.source
+          LEFT JOIN g ON q.doc_id IS NOT DISTINCT FROM g.doc_id AND q.source IS NOT DISTINCT FROM g.source AND q.size = g.size AND q.t = g.t""",
 }

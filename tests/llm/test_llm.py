@@ -94,27 +94,67 @@ def brute_targets(size, cap=3):
         left = sum(size.values()) - sum(full.values())
 
 
-def test_mixing_meets_its_targets(spark):
-    rng = random.Random(8)
-    rows = [(i, " ".join(["w"] * rng.randrange(30)), rng.choice(["a", "b", "c", None, "d"] + ["hot"] * 8)) for i in range(400)] + [(900, None, "a"), (901, "  ", "empty"), (901, "  ", "empty"), (902, "x y", "tiny")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("level", F.lit("clash"))
-    got = mixing.queued(df, rows_per_bucket=25).collect()
-    assert len(got) == len(rows)
+def brute_mix(rows, cap=3):
+    """Words taken of each row, by one sorted list of packets."""
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     size = {}
     for _, t, s in rows:
-        size[s] = size.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    want = brute_targets(size)
+        size[s] = size.get(s, 0) + count(t)
+    goal, packets = brute_targets(size, cap), []
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for s in size:
+        mine = [(md5(f"mix:{'null' if d is None else d}"), d, count(t), md5(t) if t is not None else "") for d, t, x in rows if x == s]
+        at, most = 0, max(1, int(goal[s] / 100))
+        queue = [(k, mine.count(k)) for k in sorted(set(mine), key=lambda k: (k[0], k[1] is not None, k[1] or 0, *k[2:]))]
+        for r in range(cap):
+            at = r * size[s]
+            for k, n in queue:
+                for lo in range(at, at + k[2] * n, most):
+                    if lo < goal[s]:
+                        hi = min(lo + most, at + k[2] * n)
+                        packets.append((hi / goal[s], s is None, s or "", lo, hi - lo, (s, k), n))
+                at += k[2] * n
+    left, taken = sum(size.values()), {}
+    for *_, words, key, n in sorted(packets, key=lambda p: p[:4]):
+        taken[key] = taken.get(key, 0) + min(words, left)
+        left -= min(words, left)
+    out = []
+    for s in size:
+        mine = [(md5(f"mix:{'null' if d is None else d}"), d, count(t), md5(t) if t is not None else "") for d, t, x in rows if x == s]
+        for k in set(mine):
+            n, t = mine.count(k), taken.get((s, k), 0)
+            out += [(k[1], k[2], t // n + (i < t % n)) for i in range(n)]
+    return goal, size, sorted(out, key=str)
+
+
+def test_mixing_equals_a_sorted_queue(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(30)), rng.choice(["a", "b", "c", None, "d"] + ["hot"] * 8)) for i in range(400)] + [(900, None, "a"), (901, "  ", "empty"), (901, "  ", "empty"), (902, "x y", "tiny"), (None, "u v w", "b"), (903, "l " * 3000, "c")] + [(904, "s t u", "b")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("level", F.lit("clash")).withColumn("size", F.lit("clash")).withColumn("target", F.lit("clash")).withColumn("copies", F.lit("clash"))
+    goal, size, want = brute_mix(rows)
+    got = mixing.queued(df, rows_per_bucket=25).collect()
+    assert sorted(((r.doc_id, r["size"], r.taken) for r in got), key=str) == want
     taken = {}
     for r in got:
-        assert r["size"] == len((r.text or "").split()) and r.source_size == size[r.source] and 0 <= r.taken <= 3 * r["size"]
-        assert abs(r.target - want[r.source]) < 1e-6
+        assert r.source_size == size[r.source] and 0 <= r.taken <= 3 * r["size"] and abs(r.target - goal[r.source]) < 1e-6
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in size)
+    assert all(abs(taken[s] - goal[s]) <= max(1, goal[s] / 100) + 1 for s in size) and sum(taken.values()) == sum(size.values())
     again = mixing.queued(df.repartition(7), rows_per_bucket=4000).collect()
-    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
-    entries = mixing.mix(df).collect()
-    assert sum(r.words for r in entries) == sum(r.taken for r in got)
+    assert sorted((r.doc_id or 0, r.taken) for r in again) == sorted((r.doc_id or 0, r.taken) for r in got)
+    entries = mixing.mix(df, rows_per_bucket=50).collect()
+    assert sum(r.words for r in entries) == sum(taken.values())
     assert [r.finish for r in entries] == sorted(r.finish for r in entries)
+    kept = mixing.mixed_documents(df).collect()
+    assert sorted(((r.doc_id, r["size"], r.taken) for r in kept), key=str) == [x for x in want if x[2]]
+    assert all(r.level == "clash" == r.copies for r in kept) and set(kept[0].asDict()) == {*df.columns, "source_size", "taken"}
+    assert mixing.queued(df.where("doc_id < 0")).count() == mixing.mix(df.where("doc_id < 0")).count() == 0
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, "w " * (i % 17 + 1), f"host{i % 700}") for i in range(2100)]
+    got = mixing.queued(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    goal = brute_mix(rows)[0]
+    assert all(abs(r.target - goal[r.source]) < 1e-6 and abs(r.taken - r.target) <= 2 for r in got) and len(got) == 700
 
 
 # ---- near duplicates -------------------------------------------------------------------------

@@ -46,4 +46,4 @@ def test_stages(spark):
         size[r.source] = size.get(r.source, 0) + len(r.text.split())
     want_t = brute_targets(size)
     for s in size:
-        assert abs(sum(r.taken for r in e if r.source == s) - want_t[s]) <= 1
+        assert abs(sum(r.taken for r in e if r.source == s) - want_t[s]) <= max(1, want_t[s] / 100) + 1
