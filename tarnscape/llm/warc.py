@@ -64,19 +64,44 @@ def _placed(pieces: DataFrame) -> DataFrame:
     """Adds at: the byte at which each piece begins. Splits' lengths add up to where the next one begins.
 
     The windows run over one split (a block of a file) and over one file's splits."""
-    p = pieces.withColumn("len", F.octet_length("value") + len(MAGIC))
+    p = pieces.withColumn("len", F.octet_length("value") + len(MAGIC)).drop("value")
     own = Window.partitionBy("file", "split").orderBy("seq")
     splits = p.groupBy("file", "split").agg(F.sum("len").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("file", "split", before.alias("base"))
-    p = p.drop("value").withColumn("in", F.sum("len").over(own) - F.col("len"))
-    return p.join(splits, ["file", "split"]).withColumn("at", F.col("base") + F.col("in")).drop("in", "base", "seq", "split")
+    p = p.withColumn("in", F.sum("len").over(own) - F.col("len"))
+    return p.join(splits, ["file", "split"]).withColumn("at", F.col("base") + F.col("in")).drop("in", "base")
 
 
 def _header(value: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), F.substring_index(value, "\r\n\r\n", 1), F.lit("\r\n")), rf"\r\n{key}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
+def _reached(nodes: DataFrame) -> DataFrame:
+    """(file, run, enter): the runs of candidates that can be reached from a file's start, and where.
+
+    A run ends where its last candidate points; a pointer may enter a run anywhere. Pointers
+    only lead forward and jump twice as far in each round, so the rounds are at most the
+    logarithm of the number of runs; more would mean a cycle, and raise."""
+    ends = nodes.where(~F.col("follow")).select("file", "run", F.col("next").alias("to"))
+    entry = nodes.select("file", F.col("start").alias("to"), F.col("run").alias("run2"))
+    hop = cut(ends.join(entry, ["file", "to"]).select("file", "run", "run2", F.col("to").alias("enter")), "hop")
+    reach = cut(nodes.where("start = 0").select("file", "run", F.col("start").alias("enter")), "reach")
+    rounds, most = 0, hop.count().bit_length() + 1
+    while not hop.isEmpty():
+        rounds += 1
+        if rounds > most:
+            raise RuntimeError("the chain of records has a cycle")
+        fresh = reach.join(hop, ["file", "run"]).select("file", F.col("run2").alias("run"), hop["enter"])
+        grown = cut(reach.union(fresh).groupBy("file", "run").agg(F.min("enter").alias("enter")), "reach")
+        far = hop.select("file", F.col("run").alias("run2"), F.col("run2").alias("run3"), F.col("enter").alias("enter3"))
+        onward = cut(hop.join(far, ["file", "run2"]).select("file", "run", F.col("run3").alias("run2"), F.col("enter3").alias("enter")), "hop")
+        drop(reach)
+        drop(hop)
+        reach, hop = grown, onward
+    return reach
+
+
 def read_archives(spark, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, intact) of every record.
 
@@ -100,38 +125,32 @@ def read_archives(spark, path: str) -> DataFrame:
     all_ = cut(_placed(told), "candidates")
     # where a record begins: at its magic; a file's first piece lies before its first magic
     start = F.col("at") - len(MAGIC)
-    cand = all_.where("at > 0 AND content IS NOT NULL").withColumn("start", start).withColumn("next", start + len(MAGIC) + F.col("head") + F.col("content") + 4)
+    # a length in a payload may be anything: below 0 or beyond the file, it makes no candidate
+    fits = F.when((F.col("content") >= 0) & (F.col("content") <= F.col("file_size")), start + len(MAGIC) + F.col("head") + F.col("content") + 4)
+    cand = all_.where("at > 0").withColumn("start", start).withColumn("next", fits).where("next > start AND next <= file_size")
     nodes = cand.select("file", "file_size", "start", "next")
     order = Window.partitionBy("file").orderBy("start")
     nodes = nodes.withColumn("follow", F.coalesce(F.lead("start").over(order), F.col("file_size")) == F.col("next"))
     breaks = F.coalesce(F.sum((~F.col("follow")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nodes = cut(nodes.withColumn("run", breaks), "nodes")
-    # A run ends where its last candidate points; a pointer may enter a run anywhere, so its entry counts.
-    ends = nodes.where(~F.col("follow")).select("file", "run", F.col("next").alias("to"), F.col("start").alias("last"))
-    entry = nodes.select("file", F.col("start").alias("to"), F.col("run").alias("run2"))
-    jump = cut(ends.join(entry, ["file", "to"]).select("file", "run", "run2", "to"), "jump")
-    reach = cut(nodes.where("start = 0").select("file", "run", F.col("start").alias("enter")), "reach")
-    hop = jump.select("file", "run", "run2", F.col("to").alias("enter"))
-    while not hop.isEmpty():
-        fresh = reach.join(hop, ["file", "run"]).select("file", F.col("run2").alias("run"), hop["enter"])
-        grown = cut(reach.union(fresh).groupBy("file", "run").agg(F.min("enter").alias("enter")), "reach")
-        far = hop.select("file", F.col("run").alias("run2"), F.col("run2").alias("run3"), F.col("enter").alias("enter3"))
-        onward = cut(hop.join(far, ["file", "run2"]).select("file", "run", F.col("run3").alias("run2"), F.col("enter3").alias("enter")), "hop")
-        drop(reach)
-        reach, hop = grown, onward
-    real = nodes.join(reach, ["file", "run"]).where("start >= enter").select("file", "start", F.col("next").alias("stop"))
+    real = nodes.join(_reached(nodes), ["file", "run"]).where("start >= enter").select("file", "start", F.col("next").alias("stop"))
     rec = cand.join(real, ["file", "start"])
-    split = F.col("len") + F.col("start") < F.col("next")  # a magic inside: more pieces follow
-    whole = rec.where(~split | (F.col("content") == 0)).select("file", "id", "record_type", "ref", "told", "full", "content", "made")
-    parts = cut(rec.where(split & (F.col("content") > 0)).select("file", "start", "stop", "id", "record_type", "ref", "told", "full", "content", F.col("head").alias("h")), "parts")
+    several = F.col("len") + F.col("start") < F.col("next")  # a magic inside: more pieces follow
+    shown = ["file", "id", "record_type", "ref", "told", "full", "content", "made"]
+    whole = rec.where(~several | (F.col("content") == 0)).select(*shown)
+    parts = cut(rec.where(several & (F.col("content") > 0)).select("file", "at", "start", "stop", *shown[1:7]), "parts")
     if not parts.isEmpty():
-        # Splits are numbered alike in each scan of the files, so places can be joined to values.
-        placed = _placed_values(pieces)
-        inside = placed.join(parts.select("file", "start", "stop"), "file").where((F.col("at") >= F.col("start") + len(MAGIC)) & (F.col("at") < F.col("stop")))
+        # a piece belongs to the last record that began before it in its file, if that one isn't over
+        marks = parts.select("file", "at", "start", "stop")
+        inside = all_.select("file", "split", "seq", "at").join(marks, ["file", "at"], "left")
+        inside = inside.select("file", "split", "seq", "at", F.when(F.col("start").isNotNull(), F.struct("start", "stop")).alias("own"))
+        inside = inside.withColumn("r", F.last("own", ignorenulls=True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        inside = cut(inside.where(F.col("at") < F.col("r.stop")).select("file", "split", "seq", "at", "r.start"), "inside")
+        # splits are numbered alike in each scan of the files, so places can be joined to values
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC)
-        again = inside.groupBy("file", "start").agg(text.alias("value")).withColumn("b", body)
+        again = pieces.select("file", "split", "seq", "value").join(inside, ["file", "split", "seq"]).groupBy("file", "start").agg(text.alias("value")).withColumn("b", body)
         again = again.select("file", "start", base32_sha1(F.expr("left(b, length(b) - 4)").cast("binary")).alias("made"))
-        whole = whole.union(parts.join(again, ["file", "start"]).select("file", "id", "record_type", "ref", "told", "full", "content", "made"))
+        whole = whole.union(parts.join(again, ["file", "start"]).select(*shown))
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     fresh = F.col("record_type") == "response"
     return whole.select(
@@ -140,16 +159,6 @@ def read_archives(spark, path: str) -> DataFrame:
     )
 
 
-def _placed_values(pieces: DataFrame) -> DataFrame:
-    p = pieces.withColumn("len", F.octet_length("value") + len(MAGIC))
-    splits = p.groupBy("file", "split").agg(F.sum("len").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("file", "split", before.alias("base"))
-    own = Window.partitionBy("file", "split").orderBy("seq")
-    p = p.withColumn("in", F.sum("len").over(own) - F.col("len")).join(splits, ["file", "split"])
-    return p.select("file", (F.col("base") + F.col("in")).alias("at"), "value")
-
-
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back (see read_archives)."""
     path = new_path(pages.sparkSession, "warc")

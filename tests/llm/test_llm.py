@@ -248,6 +248,16 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert warc.archive_pages(df.where("page_id < 0")).count() == 0
 
 
+def test_warc_with_crafted_lengths(spark):
+    record = lambda n: f"WARC/1.1\r\nContent-Length: {n}\r\n\r\nx"
+    lengths = [-37, -38, -30, -1, 0, 1, 2**62, 2**63 - 1, 2**63, -(2**63), 10**30, "1e3", "", "0x10", 300]
+    rows = [(i, "u", "<p>" + record(n)) for i, n in enumerate(lengths)]
+    rows += [(100 + i, "u", record(n)) for i, n in enumerate(lengths)] + [(200, "u", "".join(record(-37) for _ in range(30))), (201, "u", "".join(record(1) + "\r\n\r\n" for _ in range(30)))]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)).collect()
+    assert all(r.intact for r in got)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute_warc(rows)
+
+
 def test_warc_over_many_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
@@ -369,17 +379,20 @@ def brute_nearest(rows, ask, k):
     return out
 
 
-def test_nearest_is_exact_on_small_tables_and_breaks_ties(spark):
+def test_nearest_with_full_recall_equals_brute_force_and_breaks_ties(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(80)]
     rows = [r for r in rows if any(r[1])] + [(200, rows[1][1]), (201, rows[1][1])]
     bad = [(300, None), (301, [0.0] * 6), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (305, [])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect():
+    df = df.withColumn("score", F.lit("clash")).withColumn("v", F.lit("clash"))
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=5, recall=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == brute_nearest(rows, {i for i, _ in rows if i % 20 == 0}, 5)
-    assert ann.nearest(df.where("vec_id < 0"), df).count() == 0
+    assert ann.nearest(df.where("vec_id < 0"), df).count() == ann.nearest(df, df.where("vec_id < 0")).count() == 0
+    few = df.where("vec_id < 9")
+    assert ann.nearest(few, few.where("vec_id = 0"), k=20).count() == few.where("vec_id != 0").count()
 
 
 def test_nearest_recall_with_hashing(spark):
