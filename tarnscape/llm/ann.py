@@ -1,140 +1,331 @@
 """Nearest neighbours by cross-polytope hashing."""
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tarnscape.session import cut
 
+#: Sums of axis scores that are looked at, at most, when the probed cells of a query are chosen.
+SUMS = 1 << 14
+
+
+@cache
+def _hadamard_matrix(n: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of rows whose length is a power of two, scaled to keep lengths."""
-    n, h = x.shape[1], 1
-    x = x.copy()
-    while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], 2).reshape(len(x), n)
-        h *= 2
-    return x / np.sqrt(n)
+    """Fast Walsh-Hadamard transform of rows whose length is a power of two, scaled to keep lengths.
+
+    In two steps of half the digits each, which are products with small matrices."""
+    n = x.shape[1]
+    a = 1 << (n.bit_length() // 2)
+    b = n // a
+    y = (x.reshape(-1, b) @ _hadamard_matrix(b)).reshape(-1, a, b).transpose(0, 2, 1).reshape(-1, a) @ _hadamard_matrix(a)
+    return y.reshape(-1, b, a).transpose(0, 2, 1).reshape(-1, n) / np.float32(np.sqrt(n))
 
 
-def rotated(unit: np.ndarray, table: int, seed: int) -> np.ndarray:
+def rotated(unit: np.ndarray, turn: int, seed: int) -> np.ndarray:
     """Three rounds of random signs and a Hadamard transform, after padding to a power of two."""
     size = 1 << max(0, int(unit.shape[1] - 1).bit_length())
     x = np.zeros((len(unit), size), np.float32)
     x[:, : unit.shape[1]] = unit
-    rng = np.random.default_rng([seed, table])
+    rng = np.random.default_rng([seed, turn])
     for _ in range(3):
         x = hadamard(x * rng.choice(np.array([-1, 1], np.float32), size))
     return x.astype(np.float32)
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+class Hashes:
+    """Tables of cells: a cell is a signed axis for each of ``turns`` pseudo-rotations.
+
+    A row x of a band of lengths up to M gets one more coordinate, sqrt(M^2 - |x|^2), and a
+    query 0 there, so that in a band the nearest direction is the largest inner product."""
+
+    def __init__(self, dim: int, rows: int, tables: int, seed: int):
+        self.tables, self.seed = tables, seed
+        self.axes = 2 << int(dim).bit_length()
+        self.turns = max(1, round(np.log(max(rows, 2)) / np.log(self.axes)))
+
+    def scores(self, unit: np.ndarray, table: int) -> np.ndarray:
+        """(row, turn, signed axis): the coordinates after each turn, and their negatives."""
+        y = np.stack([rotated(unit, table * self.turns + j, self.seed) for j in range(self.turns)], 1)
+        return np.concatenate([y, -y], 2)
+
+    def cells(self, v: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """(row, table, turn): nearest signed axes of rows whose length is ``share`` of the largest in their band."""
+        unit = v / np.abs(v).max(axis=1, keepdims=True)
+        unit *= (share / np.linalg.norm(unit, axis=1))[:, None]
+        unit = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - share**2))[:, None]], 1).astype(np.float32)
+        return np.stack([self.scores(unit, t).argmax(2) for t in range(self.tables)], 1).astype(np.int32)
+
+    def asked(self, v: np.ndarray, table: int) -> np.ndarray:
+        unit = v / np.abs(v).max(axis=1, keepdims=True)
+        unit = np.concatenate([unit / np.linalg.norm(unit, axis=1)[:, None], np.zeros((len(v), 1))], 1).astype(np.float32)
+        return self.scores(unit, table)
+
+    def sums(self, y: np.ndarray) -> np.ndarray:
+        """Scores of a query's best cells, the sums of its axes' scores: SUMS of them at most."""
+        many = min(self.axes, int(SUMS ** (1 / self.turns) + 1e-9))
+        best = -np.partition(-y, many - 1, axis=2)[:, :, :many]
+        out = best[:, 0]
+        for j in range(1, self.turns):
+            out = (out[:, :, None] + best[:, j, None, :]).reshape(len(y), -1)
+        return out
+
+    def least(self, y: np.ndarray, probes: int | None) -> np.ndarray:
+        """The score of the last of a query's ``probes`` best cells; None stands for all cells."""
+        s = self.sums(y)
+        if probes is None or probes >= s.shape[1]:
+            return np.full(len(y), -np.inf, np.float32)
+        return np.partition(s, s.shape[1] - probes, axis=1)[:, s.shape[1] - probes]
+
+    def group(self, axes: np.ndarray, groups: int | np.ndarray) -> np.ndarray:
+        """The group of a cell: cells by their first axes, in equal shares."""
+        first = axes[..., 0].astype(np.int64)
+        if self.turns > 1:
+            return (first * self.axes + axes[..., 1]) * groups // self.axes**2
+        return first * groups // self.axes
+
+    def reached(self, y: np.ndarray, least: np.ndarray, groups: int) -> np.ndarray:
+        """(query, group): whether a group may have a cell of at least that score."""
+        if self.turns > 1:
+            s = (y[:, 0, :, None] + y[:, 1, None, :]).reshape(len(y), -1) if groups > self.axes else y[:, 0] + y[:, 1].max(1)[:, None]
+        else:
+            s = y[:, 0]
+        s = s + y[:, 2:].max(2).sum(1)[:, None]
+        of = np.arange(s.shape[1]) * groups // s.shape[1]
+        at = np.nonzero(np.diff(of, prepend=-1))[0]
+        out = np.zeros((len(y), groups), bool)
+        out[:, of[at]] = np.maximum.reduceat(s, at, axis=1) >= least[:, None] - 1e-5
+        return out
+
+
+def _vectors(column: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _tops(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids (ties: smaller id); a repeated id counts once, by its largest score."""
+    one, first = np.unique(ids, return_index=True)
+    if len(one) < len(ids):
+        order = np.argsort(ids, kind="stable")
+        score = np.maximum.reduceat(score[order], np.searchsorted(ids[order], one))
+    else:
+        score = score[first]
+    best = np.lexsort((one, -score))[:k]
+    return one[best], score[best]
+
+
+def _near(av: np.ndarray, aid: np.ndarray, qv: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of largest inner product, all rows with ties at the end summed alike in every block."""
+    s = av @ qv
+    s[aid == own] = -np.inf
+    at = np.arange(len(s))
+    if len(s) > 4 * k:
+        floor = np.partition(s, len(s) - 2 * k)[len(s) - 2 * k]
+        at = np.nonzero(s >= floor - 1e-9 * (1 + abs(floor)))[0] if np.isfinite(floor) else at
+        if len(np.unique(aid[at])) < min(k, len(at)):  # copies of an id may crowd out others
+            at = np.arange(len(s))
+    at = at[s[at] > -np.inf]
+    return _tops(aid[at], (av[at] * qv).sum(1), k)
+
+
+def _found(query: list, ids: list, scores: list) -> pd.DataFrame:
+    many = [len(x) for x in ids]
+    cat = lambda v, kind: np.concatenate([*v, np.empty(0, kind)]).astype(kind)
+    return pd.DataFrame({"query_id": np.repeat(np.array(query, np.int64), many), "vec_id": cat(ids, np.int64), "score": cat(scores, np.float64)})
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def exact(base: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, kind: str) -> DataFrame:
+    """(query_id, vec_id, score, v): the k nearest rows of a few queries by brute force; each task keeps k for each query."""
+    shared = base.sparkSession.sparkContext.broadcast((ids, asked))
+
+    def scan(batches):
+        ids, asked = shared.value
+        kept: list = [(np.empty(0, np.int64), np.empty(0), {}) for _ in ids]
+        for b in batches:
+            if not len(b):
+                continue
+            av, aid, raw = _vectors(b["v"], kind), b["vec_id"].to_numpy(), b["v"].to_numpy()
+            for n, (q, v) in enumerate(zip(ids, asked, strict=True)):
+                best, score = _near(av, aid, v, q, k)
+                i, s, of = kept[n]
+                of |= dict(zip(aid[np.isin(aid, best)].tolist(), raw[np.isin(aid, best)], strict=True)) if len(best) else {}
+                i, s = _tops(np.concatenate([i, best]), np.concatenate([s, score]), k)
+                kept[n] = (i, s, {x: of[x] for x in i.tolist()})
+        rows = [(int(q), x, y, of[x]) for q, (i, s, of) in zip(ids, kept, strict=True) for x, y in zip(i.tolist(), s.tolist(), strict=True)]
+        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "v"])
+
+    got = base.select("vec_id", "v").mapInPandas(scan, f"{FOUND}, v binary")
+    return _first(got, k).drop("rank")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def probes_for(base: DataFrame, ask: DataFrame, hashes: Hashes, top: dict, k: int, kind: str, recall: float, sample: int) -> int:
+    """So many probes of each table that a sample of queries finds ``recall`` of its true nearest.
+
+    The sample are the first queries by a hash of vec_id, ``sample`` at most; their nearest
+    rows come from one pass of brute force over all rows."""
+    some = ask.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    if not len(some):
+        return 1
+    ids, asked = some["vec_id"].to_numpy(), _vectors(some["v"], kind)
+    near = exact(base, ids, asked, k, kind).join(base.select(F.col("vec_id").alias("i"), F.col("v").alias("w"), "band", "length"), F.expr("i = vec_id AND w = v")).select("query_id", "vec_id", "v", "band", "length").toPandas()
+    if not len(near):
+        return 1
+    near = near.drop_duplicates(["query_id", "vec_id"])
+    cells = hashes.cells(_vectors(near["v"], kind), np.exp2(near["length"].to_numpy() - [top[x] for x in near["band"]]))
+    place = pd.Series(np.arange(len(ids)), ids)
+    row = place[~place.index.duplicated()].loc[near["query_id"]].to_numpy()
+    ranks = np.full(len(near), 2**31)
+    for t in range(hashes.tables):
+        y = hashes.asked(asked, t)
+        s = hashes.sums(y)
+        own = sum(y[row, j, cells[:, t, j]] for j in range(hashes.turns))
+        ranks = np.minimum(ranks, (s[row] > own[:, None] + 1e-6).sum(1))
+    return int(np.quantile(ranks, recall, method="higher")) + 1
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 32, block: int = 4096, seed: int = 5
+    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4, recall: float = 0.96, sample: int = 64, block: int = 32_768, seed: int = 5
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query.
 
     ``vectors`` and ``queries`` have vec_id and embedding. Rows are parted into bands of
-    length, each within a factor of two; M is the largest length of a band. A row x gets one
-    more coordinate, sqrt(M^2 - |x|^2), and a query 0 there, so that in a band the nearest
-    direction is the largest inner product. A row is in each table's bucket of its nearest
-    signed axis after the table's pseudo-rotation; a query looks in the ``probes`` nearest
-    axes of each table (a quarter of the axes at least) in every band. This is the same at
-    every size of the tables. Candidates are scored on the original vectors in double
-    precision, and ties go to the smaller vec_id; a query's own row is no candidate. A bucket
-    of any size is dealt out in blocks of about ``block`` rows, and a block gives at most k
-    vec_ids per query, so a bucket with a third of all rows is split and nothing is dropped.
+    length, each within a factor of two (see Hashes). In each of ``tables`` tables a row is in
+    one cell: its nearest signed axes after as many pseudo-rotations as cells shall be about
+    as many as rows, so cells get finer as the table grows. A query looks into its best cells
+    of each table, in every band; how many is measured by brute force on ``sample`` queries
+    for ``recall`` of their nearest rows, the same way at every size.
+
+    Cells go together in groups of about ``block`` rows by their first axes, and a query's
+    vector goes once to each group that may have one of its cells. A group with more rows is
+    dealt out in parts, so a cell with a third of all rows is split and nothing is dropped.
+    A part gives k rows at most for each query, and the k best of all are kept by a limited
+    window. Candidates are scored on the original vectors in double precision, and ties go to
+    the smaller vec_id; a query's own row is no candidate. A query that finds fewer than k
+    rows looks into all cells.
 
     Takes no part: null or empty vectors, zero vectors, null or non-finite components, null
     ids, and vectors of another length than most. Repeated vec_ids count once, by their
-    largest score."""
+    largest score. Other columns aren't read."""
+    spark = vectors.sparkSession
+    single = all(isinstance(d.schema["embedding"].dataType.elementType, FloatType) for d in (vectors, queries))
+    kind = "<f4" if single else "<f8"
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)
-    tidy = lambda d: d.select("vec_id", x.alias("e")).where(fine)
+    tidy = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("e")).where(fine)
     base, ask = tidy(vectors), tidy(queries)
-    sizes = base.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(2).collect()
+    sizes = base.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes[0]["d"]
-    base, ask = base.where(F.size("e") == dim), ask.where(F.size("e") == dim)
-    axes = 2 << int(dim).bit_length()
-    probes = min(axes, max(probes, axes // 4))
-    # the binary logarithm of the length, which no length overflows
-    most = F.array_max(F.transform("e", F.abs))
-    length = F.log2("most") + F.log2(F.aggregate("e", F.lit(0.0), lambda t, v: t + v / F.col("most") * (v / F.col("most")))) / 2
-    base = base.withColumn("most", most).withColumn("length", length).withColumn("band", F.rint("length").cast("int")).drop("most")
-    # a row for each power of two that is the length of a vector, 2,200 at most
-    top = {r["band"]: r["m"] for r in base.groupBy("band").agg(F.max("length").alias("m")).collect()}
-    ask = ask.withColumn("length", F.lit(None).cast("double")).withColumn("band", F.lit(None).cast("int"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, rows = sizes[0]["d"], sizes[0]["count"]
 
-    def hashed(many: int):
+    def packed(d: DataFrame) -> DataFrame:
         def go(batches):
             for b in batches:
-                if not len(b):
-                    continue
-                e = np.array(b["e"].tolist(), np.float64).reshape(len(b), -1)
-                u = _unit(e / np.abs(e).max(axis=1, keepdims=True))
+                e = b.pop("e")
+                yield b.assign(v=[np.asarray(r, kind).tobytes() for r in e])
+
+        # the binary logarithm of the length, which no length overflows
+        most = F.array_max(F.transform("e", F.abs))
+        length = F.log2("most") + F.log2(F.aggregate("e", F.lit(0.0), lambda t, v: t + v / F.col("most") * (v / F.col("most")))) / 2
+        d = d.where(F.size("e") == dim).withColumn("most", most).withColumn("length", length).withColumn("band", F.rint("length").cast("int")).drop("most")
+        return cut(d.mapInPandas(go, "vec_id long, length double, band int, v binary"), "vectors")
+
+    base, ask = packed(base), packed(ask)
+    # a row for each power of two that is the length of a vector, 2,200 at most
+    bands = {r["band"]: r for r in base.groupBy("band").agg(F.max("length").alias("top"), F.count(F.lit(1)).alias("rows")).collect()}
+    top = {b: r["top"] for b, r in bands.items()}
+    hashes = Hashes(dim, rows, tables, seed)
+    groups = {b: min(hashes.axes ** min(2, hashes.turns), 1 + r["rows"] // block) for b, r in bands.items()}
+    probes = probes_for(base, ask, hashes, top, k, kind, recall, sample)
+
+    def code(batches):
+        for b in batches:
+            if len(b):
                 band = b["band"].to_numpy()
-                share = np.exp2(b["length"].to_numpy() - [top[x] for x in band])[:, None] if many == 1 else np.ones((len(b), 1))
-                u = np.concatenate([u * share, np.sqrt(np.maximum(0, 1 - share**2))], 1).astype(np.float32)
-                for t in range(tables):
-                    y = rotated(u, t, seed)
-                    both = np.stack([y, -y], 2).reshape(len(y), -1)
-                    axis = both.argmax(1)[:, None] if many == 1 else np.argsort(-both, axis=1, kind="stable")[:, :many]
-                    raw = [r.tobytes() for r in e]
-                    ids = b["vec_id"].to_numpy()
-                    yield pd.DataFrame({"vec_id": np.repeat(ids, axis.shape[1]), "t": t, "axis": axis.ravel(), "band": np.repeat(band if many == 1 else np.zeros(len(b), int), axis.shape[1]), "e": [r for r in raw for _ in range(axis.shape[1])]})
-
-        return go
-
-    shape = "vec_id long, t int, axis int, band int, e binary"
-    stored = base.mapInPandas(hashed(1), shape)
-    stored = cut(stored, "stored")
-    # tables * axes rows at most for each band, whatever the size of the data
-    share = cut(stored.groupBy("t", "axis", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "share")
-    key, cols = ["t", "axis", "band", "part"], ["t", "axis", "band", "part", "vec_id", "e"]
-    part, every = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    stored = stored.join(F.broadcast(share), ["t", "axis", "band"]).withColumn("part", part).select(*cols).alias("stored")
-    asked = cut(ask.mapInPandas(hashed(probes), shape), "asked").drop("band")
-    wanted = asked.join(F.broadcast(share.select("*")), ["t", "axis"]).withColumn("part", every).select(*cols)
+                cells = hashes.cells(_vectors(b["v"], kind), np.exp2(b["length"].to_numpy() - [top[i] for i in band]))
+                g = hashes.group(cells, np.array([groups[i] for i in band])[:, None])
+                yield pd.DataFrame({"vec_id": b["vec_id"], "band": band, "v": b["v"], "cells": [c.tobytes() for c in cells], "groups": list(g.astype(np.int32))})
+
+    coded = cut(base.mapInPandas(code, "vec_id long, band int, v binary, cells binary, groups array<int>"), "coded")
+    placed = coded.select("band", "vec_id", "v", "cells", F.posexplode("groups").alias("t", "g"))
+    share = placed.groupBy("band", "t", "g").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("parts"))
+    share = cut(share, "share")
+    key = ["band", "t", "g", "part"]
+    stored = placed.join(share, ["band", "t", "g"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
 
     def search(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        query, ids, scores = [], [], []
         if len(a) and len(q):
-            a = a.sort_values("vec_id", kind="stable")
-            av, aid = np.frombuffer(b"".join(a["e"]), np.float64).reshape(len(a), -1), a["vec_id"].to_numpy()
-            for at in range(0, len(q), 256):
-                part = q.iloc[at : at + 256]
-                qv, qid = np.frombuffer(b"".join(part["e"]), np.float64).reshape(len(part), -1), part["vec_id"].to_numpy()
-                s = qv @ av.T
-                s[qid[:, None] == aid[None, :]] = -np.inf
-                ids, first = np.unique(aid, return_index=True)
-                each = np.maximum.reduceat(s, first, axis=1)  # repeated vec_ids count once, before the first k are taken
-                keep = min(k, len(ids))
-                floor = np.partition(each, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                slack = 1e-9 * (1 + np.abs(floor))
-                for i in range(len(part)):
-                    near = np.nonzero((s[i] >= floor[i] - slack[i]) & (s[i] > -np.inf))[0]
-                    if not len(near):
+            t = int(a["t"].iloc[0])
+            axes = np.frombuffer(b"".join(a["cells"]), np.int32).reshape(len(a), hashes.tables, hashes.turns)[:, t]
+            cell = axes[:, 0].astype(np.int64)
+            for j in range(1, hashes.turns):
+                cell = cell * hashes.axes + axes[:, j]
+            order = np.lexsort((a["vec_id"].to_numpy(), cell))
+            axes, cell, aid, av = axes[order], cell[order], a["vec_id"].to_numpy()[order], _vectors(a["v"], kind)[order]
+            first = np.nonzero(np.diff(cell, prepend=-1))[0]
+            size = np.diff(np.append(first, len(cell)))
+            for at in range(0, len(q), 64):
+                part = q.iloc[at : at + 64]
+                qv = _vectors(part["v"], kind)
+                y = hashes.asked(qv, t)
+                s = sum(y[:, j][:, axes[first, j]] for j in range(hashes.turns))
+                for i, (own, least) in enumerate(zip(part["vec_id"].tolist(), part["least"].tolist(), strict=True)):
+                    hit = np.nonzero(s[i] >= least - 1e-5)[0]
+                    if not len(hit):
                         continue
-                    score = (av[near] * qv[i]).sum(1)  # summed alike in every block, so ties are ties
-                    one, at_first = np.unique(aid[near], return_index=True)
-                    score = np.maximum.reduceat(score, at_first)
-                    best = np.lexsort((one, -score))[:keep]
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": one[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    names = {c: f"q_{c}" for c in key}
-    wanted = wanted.withColumnsRenamed(names)
-    found = stored.groupBy(*key).cogroup(wanted.groupBy(*names.values())).applyInPandas(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("i", "b"))
-    return top.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+                    n = size[hit]
+                    rows = np.repeat(first[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    one, best = _near(av[rows], aid[rows], qv[i], own, k)
+                    query.append(own)
+                    ids.append(one)
+                    scores.append(best)
+        return _found(query, ids, scores)
+
+    def look(who: DataFrame, probes: int | None) -> DataFrame:
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), 256):
+                    b = whole.iloc[at : at + 256]
+                    qv = _vectors(b["v"], kind)
+                    for t in range(hashes.tables if probes is not None else 1):
+                        y = hashes.asked(qv, t)
+                        least = hashes.least(y, probes)
+                        for band, many in groups.items():
+                            q, g = np.nonzero(hashes.reached(y, least, many))
+                            yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[q], "band": band, "t": t, "g": g, "least": least[q], "v": b["v"].to_numpy()[q]})
 
+        asked = who.select("vec_id", "v").mapInPandas(go, "vec_id long, band int, t int, g int, least float, v binary")
+        wanted = asked.join(share, ["band", "t", "g"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        names = {c: f"q_{c}" for c in key}
+        found = stored.groupBy(*key).cogroup(wanted.withColumnsRenamed(names).groupBy(*names.values())).applyInPandas(search, FOUND)
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
+    found = cut(_first(look(ask, probes), k), "found")
+    others = min(k, base.select("vec_id").distinct().count() - 1)
+    full = found.groupBy(F.col("query_id").alias("q")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= others)
+    short = cut(ask.join(full, F.col("vec_id") == F.col("q"), "left_anti"), "short")
+    if others > 0 and not short.isEmpty():
+        again = _first(look(short, None), k)
+        found = found.join(short.select(F.col("vec_id").alias("q")).distinct(), F.col("query_id") == F.col("q"), "left_anti").unionByName(again)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
