@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -443,6 +444,48 @@ def test_language_id_on_held_out_rows(spark):
     assert langid.identify(docs_of(spark, ["text"]).where("doc_id < 0")).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(1)
+    spoken = []
+    for k in range(150):  # each with its own syllables
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        spoken += [(1000 * k + i, " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(25)), f"q{k:03d}", None, 1) for i in range(40)]
+    docs = spark.createDataFrame(spoken, DOC).repartition(4)
+    model = langid.train(docs)
+    assert len(model.langs) == 150
+    got = langid.identify(docs.withColumn("lang_pred", F.lit("clash")), model).where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
+
+
+def test_votes_equal_a_plain_count(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((90, langid.DIMS)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = langid.Model(x, ["de", "en", "nl", "fr", "es", "xx"] * 15)
+    names, score = m.predict(x[:20])
+    for r in range(20):
+        raw = np.exp((x[r] @ m.fw + m.fb).astype(float))
+        f = int(raw.argmax())
+        member, wins, least = m.members[f], {}, {}
+        for k, (g, i, j) in enumerate(m.pairs):
+            if g == f:
+                p = 1 / (1 + np.exp(-((x[r] @ m.w[k] + m.rest[k, 0]) * m.rest[k, 1] + m.rest[k, 2])))
+                for side, c in ((i, p), (j, 1 - p)):
+                    wins.setdefault(side, []).append(c)
+                    least[side] = min(least.get(side, 1.0), c)
+        best = max(range(len(member)), key=lambda i: (sum(c >= 0.5 for c in wins.get(i, [])), sum(wins.get(i, [0.0])), -i))
+        assert names[r] == m.langs[member[best]] and abs(score[r] - raw[f] / raw.sum() * least.get(best, 1.0)) < 1e-4
+
+
+def test_unknown_text_goes_and_known_text_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["пример текста на русском языке", "これは日本語の文章です", "12 34", None, ""]
+    mixed = docs.unionByName(docs_of(spark, odd, 10**9)).withColumn("lang_score", F.lit("clash"))
+    kept = langid.known_language(mixed)
+    assert kept.columns == mixed.columns and kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.count() >= 0.995 * docs.count()
+
+
 def test_blocks_of_a_long_text_give_the_same_features():
     t = "Der Hund, die Katze  und\n das Haus. " * 50
     assert np.allclose(langid.features(t), langid.features(t, block=37), atol=1e-6)
@@ -471,6 +514,38 @@ def test_factorization_learns_a_pair():
     assert m.v[m.place[5]] @ m.v[m.place[9]] > 0.1
 
 
+def test_a_pair_without_linear_signal_is_learned():
+    def sample(n, seed):
+        rng, docs, y = random.Random(seed), [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            docs.append(np.array(sorted([5] * a + [9] * b + rng.sample(range(100, 160), 5)), np.int32))
+            y.append(float(a != b))
+        return docs, np.array(y)
+
+    m = toxicity.tuned(*sample(4000, 1), np.arange(4000) % 4 == 0)
+    docs, y = sample(1000, 2)
+    assert np.mean([(m.score(list(d)) >= 0.5) == (t > 0) for d, t in zip(docs, y, strict=True)]) > 0.95
+
+
+def test_score_equals_a_double_loop_over_pairs():
+    rng = random.Random(7)
+    docs = [np.array(sorted(rng.sample(range(60), rng.randint(0, 12))), np.int32) for _ in range(600)]
+    m = toxicity.Machine(docs, np.array([float(3 in d and 8 in d or 20 in d) for d in docs]))
+    for d in docs[:100]:
+        known = [m.place[t] for t in d.tolist() if t in m.place]
+        raw = m.w0 + sum(m.w[i] for i in known) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(known, 2))
+        assert abs(m.score(d.tolist()) - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_training_on_repeated_rows_equals_training_on_distinct_ones(spark):
+    rows = [(i, ("you fool " if i % 2 else "good day ") + f"w{i % 9} and more words here", "en", "s", 9) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame([(i, 1, i % 2) for i in range(300)] + [(5, 1, None), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.unionByName(docs.where("doc_id % 3 = 0")).withColumn("toxic", F.lit("clash")), labels.unionByName(labels))
+    assert a.place == b.place and np.allclose(a.w, b.w) and np.allclose(a.v, b.v)
+    assert {r.toxic_score > 0.5 for r in toxicity.scored(docs.where("doc_id % 2 = 1").withColumn("toxic_score", F.lit("clash")), a).collect()} == {True}
+
+
 # ---- personal data ---------------------------------------------------------------------------
 
 
@@ -495,10 +570,39 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("1" * 100_000 + "@" + "a" * 100_000) == brute_base("") == []
 
 
+def test_viterbi_equals_enumeration():
+    rng = random.Random(2)
+    field = pii.Field(pii.labelled_rows(), steps=20)
+    tagger = pii.Tagger(field)
+    words = ["call", "555-222-8899", "at", "bob", "gmail", "dot", "com", "x" * 300, "1" * 200, "house", "192.168.1.9", "4111", "a@b.c"]
+    lines = [[rng.choice(words) for _ in range(rng.randint(1, 4))] for _ in range(40)]
+    for line, tags in zip(lines, tagger.decode(lines), strict=True):
+        w = [field.weights(pii.shape(x)) for x in line]
+
+        def score(y, w=w):
+            total = sum(w[i][1][y[i]] + (w[i - 1][0][y[i]] if i else field.e[0, -1, y[i]]) + (w[i + 1][2][y[i]] if i + 1 < len(w) else field.e[2, -1, y[i]]) for i in range(len(w)))
+            return total + sum(field.t[a, b] for a, b in zip(y, y[1:])) - 1e4 * (y[0] > 0 and y[0] % 2 == 0)
+
+        best = max(itertools.product(range(pii.LABELS), repeat=len(line)), key=score)
+        assert abs(score(tuple(tags)) - score(best)) < 1e-3
+
+
+def test_shapes_read_whole_words():
+    assert pii.shape("a" * 200 + "@x.org") != pii.shape("a" * 200 + ".x.org")
+    assert pii.shape("-" * 90 + "12")[2] == 2 and pii.shape("x-" * 60 + "12345")[-1] != pii.shape("x-" * 60)[-1]
+
+
+def test_rules_after_the_field():
+    assert pii._enough(0, "bob at gmail dot com") and not pii._enough(0, "gmail.com")
+    assert pii._enough(1, "2001:db8:0:0:8:800:200c:417a") and not pii._enough(1, "1.2.3") and not pii._enough(1, "a:b:c:d")
+    assert pii._enough(2, "4111.1111.1111.1111") and not pii._enough(2, "4111.1111.1111.1112")
+    assert pii._enough(3, "555-222-8899") and not pii._enough(3, "1894") and not pii._enough(3, "1" * 16)
+
+
 def test_field_adds_spans_and_leaves_clean_text_alone(spark):
     clean = ["the house of 1894 has 45 rooms", "password=e3b3ed3cc8548923d6", "ein Haus am Meer", "x", *[t for t in HARD]]
     more = ["please call 555-222-8899 tonight", "write bob at gmail dot com now", "call +1 (375) 555-4393 now"]
-    got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, clean + more).withColumn("spans", F.lit("clash")).drop("spans")).collect()}
+    got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, clean + more).withColumn("spans", F.lit("clash")).withColumn("n_ip", F.lit("clash")).withColumn("kind", F.lit("clash"))).collect()}
     n = len(clean)
     assert all(got[i].spans == "" and got[i].base_sha256 == hashlib.sha256(b"").hexdigest() for i in range(n))
     assert got[n].spans == "phone:12:24" and got[n].n_phone == 0 and got[n].n_added == 1
@@ -511,12 +615,83 @@ def test_field_adds_spans_and_leaves_clean_text_alone(spark):
 def test_licences_and_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [("a/LICENSE", mit), ("a/x.py", "code"), ("a/b/c/y.py", "code"), ("a/b/LICENSE.txt", gpl), ("a/b/z.py", f"# {mit}\ncode"), ("d/w.py", "code"), (None, "code"), ("a/n.py", None), ("top", ""), ("a/x.py", "code"), ("a/long.py", "word " * 9000 + f"\n<p>{gpl}</p>")]
-    df = spark.createDataFrame(rows, "path string, text string").withColumn("own", F.lit("clash")).drop("own")
-    got = sorted(((r.path or "", r.licence or "", r.inherited, r.from_dir or "") for r in license_scan.scan(df).collect()))
+    df = spark.createDataFrame(rows, "path string, text string")
+    for c in ("own", "cosine", "licence", "row", "up", "of", "key"):
+        df = df.withColumn(c, F.lit("clash"))
+    found = license_scan.scan(df).collect()
+    assert all(r.own == r.row == r.up == r.of == r.key == "clash" for r in found)
+    got = sorted(((r.path or "", r.licence or "", r.inherited, r.from_dir or "") for r in found))
     assert got == sorted([("a/LICENSE", "MIT", False, ""), ("a/x.py", "MIT", True, "a"), ("a/x.py", "MIT", True, "a"), ("a/b/c/y.py", "GPL-3.0", True, "a/b"), ("a/b/LICENSE.txt", "GPL-3.0", False, ""), ("a/b/z.py", "MIT", False, ""), ("d/w.py", "", False, ""), ("", "", False, ""), ("a/n.py", "MIT", True, "a"), ("top", "", False, ""), ("a/long.py", "GPL-3.0", False, "")])
     assert license_scan.scan(df.where("path = 'none'")).count() == 0
 
 
+def test_a_deep_path_inherits(spark):
+    deep = "/".join(f"d{i}" for i in range(3000))
+    rows = [(f"{deep}/x.py", "code"), ("d0/d1/LICENSE", "Released under the MIT License.")]
+    got = {r.path: (r.licence, r.from_dir) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got[f"{deep}/x.py"] == ("MIT", "d0/d1")
+
+
+def brute_scan(rows, least=0.6):
+    """Licences by dense cosines over all segments, and inheritance by walking up each path."""
+    frequency = {}
+    for _, t in rows:
+        for w in set(license_scan.VOCABULARY) & set(license_scan.terms(t or "")):
+            frequency[w] = frequency.get(w, 0) + 1
+    n = sum(t is not None for _, t in rows)
+    idf = lambda w: np.log((1 + n) / (1 + frequency.get(w, 0) if w in license_scan.VOCABULARY else 2)) + 1
+
+    def cosine(a, b):
+        x, y = ({w: t.count(w) * idf(w) for w in t} for t in (license_scan.terms(a), license_scan.terms(b)))
+        size = lambda v: np.sqrt(sum(z * z for z in v.values()))
+        return sum(z * y.get(w, 0) for w, z in x.items()) / size(x) / size(y) if x and y else 0.0
+
+    def own(path, text):
+        if path is not None and re.search(license_scan.LICENCE_FILE, path) and text:
+            best = min((-round(cosine(text, f), 9), name) for name, fs in [*license_scan.TEMPLATES.items(), *((k, [v]) for k, v in license_scan.WHOLE.items())] for f in fs)
+            if -best[0] >= least:
+                return best[1]
+        best = (0.0, "")
+        for seg in license_scan.segments(text):
+            for name, fs in license_scan.TEMPLATES.items():
+                for f in fs:
+                    best = min(best, (-round(cosine(seg, f), 9), name))
+        return best[1] if -best[0] >= least else None
+
+    mine = [own(p, t) for p, t in rows]
+    dirs = {}
+    for (p, _), m in zip(rows, mine, strict=True):
+        if m and p is not None and re.search(license_scan.LICENCE_FILE, p):
+            dirs.setdefault(p.rpartition("/")[0], []).append(m)
+    dirs = {d: min(v, key=lambda m: (-v.count(m), m)) for d, v in dirs.items()}
+    out = []
+    for (p, _), m in zip(rows, mine, strict=True):
+        up = None
+        while m is None and p is not None and up is None:
+            p = p.rpartition("/")[0]
+            up = p if p in dirs else None
+            if not p:
+                break
+        out.append((m or dirs.get(up), up))
+    return out
+
+
+def test_whole_scan_equals_brute_force(spark):
+    rng = random.Random(4)
+    notices = [f for fs in license_scan.TEMPLATES.values() for f in fs]
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(["a", "b", "c"]) for _ in range(rng.randint(0, 4))] + [rng.choice(["LICENSE", "x.py", "COPYING.md", f"f{i}.c"])]
+        w = rng.choice(notices).split()
+        for _ in range(rng.choice([0, 0, 2, 6])):
+            w[rng.randrange(len(w))] = rng.choice(["foo", "the", "license", "bar"])
+        text = "\n".join([rng.choice(["code()", "# " + " ".join(w), " ".join(w[: len(w) // 2]) + "\n * " + " ".join(w[len(w) // 2 :])]) for _ in range(rng.randint(0, 3))])
+        rows.append(("/".join(parts), text or None))
+    want = brute_scan(rows)
+    got = license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted(((r.path, r.licence or "", r.from_dir or "") for r in got), key=str) == sorted(((p, m or "", up or "") for (p, _), (m, up) in zip(rows, want, strict=True)), key=str)
+
+
 def test_cosine_equals_dense_arithmetic():
     t = license_scan.Templates({"license": 5, "the": 50}, 100)
     seg = "Licensed under the Apache License, Version 2.0."
