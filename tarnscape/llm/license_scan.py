@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnscape.session import cut
@@ -196,7 +196,7 @@ LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([-.][^/]*)?$"
 
 
 def scan(files: DataFrame, least: float = 0.6, any_file: bool = False) -> DataFrame:
-    """All columns of ``files`` (path, text, ...), with licence, cosine, inherited and from_dir.
+    """All columns of ``files`` (path, text, ...) but text, with licence, cosine, inherited and from_dir, which replace columns of these names.
 
     A file's own licence is that of the nearest template, if any line, sentence or run of
     lines of its whole text has a cosine of at least ``least``; a licence file is compared
@@ -216,21 +216,23 @@ def scan(files: DataFrame, least: float = 0.6, any_file: bool = False) -> DataFr
             found = [t.best(x, bool(f), least) for x, f in zip(texts, files_too, strict=True)]
             yield pd.DataFrame({"own": [a if s >= least else None for a, s in found], "cosine": [s for _, s in found]})
 
-    cols = files.columns
-    own = cut(files.withColumn("__m", match.asNondeterministic()("text", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))).select(*[F.col(c) for c in cols if c != "text"], "__m.own", "__m.cosine"), "own")
+    made = ("licence", "cosine", "inherited", "from_dir")
+    rest = [c for c in files.columns if c not in ("text", *made)]
+    told = files.withColumn("__m", match.asNondeterministic()("text", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))))
+    own = cut(told.select(F.struct(*rest).alias("row"), "path", "__m.own", "__m.cosine"), "own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     source = own.where(F.col("own").isNotNull() & F.col("path").isNotNull())
     source = source if any_file else source.where(F.col("path").rlike(LICENCE_FILE))
     counts = source.groupBy(folder.alias("dir"), "own").count()
-    first = Window.partitionBy("dir").orderBy(F.desc("count"), "own")
-    dirs = counts.withColumn("r", F.row_number().over(first)).where("r = 1").select("dir", F.col("own").alias("dir_own"))
-    # one row per distinct path without a licence and ancestor, so copies of a path join once
+    dirs = counts.groupBy("dir").agg(F.min(F.struct((-F.col("count")).alias("less"), "own"))["own"].alias("dir_own")).withColumn("key", F.xxhash64("dir"))
+    # one row per distinct path without a licence and ancestor, so copies of a path join once;
+    # ancestors go as hashes, so a deep path doesn't write each of them out
     bare = own.where(F.col("own").isNull() & F.col("path").isNotNull()).select("path").distinct()
-    parts = F.split("path", "/")
-    above = bare.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("depth", "dir"))
-    near = above.join(dirs, "dir").groupBy("path").agg(F.max_by(F.struct("dir_own", "dir"), "depth").alias("up"))
-    out = own.join(near.withColumnRenamed("path", "__p"), F.col("path") == F.col("__p"), "left")
-    takes = F.col("own").isNull() & F.col("up").isNotNull()
-    return out.select(
-        *[c for c in cols if c != "text"], F.coalesce("own", F.col("up.dir_own")).alias("licence"), "cosine", F.coalesce(takes, F.lit(False)).alias("inherited"), F.when(takes, F.col("up.dir")).alias("from_dir")
-    )
+    deep = F.size(F.split("path", "/")) - 1
+    keys = F.transform(F.sequence(F.lit(0), deep), lambda i: F.xxhash64(F.call_function("substring_index", F.col("path"), F.lit("/"), i)))
+    above = bare.select(F.xxhash64("path").alias("of"), F.posexplode(keys).alias("depth", "key"))
+    near = above.join(dirs, "key").groupBy("of").agg(F.max_by(F.struct("dir_own", "dir"), "depth").alias("up"))
+    out = own.withColumn("of", F.xxhash64("path")).join(near, "of", "left")
+    inside = (F.col("up.dir") == "") | F.col("path").startswith(F.concat("up.dir", F.lit("/")))
+    takes = F.col("own").isNull() & F.col("path").isNotNull() & F.col("up").isNotNull() & inside
+    return out.select("row.*", F.coalesce("own", F.when(takes, F.col("up.dir_own"))).alias("licence"), "cosine", F.coalesce(takes, F.lit(False)).alias("inherited"), F.when(takes, F.col("up.dir")).alias("from_dir"))
