@@ -1,5 +1,6 @@
-"""Language identification: the family first, then one-versus-one SVMs in the family."""
+"""Language identification: the family first, then one-versus-one SVMs among its languages."""
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -58,6 +59,22 @@ def features(text: str | None, block: int = 1 << 20) -> np.ndarray | None:
     return (x / np.linalg.norm(x)).astype(np.float32)
 
 
+def alphabet(text: str) -> str:
+    """The distinct letters of a text, in lower case."""
+    c = np.unique(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32))
+    return "".join(map(chr, c[letters()[c]]))
+
+
+def known_share(text: str, known: np.ndarray, block: int = 1 << 20) -> float:
+    """The share of a text's letters that are ``known`` (a flag for each code point)."""
+    some = total = 0
+    for at in range(0, len(text), block):
+        c = np.frombuffer(text[at : at + block].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        total += int(letters()[c].sum())
+        some += int(known[c].sum())
+    return some / max(1, total)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float, float, float]:
     """Linear SVM with squared hinge loss by accelerated gradient steps, then a sigmoid on its margins.
 
@@ -80,95 +97,130 @@ def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 150) -> t
     return w[:-1].astype(np.float32), float(w[-1]), a, b
 
 
+def _softmax(x: np.ndarray, at: np.ndarray, classes: int, reg: float = 1e-4, steps: int = 150, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression by accelerated gradient steps over batches in turn; all classes weigh the same."""
+    w = v = np.zeros((x.shape[1] + 1, classes), np.float32)
+    weight = (1 / np.maximum(1, np.bincount(at, minlength=classes)))[at].astype(np.float32)
+    order = np.random.default_rng(3).permutation(len(x))
+    rate = np.float32(8.0)
+    for k in range(steps):
+        pick = order if len(order) <= batch else order.take(range(k * batch, (k + 1) * batch), mode="wrap")
+        part, own, share = x[pick], at[pick], weight[pick] / weight[pick].sum()
+        raw = part @ v[:-1] + v[-1]
+        p = np.exp(raw - raw.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(own)), own] -= 1
+        p *= share[:, None]
+        fresh = v - rate * (np.concatenate([part.T @ p, p.sum(0, keepdims=True)]) + np.float32(reg) * v)
+        v = fresh + np.float32(k / (k + 3)) * (fresh - w)
+        w = fresh
+    return w[:-1], w[-1]
+
+
 class Model:
-    """Family SVMs (one versus one), then those of each family's pairs of languages."""
+    """One softmax over families, then SVMs for each pair of a family's languages.
 
-    def __init__(self, x: np.ndarray, lang: list[str]):
+    The size is DIMS weights for each family and each pair in a family."""
+
+    def __init__(self, x: np.ndarray, lang: list[str], alphabets: list[str] = ()):
         self.langs = sorted(set(lang))
-        at = np.array([self.langs.index(v) for v in lang])
+        # letters of one text in a thousand at least, and of two
+        seen = Counter("".join(alphabets))
+        self.letters = sorted(ord(c) for c, n in seen.items() if n >= max(min(2, len(x)), len(x) // 1000))
+        index = {v: i for i, v in enumerate(self.langs)}
+        at = np.array([index[v] for v in lang])
         self.family = [FAMILY_OF.get(v.split("-")[0].lower(), v) for v in self.langs]
         self.families = sorted(set(self.family))
-        fam = np.array([self.families.index(self.family[i]) for i in at])
-        rows, self.pairs = [], []
-        for names, label, inside in [(self.families, fam, None)] + [
-            ([v for v in self.langs if self.family[self.langs.index(v)] == f], at, f) for f in self.families
-        ]:
-            index = [(self.families if inside is None else self.langs).index(v) for v in names]
-            for p, q in combinations(index, 2):
-                pick = (label == p) | (label == q)
-                rows.append(_svm(x[pick], np.where(label[pick] == p, 1.0, -1.0)))
-                self.pairs.append((inside, p, q))
+        self.members = [[i for i, v in enumerate(self.family) if v == f] for f in self.families]
+        number = {f: i for i, f in enumerate(self.families)}
+        self.fw, self.fb = _softmax(x, np.array([number[self.family[i]] for i in at]), len(self.families))
+        self.pairs = [(f, i, j) for f, m in enumerate(self.members) for i, j in combinations(range(len(m)), 2)]
+        rows = []
+        for f, i, j in self.pairs:
+            p, q = self.members[f][i], self.members[f][j]
+            pick = (at == p) | (at == q)
+            rows.append(_svm(x[pick], np.where(at[pick] == p, 1.0, -1.0)))
         self.w = np.array([r[0] for r in rows], np.float32).reshape(len(rows), DIMS)
         self.rest = np.array([r[1:] for r in rows]).reshape(len(rows), 3)
 
-    def _vote(self, prob: np.ndarray, level: str | None, members: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _vote(self, prob: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
         """The member with most wins (ties: larger summed probability, then order), and its weakest win."""
-        n = prob.shape[0]
-        wins, total, least = (np.zeros((n, len(members))) for _ in range(3))
-        least += 1.0
-        for k, (inside, p, q) in enumerate(self.pairs):
-            if inside == level:
-                i, j = members.index(p), members.index(q)
+        n, many = prob.shape[0], len(self.members[family])
+        wins, total, least = np.zeros((n, many)), np.zeros((n, many)), np.ones((n, many))
+        for k, (f, i, j) in enumerate(self.pairs):
+            if f == family:
                 for side, chance in ((i, prob[:, k]), (j, 1 - prob[:, k])):
                     wins[:, side] += chance >= 0.5
                     total[:, side] += chance
                     least[:, side] = np.minimum(least[:, side], chance)
-        best = (wins + total / (1 + len(members))).argmax(1)
+        best = (wins + total / (1 + many)).argmax(1)
         return best, least[np.arange(n), best]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        raw = x @ self.fw + self.fb
+        chance = np.exp(raw - raw.max(1, keepdims=True))
+        chance /= chance.sum(1, keepdims=True)
+        fam = chance.argmax(1)
         prob = 1 / (1 + np.exp(-np.clip((x @ self.w.T + self.rest[:, 0]) * self.rest[:, 1] + self.rest[:, 2], -30, 30)))
-        fam, sure = self._vote(prob, None, list(range(len(self.families))))
         out, score = [""] * len(x), np.zeros(len(x))
-        for f, name in enumerate(self.families):
+        for f in np.unique(fam).tolist():
             rows = np.nonzero(fam == f)[0]
-            members = [i for i, v in enumerate(self.family) if v == name]
-            lang, s = self._vote(prob[rows], name, members)
+            lang, s = self._vote(prob[rows], f)
             for r, m, p in zip(rows, lang, s, strict=True):
-                out[r], score[r] = self.langs[members[m]], sure[r] * p
+                out[r], score[r] = self.langs[self.members[f][m]], float(chance[r, f]) * p
         return out, score
 
 
-def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 100, max_rows: int = 4_000) -> Model | None:
-    """Fit on at most ``per_lang`` texts of each language, and ``max_rows`` in all.
+def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 4_000) -> Model | None:
+    """Fit on at most ``per_lang`` texts of each language, fewer where all would be more than ``max_rows``, but on one of each at least.
 
     Learns from text and non-null lang of documents whose crc32(doc_id) mod 3 isn't 1. The
-    sample is the first of each language by a hash of doc_id, so reruns agree. With more than
-    ``max_langs`` languages, those with the most documents are learned."""
-    learn = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    names = [r["lang"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    per_lang = max(1, min(per_lang, max_rows // max(1, len(names))))
-    ids = learn.where(F.col("lang").isin(names)).select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
+    sample is the first of each language by a hash of doc_id, so reruns agree: rows are
+    counted by language, hashes above the share that gives twice the sample are left out,
+    and only the rest is ranked, so no task gets all rows of a language. Rows that share
+    doc_id and lang count once."""
+    learn = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    per_lang = max(1, min(per_lang, max_rows // len(counts)))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(v, 2.0 * per_lang / n if n > 8 * per_lang + 64 else 1.1) for v, n in counts.items()], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(2**63)
+    some = learn.select("lang", "doc_id").withColumn("place", place).join(F.broadcast(shares), "lang").where("place < share").groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
+    ids = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("r") <= per_lang)
     picked = learn.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").select("doc_id", "lang", "text")
 
     def make(batches):
         for b in batches:
             f = [features(t) for t in b["text"]]
-            yield pd.DataFrame([(d, v, x.astype(np.float16).tobytes()) for d, v, x in zip(b["doc_id"], b["lang"], f, strict=True) if x is not None], columns=["doc_id", "lang", "x"])
+            yield pd.DataFrame([(d, v, x.astype(np.float16).tobytes(), alphabet(t)) for d, v, x, t in zip(b["doc_id"], b["lang"], f, b["text"], strict=True) if x is not None], columns=["doc_id", "lang", "x", "letters"])
 
-    got = picked.mapInPandas(make, "doc_id long, lang string, x binary").dropDuplicates(["doc_id", "lang"]).toPandas().sort_values(["lang", "doc_id"])
+    got = picked.mapInPandas(make, "doc_id long, lang string, x binary, letters string").groupBy("doc_id", "lang").agg(F.min("x").alias("x"), F.max("letters").alias("letters")).toPandas().sort_values(["lang", "doc_id"])
     if not len(got):
         return None
     x = np.empty((len(got), DIMS), np.float32)
     for i, raw in enumerate(got["x"]):
         x[i] = np.frombuffer(raw, np.float16)
-    return Model(x, list(got["lang"]))
+    return Model(x, list(got["lang"]), list(got["letters"]))
 
 
 def identify(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
     """All columns of docs, with lang_pred and lang_score for each whole text.
 
     ``und`` with score 0 for null texts and texts without a letter, and for all texts if there
-    was nothing to learn from. The score is the chance of the weakest decision among families
-    times that among the family's languages. A model's size depends on the number of
-    languages, at most ``max_langs``, not on the data, so it may be broadcast."""
+    was nothing to learn from. The score is the chance of the family times that of the
+    weakest decision among its languages, and the share of letters that the learned texts
+    have, so text in another script scores near 0. A model's size depends on the number of languages,
+    not on the data, so it may be broadcast. Columns of these names in docs are replaced."""
     model = model or train(docs, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        known = np.zeros(0x110000, bool)
+        known[m.letters if m else []] = True
         for b in batches:
             lang, score = [UNKNOWN] * len(b), np.zeros(len(b))
             for at in range(0, len(b), 512):
@@ -177,15 +229,18 @@ def identify(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
                 if rows:
                     names, s = m.predict(np.stack([f[i] for i in rows]))
                     for i, v, p in zip(rows, names, s, strict=True):
-                        lang[at + i], score[at + i] = v, p
+                        lang[at + i], score[at + i] = v, p * known_share(b.iloc[at + i], known)
             yield pd.DataFrame({"lang_pred": lang, "lang_score": score})
 
     # not deterministic, so that Spark doesn't run it once for each use
     told = docs.withColumn("__told", tell.asNondeterministic()("text"))
-    return told.select(*docs.columns, "__told.lang_pred", "__told.lang_score")
+    return told.select(*[c for c in docs.columns if c not in ("lang_pred", "lang_score")], "__told.lang_pred", "__told.lang_score")
+
 
+def known_language(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
+    """The documents whose language is told with at least ``least``; ``und`` and the unsure go. All columns stay.
 
-def known_language(docs: DataFrame, least: float = 0.05, **how) -> DataFrame:
-    """The documents whose language is told with at least ``least``; ``und`` and the unsure go."""
-    told = identify(docs, **how)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
+    Two families of two languages give 0.25 to a text that tells nothing; texts of one known
+    word score over 0.35, other scripts near 0."""
+    told = identify(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("doc_id", "text", "lang", "__all"), **how)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("__all.*")
