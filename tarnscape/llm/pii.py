@@ -149,8 +149,8 @@ def shape(word: str) -> tuple:
     digits = sum("0" <= c <= "9" for c in core)
     if not digits and core.isalpha():
         return ("word",)
-    runs = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", core[:80]))
-    pieces = re.split(r"[^0-9]+", core[:80].strip("+()"))
+    runs = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", core))
+    pieces = re.split(r"[^0-9]+", core.strip("+()"))
     return (
         "mixed", "digits", min(digits, 20), "marks", "".join(dict.fromkeys(c for c in runs if c not in "a9"))[:4], "runs", min(len(runs), 8),
         "alpha", "a" in runs, "@", "@" in core, "+", core[:1] == "+", "pieces", tuple(min(len(p), 5) for p in pieces)[:6],
@@ -290,7 +290,10 @@ _WORD = re.compile(r"\S+")
 
 
 def _enough(kind: int, span: str) -> bool:
-    """A span of the field stands only if it can be such an item at all."""
+    """Rules that decide after the field: a span stands only if it can be such an item at all.
+
+    An address has an @ or a spelt at and dot; a host four numbers or three colons; a card 12
+    to 19 digits that pass Luhn; a phone 7 to 15 digits."""
     digits = sum("0" <= c <= "9" for c in span)
     if kind == 0:
         return "@" in span or bool(re.search(r"(?i)[\s(\[]at[\s)\]].*[\s(\[]dot[\s)\]]", span))
@@ -345,7 +348,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added.
+    """All columns of docs, with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added; columns of these names in docs are replaced.
 
     The counts and the hash are of the base patterns' spans. The field adds spans that touch
     no base span. Null texts count as empty: no spans. Offsets are code points of the whole
@@ -372,4 +375,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     found = docs.withColumn("__pii", find.asNondeterministic()("text"))
-    return found.select(*docs.columns, "__pii.*")
+    made = found.schema["__pii"].dataType.names
+    return found.select(*[c for c in docs.columns if c not in made], "__pii.*")
