@@ -1,7 +1,10 @@
-"""Grid operators over cell tables (grid_id, r, c, z): neighbours, distance, flood, relief, sight."""
+"""Grid operators over cell tables (grid_id, r, c, z): tiles, neighbours, distance, flood, relief, sight."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,21 +18,63 @@ def block_mean(cells: DataFrame, factor: int, value: str = "z") -> DataFrame:
     return cells.groupBy("grid_id", F.expr(f"r div {factor}").cast("int").alias("r"), F.expr(f"c div {factor}").cast("int").alias("c")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def gradient(cells: DataFrame, res: float, value: str = "z") -> DataFrame:
-    """Adds d_row and d_col: central differences inside, one-sided at the edges."""
+# ---- tiles -----------------------------------------------------------------------------------
+
+
+def tiles(cells: DataFrame, tile: int, halo: int = 0) -> DataFrame:
+    """Adds tr, tc: the tile of each cell. With a halo, a cell comes once for each tile that it is within ``halo`` cells of."""
+    if not halo:
+        return cells.withColumn("tr", F.expr(f"int(r div {tile})")).withColumn("tc", F.expr(f"int(c div {tile})"))
+    near = lambda x: F.expr(f"sequence(int(floor(({x} - {halo}) / {tile})), int(floor(({x} + {halo}) / {tile})))")
+    return cells.withColumn("tr", F.explode(near("r"))).withColumn("tc", F.explode(near("c")))
+
+
+def tile_map(cells: DataFrame, kernel: Callable, out: str, tile: int = 512, halo: int = 1, values: tuple[str, ...] = ("z",)) -> DataFrame:
+    """(grid_id, r, c, ...): ``kernel`` over square tiles with a halo, one task call each; one shuffle for all neighbours.
+
+    The kernel gets one float array for each of ``values``, null and missing cells as NaN, and
+    gives arrays of the same shape, by name and type in ``out``. Rows that aren't cells of the
+    input, and the halo, aren't returned."""
+    names = [x.split()[0] for x in out.split(", ")]
+    side = tile + 2 * halo
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])
+        r, c = pdf["r"].to_numpy(np.int64) - tr * tile + halo, pdf["c"].to_numpy(np.int64) - tc * tile + halo
+        made = [np.full((side, side), np.nan) for _ in values]
+        for m, v in zip(made, values, strict=True):
+            m[r, c] = pdf[v].to_numpy(np.float64, na_value=np.nan)
+        mine = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
+        got = kernel(*made)
+        base = {"grid_id": pdf["grid_id"].to_numpy()[mine], "r": pdf["r"].to_numpy()[mine], "c": pdf["c"].to_numpy()[mine]}
+        return pd.DataFrame(base | {n: g[r[mine], c[mine]] for n, g in zip(names, got, strict=True)})
+
+    rows = tiles(cells.select("grid_id", "r", "c", *values), tile, halo)
+    return rows.groupBy("grid_id", "tr", "tc").applyInPandas(run, f"grid_id long, r int, c int, {out}")
 
-    def along(part: str, order: str) -> Column:
-        w = Window.partitionBy("grid_id", part).orderBy(order)
-        a, b, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        return F.when(a.isNull(), (b - v) / res).when(b.isNull(), (v - a) / res).otherwise((b - a) / (2 * res))
 
-    return cells.withColumn("d_row", along("c", "r")).withColumn("d_col", along("r", "c"))
+def _slopes(z: np.ndarray, res: float) -> list[np.ndarray]:
+    """Derivatives down the rows and along the columns: central inside, one-sided where a neighbour is missing."""
+    out = []
+    for axis in (0, 1):
+        pad = np.pad(z, [(1, 1) if k == axis else (0, 0) for k in (0, 1)], constant_values=np.nan)
+        before, after = (pad[:-2], pad[2:]) if axis == 0 else (pad[:, :-2], pad[:, 2:])
+        one = np.where(np.isnan(before), after - z, z - before) / res
+        out.append(np.where(np.isnan(before) | np.isnan(after), one, (after - before) / (2 * res)))
+    return out
+
+
+def gradient(cells: DataFrame, res: float, value: str = "z", tile: int = 512) -> DataFrame:
+    """(grid_id, r, c, d_row, d_col): central differences inside, one-sided at the edges; null where a cell has no neighbour or no value."""
+    g = tile_map(cells, lambda z: _slopes(z, res), "d_row double, d_col double", tile, 1, (value,))
+    return g.withColumn("d_row", F.nanvl("d_row", F.lit(None))).withColumn("d_col", F.nanvl("d_col", F.lit(None)))
 
 
 def slope_degrees(d_row: Column, d_col: Column) -> Column:
     return F.degrees(F.atan(F.hypot(d_col, d_row)))
 
 
+#: Azimuth and weight of each sun.
 SUNS = ((315.0, 0.45), (45.0, 0.25), (135.0, 0.15), (225.0, 0.15))
 
 
@@ -44,104 +89,343 @@ def relief(d_row: Column, d_col: Column, altitude: float = 35.0) -> Column:
     return total
 
 
-def nearest_evidence(cells: DataFrame, evidence: DataFrame, radius: int = 64) -> DataFrame:
-    """(grid_id, r, c, d2, v): squared distance in cells to the nearest evidence cell, within ``radius``.
-
-    First, down each column, the nearest evidence row above and below by windows; then each
-    cell meets the columns of its row within the radius. v is the evidence's value (ties:
-    smallest). Cells without evidence in reach are absent. Exact, and the join is bounded by
-    2 * radius + 1 rows a cell."""
-    e = evidence.select("grid_id", "r", "c", "v").groupBy("grid_id", "r", "c").agg(F.min("v").alias("v"))
-    j = cells.select("grid_id", "r", "c").join(e, ["grid_id", "r", "c"], "left").withColumn("at", F.when(F.col("v").isNotNull(), F.struct("r", "v")))
-    w = Window.partitionBy("grid_id", "c").orderBy("r")
-    up = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    j = j.withColumn("up", up).withColumn("down", down)
-    near = lambda s: F.when(F.col(s).isNotNull() & (F.abs(F.col(f"{s}.r") - F.col("r")) <= radius), F.struct(F.abs(F.col(f"{s}.r") - F.col("r")).alias("dr"), F.col(f"{s}.v").alias("v")))
-    col = j.select("grid_id", "r", "c", F.least(near("up"), near("down")).alias("best")).where("best IS NOT NULL")
-    # each column's best goes to the cells of its row that are near enough
-    spread = col.select("grid_id", "r", F.explode(F.sequence(F.col("c") - radius, F.col("c") + radius)).alias("c2"), "c", "best").withColumnsRenamed({"c": "ec", "c2": "c"})
-    got = spread.join(cells.select("grid_id", "r", "c"), ["grid_id", "r", "c"])
-    d2 = (F.col("c") - F.col("ec")) * (F.col("c") - F.col("ec")) + F.col("best.dr") * F.col("best.dr")
-    best = got.groupBy("grid_id", "r", "c").agg(F.min(F.struct(d2.alias("d2"), F.col("best.v").alias("v"))).alias("m"))
-    return best.select("grid_id", "r", "c", "m.d2", "m.v").where(F.col("d2") <= radius * radius)
-
-
-def _settle(z: np.ndarray, conn: np.ndarray, halo: list[np.ndarray]) -> np.ndarray:
-    """Lowers conn to the least over neighbours of the highest step, inside one tile, until it stays."""
-    up, down, left, right = halo
-    while True:
-        pad = np.pad(conn, 1, constant_values=np.inf)
-        pad[0, 1:-1], pad[-1, 1:-1], pad[1:-1, 0], pad[1:-1, -1] = up, down, left, right
-        low = np.minimum(np.minimum(pad[:-2, 1:-1], pad[2:, 1:-1]), np.minimum(pad[1:-1, :-2], pad[1:-1, 2:]))
-        new = np.minimum(conn, np.maximum(z, low))
-        if (new == conn).all():
-            return conn
-        conn = new
-
-
-def sea_connectivity(cells: DataFrame, tile: int = 32, max_rounds: int = 500, value: str = "z") -> DataFrame:
-    """(grid_id, r, c, z, connect): least over paths from the grid's edge of the highest cell on the path.
+# ---- distance --------------------------------------------------------------------------------
 
-    A grid is cut into tiles. In each round a tile takes its neighbours' border rows, settles
-    in one task, and passes on; the loop ends when no tile changed. Rounds grow with the
-    tiles that a path winds through, not with its cells, and a task holds one tile. Raises
-    rather than return a surface that hasn't settled. Null heights take no part."""
-    side = cells.groupBy("grid_id").agg(F.max("r").alias("max_r"), F.max("c").alias("max_c"))
-    t = cells.where(F.col(value).isNotNull()).join(side, "grid_id").select("grid_id", F.expr(f"int(r div {tile})").alias("tr"), F.expr(f"int(c div {tile})").alias("tc"), "r", "c", F.col(value).cast("double").alias("z"), ((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("max_r")) | (F.col("c") == F.col("max_c"))).alias("edge"))
-    shape = "grid_id long, tr int, tc int, z binary, conn binary, changed boolean"
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.full((tile, tile), np.inf)
-        conn = np.full((tile, tile), np.inf)
-        r, c = pdf["r"].to_numpy() % tile, pdf["c"].to_numpy() % tile
-        z[r, c] = pdf["z"]
-        edge = pdf["edge"].to_numpy()
-        conn[r[edge], c[edge]] = z[r[edge], c[edge]]
-        conn = _settle(z, conn, [np.full(tile, np.inf)] * 4)
-        return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[:1], "tr": pdf["tr"].iloc[:1], "tc": pdf["tc"].iloc[:1], "z": [z.tobytes()], "conn": [conn.tobytes()], "changed": [True]})
-
-    state = cut(t.groupBy("grid_id", "tr", "tc").applyInPandas(pack, shape), "tiles")
-
-    def border(batches):
-        for b in batches:
-            out = []
-            for g, tr, tc, conn in zip(b["grid_id"], b["tr"], b["tc"], b["conn"], strict=True):
-                a = np.frombuffer(conn).reshape(tile, tile)
-                for k, (dr, dc, row) in enumerate(((1, 0, a[-1]), (-1, 0, a[0]), (0, 1, a[:, -1]), (0, -1, a[:, 0]))):
-                    out.append((g, tr + dr, tc + dc, k, row.tobytes()))
-            yield pd.DataFrame(out, columns=["grid_id", "tr", "tc", "side", "row"])
-
-    def step(key, mine: pd.DataFrame, halo: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return mine
-        z, conn = (np.frombuffer(mine[c].iloc[0]).reshape(tile, tile) for c in ("z", "conn"))
-        rows = [np.full(tile, np.inf)] * 4
-        for side_, row in zip(halo["side"], halo["row"], strict=True):
-            rows[side_] = np.frombuffer(row)
-        new = _settle(z, conn, rows)
-        return mine.assign(conn=[new.tobytes()], changed=[bool((new != conn).any())])
-
-    key = ["grid_id", "tr", "tc"]
-    for _ in range(max_rounds):
-        # only tiles that changed have news for their neighbours
-        news = state.where("changed").mapInPandas(border, "grid_id long, tr int, tc int, side int, row binary")
-        fresh = cut(state.groupBy(*key).cogroup(news.groupBy(*key)).applyInPandas(step, shape), "tiles")
-        drop(state)
-        state = fresh
-        if state.where("changed").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"the flood didn't settle in {max_rounds} rounds")
+_FAR = 1 << 30
 
-    def unpack(batches):
-        for b in batches:
-            for g, tr, tc, z, conn in zip(b["grid_id"], b["tr"], b["tc"], b["z"], b["conn"], strict=True):
-                z, conn = (np.frombuffer(x).reshape(tile, tile) for x in (z, conn))
-                r, c = np.nonzero(np.isfinite(z))
-                yield pd.DataFrame({"grid_id": g, "r": r + tr * tile, "c": c + tc * tile, "z": z[r, c], "connect": conn[r, c]})
 
-    return state.mapInPandas(unpack, "grid_id long, r int, c int, z double, connect double")
+def _down_columns(has: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to the nearest evidence of the own column, and its value (ties: the smaller); _FAR and infinity without any."""
+    n = len(has)
+    row = np.arange(n)[:, None]
+    up = np.maximum.accumulate(np.where(has, row, -1), axis=0)
+    down = np.minimum.accumulate(np.where(has, row, n)[::-1], axis=0)[::-1]
+    col = np.arange(has.shape[1])[None, :]
+    d_up, d_down = np.where(up >= 0, row - up, _FAR), np.where(down < n, down - row, _FAR)
+    v_up = np.where(up >= 0, v[np.maximum(up, 0), col], np.inf)
+    v_down = np.where(down < n, v[np.minimum(down, n - 1), col], np.inf)
+    dr = np.minimum(d_up, d_down)
+    return dr, np.minimum(np.where(d_up == dr, v_up, np.inf), np.where(d_down == dr, v_down, np.inf))
+
+
+def _along_rows(dr: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least squared distance over all columns of the row, and its value (ties: the smaller), up to ``most`` cells.
+
+    Columns further and further away are tried until none can be nearer than what each cell has."""
+    far = np.int64(_FAR) * _FAR
+    best = np.where(dr < _FAR, dr.astype(np.int64) ** 2, far)
+    own, val, width = best.copy(), v.copy(), dr.shape[1]
+    for dx in range(1, min(most, width - 1) + 1):
+        if best.max() < dx * dx:
+            break
+        for here, there in ((np.s_[:, dx:], np.s_[:, :-dx]), (np.s_[:, :-dx], np.s_[:, dx:])):
+            d = np.where(own[there] < far, own[there] + dx * dx, far)
+            nearer = (d < best[here]) | ((d == best[here]) & (v[there] < val[here]))
+            best[here] = np.where(nearer, d, best[here])
+            val[here] = np.where(nearer, v[there], val[here])
+    return best, val
+
+
+def nearest_evidence(cells: DataFrame, evidence: DataFrame, radius: int | None = None, strip: int = 64) -> DataFrame:
+    """(grid_id, r, c, d2, v): squared distance in cells to the nearest evidence cell; v is its value (ties: the smallest).
+
+    ``evidence`` has grid_id, r, c and a numeric v. Cells with no evidence within ``radius``
+    (anywhere in the grid, without one) are absent. Exact, in two passes: strips of columns
+    find the nearest evidence up and down, then strips of rows the nearest over all columns.
+    A task holds one strip; between the passes go blocks of strip x strip cells, packed."""
+    most = radius if radius is not None else 1 << 20
+    e = evidence.select("grid_id", "r", "c", F.col("v").cast("double").alias("v")).groupBy("grid_id", "r", "c").agg(F.min("v").alias("v"))
+    # evidence outside the cells counts too, as rows that aren't returned
+    both = cells.select("grid_id", "r", "c", F.lit(True).alias("cell"), F.lit(None).cast("double").alias("v")).unionByName(e.withColumn("cell", F.lit(False)))
+    block = "grid_id long, rb int, cb int, dr binary, val binary, cell binary"
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, cb = pdf["grid_id"].iloc[0], int(pdf["c"].iloc[0]) // strip
+        r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64) - cb * strip
+        n = -(-(int(r.max()) + 1) // strip) * strip
+        v = np.full((n, strip), np.inf)
+        is_e = ~pdf["cell"].to_numpy(bool)
+        v[r[is_e], c[is_e]] = pdf["v"].to_numpy(np.float64)[is_e]
+        cell = np.zeros((n, strip), bool)
+        cell[r[~is_e], c[~is_e]] = True
+        dr, val = _down_columns(np.isfinite(v), v)
+        parts = range(n // strip)
+        cut_ = lambda a, k, t: np.ascontiguousarray(a[k * strip : (k + 1) * strip].astype(t)).tobytes()
+        return pd.DataFrame({"grid_id": g, "rb": list(parts), "cb": cb, "dr": [cut_(dr, k, np.int32) for k in parts], "val": [cut_(val, k, np.float64) for k in parts], "cell": [cut_(cell, k, bool) for k in parts]})
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, rb, first = pdf["grid_id"].iloc[0], int(pdf["rb"].iloc[0]), int(pdf["cb"].min())
+        width = (int(pdf["cb"].max()) - first + 1) * strip
+        dr, val, cell = np.full((strip, width), _FAR), np.full((strip, width), np.inf), np.zeros((strip, width), bool)
+        for cb, a, b, x in zip(pdf["cb"], pdf["dr"], pdf["val"], pdf["cell"], strict=True):
+            at = np.s_[:, (cb - first) * strip : (cb - first + 1) * strip]
+            dr[at], val[at], cell[at] = (np.frombuffer(y, t).reshape(strip, strip) for y, t in ((a, np.int32), (b, np.float64), (x, bool)))
+        d2, v = _along_rows(dr, val, most)
+        r, c = np.nonzero(cell & np.isfinite(v) & (d2 <= most * most))
+        return pd.DataFrame({"grid_id": g, "r": r + rb * strip, "c": c + first * strip, "d2": d2[r, c], "v": v[r, c]})
+
+    packed = both.groupBy("grid_id", F.expr(f"int(c div {strip})")).applyInPandas(columns, block)
+    return packed.groupBy("grid_id", "rb").applyInPandas(rows, "grid_id long, r int, c int, d2 long, v double")
+
+
+def nearest_fill(cells: DataFrame, value: str = "z") -> DataFrame:
+    """(grid_id, r, c, value, filled): a cell without a value takes that of the nearest one with a value (ties: the lowest).
+
+    However far that is. A grid that nothing covers keeps its nulls, and ``filled`` is null
+    there: a violation for the caller."""
+    near = nearest_evidence(cells, cells.where(F.col(value).isNotNull()).withColumn("v", F.col(value)))
+    j = cells.select("grid_id", "r", "c", F.col(value).alias("own")).join(near, ["grid_id", "r", "c"], "left")
+    filled = F.when(F.col("v").isNotNull(), F.col("own").isNull())
+    return j.select("grid_id", "r", "c", F.coalesce(F.col("own").cast("double"), "v").alias(value), filled.alias("filled"))
+
+
+# ---- flood -----------------------------------------------------------------------------------
+
+
+class _Basins:
+    """A tile's cells by the lowest cell that each drains to, and the passes between basins.
+
+    A cell points to its lowest neighbour (ties: the first), so the least highest step from a
+    cell to anywhere is the higher of its own height and that from its basin's lowest cell.
+    That leaves a small graph: basins, and for each pair the lowest pass."""
+
+    def __init__(self, z: np.ndarray):
+        h, w = z.shape
+        n = h * w
+        flat = z.ravel()
+        ident = np.arange(n).reshape(h, w)
+        low, at = z.copy(), ident.copy()
+        for here, there in ((np.s_[1:], np.s_[:-1]), (np.s_[:, 1:], np.s_[:, :-1]), (np.s_[:-1], np.s_[1:]), (np.s_[:, :-1], np.s_[:, 1:])):
+            less = (z[there] < low[here]) | ((z[there] == low[here]) & (ident[there] < at[here]))
+            low[here], at[here] = np.where(less, z[there], low[here]), np.where(less, ident[there], at[here])
+        p = at.ravel()
+        while True:
+            q = p[p]
+            if (q == p).all():
+                break
+            p = q
+        self.least, self.of = np.unique(p, return_inverse=True)
+        self.of, self.z = self.of.reshape(h, w), z
+        a = np.concatenate([self.of[:-1].ravel(), self.of[:, :-1].ravel()])
+        b = np.concatenate([self.of[1:].ravel(), self.of[:, 1:].ravel()])
+        s = np.concatenate([np.maximum(z[:-1], z[1:]).ravel(), np.maximum(z[:, :-1], z[:, 1:]).ravel()])
+        ok = (a != b) & np.isfinite(s)
+        a, b, s = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]), s[ok]
+        order = np.lexsort((s, a * np.int64(len(self.least)) + b))
+        a, b, s = a[order], b[order], s[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.a, self.b, self.s = a[first], b[first], s[first]
+
+
+def _reduced(nodes: list[int], height: list[float], a: list[int], b: list[int], s: list[float], keep: set[int]) -> tuple[list[int], list[int], list[float]]:
+    """Links among the nodes of ``keep`` with the same least highest steps as the whole graph: one fewer than nodes at most.
+
+    The links go by height; where two groups that both hold a kept node meet, one link stays.
+    A node is itself a step of its height."""
+    place = {x: i for i, x in enumerate(nodes)}
+    root = list(range(len(nodes)))
+    rep = [x if x in keep else None for x in nodes]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    oa, ob, os = [], [], []
+    cost = [max(x, height[place[p]], height[place[q]]) for p, q, x in zip(a, b, s, strict=True)]
+    for k in sorted(range(len(a)), key=cost.__getitem__):
+        i, j = find(place[a[k]]), find(place[b[k]])
+        if i == j:
+            continue
+        if rep[i] is not None and rep[j] is not None:
+            oa.append(rep[i])
+            ob.append(rep[j])
+            os.append(cost[k])
+        root[j] = i
+        rep[i] = rep[j] if rep[i] is None else rep[i]
+    return oa, ob, os
+
+
+def _spread(count: int, a: np.ndarray, b: np.ndarray, s: np.ndarray, seeds: list[tuple[float, int]]) -> np.ndarray:
+    """The least highest step from any seed (height, node) to each node; infinity where none leads."""
+    level = np.full(count, np.inf)
+    order = np.argsort(np.concatenate([a, b]), kind="stable")
+    src, dst, cost = np.concatenate([a, b])[order], np.concatenate([b, a])[order].tolist(), np.concatenate([s, s])[order].tolist()
+    start = np.searchsorted(src, np.arange(count + 1)).tolist()
+    heap: list[tuple[float, int]] = []
+    for x, i in seeds:
+        heappush(heap, (x, i))
+    while heap:
+        x, i = heappop(heap)
+        if x >= level[i]:
+            continue
+        level[i] = x
+        for k in range(start[i], start[i + 1]):
+            y = cost[k] if cost[k] > x else x
+            if y < level[dst[k]]:
+                heappush(heap, (y, dst[k]))
+    return level
+
+
+def _array(pdf: pd.DataFrame, r0: int, c0: int, side: int) -> np.ndarray:
+    z = np.full((side, side), np.inf)
+    z[pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0] = pdf["z"]
+    return z
+
+
+def _border(side: int) -> np.ndarray:
+    mask = np.ones((side, side), bool)
+    mask[1:-1, 1:-1] = False
+    return mask
+
+
+def sea_connectivity(cells: DataFrame, tile: int = 512, blocks: int = 8, value: str = "z") -> DataFrame:
+    """(grid_id, r, c, z, connect): least over paths from the grid's edge of the highest cell on the path.
+
+    Cells are read twice. First each tile is reduced to a graph of its border cells, with one
+    link fewer than cells, that keeps the least highest step between any two of them. Blocks
+    of ``blocks`` x ``blocks`` tiles are reduced in the same way to their own borders, again
+    and again until a block is a whole grid; there the edge floods the graph. Then the levels
+    go back down, block by block, and each tile floods from its settled border. The number of
+    jobs is twice the logarithm of tiles along a side, not the length of a path, and a task
+    holds a tile or the borders of one block. A grid that fits a tile is flooded in one call.
+    Null heights take no part."""
+    src = cells.where(F.col(value).isNotNull()).select("grid_id", "r", "c", F.col(value).cast("double").alias("z"))
+    edges = cells.groupBy("grid_id").agg(F.max("r").alias("max_r"), F.max("c").alias("max_c"))
+    top = edges.agg(F.max(F.greatest("max_r", "max_c"))).first()[0]
+    out = "grid_id long, r int, c int, z double, connect double"
+    if top is None:
+        return cells.sparkSession.createDataFrame([], out)
+    src = src.join(edges, "grid_id")
+
+    def flooded(pdf: pd.DataFrame, r0: int, c0: int, side: int, seeds: dict | None) -> pd.DataFrame:
+        z = _array(pdf, r0, c0, side)
+        if seeds is None:
+            bottom, right = int(pdf["max_r"].iloc[0]) - r0, int(pdf["max_c"].iloc[0]) - c0
+            edge = np.zeros_like(z, bool)
+            edge[[0, bottom], : right + 1] = True
+            edge[: bottom + 1, [0, right]] = True
+            r, c = np.nonzero(edge & np.isfinite(z))
+            start = z[r, c]
+        else:
+            r, c, start = seeds
+        g = _Basins(z)
+        level = _spread(len(g.least), g.a, g.b, g.s, list(zip(start.tolist(), g.of[r, c].tolist(), strict=True)))
+        connect = np.maximum(z, level[g.of])
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        return pd.DataFrame({"grid_id": pdf["grid_id"], "r": r, "c": c, "z": pdf["z"], "connect": connect[r - r0, c - c0]})
+
+    if top < tile:
+        return src.groupBy("grid_id").applyInPandas(lambda p: flooded(p, 0, 0, int(max(p["max_r"].iloc[0], p["max_c"].iloc[0])) + 1, None), out)
+
+    link = "grid_id long, r int, c int, z double, r2 int, c2 int, s double, max_r int, max_c int"
+    stride = 1 << 31
+
+    def border_graph(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a tile's border cells; a cell without a link comes with itself."""
+        r0, c0 = int(pdf["r"].iloc[0]) // tile * tile, int(pdf["c"].iloc[0]) // tile * tile
+        z = _array(pdf, r0, c0, tile)
+        g = _Basins(z)
+        edge = _border(tile)
+        for at, most in ((int(pdf["max_r"].iloc[0]) - r0, 0), (int(pdf["max_c"].iloc[0]) - c0, 1)):
+            if at < tile:  # the grid ends inside the tile
+                edge[(at, slice(None)) if most == 0 else (slice(None), at)] = True
+        r, c = np.nonzero(edge & np.isfinite(z))
+        n = len(g.least)
+        nodes = list(range(n + len(r)))
+        height = [-np.inf] * n + z[r, c].tolist()
+        a = g.a.tolist() + list(range(n, n + len(r)))
+        b = g.b.tolist() + g.of[r, c].tolist()
+        s = g.s.tolist() + z[r, c].tolist()
+        oa, ob, os = _reduced(nodes, height, a, b, s, set(nodes[n:]))
+        oa, ob = [*[x - n for x in oa], *range(len(r))], [*[x - n for x in ob], *range(len(r))]
+        oa, ob, s = np.array(oa, int), np.array(ob, int), np.array([*os, *z[r, c]])
+        return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "r": r[oa] + r0, "c": c[oa] + c0, "z": z[r[oa], c[oa]], "r2": r[ob] + r0, "c2": c[ob] + c0, "s": s, "max_r": pdf["max_r"].iloc[0], "max_c": pdf["max_c"].iloc[0]})
+
+    def graph_of(pdf: pd.DataFrame, inner: int):
+        """Nodes, heights and links of a block, with the steps between neighbours across its inner seams of ``inner`` cells."""
+        own = pdf[(pdf["r"] == pdf["r2"]) & (pdf["c"] == pdf["c2"])]
+        key = own["r"].to_numpy(np.int64) * stride + own["c"].to_numpy(np.int64)
+        height = dict(zip(key.tolist(), own["z"].tolist(), strict=True))
+        rest = pdf[(pdf["r"] != pdf["r2"]) | (pdf["c"] != pdf["c2"])]
+        a = (rest["r"].to_numpy(np.int64) * stride + rest["c"].to_numpy(np.int64)).tolist()
+        b = (rest["r2"].to_numpy(np.int64) * stride + rest["c2"].to_numpy(np.int64)).tolist()
+        s = rest["s"].tolist()
+        for k in key.tolist():
+            for other, at in ((k + stride, k // stride + 1), (k + 1, k % stride + 1)):
+                if at % inner == 0 and other in height:
+                    a.append(k)
+                    b.append(other)
+                    s.append(max(height[k], height[other]))
+        return list(height), list(height.values()), a, b, s
+
+    def block_graph(inner: int, size: int):
+        def go(pdf: pd.DataFrame) -> pd.DataFrame:
+            nodes, height, a, b, s = graph_of(pdf, inner)
+            mr, mc = int(pdf["max_r"].iloc[0]), int(pdf["max_c"].iloc[0])
+            keep = {k for k in nodes if (k // stride) % size in (0, size - 1) or (k % stride) % size in (0, size - 1) or k // stride == mr or k % stride == mc}
+            oa, ob, os = _reduced(nodes, height, a, b, s, keep)
+            of = dict(zip(nodes, height, strict=True))
+            oa, ob, os = [*oa, *keep], [*ob, *keep], [*os, *[of[k] for k in keep]]
+            x, y = np.array(oa, np.int64), np.array(ob, np.int64)
+            return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "r": x // stride, "c": x % stride, "z": [of[k] for k in oa], "r2": y // stride, "c2": y % stride, "s": os, "max_r": mr, "max_c": mc})
+
+        return go
+
+    def settled(inner: int):
+        """Levels of all nodes of a block from those of its border, or from the grid's edge where there is none yet."""
+
+        def go(key, graph: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            shape = {"grid_id": "int64", "r": "int32", "c": "int32", "connect": "float64"}
+            if not len(graph):
+                return pd.DataFrame({k: [] for k in shape}).astype(shape)
+            nodes, height, a, b, s = graph_of(graph, inner)
+            place = {k: i for i, k in enumerate(nodes)}
+            if len(known):
+                at = (known["r"].to_numpy(np.int64) * stride + known["c"].to_numpy(np.int64)).tolist()
+                seeds = [(x, place[k]) for k, x in zip(at, known["connect"].tolist(), strict=True) if k in place]
+            else:
+                mr, mc = int(graph["max_r"].iloc[0]), int(graph["max_c"].iloc[0])
+                seeds = [(h, i) for i, (k, h) in enumerate(zip(nodes, height, strict=True)) if k // stride in (0, mr) or k % stride in (0, mc)]
+            level = _spread(len(nodes), np.array([place[k] for k in a], np.int64), np.array([place[k] for k in b], np.int64), np.array(s, float), seeds)
+            level = np.maximum(level, height)
+            k = np.array(nodes, np.int64)
+            return pd.DataFrame({"grid_id": graph["grid_id"].iloc[0], "r": k // stride, "c": k % stride, "connect": level}).astype(shape)
+
+        return go
+
+    place = lambda size: [F.expr(f"int(r div {size})"), F.expr(f"int(c div {size})")]
+    levels = [(tile, cut(src.groupBy("grid_id", *place(tile)).applyInPandas(border_graph, link), "borders"))]
+    size = tile
+    while size <= top:
+        inner, size = size, size * blocks
+        if size <= top:
+            levels.append((size, cut(levels[-1][1].groupBy("grid_id", *place(size)).applyInPandas(block_graph(inner, size), link), "borders")))
+    known = None
+    shape = "grid_id long, r int, c int, connect double"
+    for k in range(len(levels) - 1, -1, -1):
+        inner, graph = levels[k]
+        outer = inner * blocks
+        at = [F.expr(f"int(r div {outer})").alias("br"), F.expr(f"int(c div {outer})").alias("bc")]
+        g = graph.select("*", *at)
+        have = (known if known is not None else cells.sparkSession.createDataFrame([], shape)).select("*", *at)
+        fresh = cut(g.groupBy("grid_id", "br", "bc").cogroup(have.groupBy("grid_id", "br", "bc")).applyInPandas(settled(inner), shape), "levels")
+        drop(known)
+        known = fresh
+
+    def flood_tile(key, pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"grid_id": [], "r": [], "c": [], "z": [], "connect": []}).astype({"grid_id": "int64", "r": "int32", "c": "int32", "z": "float64", "connect": "float64"})
+        r0, c0 = int(pdf["r"].iloc[0]) // tile * tile, int(pdf["c"].iloc[0]) // tile * tile
+        return flooded(pdf, r0, c0, tile, (seeds["r"].to_numpy() - r0, seeds["c"].to_numpy() - c0, seeds["connect"].to_numpy()))
+
+    at = [F.expr(f"int(r div {tile})").alias("br"), F.expr(f"int(c div {tile})").alias("bc")]
+    return src.select("*", *at).groupBy("grid_id", "br", "bc").cogroup(known.select("*", *at).groupBy("grid_id", "br", "bc")).applyInPandas(flood_tile, out)
+
+
+# ---- components ------------------------------------------------------------------------------
 
 
 def neighbours(cells: DataFrame) -> DataFrame:
@@ -152,6 +436,59 @@ def neighbours(cells: DataFrame) -> DataFrame:
     return right.union(down).join(there, ["grid_id", "r2", "c2"]).select("grid_id", "r", "c", "r2", "c2")
 
 
+def _labels(mask: np.ndarray) -> np.ndarray:
+    """For each cell of the mask the first cell (row by row) of its 4-connected part, by hooking and pointer jumping; -1 elsewhere."""
+    h, w = mask.shape
+    ident = np.arange(h * w).reshape(h, w)
+    p = ident.ravel().copy()
+    across, down = mask[:, 1:] & mask[:, :-1], mask[1:] & mask[:-1]
+    a = np.concatenate([ident[:, :-1][across], ident[:-1][down]])
+    b = np.concatenate([ident[:, 1:][across], ident[1:][down]])
+    while len(a):
+        x, y = p[a], p[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(p, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            q = p[p]
+            if (q == p).all():
+                break
+            p = q
+    return np.where(mask, p.reshape(h, w), -1)
+
+
+def connected_areas(cells: DataFrame, tile: int = 512) -> DataFrame:
+    """(grid_id, r, c, area): the 4-connected area of each cell, named by its first cell: area is a struct (g, r, c).
+
+    Tiles label their own cells; only cells along the seams are linked, and the links between
+    tile labels go through components(). So the iterated table has a row for a label at a seam."""
+    from tarnscape.operators.graph import components
+
+    def kernel(here: np.ndarray) -> list[np.ndarray]:
+        at = _labels(~np.isnan(here))
+        return [at // here.shape[1], at % here.shape[1]]
+
+    own = tile_map(cells.select("grid_id", "r", "c", F.lit(1.0).alias("here")), kernel, "lr int, lc int", tile, 0, ("here",))
+    base = lambda x: F.expr(f"int({x} div {tile}) * {tile}")
+    own = cut(own.select("grid_id", "r", "c", F.struct(F.col("grid_id").alias("g"), (base("r") + F.col("lr")).alias("r"), (base("c") + F.col("lc")).alias("c")).alias("own")), "areas")
+    low = lambda x: F.expr(f"{x} % {tile} = 0")
+    high = lambda x: F.expr(f"{x} % {tile} = {tile - 1}")
+    there = own.select("grid_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("own").alias("b"))
+    seams = []
+    for x, dr, dc in (("r", 1, 0), ("c", 0, 1)):
+        near = own.where(high(x)).select("grid_id", (F.col("r") + dr).alias("r2"), (F.col("c") + dc).alias("c2"), F.col("own").alias("a"))
+        seams.append(near.join(there.where(low(f"{x}2")), ["grid_id", "r2", "c2"]).select("a", "b"))
+    joined = components(seams[0].union(seams[1]).distinct())
+    return own.join(joined.withColumnRenamed("node", "own"), "own", "left").select("grid_id", "r", "c", F.coalesce("component", "own").alias("area"))
+
+
+# ---- sight -----------------------------------------------------------------------------------
+
+EARTH_RADIUS_M = 6_371_000.0
+
+
 def sight_lines(cells: DataFrame, observers: DataFrame, directions: int = 16, steps: int = 40, res: float = 2.0, k: float = 0.13) -> DataFrame:
     """(obs_id, ray, step, visible): what observers (obs_id, grid_id, r, c, eye) see along rays.
 
@@ -161,7 +498,101 @@ def sight_lines(cells: DataFrame, observers: DataFrame, directions: int = 16, st
     turn = F.col("ray") * (2 * np.pi / directions)
     at = ray.select("obs_id", "grid_id", "ray", "step", "eye", (F.col("r") - F.round(F.col("step") * F.cos(turn) + 1e-9)).cast("int").alias("r"), (F.col("c") + F.round(F.col("step") * F.sin(turn) + 1e-9)).cast("int").alias("c"))
     d = F.col("step") * res
-    got = at.join(cells.select("grid_id", "r", "c", "z"), ["grid_id", "r", "c"]).withColumn("angle", (F.col("z") - d * d * (1 - k) / (2 * 6371000.0) - F.col("eye")) / d)
+    got = at.join(cells.where("z IS NOT NULL").select("grid_id", "r", "c", "z"), ["grid_id", "r", "c"]).withColumn("angle", (F.col("z") - d * d * (1 - k) / (2 * EARTH_RADIUS_M) - F.col("eye")) / d)
     near = Window.partitionBy("obs_id", "ray").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     blocked = F.max("angle").over(near)
     return got.select("obs_id", "ray", "step", (blocked.isNull() | (F.col("angle") >= blocked)).alias("visible"))
+
+
+def _half_plane(block: np.ndarray, target: np.ndarray, row: float, col: float, strict: bool) -> np.ndarray:
+    """What is seen to the right of (row, col), within 45 degrees: a column at a time, each from the one before.
+
+    ``block`` is the angle of the ground and ``target`` that of what shall be seen. The sight
+    line to a cell crosses the column before at a fraction of a row, between two cells whose
+    highest angles so far are interpolated. With ``strict`` the diagonals are left out."""
+    seen = np.zeros(block.shape, bool)
+    rows = np.arange(block.shape[0], dtype=float)
+    before, at_before = None, 0.0
+    for x in range(int(np.floor(col)) + 1, block.shape[1]):
+        away = x - col
+        if before is None:
+            limit = np.full(len(rows), -np.inf)
+        else:
+            at = row + (rows - row) * (at_before / away)
+            # interpolation that stays finite where both sides are unblocked
+            low = np.clip(np.floor(at).astype(int), 0, len(rows) - 1)
+            high = np.minimum(low + 1, len(rows) - 1)
+            part = np.clip(at - low, 0, 1)
+            a, b = before[low], before[high]
+            limit = np.where(part == 0, a, np.where(a == b, a, a + (b - a) * part))
+        side = np.abs(rows - row)
+        inside = side < away if strict else side <= away
+        seen[:, x] = inside & (target[:, x] >= limit)
+        before, at_before = np.maximum(block[:, x], limit), away
+    return seen
+
+
+def visible_from(z: np.ndarray, row: float, col: float, height: float, res: float, target: float = 0.0, radius: float = 0.0, k: float | None = 0.13) -> np.ndarray:
+    """Cells that an eye ``height`` above (row, col) sees on a grid with cells of ``res`` metres; NaN cells neither block nor are seen.
+
+    A sweep away from the observer in each of the four directions (see _half_plane). With k,
+    the ground sinks by (1 - k) d^2 / 2R. ``radius`` in metres bounds what is seen, if above
+    0. The observer's own cell is always seen."""
+    n, m = z.shape
+    row, col = min(max(row, 0.0), n - 1.0), min(max(col, 0.0), m - 1.0)
+    r0, c0 = min(int(row), max(n - 2, 0)), min(int(col), max(m - 2, 0))
+    fr, fc = row - r0, col - c0
+    r1, c1 = min(r0 + 1, n - 1), min(c0 + 1, m - 1)
+    ground = (z[r0, c0] * (1 - fc) + z[r0, c1] * fc) * (1 - fr) + (z[r1, c0] * (1 - fc) + z[r1, c1] * fc) * fr
+    dr, dc = np.arange(n)[:, None] - row, np.arange(m)[None, :] - col
+    d2 = (dr * dr + dc * dc) * res * res
+    d = np.sqrt(np.maximum(d2, 1e-12))
+    eff = z - (0.0 if k is None else (1 - k) / (2 * EARTH_RADIUS_M)) * d2 - (ground + height)
+    block, aim = np.where(np.isnan(eff), -np.inf, eff / d), np.where(np.isnan(eff), -np.inf, (eff + target) / d)
+    seen = np.zeros(z.shape, bool)
+    seen |= _half_plane(block, aim, row, col, False)
+    seen |= _half_plane(block[:, ::-1], aim[:, ::-1], row, m - 1 - col, False)[:, ::-1]
+    seen |= _half_plane(block.T, aim.T, col, row, True).T
+    seen |= _half_plane(block[::-1].T, aim[::-1].T, col, n - 1 - row, True).T[::-1]
+    seen &= ~np.isnan(z)
+    if radius > 0:
+        seen &= d2 <= radius * radius
+    seen[min(int(np.floor(row + 0.5)), n - 1), min(int(np.floor(col + 0.5)), m - 1)] = True
+    return seen
+
+
+def viewshed(cells: DataFrame, observers: DataFrame, res: float, radius: int, target: float = 0.0, k: float | None = 0.13, tile: int = 512, per_task: int = 64) -> DataFrame:
+    """(obs_id, grid_id, r, c): the cells that each observer (obs_id, grid_id, row, col, height) sees within ``radius`` cells.
+
+    Cells go to tiles with a halo of the radius, so a task has all that its observers can
+    see, and no more than one tile with its halo. A tile with many observers is dealt out
+    again for each ``per_task`` of them."""
+    side = tile + 2 * radius + 2
+    o = observers.select("obs_id", "grid_id", F.col("row").cast("double"), F.col("col").cast("double"), F.col("height").cast("double"))
+    o = o.withColumn("tr", F.floor(F.col("row") / tile).cast("int")).withColumn("tc", F.floor(F.col("col") / tile).cast("int"))
+    parts = cut(o.groupBy("grid_id", "tr", "tc").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("parts")), "parts")
+    o = o.join(parts, ["grid_id", "tr", "tc"]).withColumn("part", F.pmod(F.xxhash64("obs_id"), F.col("parts")).cast("int"))
+    c = tiles(cells.where("z IS NOT NULL").select("grid_id", "r", "c", F.col("z").cast("double").alias("z")), tile, radius + 1).join(parts, ["grid_id", "tr", "tc"])
+    c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def look(key, ground: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
+        g, tr, tc, _ = key
+        r0, c0 = int(tr) * tile - radius - 1, int(tc) * tile - radius - 1
+        z = np.full((side, side), np.nan)
+        z[ground["r"].to_numpy() - r0, ground["c"].to_numpy() - c0] = ground["z"]
+        out = []
+        for i, row, col, height in zip(who["obs_id"], who["row"], who["col"], who["height"], strict=True):
+            a, b = max(0, int(np.floor(row)) - radius - r0), max(0, int(np.floor(col)) - radius - c0)
+            part = z[a : int(np.ceil(row)) + radius - r0 + 1, b : int(np.ceil(col)) + radius - c0 + 1]
+            # beyond the grid there is nothing: rows and columns without any cell go
+            rows, cols = np.nonzero(~np.isnan(part).all(1))[0], np.nonzero(~np.isnan(part).all(0))[0]
+            if not len(rows):
+                continue
+            part = part[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
+            top, left = a + rows[0] + r0, b + cols[0] + c0
+            r, c = np.nonzero(visible_from(part, row - top, col - left, height, res, target, radius * res, k))
+            out.append(pd.DataFrame({"obs_id": i, "grid_id": g, "r": r + top, "c": c + left}))
+        return pd.concat(out) if out else pd.DataFrame({"obs_id": [], "grid_id": [], "r": [], "c": []}).astype("int64")
+
+    at = ["grid_id", "tr", "tc", "part"]
+    return c.groupBy(*at).cogroup(o.groupBy(*at)).applyInPandas(look, "obs_id long, grid_id long, r int, c int")

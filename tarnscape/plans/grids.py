@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
 from tarnscape.operators import raster
-from tarnscape.operators.graph import components
 from tarnscape.plans.base import query
-from tarnscape.session import table
+from tarnscape.session import cut, table
 from tarnscape.sources import fixtures as fx
 
 FLOOD = fx.CELLS + """, reach(grid_id, r, c, l) AS (
@@ -16,6 +15,19 @@ FLOOD = fx.CELLS + """, reach(grid_id, r, c, l) AS (
   flood AS (SELECT grid_id, r, c, min(l)::DOUBLE AS connect FROM reach GROUP BY 1, 2, 3)"""
 
 
+def basin_stats(flood, levels):
+    """(grid_id, level, wet, excluded, largest): cells the sea reaches at each level, those below it that it doesn't, and their largest area."""
+    lv = F.broadcast(flood.sparkSession.createDataFrame([(x,) for x in levels], "level int"))  # a few levels
+    f = flood.crossJoin(lv)
+    dry = (F.col("z") <= F.col("level")) & (F.col("connect") > F.col("level"))
+    k = f.groupBy("grid_id", "level").agg(F.count_if(F.col("connect") <= F.col("level")).alias("wet"), F.count_if(dry).alias("excluded"))
+    # areas of all levels at once: a level is a grid of its own
+    own = f.where(dry).select((F.col("grid_id") * 1000 + F.col("level")).alias("grid_id"), "r", "c")
+    area = raster.connected_areas(own).groupBy("grid_id", "area").count().groupBy("grid_id").agg(F.max("count").alias("largest"))
+    area = area.select(F.expr("grid_id div 1000").alias("grid_id"), F.expr("int(grid_id % 1000)").alias("level"), "largest")
+    return k.join(area, ["grid_id", "level"], "left").withColumn("largest", F.coalesce("largest", F.lit(0).cast("long")))
+
+
 @query(f"WITH RECURSIVE {FLOOD} SELECT grid_id, r, c, z::DOUBLE AS z, connect FROM cells JOIN flood USING (grid_id, r, c)")
 def i1_sea_connectivity(spark, sf):
     return raster.sea_connectivity(fx.cells(spark, sf))
@@ -62,22 +74,20 @@ def i1_sea_share_at_year(spark, sf):
   SELECT grid_id, component, count(*) AS size, bool_or(r = 0 OR r = 63 OR c = 0 OR c = 63) AS edge FROM w JOIN m USING (id) GROUP BY 1, 2""")
 def i2_components(spark, sf):
     """Connected areas below a height, with size and whether they touch the edge."""
-    low = fx.cells(spark, sf).where("z <= 8")
-    ident = lambda r, c: F.col("grid_id") * 4096 + F.col(r) * 64 + F.col(c)
-    links = raster.neighbours(low).select(ident("r", "c").alias("a"), ident("r2", "c2").alias("b"))
-    comp = components(links)
-    own = low.withColumn("node", ident("r", "c")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    area = raster.connected_areas(fx.cells(spark, sf).where("z <= 8"))
     edge = F.col("r").isin(0, 63) | F.col("c").isin(0, 63)
-    return own.groupBy("grid_id", "component").agg(F.count("*").alias("size"), F.bool_or(edge).alias("edge"))
+    name = F.expr("grid_id * 4096 + area.r * 64 + area.c")
+    return area.groupBy("grid_id", name.alias("component")).agg(F.count("*").alias("size"), F.bool_or(edge).alias("edge"))
 
 
-@query(f"""WITH RECURSIVE {FLOOD}, lv(level) AS (VALUES (8), (10), (12)) SELECT grid_id, level, count(*) FILTER (connect <= level) AS wet, count(*) FILTER (z <= level AND connect > level) AS excluded
-  FROM cells JOIN flood USING (grid_id, r, c), lv GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {FLOOD}, lv(level) AS (VALUES (8), (10), (12)), x AS (SELECT grid_id * 4096 + r * 64 + c AS id, grid_id, level, r, c FROM cells JOIN flood USING (grid_id, r, c), lv WHERE z <= level AND connect > level),
+  lab(id, level, root) AS (SELECT id, level, id FROM x UNION SELECT n.id, l.level, l.root FROM lab l JOIN x o ON o.id = l.id AND o.level = l.level, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc), x n WHERE n.grid_id = o.grid_id AND n.level = o.level AND n.r = o.r + d.dr AND n.c = o.c + d.dc AND l.root < n.id),
+  big AS (SELECT grid_id, level, max(n) AS largest FROM (SELECT id // 4096 AS grid_id, level, root, count(*) AS n FROM (SELECT id, level, min(root) AS root FROM lab GROUP BY 1, 2) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  k AS (SELECT grid_id, level, count(*) FILTER (connect <= level) AS wet, count(*) FILTER (z <= level AND connect > level) AS excluded FROM cells JOIN flood USING (grid_id, r, c), lv GROUP BY 1, 2)
+  SELECT k.grid_id, k.level, wet, excluded, coalesce(largest, 0) AS largest FROM k LEFT JOIN big USING (grid_id, level)""")
 def a14_false_basins(spark, sf):
-    """Cells under a level that the sea doesn't reach."""
-    lv = F.broadcast(spark.createDataFrame([(8,), (10,), (12,)], "level int"))  # three rows
-    f = raster.sea_connectivity(fx.cells(spark, sf)).crossJoin(lv)
-    return f.groupBy("grid_id", "level").agg(F.count_if(F.col("connect") <= F.col("level")).alias("wet"), F.count_if((F.col("z") <= F.col("level")) & (F.col("connect") > F.col("level"))).alias("excluded"))
+    """Cells under a level that the sea doesn't reach, and the largest connected area of them."""
+    return basin_stats(cut(raster.sea_connectivity(fx.cells(spark, sf)), "flood"), [8, 10, 12])
 
 
 @query(f"""WITH RECURSIVE {FLOOD} SELECT grid_id, min(z)::DOUBLE AS low, max(z)::DOUBLE AS high, round(avg((connect > z)::INT), 6) AS raised, max(connect - z) AS lift FROM cells JOIN flood USING (grid_id, r, c) GROUP BY 1""")
@@ -124,9 +134,9 @@ def w6_slope(spark, sf):
 _SHADE = " + ".join(f"{w} * greatest(0.0, least(1.0, (-dc * cos(radians(35)) * sin(radians({a})) + dr * cos(radians(35)) * cos(radians({a})) + sin(radians(35))) / sqrt(dc * dc + dr * dr + 1)))" for a, w in raster.SUNS)
 
 
-@query(f"WITH {GRADIENT} SELECT grid_id, r, c, round({_SHADE}, 5) AS shade FROM grad")
+@query(f"WITH {GRADIENT} SELECT grid_id, r, c, round({_SHADE}, 5) AS shade FROM grad WHERE dr IS NOT NULL AND dc IS NOT NULL")
 def w7_relief(spark, sf):
-    g = raster.gradient(fx.cells(spark, sf), 2.0)
+    g = raster.gradient(fx.cells(spark, sf), 2.0).where("d_row IS NOT NULL AND d_col IS NOT NULL")
     return g.select("grid_id", "r", "c", F.round(raster.relief(F.col("d_row"), F.col("d_col")), 5).alias("shade"))
 
 
@@ -136,14 +146,12 @@ def j11_evidence_distance(spark, sf):
     return raster.nearest_evidence(fx.cells(spark, sf), e, 20).select("grid_id", "r", "c", "d2")
 
 
-@query(f"""WITH {fx.HOLED}, k AS (SELECT a.grid_id, a.r, a.c, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS d2, b.z, row_number() OVER (PARTITION BY a.grid_id, a.r, a.c ORDER BY (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c), b.z) AS i
-  FROM holed a JOIN holed b ON a.grid_id = b.grid_id AND b.z IS NOT NULL AND abs(a.r - b.r) <= 20 AND abs(a.c - b.c) <= 20 WHERE a.z IS NULL)
-  SELECT grid_id, r, c, z FROM k WHERE i = 1 UNION ALL SELECT grid_id, r, c, z FROM holed WHERE z IS NOT NULL""")
+@query(f"""WITH {fx.HOLED}, k AS (SELECT a.grid_id, a.r, a.c, min(((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) * 1000 + b.z) % 1000 AS z
+  FROM holed a JOIN holed b ON a.grid_id = b.grid_id AND b.z IS NOT NULL WHERE a.z IS NULL GROUP BY 1, 2, 3)
+  SELECT grid_id, r, c, z::DOUBLE AS z, TRUE AS filled FROM k UNION ALL SELECT grid_id, r, c, z, FALSE FROM holed WHERE z IS NOT NULL""")
 def j12_nearest_fill(spark, sf):
-    """An uncovered cell takes the value of the nearest covered one (ties: the lowest value)."""
-    h = fx.holed(spark, sf)
-    near = raster.nearest_evidence(h, h.where("z IS NOT NULL").withColumn("v", F.col("z")), 20)
-    return h.join(near, ["grid_id", "r", "c"], "left").select("grid_id", "r", "c", F.coalesce("z", "v").alias("z"))
+    """An uncovered cell takes the value of the nearest covered one, however far (ties: the lowest value)."""
+    return raster.nearest_fill(fx.holed(spark, sf))
 
 
 @query(f"""WITH {fx.CELLS}, p AS (SELECT event_id, user_id % (SELECT greatest(1, count(DISTINCT grid_id)) FROM cells) AS grid_id, (event_id % 630) / 10.0 AS fr, (event_id % 611) / 10.0 AS fc FROM events),
@@ -186,31 +194,73 @@ def j6_ring_offset(spark, sf):
     return ring.join(c, ["grid_id", "r", "c"]).groupBy("grid_id").agg(F.round(F.median(F.col("mean") - F.col("z")), 6).alias("offset"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {fx.CELLS}, o AS (SELECT grid_id * 4 + (r // 32) * 2 + c // 32 AS obs_id, grid_id, r, c, z + 1.7 AS eye FROM cells WHERE r % 32 = 16 AND c % 32 = 16),
+@query(f"""WITH {fx.CELLS}, {fx.OBSERVERS}, o AS (SELECT obs_id, x.grid_id, r, c, z + 1.7 AS eye FROM observers b JOIN cells x ON x.grid_id = b.grid_id AND x.r = floor(row) AND x.c = floor(col) WHERE z IS NOT NULL),
   p AS (SELECT obs_id, o.grid_id, ray, step, eye, (r - round(step * cos(ray * (2 * pi() / 16)) + 1e-9))::INT AS r, (c + round(step * sin(ray * (2 * pi() / 16)) + 1e-9))::INT AS c FROM o, range(0, 16) a(ray), range(1, 41) b(step)),
-  q AS (SELECT p.*, (z - (step * 2.0) * (step * 2.0) * 0.87 / (2 * 6371000.0) - eye) / (step * 2.0) AS angle FROM p JOIN cells x ON x.grid_id = p.grid_id AND x.r = p.r AND x.c = p.c),
+  q AS (SELECT p.*, (z - (step * 2.0) * (step * 2.0) * 0.87 / (2 * 6371000.0) - eye) / (step * 2.0) AS angle FROM p JOIN cells x ON x.grid_id = p.grid_id AND x.r = p.r AND x.c = p.c WHERE z IS NOT NULL),
   b AS (SELECT *, max(angle) OVER (PARTITION BY obs_id, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM q)
   SELECT obs_id, ray::INT AS ray, step::INT AS step, near IS NULL OR angle >= near AS visible FROM b""")
 def i18_sight_lines(spark, sf):
+    """Sixteen rays from each site."""
+    c = fx.cells(spark, sf)
+    o = fx.observers(spark, sf).select("obs_id", "grid_id", F.floor("row").cast("int").alias("r"), F.floor("col").cast("int").alias("c"))
+    return raster.sight_lines(c, o.join(c.where("z IS NOT NULL"), ["grid_id", "r", "c"]).select("obs_id", "grid_id", "r", "c", (F.col("z") + 1.7).alias("eye")))
+
+
+@query()
+def i18_viewshed(spark, sf):
+    """All cells that each site sees within 30 cells, by the sweep; SQL can't express it, tests compare it with rays."""
+    return raster.viewshed(fx.cells(spark, sf), fx.observers(spark, sf), 2.0, 30)
+
+
+_D2 = "(x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)"
+LANDCOVER = f"""{GRADIENT}, {fx.EVIDENCE}, s AS (SELECT grid_id, r, c, z, degrees(atan(sqrt(dr * dr + dc * dc))) AS slope, (z + label) % 9 AS g, z % 7 = 0 AS peat FROM grad),
+  near AS (SELECT x.grid_id, x.r, x.c, min({_D2}) FILTER (family = 'monument') AS dm, min({_D2}) FILTER (family = 'road') AS dr2, min({_D2}) FILTER (family = 'cultivation') AS dc2, min({_D2}) FILTER (family = 'settlement') AS ds
+    FROM cells x JOIN evidence e ON x.grid_id = e.grid_id WHERE {_D2} <= 100 GROUP BY 1, 2, 3),
+  fine AS (SELECT x.grid_id, x.r, x.c, min({_D2}) AS df FROM s x JOIN s e ON x.grid_id = e.grid_id AND e.g = 2 AND abs(x.r - e.r) <= 1 AND abs(x.c - e.c) <= 1 GROUP BY 1, 2, 3),
+  landcover AS (SELECT s.grid_id, s.r, s.c, CASE WHEN g = 0 THEN 0 WHEN g = 1 OR peat THEN 1 WHEN dm <= 1 THEN 2 WHEN dr2 <= 0 THEN 3 WHEN dc2 <= 1 AND slope <= 60 THEN 4
+    WHEN (g = 2 OR (g = 5 AND df <= 1)) AND z > 9 + 2 - 0.0005 AND slope <= 60 AND ds <= 16 THEN 4 WHEN g IN (2, 3) THEN 5 WHEN g = 4 THEN 3 WHEN g = 5 AND slope <= 70 AND ds <= 4 THEN 6 WHEN g = 5 AND slope <= 70 THEN 7 ELSE 8 END AS class
+  FROM s LEFT JOIN near n ON s.grid_id = n.grid_id AND s.r = n.r AND s.c = n.c LEFT JOIN fine f ON s.grid_id = f.grid_id AND s.r = f.r AND s.c = f.c)"""
+
+#: Distances in metres, slopes in degrees, heights in metres: what the rules compare with.
+RULES = {"monument_m": 2.0, "road_m": 0.0, "cultivation_m": 2.0, "farmland_m": 8.0, "pasture_m": 4.0, "margin_m": 2.0, "fresh_m": 2.0, "level_m": 9.0, "plough_deg": 60.0, "wood_deg": 70.0}
+
+
+def land_cover(ground, evidence, res: float, rules: dict = RULES):
+    """(grid_id, r, c, class): eleven rules, the first that holds wins; columns of ``ground``: connect, slope, g (soil group), peat.
+
+    0 water, 1 fen, 2 cleared, 3 road or gravel, 4 farmland (mapped, then by nearness), 5
+    meadow, 6 pasture, 7 broadleaf, 8 conifer. ``evidence`` has a family for each cell:
+    monument, road, cultivation, settlement. Soil groups: 0 water, 1 peat, 2 fine, 3 clay,
+    4 gravel, 5 till. Each distance is searched only as far as its rule reaches."""
+    p, s = rules, ground
+    reach = {"monument": p["monument_m"], "road": p["road_m"], "cultivation": p["cultivation_m"], "settlement": max(p["farmland_m"], p["pasture_m"])}
+    looked = [(f"d_{k}", evidence.where(F.col("family") == k), m) for k, m in reach.items()] + [("d_fine", ground.where("g = 2"), p["margin_m"])]
+    for name, e, metres in looked:
+        d = raster.nearest_evidence(ground, e.withColumn("v", F.lit(0)), int(metres // res))
+        s = s.join(d.select("grid_id", "r", "c", (F.sqrt("d2") * res).alias(name)), ["grid_id", "r", "c"], "left")
+    near = lambda name, key: F.col(name) <= p[key]
+    g, slope = F.col("g"), F.col("slope")
+    old = F.col("connect") > p["level_m"] + p["fresh_m"] - 0.0005
+    arable = (g == 2) | ((g == 5) & near("d_fine", "margin_m"))
+    cascade = (
+        F.when(g == 0, 0).when((g == 1) | F.col("peat"), 1).when(near("d_monument", "monument_m"), 2).when(near("d_road", "road_m"), 3)
+        .when(near("d_cultivation", "cultivation_m") & (slope <= p["plough_deg"]), 4)
+        .when(arable & old & (slope <= p["plough_deg"]) & near("d_settlement", "farmland_m"), 4)
+        .when(g.isin(2, 3), 5).when(g == 4, 3).when((g == 5) & (slope <= p["wood_deg"]) & near("d_settlement", "pasture_m"), 6).when((g == 5) & (slope <= p["wood_deg"]), 7).otherwise(8)
+    )
+    return s.select("grid_id", "r", "c", cascade.alias("class"))
+
+
+def fixture_ground(spark, sf):
+    """Connect, slope, soil group and peat of the test grids."""
     c = fx.cells(spark, sf)
-    o = c.where("r % 32 = 16 AND c % 32 = 16").selectExpr("grid_id * 4 + (r div 32) * 2 + c div 32 AS obs_id", "grid_id", "r", "c", "z + 1.7D AS eye")
-    return raster.sight_lines(c, o)
+    g = raster.gradient(c, 2.0).select("grid_id", "r", "c", raster.slope_degrees(F.col("d_row"), F.col("d_col")).alias("slope"))
+    return c.join(g, ["grid_id", "r", "c"]).select("grid_id", "r", "c", F.col("z").cast("double").alias("connect"), "slope", F.expr("(z + label) % 9").alias("g"), F.expr("z % 7 = 0").alias("peat"))
 
 
-@query(f"""WITH {GRADIENT}, {fx.EVIDENCE}, s AS (SELECT grid_id, r, c, degrees(atan(sqrt(dr * dr + dc * dc))) AS slope, (z + label) % 9 AS g, z % 7 = 0 AS peat FROM grad),
-  near AS (SELECT x.grid_id, x.r, x.c, min((x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)) FILTER (family = 'monument') AS dm, min((x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)) FILTER (family = 'road') AS dr2,
-    min((x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)) FILTER (family = 'settlement') AS ds FROM cells x JOIN evidence e ON x.grid_id = e.grid_id WHERE (x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c) <= 100 GROUP BY 1, 2, 3)
-  SELECT s.grid_id, s.r, s.c, CASE WHEN g = 0 THEN 0 WHEN g = 1 OR peat THEN 1 WHEN dm <= 1 THEN 2 WHEN dr2 <= 0 THEN 3 WHEN g = 2 AND slope <= 60 AND ds <= 16 THEN 4 WHEN g IN (2, 3) THEN 5 WHEN g = 4 THEN 3 WHEN g = 5 AND slope <= 70 AND ds <= 4 THEN 6 WHEN g = 5 AND slope <= 70 THEN 7 ELSE 8 END AS class
-  FROM s LEFT JOIN near n ON s.grid_id = n.grid_id AND s.r = n.r AND s.c = n.c""")
+@query(f"WITH {LANDCOVER} SELECT * FROM landcover")
 def i12_land_cover(spark, sf):
-    """Rule cascade, first match wins: water, fen, cleared, road, farmland, meadow, gravel, pasture, broadleaf, conifer."""
-    c, e = fx.cells(spark, sf), fx.evidence(spark, sf).withColumn("v", F.lit(1))
-    g = raster.gradient(c, 2.0)
-    s = g.select("grid_id", "r", "c", raster.slope_degrees(F.col("d_row"), F.col("d_col")).alias("slope"), F.expr("(z + label) % 9").alias("g"), F.expr("z % 7 = 0").alias("peat"))
-    for family, name, radius in (("monument", "dm", 1), ("road", "dr2", 1), ("settlement", "ds", 4)):
-        s = s.join(raster.nearest_evidence(c, e.where(F.col("family") == family), radius).select("grid_id", "r", "c", F.col("d2").alias(name)), ["grid_id", "r", "c"], "left")
-    rule = "CASE WHEN g = 0 THEN 0 WHEN g = 1 OR peat THEN 1 WHEN dm <= 1 THEN 2 WHEN dr2 <= 0 THEN 3 WHEN g = 2 AND slope <= 60 AND ds <= 16 THEN 4 WHEN g IN (2, 3) THEN 5 WHEN g = 4 THEN 3 WHEN g = 5 AND slope <= 70 AND ds <= 4 THEN 6 WHEN g = 5 AND slope <= 70 THEN 7 ELSE 8 END"
-    return s.select("grid_id", "r", "c", F.expr(rule).alias("class"))
+    return land_cover(fixture_ground(spark, sf), fx.evidence(spark, sf), 2.0)
 
 
 @query(f"""WITH {fx.CELLS}, l AS (SELECT grid_id, lr, lc, (lr * 32 + lc) AS k FROM (SELECT DISTINCT grid_id FROM cells), range(0, 32) a(lr), range(0, 32) b(lc)),
@@ -231,10 +281,10 @@ def i14_stratified_sampling(spark, sf):
     return p.join(c.where("label % 3 = 0").select("grid_id", "r", "c"), ["grid_id", "r", "c"]).select("grid_id", "lr", "lc", "r", "c")
 
 
-@query(f"WITH {fx.CELLS} SELECT grid_id, r, c, z, count(*) OVER (PARTITION BY grid_id, label ORDER BY z RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS band FROM cells")
+@query(f"WITH {fx.CELLS} SELECT grid_id, r, c, z, count(*) OVER (PARTITION BY grid_id, label ORDER BY z RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS band FROM cells WHERE z IS NOT NULL")
 def w8_band_occupancy(spark, sf):
     w = Window.partitionBy("grid_id", "label").orderBy("z").rangeBetween(0, 2)
-    return fx.cells(spark, sf).select("grid_id", "r", "c", "z", F.count("*").over(w).alias("band"))
+    return fx.cells(spark, sf).where("z IS NOT NULL").select("grid_id", "r", "c", "z", F.count("*").over(w).alias("band"))
 
 
 @query(f"""WITH {fx.CELLS} SELECT grid_id, r, c, round(avg(z) OVER (PARTITION BY grid_id, r ORDER BY c ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth, median(z) OVER (PARTITION BY grid_id, r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS med FROM cells""")
@@ -251,12 +301,12 @@ def w2_circular_average(spark, sf):
     return wrap.withColumn("smooth", F.round(F.avg("z").over(w), 6)).where("c BETWEEN 0 AND 63").select("grid_id", "r", "c", "smooth")
 
 
-@query(f"""WITH {fx.CELLS}, k AS (SELECT *, lag(z) OVER h AS a, lead(z) OVER h AS b FROM cells WINDOW h AS (PARTITION BY grid_id, r ORDER BY c)), p AS (SELECT *, row_number() OVER (PARTITION BY grid_id, r ORDER BY z DESC, c) AS i FROM k)
+@query(f"""WITH {fx.CELLS}, k AS (SELECT *, lag(z) OVER h AS a, lead(z) OVER h AS b FROM cells WINDOW h AS (PARTITION BY grid_id, r ORDER BY c)), p AS (SELECT *, row_number() OVER (PARTITION BY grid_id, r ORDER BY z DESC, c) AS i FROM k WHERE z IS NOT NULL)
   SELECT grid_id, r, c, round(c + coalesce(greatest(-0.5, least(0.5, CASE WHEN a - 2 * z + b < 0 THEN 0.5 * (a - b) / (a - 2 * z + b) ELSE 0 END)), 0), 6) AS peak FROM p WHERE i = 1""")
 def w5_ridge_pick(spark, sf):
     w = Window.partitionBy("grid_id", "r").orderBy("c")
     k = fx.cells(spark, sf).withColumn("a", F.lag("z").over(w)).withColumn("b", F.lead("z").over(w))
-    p = k.groupBy("grid_id", "r").agg(F.max_by(F.struct("c", "z", "a", "b"), F.struct("z", -F.col("c"))).alias("m")).select("grid_id", "r", "m.*")
+    p = k.where("z IS NOT NULL").groupBy("grid_id", "r").agg(F.max_by(F.struct("c", "z", "a", "b"), F.struct("z", -F.col("c"))).alias("m")).select("grid_id", "r", "m.*")
     bend = F.col("a") - 2 * F.col("z") + F.col("b")
     move = F.when(bend < 0, 0.5 * (F.col("a") - F.col("b")) / bend).otherwise(0.0)
     return p.select("grid_id", "r", "c", F.round(F.col("c") + F.coalesce(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), move)), F.lit(0.0)), 6).alias("peak"))

@@ -56,7 +56,7 @@ def s7_collections(spark, sf):
     return e.select("event_id", part(1).alias("lo"), part(2).alias("hi")).where("lo <= 1500 AND hi >= 900")
 
 
-@query(f"WITH {fx.CELLS} SELECT grid_id, r, c, CASE WHEN label % 3 = 0 THEN z + label WHEN label % 3 = 1 THEN z + 5 END AS connect, label % 3 = 2 AS missing FROM cells")
+@query(f"WITH {fx.CELLS} SELECT grid_id, r, c, CASE WHEN label % 3 = 0 THEN z + label WHEN label % 3 = 1 THEN z + 5 END AS connect, coalesce(label % 3 = 2, TRUE) OR z IS NULL AS missing FROM cells")
 def s9_connect_precedence(spark, sf):
     """The delta form before the absolute one; cells with neither are violations."""
     c = fx.cells(spark, sf)

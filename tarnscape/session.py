@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as the cluster sets it.
 
-    Only a session that names none (tests, one machine) gets a temporary one."""
+    A session on one machine (tests, benchmarks) that names none gets a temporary one; on a
+    cluster that is an error, as executors wouldn't see the driver's folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -43,6 +49,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Where the tables are that cut() wrote, in order, and which frame reads which.
+_written: list[str] = []
+_path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
@@ -50,14 +61,31 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._tarn_path = path
+    _written.append(path)
+    _path_of[back] = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete what cut() wrote; for steps that nothing reads any more."""
-    path = getattr(df, "_tarn_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if df is not None and df in _path_of:
+        _delete(df.sparkSession, _path_of.pop(df))
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: DataFrame):
+    """Deletes, at its end, the tables that cut() wrote inside, but for those that ``keep`` was given.
+
+    For a result that is written inside: everything that led to it goes."""
+    before, keep = set(_written), []
+    yield keep.append
+    safe = {_path_of.get(df) for df in [*kept, *keep]}
+    for path in [p for p in _written if p not in before and p not in safe]:
+        _delete(spark, path)

@@ -11,16 +11,17 @@ SIDE = 64
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """(grid_id, r, c, z, label): complete 64 x 64 grids, one embedding a row."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.expr("vec_id div 64").alias("grid_id"))
-    whole = e.groupBy("grid_id").count().where(F.col("count") == SIDE).select("grid_id")
-    x = e.join(whole, "grid_id", "left_semi").select("grid_id", (F.col("vec_id") % 64).cast("int").alias("r"), "label", F.posexplode("embedding").alias("c", "v"))
+    """(grid_id, r, c, z, label): 64 x 64 grids, one embedding a row; rows that the last grid lacks have null heights."""
+    e = table(spark, sf, "embeddings").select(F.expr("vec_id div 64").alias("grid_id"), (F.col("vec_id") % SIDE).cast("int").alias("r"), "label", "embedding")
+    some = e.groupBy("grid_id").agg(F.collect_set("r").alias("have"))  # 64 numbers at most
+    every = F.array_except(F.sequence(F.lit(0), F.lit(SIDE - 1)), "have")
+    lacking = some.select("grid_id", F.explode(every).alias("r"), F.lit(None).cast("int").alias("label"), F.array_repeat(F.lit(None).cast("float"), SIDE).alias("embedding"))
+    x = e.unionByName(lacking).select("grid_id", "r", "label", F.posexplode("embedding").alias("c", "v"))
     return x.select("grid_id", "r", "c", F.floor((F.col("v").cast("double") + 0.6) * 20).cast("int").alias("z"), "label")
 
 
-CELLS = """cells AS (SELECT (vec_id // 64)::BIGINT AS grid_id, (vec_id % 64)::INT AS r, (t.i - 1)::INT AS c,
-  floor((embedding[t.i]::DOUBLE + 0.6) * 20)::INT AS z, label FROM embeddings, range(1, 65) t(i)
-  WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64))"""
+CELLS = """cells AS (SELECT g AS grid_id, k::INT AS r, (t.i - 1)::INT AS c, floor((embedding[t.i]::DOUBLE + 0.6) * 20)::INT AS z, label
+  FROM (SELECT g, k FROM (SELECT DISTINCT (vec_id // 64)::BIGINT AS g FROM embeddings), range(64) q(k)) LEFT JOIN embeddings ON vec_id = g * 64 + k, range(1, 65) t(i))"""
 
 HOLE = "(r * 7 + c * 13 + grid_id) % 11 = 0 OR (r BETWEEN 20 AND 27 AND c BETWEEN 30 AND 45) OR (c < 6 AND r > 40)"
 
@@ -37,7 +38,7 @@ FAMILY = {"purchase": "settlement", "signup": "monument", "click": "cultivation"
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """(grid_id, r, c, family): cells with recorded remains."""
-    n = table(spark, sf, "embeddings").groupBy(F.expr("vec_id div 64").alias("g")).count().where("count = 64").agg(F.count("*").alias("n"))
+    n = table(spark, sf, "embeddings").agg(F.count_distinct(F.expr("vec_id div 64")).alias("n"))
     f = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY.items()) + " END")
     e = table(spark, sf, "events").crossJoin(F.broadcast(n))  # one row
     return e.where("n > 0").select(F.expr("user_id % n").alias("grid_id"), F.expr("int(event_id % 64)").alias("r"), F.expr("int((event_id div 64) % 64)").alias("c"), f.alias("family")).where("family IS NOT NULL").distinct()
@@ -45,7 +46,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 EVIDENCE = """evidence AS (SELECT DISTINCT user_id % n AS grid_id, (event_id % 64)::INT AS r, ((event_id // 64) % 64)::INT AS c,
   CASE event_type WHEN 'purchase' THEN 'settlement' WHEN 'signup' THEN 'monument' WHEN 'click' THEN 'cultivation' WHEN 'view' THEN 'road' END AS family
-  FROM events, (SELECT count(*) AS n FROM (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64)) WHERE n > 0 AND event_type IN ('purchase', 'signup', 'click', 'view'))"""
+  FROM events, (SELECT count(DISTINCT vec_id // 64) AS n FROM embeddings) WHERE n > 0 AND event_type IN ('purchase', 'signup', 'click', 'view'))"""
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,15 +72,15 @@ FEATURES = """features AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment
 
 
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
-    """(feature_id, seq, x, y, closed): outlines of 4 to 8 points; those of even features are closed rings."""
+    """(feature_id, seq, x, y, closed): an outline through all orders of a customer; those of even features are closed rings."""
     o = table(spark, sf, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     v = o.select(F.col("o_custkey").alias("feature_id"), F.row_number().over(w).alias("seq"), F.expr("o_orderkey % 997").alias("x"), F.expr("(o_orderkey * 31) % 991").alias("y"))
-    return v.where("seq <= 4 + feature_id % 5").withColumn("closed", F.col("feature_id") % 2 == 0)
+    return v.withColumn("closed", F.col("feature_id") % 2 == 0)
 
 
-VERTICES = """vertices AS (SELECT *, feature_id % 2 = 0 AS closed FROM (SELECT o_custkey AS feature_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq,
-  o_orderkey % 997 AS x, (o_orderkey * 31) % 991 AS y FROM orders) WHERE seq <= 4 + feature_id % 5)"""
+VERTICES = """vertices AS (SELECT o_custkey AS feature_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq,
+  o_orderkey % 997 AS x, (o_orderkey * 31) % 991 AS y, o_custkey % 2 = 0 AS closed FROM orders)"""
 
 
 def level_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +91,17 @@ def level_samples(spark: SparkSession, sf: str) -> DataFrame:
 LEVELS = "samples AS (SELECT user_id AS slug, (800 + 100 * day(ts))::INT AS bp, value FROM events)"
 
 
+def observers(spark: SparkSession, sf: str) -> DataFrame:
+    """(obs_id, grid_id, row, col, height): an observer for each site, at tenths of a cell."""
+    n = table(spark, sf, "embeddings").agg(F.count_distinct(F.expr("vec_id div 64")).alias("n"))
+    s = table(spark, sf, "supplier").crossJoin(F.broadcast(n)).where("n > 0")  # one row
+    return s.selectExpr("s_suppkey AS obs_id", "s_suppkey % n AS grid_id", "((s_suppkey * 91) % 500) / 10.0D AS row", "((s_suppkey * 37) % 630) / 10.0D AS col", "1.7D AS height")
+
+
+OBSERVERS = """observers AS (SELECT s_suppkey AS obs_id, s_suppkey % n AS grid_id, ((s_suppkey * 91) % 500) / 10.0 AS row, ((s_suppkey * 37) % 630) / 10.0 AS col, 1.7 AS height
+  FROM supplier, (SELECT count(DISTINCT vec_id // 64) AS n FROM embeddings))"""
+
+
 def build_log(spark: SparkSession, sf: str) -> DataFrame:
     """(slug, at, kind, ok, bytes): what happened to each site, in order of at."""
     kind = "CASE o_orderstatus WHEN 'O' THEN 'build' WHEN 'F' THEN 'upload' ELSE 'failure' END"
