@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnscape.llm import decontaminate, langid, line_dedup, minhash, mixing
-from tarnscape.session import cut, table
+from tarnscape.session import cut, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a known language go."""
     return langid.known_language(docs)
 
 
@@ -44,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; each one's tables go when its output is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep(docs)
     return docs
