@@ -77,6 +77,16 @@ def draw(seed: Column, n: Column) -> Column:
     return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
 
 
+def draws(seed: Column, first: Column, count: int) -> Column:
+    """An array of ``count`` draws from the ``first`` on, each step a lambda over the one before, so no expression is written out twice."""
+    step = lambda x, f: F.transform(x, f)
+    a = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: _wrap(seed + (first + k) * F.lit(0x6D2B79F5)))
+    t = step(a, lambda x: _times(x.bitwiseXOR(F.shiftright(x, 15)), x.bitwiseOR(F.lit(1))))
+    u = step(t, lambda x: F.struct(x.alias("t"), _wrap(x + _times(x.bitwiseXOR(F.shiftright(x, 7)), x.bitwiseOR(F.lit(61)))).alias("u")))
+    v = step(u, lambda x: x["t"].bitwiseXOR(x["u"]))
+    return step(v, lambda x: x.bitwiseXOR(F.shiftright(x, 14)) / F.lit(4294967296.0))
+
+
 def stream_seed(seed: Column, stream: Column) -> Column:
     """An own seed for each numbered stream."""
     return _times(_wrap(stream + 1), F.lit(0x9E3779B1).cast("long")).bitwiseXOR(_wrap(seed))

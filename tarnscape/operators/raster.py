@@ -571,9 +571,9 @@ def viewshed(cells: DataFrame, observers: DataFrame, res: float, radius: int, ta
     o = observers.select("obs_id", "grid_id", F.col("row").cast("double"), F.col("col").cast("double"), F.col("height").cast("double"))
     o = o.withColumn("tr", F.floor(F.col("row") / tile).cast("int")).withColumn("tc", F.floor(F.col("col") / tile).cast("int"))
     parts = cut(o.groupBy("grid_id", "tr", "tc").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("parts")), "parts")
-    o = o.join(parts, ["grid_id", "tr", "tc"]).withColumn("part", F.pmod(F.xxhash64("obs_id"), F.col("parts")).cast("int"))
+    o = o.join(parts, ["grid_id", "tr", "tc"]).withColumn("part", F.pmod(F.xxhash64("obs_id"), F.col("parts")).cast("int")).drop("parts")
     c = tiles(cells.where("z IS NOT NULL").select("grid_id", "r", "c", F.col("z").cast("double").alias("z")), tile, radius + 1).join(parts, ["grid_id", "tr", "tc"])
-    c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def look(key, ground: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
         g, tr, tc, _ = key

@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnscape.functions import scalars as fn
 from tarnscape.operators import raster
 from tarnscape.plans.base import query
 from tarnscape.session import cut, table
@@ -120,9 +119,7 @@ def a11_class_shares(spark, sf):
     return every.join(c, ["grid_id", "class"], "left").select("grid_id", "class", n.alias("n"), F.round(n / 4096.0, 6).alias("share"))
 
 
-GRADIENT = fx.CELLS + """, grad AS (SELECT *, CASE WHEN lag(z) OVER v IS NULL THEN (lead(z) OVER v - z) / 2.0 WHEN lead(z) OVER v IS NULL THEN (z - lag(z) OVER v) / 2.0 ELSE (lead(z) OVER v - lag(z) OVER v) / 4.0 END AS dr,
-  CASE WHEN lag(z) OVER h IS NULL THEN (lead(z) OVER h - z) / 2.0 WHEN lead(z) OVER h IS NULL THEN (z - lag(z) OVER h) / 2.0 ELSE (lead(z) OVER h - lag(z) OVER h) / 4.0 END AS dc
-  FROM cells WINDOW v AS (PARTITION BY grid_id, c ORDER BY r), h AS (PARTITION BY grid_id, r ORDER BY c))"""
+GRADIENT = fx.GRADIENT
 
 
 @query(f"WITH {GRADIENT} SELECT grid_id, r, c, round(degrees(atan(sqrt(dr * dr + dc * dc))), 5) AS slope FROM grad")
@@ -131,10 +128,7 @@ def w6_slope(spark, sf):
     return g.select("grid_id", "r", "c", F.round(raster.slope_degrees(F.col("d_row"), F.col("d_col")), 5).alias("slope"))
 
 
-_SHADE = " + ".join(f"{w} * greatest(0.0, least(1.0, (-dc * cos(radians(35)) * sin(radians({a})) + dr * cos(radians(35)) * cos(radians({a})) + sin(radians(35))) / sqrt(dc * dc + dr * dr + 1)))" for a, w in raster.SUNS)
-
-
-@query(f"WITH {GRADIENT} SELECT grid_id, r, c, round({_SHADE}, 5) AS shade FROM grad WHERE dr IS NOT NULL AND dc IS NOT NULL")
+@query(f"WITH {GRADIENT} SELECT grid_id, r, c, round({fx.SHADE}, 5) AS shade FROM grad WHERE dr IS NOT NULL AND dc IS NOT NULL")
 def w7_relief(spark, sf):
     g = raster.gradient(fx.cells(spark, sf), 2.0).where("d_row IS NOT NULL AND d_col IS NOT NULL")
     return g.select("grid_id", "r", "c", F.round(raster.relief(F.col("d_row"), F.col("d_col")), 5).alias("shade"))
@@ -154,21 +148,6 @@ def j12_nearest_fill(spark, sf):
     return raster.nearest_fill(fx.holed(spark, sf))
 
 
-@query(f"""WITH {fx.CELLS}, p AS (SELECT event_id, user_id % (SELECT greatest(1, count(DISTINCT grid_id)) FROM cells) AS grid_id, (event_id % 630) / 10.0 AS fr, (event_id % 611) / 10.0 AS fc FROM events),
-  q AS (SELECT *, least(floor(fr), 62)::INT AS r0, least(floor(fc), 62)::INT AS c0 FROM p)
-  SELECT event_id, round(sum(z * (CASE WHEN c.r = r0 THEN 1 - (fr - r0) ELSE fr - r0 END) * (CASE WHEN c.c = c0 THEN 1 - (fc - c0) ELSE fc - c0 END)), 6) AS h FROM q JOIN cells c ON c.grid_id = q.grid_id AND c.r IN (r0, r0 + 1) AND c.c IN (c0, c0 + 1) GROUP BY 1""")
-def j4_bilinear(spark, sf):
-    """Heights at points between cell centres: four corners with weights, joined by cell."""
-    cells = fx.cells(spark, sf)
-    n = cells.agg(F.greatest(F.lit(1), F.count_distinct("grid_id")).alias("n"))
-    p = table(spark, sf, "events").crossJoin(F.broadcast(n)).select("event_id", F.expr("user_id % n").alias("grid_id"), F.expr("(event_id % 630) / 10.0D").alias("fr"), F.expr("(event_id % 611) / 10.0D").alias("fc"))
-    p = p.withColumn("r0", F.least(F.floor("fr"), F.lit(62)).cast("int")).withColumn("c0", F.least(F.floor("fc"), F.lit(62)).cast("int"))
-    wr, wc = F.col("fr") - F.col("r0"), F.col("fc") - F.col("c0")
-    corner = lambda dr, dc: F.struct((F.col("r0") + dr).alias("r"), (F.col("c0") + dc).alias("c"), ((wr if dr else 1 - wr) * (wc if dc else 1 - wc)).alias("w"))
-    p = p.select("event_id", "grid_id", F.inline(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])))
-    return p.join(cells, ["grid_id", "r", "c"]).groupBy("event_id").agg(F.round(F.sum(F.col("z") * F.col("w")), 6).alias("h"))
-
-
 @query(f"""WITH {fx.CELLS}, p AS (SELECT event_id, user_id % (SELECT greatest(1, count(DISTINCT grid_id)) FROM cells) AS grid_id, least(greatest(floor((event_id % 150 - 10) / 2.0), 0), 63)::INT AS r, least(greatest(floor((event_id % 139 - 5) / 2.0), 0), 63)::INT AS c FROM events)
   SELECT event_id, z, label FROM p JOIN cells USING (grid_id, r, c)""")
 def j3_nearest_cell(spark, sf):
@@ -179,14 +158,6 @@ def j3_nearest_cell(spark, sf):
     return p.join(cells, ["grid_id", "r", "c"]).select("event_id", "z", "label")
 
 
-@query(f"""WITH {fx.HOLED} SELECT r, c, min_by(z, grid_id) AS first_z, max_by(z, grid_id) AS last_z, bool_or(z IS NOT NULL) AS covered FROM (SELECT * FROM holed WHERE z IS NOT NULL OR grid_id = 0) GROUP BY 1, 2""")
-def j5_mosaic(spark, sf):
-    """Tiles laid over each other: the first that covers a cell, and the last."""
-    h = fx.holed(spark, sf).where("z IS NOT NULL OR grid_id = 0")
-    some = F.when(F.col("z").isNotNull(), F.col("grid_id"))
-    return h.groupBy("r", "c").agg(F.min_by("z", some).alias("first_z"), F.max_by("z", some).alias("last_z"), F.bool_or(F.col("z").isNotNull()).alias("covered"))
-
-
 @query(f"""WITH {fx.CELLS}, ring AS (SELECT grid_id, r // 4 AS r, c // 4 AS c, avg(z) AS m FROM cells GROUP BY 1, 2, 3) SELECT x.grid_id, round(median(ring.m - x.z), 6) AS "offset", count(*) AS n FROM ring JOIN cells x ON ring.grid_id = x.grid_id AND x.r = ring.r * 4 + 2 AND x.c = ring.c * 4 + 2 GROUP BY 1""")
 def j6_ring_offset(spark, sf):
     c = fx.cells(spark, sf)
@@ -263,24 +234,6 @@ def i12_land_cover(spark, sf):
     return land_cover(fixture_ground(spark, sf), fx.evidence(spark, sf), 2.0)
 
 
-@query(f"""WITH {fx.CELLS}, l AS (SELECT grid_id, lr, lc, (lr * 32 + lc) AS k FROM (SELECT DISTINCT grid_id FROM cells), range(0, 32) a(lr), range(0, 32) b(lc)),
-  d AS (SELECT *, 2 * k + i AS n, ((grid_id % 4294967296)::HUGEINT + (2 * k + i + 1) * 1831565813::HUGEINT) % 4294967296 AS a FROM l, range(0, 2) t(i)),
-  t1 AS (SELECT *, (xor(a::BIGINT, (a::BIGINT >> 15))::HUGEINT * (a::BIGINT | 1)::HUGEINT) % 4294967296 AS t FROM d),
-  t2 AS (SELECT *, (t + (xor(t::BIGINT, t::BIGINT >> 7)::HUGEINT * (t::BIGINT | 61)::HUGEINT) % 4294967296) % 4294967296 AS u FROM t1),
-  t3 AS (SELECT grid_id, lr, lc, i, xor(xor(t::BIGINT, u::BIGINT), xor(t::BIGINT, u::BIGINT) >> 14) / 4294967296.0::DOUBLE AS w FROM t2),
-  p AS (SELECT grid_id, lr, lc, floor((lc + max(w) FILTER (i = 0)) * 2)::INT AS c, floor((lr + max(w) FILTER (i = 1)) * 2)::INT AS r FROM t3 GROUP BY 1, 2, 3)
-  SELECT p.grid_id, lr::INT AS lr, lc::INT AS lc, p.r, p.c FROM p JOIN cells x ON x.grid_id = p.grid_id AND x.r = p.r AND x.c = p.c WHERE label % 3 = 0""")
-def i14_stratified_sampling(spark, sf):
-    """One jittered point in each lattice cell, kept if its raster class is vegetated."""
-    c = fx.cells(spark, sf)
-    s = lambda: F.explode(F.sequence(F.lit(0), F.lit(31)))
-    lat = c.select("grid_id").distinct().select("grid_id", s().alias("lr")).select("grid_id", "lr", s().alias("lc"))
-    k = (F.col("lr") * 32 + F.col("lc")).cast("long")
-    x, y = fn.draw(F.col("grid_id"), 2 * k), fn.draw(F.col("grid_id"), 2 * k + 1)
-    p = lat.select("grid_id", "lr", "lc", F.floor((F.col("lr") + y) * 2).cast("int").alias("r"), F.floor((F.col("lc") + x) * 2).cast("int").alias("c"))
-    return p.join(c.where("label % 3 = 0").select("grid_id", "r", "c"), ["grid_id", "r", "c"]).select("grid_id", "lr", "lc", "r", "c")
-
-
 @query(f"WITH {fx.CELLS} SELECT grid_id, r, c, z, count(*) OVER (PARTITION BY grid_id, label ORDER BY z RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS band FROM cells WHERE z IS NOT NULL")
 def w8_band_occupancy(spark, sf):
     w = Window.partitionBy("grid_id", "label").orderBy("z").rangeBetween(0, 2)
@@ -301,12 +254,3 @@ def w2_circular_average(spark, sf):
     return wrap.withColumn("smooth", F.round(F.avg("z").over(w), 6)).where("c BETWEEN 0 AND 63").select("grid_id", "r", "c", "smooth")
 
 
-@query(f"""WITH {fx.CELLS}, k AS (SELECT *, lag(z) OVER h AS a, lead(z) OVER h AS b FROM cells WINDOW h AS (PARTITION BY grid_id, r ORDER BY c)), p AS (SELECT *, row_number() OVER (PARTITION BY grid_id, r ORDER BY z DESC, c) AS i FROM k WHERE z IS NOT NULL)
-  SELECT grid_id, r, c, round(c + coalesce(greatest(-0.5, least(0.5, CASE WHEN a - 2 * z + b < 0 THEN 0.5 * (a - b) / (a - 2 * z + b) ELSE 0 END)), 0), 6) AS peak FROM p WHERE i = 1""")
-def w5_ridge_pick(spark, sf):
-    w = Window.partitionBy("grid_id", "r").orderBy("c")
-    k = fx.cells(spark, sf).withColumn("a", F.lag("z").over(w)).withColumn("b", F.lead("z").over(w))
-    p = k.where("z IS NOT NULL").groupBy("grid_id", "r").agg(F.max_by(F.struct("c", "z", "a", "b"), F.struct("z", -F.col("c"))).alias("m")).select("grid_id", "r", "m.*")
-    bend = F.col("a") - 2 * F.col("z") + F.col("b")
-    move = F.when(bend < 0, 0.5 * (F.col("a") - F.col("b")) / bend).otherwise(0.0)
-    return p.select("grid_id", "r", "c", F.round(F.col("c") + F.coalesce(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), move)), F.lit(0.0)), 6).alias("peak"))

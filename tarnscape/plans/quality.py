@@ -74,12 +74,6 @@ def q10_level_rules(spark, sf):
     return y.groupBy("slug").agg(F.count("*").alias("steps"), ((F.count("*") < 2) | wrong).alias("broken"))
 
 
-@query(f"WITH {fx.LEVELS}, m AS (SELECT slug, bp, median(value) AS v FROM samples GROUP BY 1, 2) SELECT slug, bp, round(v, 6) AS v FROM m WHERE v < -10 OR v > 45")
-def q11_level_plausible(spark, sf):
-    m = fx.level_samples(spark, sf).groupBy("slug", "bp").agg(F.median("value").alias("v"))
-    return m.where("v < -10 OR v > 45").select("slug", "bp", F.round("v", 6).alias("v"))
-
-
 @query("SELECT user_id, count(*) AS n, bool_or(event_type IS NULL OR value IS NULL) AS incomplete, count(*) > count(DISTINCT event_type) AS repeated FROM events GROUP BY 1")
 def q12_sites_document(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.bool_or(F.col("event_type").isNull() | F.col("value").isNull()).alias("incomplete"), (F.count("*") > F.count_distinct("event_type")).alias("repeated"))

@@ -193,11 +193,6 @@ def a17_coverage(spark, sf):
     return fx.holed(spark, sf).groupBy("grid_id").agg(F.round(F.avg(F.col("z").isNotNull().cast("int")), 6).alias("covered"), F.count_if(F.col("z").isNull()).alias("missing"))
 
 
-@query("SELECT l_orderkey, median(l_quantity) AS mid, min(l_quantity) AS low, max(l_quantity) AS high, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY 1")
-def a18_crest_statistics(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.median("l_quantity").alias("mid"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), (F.max("l_quantity") - F.min("l_quantity")).alias("spread"))
-
-
 @query("SELECT o_custkey AS slug, round(sum(o_totalprice), 2) AS bytes, count(*) AS files FROM orders GROUP BY 1")
 def a19_bundle_bytes(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("slug")).agg(F.round(F.sum("o_totalprice"), 2).alias("bytes"), F.count("*").alias("files"))
@@ -229,12 +224,6 @@ def w10_search_ranking(spark, sf):
     return s.orderBy("score", F.expr("county COLLATE sv"), F.expr("name COLLATE sv"), "s_suppkey").limit(200).select("s_suppkey", "score")
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS i FROM events) WHERE i <= 20")
-def w11_budget_trim(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_type", "event_id")
-    return table(spark, sf, "events").withColumn("i", F.row_number().over(w)).where("i <= 20").select("user_id", "event_id")
-
-
 @query(f"""WITH {fx.SITES}, ring(k, half_m) AS (VALUES (3, 4000), (4, 8000), (5, 16000), (6, 32000), (7, 64000)), x AS (SELECT s_suppkey, k, half_m, 3830.0 * sqrt(half) AS d, row_number() OVER (PARTITION BY s_suppkey ORDER BY half_m) AS i, lag(half_m) OVER (PARTITION BY s_suppkey ORDER BY half_m) AS p FROM sites, ring WHERE half_m > 2000)
   SELECT s_suppkey, k FROM x WHERE i <= 2 OR p < d""")
 def w12_ring_ladder(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnscape.operators.raster import SUNS
 from tarnscape.session import table
 
 SIDE = 64
@@ -33,6 +34,25 @@ def holed(spark: SparkSession, sf: str) -> DataFrame:
 
 HOLED = CELLS + f", holed AS (SELECT grid_id, r, c, CASE WHEN {HOLE} THEN NULL ELSE z END AS z FROM cells)"
 
+BLOCKS = "(r BETWEEN 20 AND 27 AND c BETWEEN 30 AND 45) OR (c < 6 AND r > 40)"
+
+
+def masked(spark: SparkSession, sf: str) -> DataFrame:
+    """(grid_id, r, c, z, covered): two blocks and missing rows aren't covered; other holes are covered, without a height."""
+    c = cells(spark, sf)
+    return c.select("grid_id", "r", "c", F.expr(f"CASE WHEN {HOLE} THEN NULL ELSE z END").alias("z"), F.expr(f"z IS NOT NULL AND NOT ({BLOCKS})").alias("covered"))
+
+
+MASKED = CELLS + f", masked AS (SELECT grid_id, r, c, CASE WHEN {HOLE} THEN NULL ELSE z END AS z, z IS NOT NULL AND NOT ({BLOCKS}) AS covered FROM cells)"
+
+GRADIENT = CELLS + """, grad AS (SELECT *, CASE WHEN lag(z) OVER v IS NULL THEN (lead(z) OVER v - z) / 2.0 WHEN lead(z) OVER v IS NULL THEN (z - lag(z) OVER v) / 2.0 ELSE (lead(z) OVER v - lag(z) OVER v) / 4.0 END AS dr,
+  CASE WHEN lag(z) OVER h IS NULL THEN (lead(z) OVER h - z) / 2.0 WHEN lead(z) OVER h IS NULL THEN (z - lag(z) OVER h) / 2.0 ELSE (lead(z) OVER h - lag(z) OVER h) / 4.0 END AS dc
+  FROM cells WINDOW v AS (PARTITION BY grid_id, c ORDER BY r), h AS (PARTITION BY grid_id, r ORDER BY c))"""
+
+SHADE = " + ".join(
+    f"{w} * greatest(0.0, least(1.0, (-dc * cos(radians(35)) * sin(radians({a})) + dr * cos(radians(35)) * cos(radians({a})) + sin(radians(35))) / sqrt(dc * dc + dr * dr + 1)))" for a, w in SUNS
+)
+
 FAMILY = {"purchase": "settlement", "signup": "monument", "click": "cultivation", "view": "road"}
 
 
@@ -83,6 +103,15 @@ VERTICES = """vertices AS (SELECT o_custkey AS feature_id, row_number() OVER (PA
   o_orderkey % 997 AS x, (o_orderkey * 31) % 991 AS y, o_custkey % 2 = 0 AS closed FROM orders)"""
 
 
+def rings(spark: SparkSession, sf: str) -> DataFrame:
+    """(feature_id, ring, seq, x, y, closed, hole): the first five points of an outline, and the rest as a second ring (a hole) or a second line."""
+    v = vertices(spark, sf).withColumn("ring", (F.col("seq") > 5).cast("int"))
+    return v.select("feature_id", "ring", F.when(F.col("seq") > 5, F.col("seq") - 5).otherwise(F.col("seq")).alias("seq"), "x", "y", "closed", (F.col("closed") & (F.col("seq") > 5)).alias("hole"))
+
+
+RINGS = VERTICES + """, rings AS (SELECT feature_id, (seq > 5)::INT AS ring, CASE WHEN seq > 5 THEN seq - 5 ELSE seq END AS seq, x, y, closed, closed AND seq > 5 AS hole FROM vertices)"""
+
+
 def level_samples(spark: SparkSession, sf: str) -> DataFrame:
     """(slug, bp, value): boundary heights by site and century."""
     return table(spark, sf, "events").select(F.col("user_id").alias("slug"), (800 + 100 * F.dayofmonth("ts")).alias("bp"), "value")
@@ -102,6 +131,13 @@ OBSERVERS = """observers AS (SELECT s_suppkey AS obs_id, s_suppkey % n AS grid_i
   FROM supplier, (SELECT count(DISTINCT vec_id // 64) AS n FROM embeddings))"""
 
 
+def rays(spark: SparkSession, sf: str) -> DataFrame:
+    """(ray_id, grid_id, r, c, h, dr, dc, dh): a ray for each site, downwards from above a grid."""
+    n = table(spark, sf, "embeddings").agg(F.count_distinct(F.expr("vec_id div 64")).alias("n"))
+    s = table(spark, sf, "supplier").crossJoin(F.broadcast(n))  # one row
+    return s.selectExpr("s_suppkey AS ray_id", "s_suppkey % n AS grid_id", "CAST(s_suppkey * 7 % 50 AS DOUBLE) AS r", "CAST(s_suppkey * 11 % 50 AS DOUBLE) AS c", "24.0D AS h", "(s_suppkey % 7) / 10.0D AS dr", "(s_suppkey % 5) / 10.0D AS dc", "-0.3D AS dh")
+
+
 def build_log(spark: SparkSession, sf: str) -> DataFrame:
     """(slug, at, kind, ok, bytes): what happened to each site, in order of at."""
     kind = "CASE o_orderstatus WHEN 'O' THEN 'build' WHEN 'F' THEN 'upload' ELSE 'failure' END"
