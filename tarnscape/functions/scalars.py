@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLUG = r"^[a-z0-9][a-z0-9._-]*$"
@@ -114,3 +114,52 @@ def sweref_expressions(lon: str, lat: str) -> tuple[str, str]:
         north += f" + {_double(b)} * sin({2 * i} * {xi}) * cosh({2 * i} * {eta})"
         east += f" + {_double(b)} * cos({2 * i} * {xi}) * sinh({2 * i} * {eta})"
     return f"500000e0 + 0.9996e0 * {_double(big)} * ({east})", f"0.9996e0 * {_double(big)} * ({north})"
+
+
+def sweref_inverse(east: str, north: str) -> tuple[str, str]:
+    """SQL for longitude and latitude in degrees of a place in SWEREF 99 TM, by the same series the other way."""
+    a, f = 6378137.0, 1 / 298.257222101
+    n = f / (2 - f)
+    e2 = f * (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    delta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    star = [e2 + e2**2 + e2**3 + e2**4, -(7 * e2**2 + 17 * e2**3 + 30 * e2**4) / 6, (224 * e2**3 + 889 * e2**4) / 120, -(4279 * e2**4) / 1260]
+    xi, eta = f"({north} / (0.9996e0 * {_double(big)}))", f"(({east} - 500000e0) / (0.9996e0 * {_double(big)}))"
+    x, y = xi, eta
+    for i, d in enumerate(delta, 1):
+        x += f" - {_double(d)} * sin({2 * i} * {xi}) * cosh({2 * i} * {eta})"
+        y += f" - {_double(d)} * cos({2 * i} * {xi}) * sinh({2 * i} * {eta})"
+    p = f"asin(sin({x}) / cosh({y}))"
+    s = f"sin({p})"
+    series = " + ".join(f"({_double(c)}) * power({s}, {2 * i})" for i, c in enumerate(star))
+    return f"15e0 + degrees(atan(sinh({y}) / cos({x})))", f"degrees({p} + {s} * cos({p}) * ({series}))"
+
+
+def geographic_envelope(boxes: DataFrame, key: str, points: int = 101) -> DataFrame:
+    """(key, west, south, east, north): longitudes and latitudes that boxes (min_e, min_n, max_e, max_n) cover, by ``points`` along each edge, as edges are curved."""
+    k = F.expr(f"explode(sequence(0, {points - 1}))")
+    b = boxes.select("*", k.alias("__k"))
+    t = F.col("__k") / (points - 1)
+    e, n = F.col("min_e") + (F.col("max_e") - F.col("min_e")) * t, F.col("min_n") + (F.col("max_n") - F.col("min_n")) * t
+    at = lambda x, y: F.struct(x.alias("pe"), y.alias("pn"))
+    p = b.select(key, F.inline(F.array(at(e, F.col("min_n")), at(e, F.col("max_n")), at(F.col("min_e"), n), at(F.col("max_e"), n))))
+    lon, lat = sweref_inverse("pe", "pn")
+    p = p.select(key, F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
+    return p.groupBy(key).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+
+
+def delta_of(ground: Column, connect: Column) -> Column:
+    """Steps of connect above the ground; null, a violation, where they are below 0 or don't fit 15 bits."""
+    d = connect - ground
+    return F.when(d.between(0, 32767), d)
+
+
+def undelta(ground: Column, delta: Column) -> Column:
+    """Connect again from the ground and its delta; null where the sum doesn't fit 16 bits."""
+    s = ground + delta
+    return F.when(s.between(-32768, 32767), s)
+
+
+def to_local(east: Column, north: Column, origin_e: Column, origin_n: Column) -> tuple[Column, Column]:
+    """x and z in a site's frame, to a tenth of a metre; z points south."""
+    return F.bround(east - origin_e, 1), F.bround(-(north - origin_n), 1)

@@ -8,10 +8,7 @@ from tarnscape.plans.base import query
 from tarnscape.session import cut, table
 from tarnscape.sources import fixtures as fx
 
-FLOOD = fx.CELLS + """, reach(grid_id, r, c, l) AS (
-  SELECT grid_id, r, c, l FROM cells, (SELECT DISTINCT z AS l FROM cells) WHERE z <= l AND (r = 0 OR r = 63 OR c = 0 OR c = 63)
-  UNION SELECT n.grid_id, n.r, n.c, x.l FROM reach x, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc), cells n WHERE n.grid_id = x.grid_id AND n.r = x.r + d.dr AND n.c = x.c + d.dc AND n.z <= x.l),
-  flood AS (SELECT grid_id, r, c, min(l)::DOUBLE AS connect FROM reach GROUP BY 1, 2, 3)"""
+FLOOD = fx.FLOOD
 
 
 def basin_stats(flood, levels):

@@ -74,38 +74,6 @@ def q10_level_rules(spark, sf):
     return y.groupBy("slug").agg(F.count("*").alias("steps"), ((F.count("*") < 2) | wrong).alias("broken"))
 
 
-@query("SELECT user_id, count(*) AS n, bool_or(event_type IS NULL OR value IS NULL) AS incomplete, count(*) > count(DISTINCT event_type) AS repeated FROM events GROUP BY 1")
-def q12_sites_document(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.bool_or(F.col("event_type").isNull() | F.col("value").isNull()).alias("incomplete"), (F.count("*") > F.count_distinct("event_type")).alias("repeated"))
-
-
-@query(f"""WITH {fx.VERTICES}, s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM vertices WINDOW w AS (PARTITION BY feature_id ORDER BY seq))
-  SELECT feature_id, count(*) < 3 OR coalesce(max((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) > 810000, FALSE) OR bool_or(x < 5 OR y < 5) AS broken FROM s GROUP BY 1""")
-def q13_polyline_rules(spark, sf):
-    w = Window.partitionBy("feature_id").orderBy("seq")
-    s = fx.vertices(spark, sf).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w))
-    gap = (F.col("x2") - F.col("x")) * (F.col("x2") - F.col("x")) + (F.col("y2") - F.col("y")) * (F.col("y2") - F.col("y"))
-    return s.groupBy("feature_id").agg(((F.count("*") < 3) | F.coalesce(F.max(gap) > 810000, F.lit(False)) | F.bool_or((F.col("x") < 5) | (F.col("y") < 5))).alias("broken"))
-
-
-@query(f"WITH {fx.CELLS}, h AS (SELECT grid_id, label, count(*) / 4096.0 AS share FROM cells GROUP BY 1, 2) SELECT grid_id, abs(sum(share) - 1) <= 0.001 AS sums_to_one, max(label) - min(label) + 1 = count(*) AS contiguous FROM h GROUP BY 1")
-def q14_legend_rules(spark, sf):
-    h = fx.cells(spark, sf).groupBy("grid_id", "label").agg((F.count("*") / 4096.0).alias("share"))
-    return h.groupBy("grid_id").agg((F.abs(F.sum("share") - 1) <= 0.001).alias("sums_to_one"), (F.max("label") - F.min("label") + 1 == F.count("*")).alias("contiguous"))
-
-
-@query(f"WITH {fx.SITES} SELECT s_suppkey, half * 2 % 4 <> 0 AS bad_size, e - half < 0 OR n - half < 0 AS outside, half > 95 AS too_wide FROM sites WHERE half * 2 % 4 <> 0 OR e - half < 0 OR n - half < 0 OR half > 95")
-def q15_manifest_rules(spark, sf):
-    return fx.sites(spark, sf).selectExpr("s_suppkey", "half * 2 % 4 <> 0 AS bad_size", "e - half < 0 OR n - half < 0 AS outside", "half > 95 AS too_wide").where("bad_size OR outside OR too_wide")
-
-
-@query("SELECT a.p_partkey, a.p_size <> b.p_size AS size_differs, a.p_brand <> b.p_brand AS brand_differs FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
-def q16_pair_geometry(spark, sf):
-    p = table(spark, sf, "part")
-    b = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_size").alias("size_b"), F.col("p_brand").alias("brand_b"))
-    return p.join(b, "p_partkey").select("p_partkey", (F.col("p_size") != F.col("size_b")).alias("size_differs"), (F.col("p_brand") != F.col("brand_b")).alias("brand_differs"))
-
-
 @query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'standard') AS preset, c_acctbal FROM customer WHERE c_acctbal IS NOT NULL AND c_acctbal >= 0")
 def q17_index_defaults(spark, sf):
     return table(spark, sf, "customer").where("c_acctbal IS NOT NULL AND c_acctbal >= 0").select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("MACHINERY")), F.lit("standard")).alias("preset"), "c_acctbal")
@@ -121,31 +89,3 @@ def q18_reference_band(spark, sf):
 def q19_vertical_shift(spark, sf):
     centre = F.max(F.when((F.col("r") == 32) & (F.col("c") == 32), F.col("z")))
     return fx.cells(spark, sf).groupBy("grid_id").agg(((F.min("z") < 0) | (F.max("z") > 25)).alias("out_of_band"), F.coalesce(~centre.between(4, 18), F.lit(False)).alias("centre_shifted"))
-
-
-@query(f"""WITH {fx.SITES} SELECT s_suppkey, 'site-' || s_suppkey AS slug, (e - half) || ',' || (n - half) || ',' || (e + half) || ',' || (n + half) AS bounds, CASE WHEN half >= 75 THEN 'dem,connect,landcover' ELSE 'dem,connect' END AS layers FROM sites""")
-def m1_manifest(spark, sf):
-    """Manifest documents: bounds and layers in contract order, read back from their JSON."""
-    s = fx.sites(spark, sf)
-    b = F.array(F.col("e") - F.col("half"), F.col("n") - F.col("half"), F.col("e") + F.col("half"), F.col("n") + F.col("half"))
-    layers = F.array_compact(F.array(F.lit("dem"), F.lit("connect"), F.when(F.col("half") >= 75, "landcover")))
-    doc = F.to_json(F.struct(F.concat(F.lit("site-"), F.col("s_suppkey").cast("string")).alias("slug"), b.alias("bounds"), layers.alias("layers")))
-    back = F.from_json(doc, "slug string, bounds array<long>, layers array<string>")
-    return s.select("s_suppkey", back.alias("d")).select("s_suppkey", "d.slug", F.array_join("d.bounds", ",").alias("bounds"), F.array_join("d.layers", ",").alias("layers"))
-
-
-@query(f"""WITH {fx.SITES} SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'dem,connect,landcover,rampart' WHEN s_suppkey % 3 = 1 THEN 'dem,connect,rampart' ELSE 'dem,rampart' END AS layers FROM sites""")
-def m2_idempotent_patch(spark, sf):
-    """Layers added twice end once, in contract order; layers of failed steps go."""
-    order = F.array(*[F.lit(x) for x in ("dem", "connect", "landcover", "rampart")])
-    k = F.col("s_suppkey") % 3
-    have = F.array_compact(F.array(F.lit("rampart"), F.lit("dem"), F.when(k != 2, "connect"), F.lit("rampart"), F.when(k == 0, "landcover"), F.when(k == 0, "landcover")))
-    s = fx.sites(spark, sf).select("s_suppkey", have.alias("have"))
-    return s.select("s_suppkey", F.array_join(F.filter(order, lambda x: F.array_contains("have", x)), ",").alias("layers"))
-
-
-@query(f"""WITH {fx.SITES} SELECT region, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM sites GROUP BY 1""")
-def m5_register_document(spark, sf):
-    """One document per region: its sites in order."""
-    g = fx.sites(spark, sf).groupBy("region").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    return g.select("region", F.size("names").cast("long").alias("n"), F.array_join("names", ",").alias("names"))

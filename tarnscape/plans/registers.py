@@ -24,14 +24,6 @@ def s2_envelope_scan(spark, sf):
     return f.where((F.col("max_e") >= e0) & (F.col("min_e") <= e1) & (F.col("max_n") >= n0) & (F.col("min_n") <= n1)).select("id", "type")
 
 
-@query("""SELECT 'polygon' AS layer, 1 AS layer_rank, c_custkey AS id, c_mktsegment AS type FROM customer UNION ALL SELECT 'point', 3, s_suppkey, NULL FROM supplier""")
-def s3_layer_union(spark, sf):
-    """Layers in order of rank; what a layer lacks is null."""
-    a = table(spark, sf, "customer").select(F.lit("polygon").alias("layer"), F.lit(1).alias("layer_rank"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"))
-    b = table(spark, sf, "supplier").select(F.lit("point").alias("layer"), F.lit(3).alias("layer_rank"), F.col("s_suppkey").alias("id"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 @query("SELECT c_custkey AS id, coalesce(c_name, '?') AS name FROM customer")
 def s4_column_variants(spark, sf):
     """Canonical columns from whichever spelling exists, whatever its case."""
@@ -67,24 +59,6 @@ def s9_connect_precedence(spark, sf):
     return j.select(*key, v.alias("connect"), v.isNull().alias("missing"))
 
 
-@query(f"WITH {fx.SITES} SELECT s_suppkey, 'site-' || s_suppkey AS slug, name, e AS center_e, county FROM sites")
-def s10_json_round_trip(spark, sf):
-    """Site documents written as JSON text and read with a schema that tolerates unknown keys."""
-    s = fx.sites(spark, sf)
-    doc = F.to_json(F.struct(F.concat(F.lit("site-"), F.col("s_suppkey").cast("string")).alias("slug"), "name", F.col("e").alias("center_e"), "county", F.lit("x").alias("unknown")))
-    d = F.from_json(doc, "slug string, name string, center_e long, county string")
-    return s.select("s_suppkey", d.alias("d")).select("s_suppkey", "d.*")
-
-
-@query(f"WITH {fx.SITES} SELECT s_suppkey, g AS grid FROM sites, (VALUES ('core'), ('context')) t(g) WHERE NOT (g = 'core' AND s_suppkey % 4 = 0) AND NOT (g = 'context' AND s_suppkey % 6 = 1 AND half > 60)")
-def s11_work_list(spark, sf):
-    """Wanted grids without a valid asset in the catalogue."""
-    s = fx.sites(spark, sf)
-    want = s.select("s_suppkey", F.explode(F.array(F.lit("core"), F.lit("context"))).alias("grid"))
-    have = s.where("s_suppkey % 4 = 0").select("s_suppkey", F.lit("core").alias("grid")).union(s.where("s_suppkey % 6 = 1 AND half > 60").select("s_suppkey", F.lit("context").alias("grid")))
-    return want.join(have, ["s_suppkey", "grid"], "left_anti")
-
-
 @query(f"WITH {fx.SITES}, {fx.FEATURES} SELECT s_suppkey, id, type FROM sites JOIN features ON max_e >= e - half AND min_e <= e + half AND max_n >= n - half AND min_n <= n + half")
 def j1_range_join(spark, sf):
     s = fx.sites(spark, sf).selectExpr("s_suppkey", "e - half AS min_e", "e + half AS max_e", "n - half AS min_n", "n + half AS max_n")
@@ -193,11 +167,6 @@ def a17_coverage(spark, sf):
     return fx.holed(spark, sf).groupBy("grid_id").agg(F.round(F.avg(F.col("z").isNotNull().cast("int")), 6).alias("covered"), F.count_if(F.col("z").isNull()).alias("missing"))
 
 
-@query("SELECT o_custkey AS slug, round(sum(o_totalprice), 2) AS bytes, count(*) AS files FROM orders GROUP BY 1")
-def a19_bundle_bytes(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("slug")).agg(F.round(F.sum("o_totalprice"), 2).alias("bytes"), F.count("*").alias("files"))
-
-
 CLAMP = fx.LEVELS + """, lv AS (SELECT slug, bp, median(value) AS v FROM samples GROUP BY 1, 2), cl AS (SELECT slug, bp, v, min(v) OVER (PARTITION BY slug ORDER BY bp DESC ROWS UNBOUNDED PRECEDING) AS level FROM lv)"""
 
 

@@ -38,14 +38,6 @@ def f5_fold_search(spark, sf):
     return c.where(hit("text") | hit("role")).select("conv_id", "turn")
 
 
-@query(f"WITH {fx.SITES}, {fx.FEATURES} SELECT s_suppkey, id, min_e - e AS x, -(min_n - n) AS z, (min_e - e) + e AS e_back FROM sites JOIN features ON id % 1000 = s_suppkey % 1000")
-def f6_local_frame(spark, sf):
-    s, f = fx.sites(spark, sf), fx.features(spark, sf)
-    j = s.join(f, F.expr("id % 1000 = s_suppkey % 1000"))
-    x = F.col("min_e") - F.col("e")
-    return j.select("s_suppkey", "id", x.alias("x"), (-(F.col("min_n") - F.col("n"))).alias("z"), (x + F.col("e")).alias("e_back"))
-
-
 @query(f"""WITH {fx.SITES}, spec(grid, half_m, res) AS (VALUES ('core', 100, 1), ('context', 2000, 2), ('ring3', 4000, 4)) SELECT s_suppkey, grid, e - half_m AS min_e, e + half_m AS max_e, n - half_m AS min_n,
   n + half_m AS max_n, (2 * half_m) // res AS size, (2 * half_m) % res = 0 AS integral FROM sites, spec""")
 def f7_grid_bounds(spark, sf):

@@ -24,6 +24,11 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 CELLS = """cells AS (SELECT g AS grid_id, k::INT AS r, (t.i - 1)::INT AS c, floor((embedding[t.i]::DOUBLE + 0.6) * 20)::INT AS z, label
   FROM (SELECT g, k FROM (SELECT DISTINCT (vec_id // 64)::BIGINT AS g FROM embeddings), range(64) q(k)) LEFT JOIN embeddings ON vec_id = g * 64 + k, range(1, 65) t(i))"""
 
+FLOOD = CELLS + """, reach(grid_id, r, c, l) AS (
+  SELECT grid_id, r, c, l FROM cells, (SELECT DISTINCT z AS l FROM cells) WHERE z <= l AND (r = 0 OR r = 63 OR c = 0 OR c = 63)
+  UNION SELECT n.grid_id, n.r, n.c, x.l FROM reach x, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc), cells n WHERE n.grid_id = x.grid_id AND n.r = x.r + d.dr AND n.c = x.c + d.dc AND n.z <= x.l),
+  flood AS (SELECT grid_id, r, c, min(l)::DOUBLE AS connect FROM reach GROUP BY 1, 2, 3)"""
+
 HOLE = "(r * 7 + c * 13 + grid_id) % 11 = 0 OR (r BETWEEN 20 AND 27 AND c BETWEEN 30 AND 45) OR (c < 6 AND r > 40)"
 
 
