@@ -117,4 +117,15 @@ ORACLE = {
         SELECT q.doc_id, q.size, goal.source_size, goal.target, (coalesce(words, 0) // copies + CASE WHEN k < coalesce(words, 0) % copies THEN 1 ELSE 0 END)::BIGINT AS taken
         FROM (SELECT *, unnest(range(copies)) AS k FROM q) AS q JOIN goal ON q.source IS NOT DISTINCT FROM goal.source
           LEFT JOIN g ON q.doc_id IS NOT DISTINCT FROM g.doc_id AND q.source IS NOT DISTINCT FROM g.source AND q.size = g.size AND q.t = g.t""",
+    # links between exact copies are cut to those with the first copy; a set is known by its sorted shingles
+    "op9_near_duplicates": """
+        WITH RECURSIVE w AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') END AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i : i + 4], ' ')))) END AS s FROM w),
+        c AS (SELECT s, min(doc_id) AS rep, len(s)::BIGINT AS n FROM s GROUP BY s),
+        e AS (SELECT rep, n, md5(unnest(s)) AS k FROM c WHERE n > 0),
+        p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.k = b.k AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        l AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+        r(d, root) AS (SELECT rep, rep FROM c UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.d WHERE r.root < l.v),
+        m AS (SELECT d, min(root) AS component_id FROM r GROUP BY d)
+        SELECT s.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN s.doc_id ELSE m.component_id END AS component_id, c.n = 0 OR m.component_id = s.doc_id AS kept FROM s JOIN c USING (s) JOIN m ON m.d = c.rep""",
 }
