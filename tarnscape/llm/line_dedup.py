@@ -10,8 +10,8 @@ from tarnscape.session import cut
 NO_ID = -(2**63)
 #: Characters of a line's segment. Shorter ones give fewer variants and more keys.
 SEGMENT = 256
-#: Bits of the filter that keeps lines out of a shuffle: 262,144 rows of 64 bits at most.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that keeps lines out of a shuffle: for each place, and at least and at most (2 million rows of 64 bits).
+FILTER_BITS = (8, 1 << 16, 1 << 27)
 
 
 #: Cut off at both ends of a line before it is compared.
@@ -42,12 +42,14 @@ def _segments(segment: int, min_chars: int, made: str) -> Column:
     return F.expr(f"flatten(transform(filter(array(n, n - 1), m -> m >= {min_chars}), m -> {each}))")
 
 
-def _only(lines: DataFrame, places: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``lines`` whose ``at`` is in ``places``.
+def _only(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose ``at`` is in ``places``, a written table.
 
-    A bit set of hashed places, of a fixed size, goes to all tasks and drops most other lines
-    before the shuffle of the exact join. Where places outnumber its bits it lets more lines
-    through, which costs shuffle and changes no result."""
+    A bit set of hashed places, sized by their count, goes to all tasks and drops most other
+    lines before the shuffle of the exact join. Where places outnumber the largest set it
+    lets more lines through, which costs shuffle and changes no result."""
+    each, least, most = FILTER_BITS
+    bits = min(most, max(least, 1 << (each * places.count()).bit_length()))
     place = F.pmod(F.xxhash64("at"), F.lit(bits))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
@@ -59,6 +61,9 @@ def _only(lines: DataFrame, places: DataFrame, bits: int = FILTER_BITS) -> DataF
 def duplicate_lines(docs: DataFrame, min_chars: int = 20, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, line_no, of_doc_id, of_line_no, edits): every line that repeats an earlier one.
 
+    The edit bound is one character: a limit of this operator, as larger bounds would need
+    more segments and variants of several deletions.
+
     Lines come in the order (doc_id, line_no). In normal form, a line repeats an earlier line
     if both are equal, or if both have at least ``min_chars`` characters and one insertion,
     deletion or substitution of a character turns one into the other. ``of_*`` names the
