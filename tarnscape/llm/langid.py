@@ -176,8 +176,8 @@ def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 4_000) -> Model
 
     Learns from text and non-null lang of documents whose crc32(doc_id) mod 3 isn't 1. The
     sample is the first of each language by a hash of doc_id, so reruns agree: rows are
-    counted by language, hashes above the share that gives twice the sample are left out,
-    and only the rest is ranked, so no task gets all rows of a language. Rows that share
+    counted by language, hashes above the share that gives about twice the sample are left
+    out, and only the rest is ranked, so no task gets all rows of a language. Rows that share
     doc_id and lang count once."""
     learn = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
@@ -185,7 +185,8 @@ def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 4_000) -> Model
         return None
     per_lang = max(1, min(per_lang, max_rows // len(counts)))
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(v, 2.0 * per_lang / n if n > 8 * per_lang + 64 else 1.1) for v, n in counts.items()], "lang string, share double")
+    want = 2 * per_lang + 30  # so many that fewer than per_lang practically never come
+    shares = spark.createDataFrame([(v, want / n if n > want else 1.1) for v, n in counts.items()], "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(2**63)
     some = learn.select("lang", "doc_id").withColumn("place", place).join(F.broadcast(shares), "lang").where("place < share").groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
     ids = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("r") <= per_lang)
@@ -205,14 +206,8 @@ def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 4_000) -> Model
     return Model(x, list(got["lang"]), list(got["letters"]))
 
 
-def identify(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
-    """All columns of docs, with lang_pred and lang_score for each whole text.
-
-    ``und`` with score 0 for null texts and texts without a letter, and for all texts if there
-    was nothing to learn from. The score is the chance of the family times that of the
-    weakest decision among its languages, and the share of letters that the learned texts
-    have, so text in another script scores near 0. A model's size depends on the number of languages,
-    not on the data, so it may be broadcast. Columns of these names in docs are replaced."""
+def _told(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
+    """All columns of docs, and __told: a struct of lang_pred and lang_score (see identify)."""
     model = model or train(docs, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -233,7 +228,18 @@ def identify(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "lang_score": score})
 
     # not deterministic, so that Spark doesn't run it once for each use
-    told = docs.withColumn("__told", tell.asNondeterministic()("text"))
+    return docs.withColumn("__told", tell.asNondeterministic()("text"))
+
+
+def identify(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
+    """All columns of docs, with lang_pred and lang_score for each whole text.
+
+    ``und`` with score 0 for null texts and texts without a letter, and for all texts if there
+    was nothing to learn from. The score is the chance of the family times that of the
+    weakest decision among its languages, and the share of letters that the learned texts
+    have, so text in another script scores near 0. A model's size depends on the number of languages,
+    not on the data, so it may be broadcast. Columns of these names in docs are replaced."""
+    told = _told(docs, model, **how)
     return told.select(*[c for c in docs.columns if c not in ("lang_pred", "lang_score")], "__told.lang_pred", "__told.lang_score")
 
 
@@ -242,5 +248,5 @@ def known_language(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
 
     Two families of two languages give 0.25 to a text that tells nothing; texts of one known
     word score over 0.35, other scripts near 0."""
-    told = identify(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("doc_id", "text", "lang", "__all"), **how)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("__all.*")
+    told = _told(docs, **how)
+    return told.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.lang_score") >= least)).drop("__told")

@@ -8,7 +8,7 @@ import numpy as np
 class Memo(dict):
     """A dict that fills itself by ``make`` and starts anew when it holds ``most`` words."""
 
-    def __init__(self, make: Callable, most: int = 1 << 19):
+    def __init__(self, make: Callable, most: int = 1 << 17):
         super().__init__()
         self.make, self.most = make, most
 
