@@ -15,9 +15,7 @@ def shore_samples(outlines: DataFrame, cells: DataFrame, margin: int = 2) -> Dat
     both ends, so shared vertices count twice. Points within ``margin`` cells of the edge go:
     there an outline follows the clip, not a shore. A point takes the cell that it lies in."""
     name = outlines.select("feature_id", "slug", "bp").distinct()
-    s = vectors.segments(outlines).withColumn("n", F.greatest(F.lit(1), F.ceil("len")).cast("long")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
-    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")
-    p = s.select("feature_id", at("x", "x2").alias("x"), at("y", "y2").alias("y")).join(name, "feature_id")
+    p = vectors.densified(outlines, 1.0).select("feature_id", "x", "y").join(name, "feature_id")
     size = cells.groupBy(F.col("grid_id").alias("slug")).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
     p = p.join(size, "slug").where((F.col("x").between(margin, F.col("w") - margin)) & (F.col("y").between(margin, F.col("h") - margin)))
     p = p.select("slug", "bp", F.floor("y").cast("int").alias("r"), F.floor("x").cast("int").alias("c"))

@@ -45,6 +45,20 @@ def sampled(cells: DataFrame, extents: DataFrame, legend: DataFrame, res: float,
     return at_cells(places, cells, res, "class").where("cell_class = class").drop("cell_class")
 
 
+def appearance(plants: DataFrame, forms: DataFrame, seed: int = 1, stream: int = 100) -> DataFrame:
+    """Plants with height, width, yaw, lean_x and lean_z: five draws for each plant of a form, in the order of class and lattice.
+
+    ``forms`` has form, number (of its stream), height, ratio, jitter and lean, a few rows. A
+    plant's draws depend on its place among those of its form in the grid."""
+    w = Window.partitionBy("grid_id", "form").orderBy("class", "lr", "lc")
+    p = plants.join(F.broadcast(forms), "form").withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    p = p.withColumn("w", fn.draws(fn.stream_seed(F.lit(seed).cast("long"), F.col("number") + stream), 5 * F.col("i"), 5))
+    side = lambda k: F.col("w")[k] * 2 - 1
+    p = p.withColumn("tall", F.col("height") * (1 + side(0) * F.col("jitter")))
+    made = [F.col("tall").alias("height"), (F.col("tall") * F.col("ratio") * (1 + side(1) * F.col("jitter"))).alias("width"), (F.col("w")[2] * 2 * 3.141592653589793).alias("yaw"), (side(3) * F.col("lean")).alias("lean_x"), (side(4) * F.col("lean")).alias("lean_z")]
+    return p.select(*plants.columns, *made)
+
+
 def shore_band(cells: DataFrame, extents: DataFrame, legend: DataFrame, excluded: list[int], res: float, levels: tuple[float, float], band: float, height: float, jitter: float = 0.2, seed: int = 1, scale: Column | None = None) -> DataFrame:
     """(grid_id, class, lr, lc, x, y, connect, height, yaw): candidates for plants along the water at any level of ``levels``.
 

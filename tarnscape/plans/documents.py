@@ -275,6 +275,15 @@ def m2_idempotent_patch(spark, sf):
     return s.select("s_suppkey", F.array_join("doc.layers", ",").alias("layers"), text.alias("sources"), steps.alias("steps"), F.array_join("doc.credits", ",").alias("credits"), F.array_join(F.array_sort(F.map_keys("assets")), ",").alias("assets"))
 
 
+@query(f"""WITH {fx.SITES} SELECT s_suppkey, 'dem' || CASE WHEN s_suppkey % 3 <> 0 THEN ',landcover' ELSE '' END || CASE WHEN s_suppkey % 4 <> 1 THEN ',rampart' ELSE '' END AS assets FROM sites""")
+def m3_drop_failed_assets(spark, sf):
+    """Assets of a manifest without those whose step failed."""
+    k = F.col("s_suppkey")
+    assets = F.create_map(*[F.lit(x) for pair in (("dem", "d"), ("landcover", "l"), ("rampart", "r")) for x in pair])
+    failed = F.array_compact(F.array(F.when(k % 3 == 0, "landcover"), F.when(k % 4 == 1, "rampart")))
+    return fx.sites(spark, sf).select("s_suppkey", F.array_join(F.array_sort(F.map_keys(doc.without_failed(assets, failed))), ",").alias("assets"))
+
+
 _STEPS = [("build", None, True), ("water", "shoreline", False), ("landcover", "soils", False), ("rampart", "outline", False)]
 
 

@@ -83,10 +83,15 @@ def g7_length(spark, sf):
   SELECT feature_id, seq, k, round(x + (x2 - x) * k / n::DOUBLE, 6) AS px, round(y + (y2 - y) * k / n::DOUBLE, 6) AS py FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM d)""")
 def g8_densify(spark, sf):
     """Points at most 100 apart on each segment, both ends included, so shared vertices come twice."""
-    s = vectors.segments(outlines(spark, sf))
-    s = s.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / 100.0)).cast("long")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
-    at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n").cast("double"), 6)
-    return s.select("feature_id", "seq", "k", at("x", "x2").alias("px"), at("y", "y2").alias("py"))
+    return vectors.densified(outlines(spark, sf), 100.0).select("feature_id", "seq", "k", F.round("x", 6).alias("px"), F.round("y", 6).alias("py"))
+
+
+@query(f"""WITH {OUTLINE}, g AS (SELECT *, max(seq) OVER (PARTITION BY feature_id) AS top FROM seg WHERE greatest(x, x2) >= 100 AND least(x, x2) <= 500 AND greatest(y, y2) >= 200 AND least(y, y2) <= 600), d AS (SELECT *, greatest(1, ceil(len / 100.0))::BIGINT AS n FROM g)
+  SELECT feature_id, seq, k, round(x + (x2 - x) * k / n::DOUBLE, 6) AS px, round(y + (y2 - y) * k / n::DOUBLE, 6) AS py FROM (SELECT *, unnest(range(0, n + CASE WHEN NOT closed AND seq = top THEN 1 ELSE 0 END)) AS k FROM d)""")
+def g8_drape(spark, sf):
+    """Points along the segments that reach a window, shared vertices once."""
+    p = vectors.densified(outlines(spark, sf), 100.0, False, (100, 200, 500, 600))
+    return p.select("feature_id", "seq", "k", F.round("x", 6).alias("px"), F.round("y", 6).alias("py"))
 
 
 @query(f"""WITH {OUTLINE}, n AS (SELECT feature_id, total, unnest(range(0, greatest(3, round_even(total / 200, 0))::BIGINT)) AS i, greatest(3, round_even(total / 200, 0)) AS m FROM (SELECT feature_id, max(total) AS total FROM wk WHERE closed GROUP BY 1))

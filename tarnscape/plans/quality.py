@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnscape.operators.terrain import verdict
 from tarnscape.plans.base import query
 from tarnscape.plans.registers import CLAMP, STATE
 from tarnscape.session import table
@@ -33,8 +34,7 @@ def q3_ladder(spark, sf):
   FROM (SELECT c_custkey, c_custkey % 3 <> 0 AS edge, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 10) / 10.0 END AS share, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 41 END AS med FROM customer)""")
 def i4_region_verdict(spark, sf):
     r = table(spark, sf, "customer").selectExpr("c_custkey", "c_custkey % 3 <> 0 AS edge", "CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 10) / 10.0 END AS share", "CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 41 END AS med")
-    v = F.when(~F.col("edge"), "gap").when(F.col("share") <= 0.10, "sea").when(F.col("med").isNull(), F.when(F.col("share").isNotNull(), "sea").otherwise("foreign-land")).when(F.col("med") <= 20, "sea").otherwise("foreign-land")
-    return r.select("c_custkey", v.alias("verdict"))
+    return r.select("c_custkey", verdict(F.col("edge"), F.col("share"), F.col("med")).alias("verdict"))
 
 
 @query("SELECT o_custkey AS slug, bool_or(o_orderpriority LIKE '1%') <> bool_or(o_orderpriority LIKE '2%') AS broken FROM orders GROUP BY 1")

@@ -60,6 +60,18 @@ def f9_quantize(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fn.quantize(h, 0.5).alias("raw"), up.alias("up"), (up - F.rint(h / 0.5).cast("int")).alias("delta"))
 
 
+@query(f"WITH {fx.FEATURES} SELECT id, CASE WHEN greatest(max_e - min_e, max_n - min_n) * 40 > 1000 THEN 'large' ELSE 'standard' END AS preset FROM features")
+def f3_extent_preset(spark, sf):
+    span = F.greatest(F.col("max_e") - F.col("min_e"), F.col("max_n") - F.col("min_n")) * 40
+    return fx.features(spark, sf).select("id", fn.preset_for(span).alias("preset"))
+
+
+@query("SELECT event_id, CASE WHEN value IS NOT NULL THEN ceil(value / 0.1::DOUBLE - 1e-3)::INT END AS up FROM events")
+def f10_quantize_up(spark, sf):
+    """Heights to steps, rounded up, so that water never ends below them."""
+    return table(spark, sf, "events").select("event_id", fn.quantize_up(F.col("value"), 0.1).alias("up"))
+
+
 @query("SELECT p_partkey, round(3.83 * sqrt(greatest(p_retailprice - 1000, 0.0)) * 1000.0, 4) AS horizon_m, round(p_size * p_size * 1000000.0 * 0.87 / (2 * 6371000), 6) AS drop_m FROM part")
 def f12_horizon(spark, sf):
     p = table(spark, sf, "part")

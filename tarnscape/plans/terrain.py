@@ -263,6 +263,24 @@ def i14_stratified_sampling(spark, sf):
     return vegetation.sampled(c, ext, _rows(spark, PLANTS), 2.0).select("grid_id", "class", "lr", "lc", "r", "c")
 
 
+#: Form, number of its stream, height, ratio of width, jitter, lean.
+FORM_ROWS = [("conifer", 0, 12.0, 0.35, 0.25, 0.05), ("broadleaf", 1, 9.0, 0.8, 0.3, 0.08)]
+
+
+@query(f"""WITH {SAMPLE}, fm(form, number, height, ratio, jitter, lean) AS (VALUES {", ".join(f"('{a}', {b}, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {g}::DOUBLE)" for a, b, c, d, e, g in FORM_ROWS)}),
+  pf AS (SELECT *, row_number() OVER (PARTITION BY grid_id, form ORDER BY class, lr, lc) - 1 AS i FROM (SELECT *, CASE class WHEN 3 THEN 'broadleaf' ELSE 'conifer' END AS form FROM plant) JOIN fm USING (form)),
+  b0 AS (SELECT pf.*, k, ((xor(((number + 100 + 1)::HUGEINT * 2654435761 % 4294967296)::BIGINT, 1)) + (5 * i + k + 1)::HUGEINT * 1831565813) % 4294967296 AS a FROM pf, range(0, 5) q(k)),
+  b1 AS (SELECT *, (xor(a::BIGINT, (a::BIGINT >> 15))::HUGEINT * (a::BIGINT | 1)::HUGEINT) % 4294967296 AS t FROM b0), b2 AS (SELECT *, (t + (xor(t::BIGINT, t::BIGINT >> 7)::HUGEINT * (t::BIGINT | 61)::HUGEINT) % 4294967296) % 4294967296 AS u FROM b1),
+  w AS (SELECT grid_id, class, lr, lc, height, ratio, jitter, lean, {", ".join(f"max(xor(xor(t::BIGINT, u::BIGINT), xor(t::BIGINT, u::BIGINT) >> 14) / 4294967296.0::DOUBLE) FILTER (k = {i}) AS w{i}" for i in range(5))} FROM b2 GROUP BY ALL)
+  SELECT grid_id, class, lr, lc, round(height * (1 + (w0 * 2 - 1) * jitter), 6) AS height, round(height * (1 + (w0 * 2 - 1) * jitter) * ratio * (1 + (w1 * 2 - 1) * jitter), 6) AS width, round(w2 * 2 * pi(), 6) AS yaw, round((w3 * 2 - 1) * lean, 6) AS lean_x, round((w4 * 2 - 1) * lean, 6) AS lean_z FROM w""")
+def i14_appearance(spark, sf):
+    """Height, width, turn and lean of each plant, drawn in order within its form."""
+    c, ext = _ground(spark, sf)
+    forms = spark.createDataFrame(FORM_ROWS, "form string, number int, height double, ratio double, jitter double, lean double")
+    p = vegetation.appearance(vegetation.sampled(c, ext, _rows(spark, PLANTS), 2.0).select("grid_id", "class", "form", "lr", "lc"), forms)
+    return p.select("grid_id", "class", "lr", "lc", *[F.round(x, 6).alias(x) for x in ("height", "width", "yaw", "lean_x", "lean_z")])
+
+
 @query("WITH " + _lattice(BAND, "class + 200") + ", " + _drawn("seed", "7 * (lr * cols + lc)", 5) + """
   SELECT d.grid_id, d.lr, d.lc, z::DOUBLE AS connect, round(1.8 * (1 + (w2 * 2 - 1) * 0.2), 6) AS height, round(w4 * 2 * pi(), 6) AS yaw FROM d JOIN cells c ON c.grid_id = d.grid_id AND c.r = least(floor((lr + w1) * spacing / 2), 63) AND c.c = least(floor((lc + w0) * spacing / 2), 63)
   WHERE (lc + w0) * spacing <= 128 AND (lr + w1) * spacing <= 128 AND z > 8 AND z <= 12 AND (label IS NULL OR label NOT IN (0, 5))""")
