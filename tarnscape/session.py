@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,15 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-#: Where the tables are that cut() wrote, in order, and which frame reads which.
+#: Where cut() and others wrote, in order, and which frame reads which.
 _written: list[str] = []
 _path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder; what is written there goes at the end of a scratch()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
@@ -61,7 +65,6 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written.append(path)
     _path_of[back] = path
     return back
 
@@ -81,11 +84,26 @@ def drop(df: DataFrame | None) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, *kept: DataFrame):
-    """Deletes, at its end, the tables that cut() wrote inside, but for those that ``keep`` was given.
+    """Deletes, at its end, what was written to the shared folder inside, but for the frames that ``keep`` was given.
 
     For a result that is written inside: everything that led to it goes."""
     before, keep = set(_written), []
-    yield keep.append
-    safe = {_path_of.get(df) for df in [*kept, *keep]}
-    for path in [p for p in _written if p not in before and p not in safe]:
-        _delete(spark, path)
+    try:
+        yield keep.append
+    finally:
+        safe = {_path_of.get(df) for df in [*kept, *keep]}
+        for path in [p for p in _written if p not in before and p not in safe]:
+            _delete(spark, path)
+
+
+def tidy(make):
+    """For a query of (spark, sf_dir): its result is written, and all that led to it is deleted."""
+
+    @wraps(make)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark) as keep:
+            out = cut(make(spark, sf_dir), make.__name__)
+            keep(out)
+        return out
+
+    return run
