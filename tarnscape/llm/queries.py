@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnscape.llm import ann, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, toxicity, warc
-from tarnscape.session import table
+from tarnscape.session import table, tidy
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,16 +15,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@tidy
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = pages.select("page_id", license_scan.path_of(F.col("url")).alias("path"), F.col("html").alias("text"))
     return license_scan.scan(files, any_file=True)
 
 
+@tidy
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@tidy
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicate_lines(table(spark, sf_dir, "documents")).drop("text_id")
 
@@ -33,6 +36,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.queued(table(spark, sf_dir, "documents")).drop("source")
 
@@ -43,11 +47,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@tidy
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(e, e.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+@tidy
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
