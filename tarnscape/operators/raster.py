@@ -281,7 +281,7 @@ def _border(side: int) -> np.ndarray:
     return mask
 
 
-def sea_connectivity(cells: DataFrame, tile: int = 512, blocks: int = 8, value: str = "z") -> DataFrame:
+def sea_connectivity(cells: DataFrame, tile: int = 256, blocks: int = 8, value: str = "z") -> DataFrame:
     """(grid_id, r, c, z, connect): least over paths from the grid's edge of the highest cell on the path.
 
     Cells are read twice. First each tile is reduced to a graph of its border cells, with one
