@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding and bit-sampling LSH over windows, then exact edit distance."""
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ CLASSES = ((80, 40, 12), (40, 32, 10), (16, 24, 8), (6, 8, 5), (1, 2, 2))
 PIECE, PIECE_RATE = 64, 0.4
 #: Items below this size are looked for at every character of a text, longer ones at the beginnings of words.
 EVERYWHERE = 16
+#: Pairs of windows that are held at a time, and compared at a time.
+PAIRS = 1 << 20
 _LANES = 1 << 14
 _SLOT_BITS = 20
 
@@ -107,8 +110,12 @@ class Bench:
         for c in self.classes:
             who = np.nonzero(kind == c)[0]
             for w, _, t, k in self.walks.keys(all_code, off[self.item[who]] + self.start[who], [c]):
-                order = np.argsort(k, kind="stable")
-                self.tables[w, c, t] = (k[order], who[order])
+                order = np.lexsort((who, self.item[who], k))
+                k, own = k[order], who[order]
+                # of equal windows of an item, the first and the last do: the places between lie between
+                same = (k[1:] == k[:-1]) & (self.item[own[1:]] == self.item[own[:-1]])
+                keep = ~(np.append(same, False) & np.append(False, same))
+                self.tables[w, c, t] = (k[keep], own[keep])
         self._pieces()
 
     def _pieces(self) -> None:
@@ -140,9 +147,11 @@ def _slot(k: np.ndarray) -> np.ndarray:
     return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
-def windows_found(code: np.ndarray, at: np.ndarray, bench: Bench, classes: list[int], slots: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the text, window of the benchmark) of all windows that share a key, once each."""
-    place, window = [], []
+def windows_found(code: np.ndarray, at: np.ndarray, bench: Bench, classes: list[int], slots: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the text, window of the benchmark) of all windows that share a key, in batches of about PAIRS pairs at most, once each in a batch.
+
+    So a phrase that many items and texts share costs time, not memory."""
+    held, size = [], 0
     for lo in range(0, len(at), 1 << 15):
         part = at[lo : lo + (1 << 15)]
         for w, c, t, k in bench.walks.keys(code, part, classes):
@@ -151,16 +160,23 @@ def windows_found(code: np.ndarray, at: np.ndarray, bench: Bench, classes: list[
                 slots[w, c, t] = np.zeros(1 << _SLOT_BITS, bool)
                 slots[w, c, t][_slot(known)] = True
             maybe = np.nonzero(slots[w, c, t].take(_slot(k)))[0]
-            a, z = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
-            many = z - a
-            if many.any():
-                place.append(np.repeat(part[maybe], many))
-                run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                window.append(who[np.repeat(a, many) + run])
-    if not place:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.unique(np.concatenate(place) * len(bench.item) + np.concatenate(window))
-    return both // len(bench.item), both % len(bench.item)
+            first = np.searchsorted(known, k[maybe], "left")
+            many = np.searchsorted(known, k[maybe], "right") - first
+            if not many.any():
+                continue
+            cut_at = np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), PAIRS), "right")
+            for a, b in zip(cut_at, [*cut_at[1:], len(many)], strict=True):
+                m = many[a:b]
+                run = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                held.append(np.repeat(part[maybe[a:b]], m) * len(bench.item) + who[np.repeat(first[a:b], m) + run])
+                size += len(run)
+                if size >= PAIRS:
+                    both = np.unique(np.concatenate(held))
+                    held, size = [], 0
+                    yield both // len(bench.item), both % len(bench.item)
+    if held:
+        both = np.unique(np.concatenate(held))
+        yield both // len(bench.item), both % len(bench.item)
 
 
 def like(code: np.ndarray, place: np.ndarray, window: np.ndarray, bench: Bench) -> np.ndarray:
@@ -237,15 +253,14 @@ def hits_of(texts: list, bench: Bench, at_once: int = 1 << 20) -> list[tuple[int
         gap = "\0" * 64
         code = coded(gap.join([*(t for _, t in group), ""]))
         offset = np.cumsum([0, *(len(t) + 64 for _, t in group)])
-        place, window = [], []
+        place, window = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for classes, starts in ((rest, [beginnings(t) for _, t in group]), (tiny, [np.arange(len(t)) for _, t in group] if tiny else [])):
             if classes:
-                p, w = windows_found(code, np.concatenate([s + offset[k] for k, s in enumerate(starts)]), bench, classes, slots)
-                place.append(p)
-                window.append(w)
+                for p, w in windows_found(code, np.concatenate([s + offset[k] for k, s in enumerate(starts)]), bench, classes, slots):
+                    ok = np.concatenate([like(code, p[a : a + _LANES], w[a : a + _LANES], bench) for a in range(0, len(p), _LANES)] or [np.empty(0, bool)])
+                    place.append(p[ok])
+                    window.append(w[ok])
         place, window = np.concatenate(place), np.concatenate(window)
-        ok = np.concatenate([like(code, place[a : a + _LANES], window[a : a + _LANES], bench) for a in range(0, len(place), _LANES)] or [np.empty(0, bool)])
-        place, window = place[ok], window[ok]
         item = bench.item[window]
         text = np.searchsorted(offset, place, "right") - 1
         low = place - offset[text] - bench.start[window] - 2 * slack[item]

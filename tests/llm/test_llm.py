@@ -359,6 +359,21 @@ def test_edits_in_every_third_word_are_found(spark):
     assert decontaminate.contamination(df, bench).count() >= 27
 
 
+def test_phrases_that_all_items_and_texts_share(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    lead = "which of the following answers to the question below is the best one choose a letter"
+    items = [(i, f"{lead} {word()} {word()} {word()} {word()} {word()} {word()} {word()} {word()}") for i in range(300)] + [(900, "ha " * 400)]
+    texts = [(d, " ".join([lead] * 20 + [word() for _ in range(30)])) for d in range(20)] + [(50, f"so {items[7][1]} on"), (51, "ha " * 5000), (52, "ha " * 390), (53, "ha " * 100)]
+    old, decontaminate.PAIRS = decontaminate.PAIRS, 5000
+    try:
+        bench = decontaminate.Bench([i for i, _ in items], [t for _, t in items])
+        got = {(texts[n][0], bench.ids[i]) for n, i, _, _ in decontaminate.hits_of([t for _, t in texts], bench)}
+    finally:
+        decontaminate.PAIRS = old
+    assert got == {(50, 7), (51, 900), (52, 900)}
+
+
 def test_a_very_long_item(spark):
     rng = random.Random(18)
     item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(14_000))
