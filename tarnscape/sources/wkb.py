@@ -104,18 +104,22 @@ def vertex_rows(decoded_rows: DataFrame, key: str) -> DataFrame:
 def encoded_outlines(v: DataFrame) -> DataFrame:
     """(feature_id, geom): outlines of (feature_id, ring, seq, x, y, closed) as blobs with a header, points with a height."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ring", "seq"])
-        closed = bool(pdf["closed"].iloc[0])
-        parts = []
-        for _, p in pdf.groupby("ring"):
-            pts = list(zip(p["x"].astype(float), p["y"].astype(float), strict=True))
-            pts += pts[:1] if closed else []
-            parts.append(struct.pack("<I", len(pts)) + b"".join(struct.pack("<3d", x, y, 5.0) for x, y in pts))
-        if closed:
-            body = b"\x01" + struct.pack("<I", 1003) + struct.pack("<I", len(parts)) + b"".join(parts)
-        else:
-            body = b"\x01" + struct.pack("<I", 1005) + struct.pack("<I", len(parts)) + b"".join(b"\x01" + struct.pack("<I", 1002) + p for p in parts)
-        return pd.DataFrame({"feature_id": pdf["feature_id"].iloc[:1], "geom": [b"GP\x00\x01" + struct.pack("<i", 3006) + body]})
-
-    return v.groupBy("feature_id").applyInPandas(pack, "feature_id long, geom binary")
+    @F.pandas_udf("binary")
+    def pack(closed: pd.Series, points: pd.Series) -> pd.Series:
+        return pd.Series([_encoded(bool(c), p) for c, p in zip(closed, points, strict=True)])
+
+    # an outline is one row, as in any table of geometries
+    one = v.groupBy("feature_id").agg(F.bool_or("closed").alias("closed"), F.array_sort(F.collect_list(F.struct("ring", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("points"))
+    return one.select("feature_id", pack("closed", "points").alias("geom"))
+
+
+def _encoded(closed: bool, points) -> bytes:
+    parts: dict[int, list] = {}
+    for p in points:
+        parts.setdefault(p["ring"], []).append((p["x"], p["y"]))
+    out = []
+    for pts in parts.values():
+        pts = pts + pts[:1] if closed else pts
+        out.append(struct.pack("<I", len(pts)) + b"".join(struct.pack("<3d", x, y, 5.0) for x, y in pts))
+    head = b"GP\x00\x01" + struct.pack("<i", 3006) + b"\x01" + struct.pack("<II", 1003 if closed else 1005, len(out))
+    return head + b"".join(out if closed else [b"\x01" + struct.pack("<I", 1002) + p for p in out])
