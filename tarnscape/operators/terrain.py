@@ -296,9 +296,9 @@ def crest(cells: DataFrame, outline: DataFrame, step: float = 1.0, smooth: float
     near = p.join(first, keys).withColumn("low", F.col("guide") - reject).withColumn("high", F.col("guide") + reject)
     second = ridge_pick(near, keys, sample, "low", "high").join(first, keys)
     weak = F.col("prominence") < least
-    picks = second.select(*keys, F.when(weak, F.col("guide")).otherwise(F.col("inset")).alias("inset"), "prominence", weak.alias("rejected"))
+    picks = cut(second.select(*keys, F.when(weak, F.col("guide")).otherwise(F.col("inset")).alias("inset"), "prominence", weak.alias("rejected")), "picks")
     hopeless = picks.groupBy("feature_id").agg(F.bool_and("rejected").alias("all")).where("all").select("feature_id")
-    picks = cut(picks.join(hopeless, "feature_id", "left_anti"), "picks")
+    picks = picks.join(hopeless, "feature_id", "left_anti")
     line = vectors.circular(picks, samples(crest_smooth, step), "inset", "deep").join(base, keys)
     line = line.select("feature_id", "ring", F.col("i").alias("seq"), (F.col("x") + F.col("nx") * F.col("deep")).alias("x"), (F.col("y") + F.col("ny") * F.col("deep")).alias("y"), F.lit(True).alias("closed"), F.lit(False).alias("hole"))
     points = vectors.resampled(line, step).select("feature_id", "ring", "i", F.bround("x", 2).alias("x"), F.bround("y", 2).alias("y"))

@@ -126,11 +126,10 @@ def inward_normals(points: DataFrame, least_area: float = 1e-3) -> DataFrame:
 
 def circular(points: DataFrame, half: int, value: str, out: str, how: str = "avg") -> DataFrame:
     """Adds ``out``: mean or median of ``value`` over ``half`` points on each side, around a closed ring (i from 0)."""
-    many = points.groupBy(*PART).agg((F.max("i") + 1).alias("__n"))
-    ends = points.join(many, PART)
-    shift = lambda by, keep: ends.where(keep).select(*points.columns, (F.col("i") + by).alias("__i"))
-    far = F.lit(half)
-    wrapped = shift(F.lit(0), F.lit(True)).unionByName(shift(F.col("__n"), F.col("i") < far)).unionByName(shift(-F.col("__n"), F.col("i") >= F.col("__n") - far))
+    n = F.max("i").over(Window.partitionBy(*PART)) + 1
+    i, m = F.col("i"), F.col("__n")
+    ends = F.array_compact(F.array(i, F.when(i < half, i + m), F.when(i >= m - half, i - m)))
+    wrapped = points.withColumn("__n", n).withColumn("__i", F.explode(ends)).drop("__n")
     frame = f"OVER (PARTITION BY feature_id, ring ORDER BY __i ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
     f = f"avg({value})" if how == "avg" else f"percentile({value}, 0.5)"
     return wrapped.withColumn(out, F.expr(f"{f} {frame}")).where("__i = i").drop("__i")
