@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscape.llm import ann, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, toxicity, warc
+from tarnscape.llm import ann, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, simhash, toxicity, warc
 from tarnscape.session import table, tidy
 
 
@@ -63,13 +63,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+@tidy
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_warc, op4_line_dedup, op5_decontamination, op6_mixing, op7_language_id, op8_nearest, op9_near_duplicates, op10_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_warc, op4_line_dedup, op5_decontamination, op6_mixing, op7_language_id, op8_nearest, op9_near_duplicates, op10_pii, op13_simhash, pipeline)}
 
 ORACLE = {
     "op3_warc": """
