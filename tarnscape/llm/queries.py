@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscape.llm import ann, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, simhash, toxicity, warc
+from tarnscape.llm import ann, clusters, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, simhash, toxicity, warc
 from tarnscape.session import table, tidy
 
 
@@ -63,6 +63,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+@tidy
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @tidy
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,9 +79,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_warc, op4_line_dedup, op5_decontamination, op6_mixing, op7_language_id, op8_nearest, op9_near_duplicates, op10_pii, op13_simhash, pipeline)}
+def _clusters_sql(rounds: int = 3) -> str:
+    """Rounds one after the other; an integer quotient rounds down for negative sums too."""
+    far = "list_sum(list_transform(range(1, 65), lambda i : (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT"
+    assign = "a{r} AS (SELECT n, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.n, c.k, " + far + " AS d FROM v, c{r} AS c) GROUP BY n)"
+    mean = """m{r} AS (SELECT k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM (SELECT a.k, unnest(range(1, 65)) AS i, unnest(v.q) AS x FROM a{p} AS a JOIN v USING (n)) GROUP BY k, i),
+        c{r} AS (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{p} AS c LEFT JOIN (SELECT k, list(x::BIGINT ORDER BY i) AS q FROM m{r} GROUP BY k) AS m USING (k))"""
+    steps = [assign.format(r=0)] + [x.format(r=r, p=r - 1) for r in range(1, rounds + 1) for x in (mean, assign)]
+    return f"""
+        WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x : floor(64 * x::DOUBLE)::BIGINT) AS q, sha256('1:' || vec_id) AS h FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INT AS k, q FROM v QUALIFY row_number() OVER (ORDER BY h, q) <= 16),
+        {", ".join(steps)},
+        s AS (SELECT k, sha256(array_to_string(q, ',')) AS centroid_sha256 FROM c{rounds})
+        SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN v USING (n) JOIN s USING (k)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_warc, op4_line_dedup, op5_decontamination, op6_mixing, op7_language_id, op8_nearest, op9_near_duplicates, op10_pii, op11_clusters, op13_simhash, pipeline)}
 
 ORACLE = {
+    "op11_clusters": _clusters_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS low, sha1(h) AS x FROM p),
