@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscape.llm import ann, clusters, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, simhash, toxicity, warc
+from tarnscape.llm import ann, clusters, collocations, decontaminate, langid, license_scan, line_dedup, minhash, mixing, pii, simhash, toxicity, warc
 from tarnscape.session import table, tidy
 
 
@@ -68,6 +68,11 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+@tidy
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @tidy
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -96,10 +101,24 @@ def _clusters_sql(rounds: int = 3) -> str:
         FROM a{rounds} JOIN v USING (n) JOIN s USING (k)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_warc, op4_line_dedup, op5_decontamination, op6_mixing, op7_language_id, op8_nearest, op9_near_duplicates, op10_pii, op11_clusters, op13_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_warc, op4_line_dedup, op5_decontamination, op6_mixing, op7_language_id, op8_nearest, op9_near_duplicates, op10_pii, op11_clusters, op12_collocations, op13_simhash, pipeline)}
 
 ORACLE = {
     "op11_clusters": _clusters_sql(),
+    "op12_collocations": """
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+        p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(s, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM t),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i : w[i : i + k - 1])) AS w FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+        n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+        f AS (SELECT lang, k, w, array_to_string(w, ' ') AS phrase, count(*) AS c FROM g GROUP BY lang, k, w HAVING count(*) >= 30),
+        c AS (SELECT lang, phrase, w, k, c AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (SELECT c.lang, c.phrase, c.a, cut, x.c AS l, y.c AS r, (2000000 * c.a::HUGEINT) // (x.c::HUGEINT + y.c) AS score
+          FROM c JOIN f AS x ON x.lang = c.lang AND x.k = cut AND x.w = c.w[1 : cut] JOIN f AS y ON y.lang = c.lang AND y.k = c.k - cut AND y.w = c.w[cut + 1 :]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        o AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN (SELECT lang, k, w, c AS over FROM f WHERE k > 2) AS z ON z.lang = b.lang AND contains(' ' || array_to_string(z.w, ' ') || ' ', ' ' || b.phrase || ' ')
+          AND array_to_string(z.w, ' ') <> b.phrase AND 100 * z.over::HUGEINT >= 80 * b.a::HUGEINT)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+          SELECT b.*, n.n, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN o USING (lang, phrase) JOIN n USING (lang)) WHERE rank <= 2000""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS low, sha1(h) AS x FROM p),
