@@ -1,4 +1,4 @@
-"""Grid operators over cell tables (grid_id, r, c, z): tiles, neighbours, distance, flood, relief, sight."""
+"""Grid operators over cell tables (grid_id, r, c, z): tiles, neighbours, distance, flood, relief, rays of sight."""
 
 from __future__ import annotations
 
@@ -502,97 +502,3 @@ def sight_lines(cells: DataFrame, observers: DataFrame, directions: int = 16, st
     near = Window.partitionBy("obs_id", "ray").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     blocked = F.max("angle").over(near)
     return got.select("obs_id", "ray", "step", (blocked.isNull() | (F.col("angle") >= blocked)).alias("visible"))
-
-
-def _half_plane(block: np.ndarray, target: np.ndarray, row: float, col: float, strict: bool) -> np.ndarray:
-    """What is seen to the right of (row, col), within 45 degrees: a column at a time, each from the one before.
-
-    ``block`` is the angle of the ground and ``target`` that of what shall be seen. The sight
-    line to a cell crosses the column before at a fraction of a row, between two cells whose
-    highest angles so far are interpolated. With ``strict`` the diagonals are left out."""
-    seen = np.zeros(block.shape, bool)
-    rows = np.arange(block.shape[0], dtype=float)
-    before, at_before = None, 0.0
-    for x in range(int(np.floor(col)) + 1, block.shape[1]):
-        away = x - col
-        if before is None:
-            limit = np.full(len(rows), -np.inf)
-        else:
-            at = row + (rows - row) * (at_before / away)
-            # interpolation that stays finite where both sides are unblocked
-            low = np.clip(np.floor(at).astype(int), 0, len(rows) - 1)
-            high = np.minimum(low + 1, len(rows) - 1)
-            part = np.clip(at - low, 0, 1)
-            a, b = before[low], before[high]
-            limit = np.where(part == 0, a, np.where(a == b, a, a + (b - a) * part))
-        side = np.abs(rows - row)
-        inside = side < away if strict else side <= away
-        seen[:, x] = inside & (target[:, x] >= limit)
-        before, at_before = np.maximum(block[:, x], limit), away
-    return seen
-
-
-def visible_from(z: np.ndarray, row: float, col: float, height: float, res: float, target: float = 0.0, radius: float = 0.0, k: float | None = 0.13) -> np.ndarray:
-    """Cells that an eye ``height`` above (row, col) sees on a grid with cells of ``res`` metres; NaN cells neither block nor are seen.
-
-    A sweep away from the observer in each of the four directions (see _half_plane). With k,
-    the ground sinks by (1 - k) d^2 / 2R. ``radius`` in metres bounds what is seen, if above
-    0. The observer's own cell is always seen."""
-    n, m = z.shape
-    row, col = min(max(row, 0.0), n - 1.0), min(max(col, 0.0), m - 1.0)
-    r0, c0 = min(int(row), max(n - 2, 0)), min(int(col), max(m - 2, 0))
-    fr, fc = row - r0, col - c0
-    r1, c1 = min(r0 + 1, n - 1), min(c0 + 1, m - 1)
-    ground = (z[r0, c0] * (1 - fc) + z[r0, c1] * fc) * (1 - fr) + (z[r1, c0] * (1 - fc) + z[r1, c1] * fc) * fr
-    dr, dc = np.arange(n)[:, None] - row, np.arange(m)[None, :] - col
-    d2 = (dr * dr + dc * dc) * res * res
-    d = np.sqrt(np.maximum(d2, 1e-12))
-    eff = z - (0.0 if k is None else (1 - k) / (2 * EARTH_RADIUS_M)) * d2 - (ground + height)
-    block, aim = np.where(np.isnan(eff), -np.inf, eff / d), np.where(np.isnan(eff), -np.inf, (eff + target) / d)
-    seen = np.zeros(z.shape, bool)
-    seen |= _half_plane(block, aim, row, col, False)
-    seen |= _half_plane(block[:, ::-1], aim[:, ::-1], row, m - 1 - col, False)[:, ::-1]
-    seen |= _half_plane(block.T, aim.T, col, row, True).T
-    seen |= _half_plane(block[::-1].T, aim[::-1].T, col, n - 1 - row, True).T[::-1]
-    seen &= ~np.isnan(z)
-    if radius > 0:
-        seen &= d2 <= radius * radius
-    seen[min(int(np.floor(row + 0.5)), n - 1), min(int(np.floor(col + 0.5)), m - 1)] = True
-    return seen
-
-
-def viewshed(cells: DataFrame, observers: DataFrame, res: float, radius: int, target: float = 0.0, k: float | None = 0.13, tile: int = 512, per_task: int = 64) -> DataFrame:
-    """(obs_id, grid_id, r, c): the cells that each observer (obs_id, grid_id, row, col, height) sees within ``radius`` cells.
-
-    Cells go to tiles with a halo of the radius, so a task has all that its observers can
-    see, and no more than one tile with its halo. A tile with many observers is dealt out
-    again for each ``per_task`` of them."""
-    side = tile + 2 * radius + 2
-    o = observers.select("obs_id", "grid_id", F.col("row").cast("double"), F.col("col").cast("double"), F.col("height").cast("double"))
-    o = o.withColumn("tr", F.floor(F.col("row") / tile).cast("int")).withColumn("tc", F.floor(F.col("col") / tile).cast("int"))
-    parts = cut(o.groupBy("grid_id", "tr", "tc").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("parts")), "parts")
-    o = o.join(parts, ["grid_id", "tr", "tc"]).withColumn("part", F.pmod(F.xxhash64("obs_id"), F.col("parts")).cast("int")).drop("parts")
-    c = tiles(cells.where("z IS NOT NULL").select("grid_id", "r", "c", F.col("z").cast("double").alias("z")), tile, radius + 1).join(parts, ["grid_id", "tr", "tc"])
-    c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def look(key, ground: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
-        g, tr, tc, _ = key
-        r0, c0 = int(tr) * tile - radius - 1, int(tc) * tile - radius - 1
-        z = np.full((side, side), np.nan)
-        z[ground["r"].to_numpy() - r0, ground["c"].to_numpy() - c0] = ground["z"]
-        out = []
-        for i, row, col, height in zip(who["obs_id"], who["row"], who["col"], who["height"], strict=True):
-            a, b = max(0, int(np.floor(row)) - radius - r0), max(0, int(np.floor(col)) - radius - c0)
-            part = z[a : int(np.ceil(row)) + radius - r0 + 1, b : int(np.ceil(col)) + radius - c0 + 1]
-            # beyond the grid there is nothing: rows and columns without any cell go
-            rows, cols = np.nonzero(~np.isnan(part).all(1))[0], np.nonzero(~np.isnan(part).all(0))[0]
-            if not len(rows):
-                continue
-            part = part[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
-            top, left = a + rows[0] + r0, b + cols[0] + c0
-            r, c = np.nonzero(visible_from(part, row - top, col - left, height, res, target, radius * res, k))
-            out.append(pd.DataFrame({"obs_id": i, "grid_id": g, "r": r + top, "c": c + left}))
-        return pd.concat(out) if out else pd.DataFrame({"obs_id": [], "grid_id": [], "r": [], "c": []}).astype("int64")
-
-    at = ["grid_id", "tr", "tc", "part"]
-    return c.groupBy(*at).cogroup(o.groupBy(*at)).applyInPandas(look, "obs_id long, grid_id long, r int, c int")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnscape.operators import raster
+from tarnscape.operators import raster, sight
 from tarnscape.plans.base import query
 from tarnscape.session import cut, table
 from tarnscape.sources import fixtures as fx
@@ -174,17 +174,45 @@ def i18_sight_lines(spark, sf):
     return raster.sight_lines(c, o.join(c.where("z IS NOT NULL"), ["grid_id", "r", "c"]).select("obs_id", "grid_id", "r", "c", (F.col("z") + 1.7).alias("eye")))
 
 
-@query()
+_CURVE = f"{(1 - 0.13) / (2 * raster.EARTH_RADIUS_M)!r}::DOUBLE"
+_ROWS = "list_transform(range(64), lambda y : {})"
+_WINDOW = "greatest(CASE WHEN s.d IN ('E', 'W') THEN ceil(s.oy - {0}) ELSE floor(s.oy - {0}) + 1 END - 2, 0)", "least(CASE WHEN s.d IN ('E', 'W') THEN floor(s.oy + {0}) ELSE ceil(s.oy + {0}) - 1 END + 2, 63)"
+_AWAY = "CASE WHEN s.d IN ('E', 'S') THEN {0} - s.o ELSE s.o - (63 - ({0})) END"
+_D2 = "((((y - s.oy) * (y - s.oy) + s.away * s.away) * 2.0::DOUBLE) * 2.0::DOUBLE)"
+# a sweep's column: angles of the ground (a), the highest angles before it (lim), what is held for the next column (v) and what is seen
+_COLUMN = f"""SELECT obs_id, d, x, o, oy, level, away, {_ROWS.format("CASE WHEN y < lo OR y > hi THEN -1e30::DOUBLE ELSE greatest(coalesce(a[y + 1], -1e30::DOUBLE), lim[y + 1]) END")} AS v,
+    {_ROWS.format("(abs(y - oy) < away OR (d IN ('E', 'W') AND abs(y - oy) = away)) AND a[y + 1] IS NOT NULL AND a[y + 1] >= lim[y + 1]")} AS seen FROM (
+    SELECT *, {_ROWS.format(f"(zs[y + 1] - {_CURVE} * {_D2} - s.level) / sqrt({_D2})")} AS a, {_WINDOW[0].format("s.away")} AS lo, {_WINDOW[1].format("s.away")} AS hi FROM ({{}}) AS s)"""
+_AT = "(s.oy + (y - s.oy) * (s.pa / s.away))"
+_BEFORE = [f"s.v[(greatest(s.plo, least(floor({_AT}) + {k}, s.phi)))::INT + 1]" for k in (0, 1)]
+VIEWSHED = f"""WITH RECURSIVE {fx.CELLS}, {fx.OBSERVERS}, o AS (SELECT obs_id, grid_id, least(greatest(row::DOUBLE, 0), 63) AS row, least(greatest(col::DOUBLE, 0), 63) AS col, height::DOUBLE AS height FROM observers),
+  q AS (SELECT o.*, row - floor(row) AS fr, col - floor(col) AS fc FROM o),
+  g AS (SELECT q.*, ((z00.z * (1 - fc) + CASE WHEN fc <> 0 THEN z01.z ELSE 0 END * fc) * (1 - fr) + (CASE WHEN fr <> 0 THEN z10.z ELSE 0 END * (1 - fc) + CASE WHEN fr * fc <> 0 THEN z11.z ELSE 0 END * fc) * fr) + height AS level FROM q
+    LEFT JOIN cells z00 ON z00.grid_id = q.grid_id AND z00.r = floor(row) AND z00.c = floor(col) LEFT JOIN cells z01 ON z01.grid_id = q.grid_id AND z01.r = floor(row) AND z01.c = floor(col) + 1
+    LEFT JOIN cells z10 ON z10.grid_id = q.grid_id AND z10.r = floor(row) + 1 AND z10.c = floor(col) LEFT JOIN cells z11 ON z11.grid_id = q.grid_id AND z11.r = floor(row) + 1 AND z11.c = floor(col) + 1),
+  line AS (SELECT grid_id, 'E' AS d, c AS x, list(z::DOUBLE ORDER BY r) AS zs FROM cells GROUP BY grid_id, c UNION ALL SELECT grid_id, 'W', 63 - c, list(z::DOUBLE ORDER BY r) FROM cells GROUP BY grid_id, c
+    UNION ALL SELECT grid_id, 'S', r, list(z::DOUBLE ORDER BY c) FROM cells GROUP BY grid_id, r UNION ALL SELECT grid_id, 'N', 63 - r, list(z::DOUBLE ORDER BY c) FROM cells GROUP BY grid_id, r),
+  eye AS (SELECT obs_id, grid_id, level, 'E' AS d, col AS o, row AS oy, floor(col) + 1 AS x FROM g UNION ALL SELECT obs_id, grid_id, level, 'W', col, row, 64 - ceil(col) FROM g
+    UNION ALL SELECT obs_id, grid_id, level, 'S', row, col, floor(row) + 1 FROM g UNION ALL SELECT obs_id, grid_id, level, 'N', row, col, 64 - ceil(row) FROM g),
+  s AS ({_COLUMN.format(f"SELECT s.*, zs, {_AWAY.format('s.x')} AS away, list_transform(range(64), lambda y : -1e30::DOUBLE) AS lim FROM (SELECT e.obs_id, e.d, l.x, e.o, e.oy, e.level, l.zs FROM eye e JOIN line l ON l.grid_id = e.grid_id AND l.d = e.d AND l.x = e.x WHERE level IS NOT NULL) AS s")}
+    UNION ALL {_COLUMN.format(f"SELECT s.*, {_ROWS.format(f'{_BEFORE[0]} + ({_BEFORE[1]} - {_BEFORE[0]}) * ({_AT} - floor({_AT}))')} AS lim FROM (SELECT s.obs_id, s.d, l.x, s.o, s.oy, s.level, s.v, l.zs, s.away AS pa, {_AWAY.format('s.x + 1')} AS away, {_WINDOW[0].format('s.away')} AS plo, {_WINDOW[1].format('s.away')} AS phi FROM s JOIN eye e ON e.obs_id = s.obs_id AND e.d = s.d JOIN line l ON l.grid_id = e.grid_id AND l.d = s.d AND l.x = s.x + 1) AS s")}),
+  u AS (SELECT obs_id, d, x, unnest(range(64)) AS y, unnest(seen) AS seen FROM s),
+  found AS (SELECT obs_id, CASE d WHEN 'S' THEN x WHEN 'N' THEN 63 - x ELSE y END AS r, CASE d WHEN 'E' THEN x WHEN 'W' THEN 63 - x ELSE y END AS c FROM u WHERE seen
+    UNION SELECT obs_id, least(floor(row + 0.5), 63), least(floor(col + 0.5), 63) FROM o)
+  SELECT obs_id, grid_id, r::INT AS r, c::INT AS c FROM found JOIN o USING (obs_id)"""
+
+
+@query(VIEWSHED)
 def i18_viewshed(spark, sf):
-    """All cells that each site sees within 30 cells, by the sweep; SQL can't express it, tests compare it with rays."""
-    return raster.viewshed(fx.cells(spark, sf), fx.observers(spark, sf), 2.0, 30)
+    """All cells of the whole grid that each site sees, by the sweeps over tiles of 16 cells a side."""
+    return sight.viewshed(fx.cells(spark, sf), fx.observers(spark, sf), 2.0, tile=16)
 
 
-_D2 = "(x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)"
+_APART = "(x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)"
 LANDCOVER = f"""{GRADIENT}, {fx.EVIDENCE}, s AS (SELECT grid_id, r, c, z, degrees(atan(sqrt(dr * dr + dc * dc))) AS slope, (z + label) % 9 AS g, z % 7 = 0 AS peat FROM grad),
-  near AS (SELECT x.grid_id, x.r, x.c, min({_D2}) FILTER (family = 'monument') AS dm, min({_D2}) FILTER (family = 'road') AS dr2, min({_D2}) FILTER (family = 'cultivation') AS dc2, min({_D2}) FILTER (family = 'settlement') AS ds
-    FROM cells x JOIN evidence e ON x.grid_id = e.grid_id WHERE {_D2} <= 100 GROUP BY 1, 2, 3),
-  fine AS (SELECT x.grid_id, x.r, x.c, min({_D2}) AS df FROM s x JOIN s e ON x.grid_id = e.grid_id AND e.g = 2 AND abs(x.r - e.r) <= 1 AND abs(x.c - e.c) <= 1 GROUP BY 1, 2, 3),
+  near AS (SELECT x.grid_id, x.r, x.c, min({_APART}) FILTER (family = 'monument') AS dm, min({_APART}) FILTER (family = 'road') AS dr2, min({_APART}) FILTER (family = 'cultivation') AS dc2, min({_APART}) FILTER (family = 'settlement') AS ds
+    FROM cells x JOIN evidence e ON x.grid_id = e.grid_id WHERE {_APART} <= 100 GROUP BY 1, 2, 3),
+  fine AS (SELECT x.grid_id, x.r, x.c, min({_APART}) AS df FROM s x JOIN s e ON x.grid_id = e.grid_id AND e.g = 2 AND abs(x.r - e.r) <= 1 AND abs(x.c - e.c) <= 1 GROUP BY 1, 2, 3),
   landcover AS (SELECT s.grid_id, s.r, s.c, CASE WHEN g = 0 THEN 0 WHEN g = 1 OR peat THEN 1 WHEN dm <= 1 THEN 2 WHEN dr2 <= 0 THEN 3 WHEN dc2 <= 1 AND slope <= 60 THEN 4
     WHEN (g = 2 OR (g = 5 AND df <= 1)) AND z > 9 + 2 - 0.0005 AND slope <= 60 AND ds <= 16 THEN 4 WHEN g IN (2, 3) THEN 5 WHEN g = 4 THEN 3 WHEN g = 5 AND slope <= 70 AND ds <= 4 THEN 6 WHEN g = 5 AND slope <= 70 THEN 7 ELSE 8 END AS class
   FROM s LEFT JOIN near n ON s.grid_id = n.grid_id AND s.r = n.r AND s.c = n.c LEFT JOIN fine f ON s.grid_id = f.grid_id AND s.r = f.r AND s.c = f.c)"""

@@ -96,6 +96,18 @@ def scratch(spark: SparkSession, *kept: DataFrame):
             _delete(spark, path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Inside, tasks of Python get at most so many rows at once; for large rows, around what is run at once (see cut)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(make):
     """For a query of (spark, sf_dir): its result is written, and all that led to it is deleted."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnscape.operators import documents, raster, series, terrain, vectors, vegetation
+from tarnscape.operators import documents, raster, series, sight, terrain, vectors, vegetation
 from tarnscape.plans import terrain as plans
 from tarnscape.sources import tiles, wkb
 from test_operators import grid, heap_flood
@@ -88,29 +88,20 @@ def ray_march(z, row, col, eye, res, steps=4):
 
 def test_viewshed_on_plane_ridge_and_rough_ground():
     flat = np.zeros((61, 61))
-    assert raster.visible_from(flat, 30, 30, 1.7, 2.0).all()
-    assert raster.visible_from(flat, 30.4, 29.7, 1.7, 2.0).all()
-    inside = raster.visible_from(flat, 30, 30, 1.7, 2.0, radius=20.0)
+    assert sight.visible_from(flat, 30, 30, 1.7, 2.0).all()
+    assert sight.visible_from(flat, 30.4, 29.7, 1.7, 2.0).all()
+    inside = sight.visible_from(flat, 30, 30, 1.7, 2.0, radius=20.0)
     assert inside.sum() == sum(r * r + c * c <= 100 for r in range(-30, 31) for c in range(-30, 31))
     ridge = flat.copy()
     ridge[:, 40] = 30
-    seen = raster.visible_from(ridge, 30, 20, 1.7, 2.0)
+    seen = sight.visible_from(ridge, 30, 20, 1.7, 2.0)
     assert seen[:, :41].all() and not seen[20:41, 42:].any()
-    assert raster.visible_from(ridge, 30, 20, 1.7, 2.0, target=200.0).all()
+    assert sight.visible_from(ridge, 30, 20, 1.7, 2.0, target=200.0).all()
     rough = surface(61, 61, 4) * 2
-    got = raster.visible_from(rough, 30, 30, 1.7, 2.0, k=None)
+    got = sight.visible_from(rough, 30, 30, 1.7, 2.0, k=None)
     assert (got == ray_march(rough, 30, 30, 1.7, 2.0)).mean() >= 0.97
-    deep = raster.visible_from(np.zeros((3, 4000)), 1, 0, 1.7, 20.0)
-    assert not deep[1, 3999] and raster.visible_from(np.zeros((3, 4000)), 1, 0, 1.7, 20.0, k=None).all()
-
-
-def test_viewshed_over_tiles_equals_one_grid(spark):
-    z = surface(50, 44, 2)
-    o = spark.createDataFrame([(i, 0, float(r), float(c), 1.7) for i, (r, c) in enumerate([(3, 3), (25.5, 20.2), (49, 43), (10, 40)])], "obs_id long, grid_id long, row double, col double, height double")
-    small, whole = ({tuple(x) for x in raster.viewshed(grid(spark, z), o, 2.0, 12, tile=t, per_task=2).collect()} for t in (10, 512))
-    assert small == whole
-    want = raster.visible_from(z, 25.5, 20.2, 1.7, 2.0, radius=24.0)
-    assert {(r, c) for i, _, r, c in small if i == 1} == set(zip(*map(lambda v: v.tolist(), np.nonzero(want)), strict=True))
+    deep = sight.visible_from(np.zeros((3, 4000)), 1, 0, 1.7, 20.0)
+    assert not deep[1, 3999] and sight.visible_from(np.zeros((3, 4000)), 1, 0, 1.7, 20.0, k=None).all()
 
 
 def test_repair_judges_wide_areas(spark):
