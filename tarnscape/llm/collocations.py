@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -166,37 +167,46 @@ class Stream:
         self.size += len(ids)
         return int(np.count_nonzero(ids))
 
-    def count(self, low: int, gate: Gate | None, last: bool) -> None:
-        """Puts all held positions into the trie, but for the few whose phrase may go on in what comes next."""
-        if not self.held:
-            return
-        high, ids = self.trie.high, np.concatenate(self.held).astype(np.int64)
+    def positions(self, high: int, last: bool) -> tuple[np.ndarray, int]:
+        """The held word numbers, ``high`` zeros after them, and at how many places a phrase may start; the few whose phrase may go on in what comes next are held on to."""
+        ids = np.concatenate(self.held).astype(np.int64) if self.held else np.empty(0, np.int64)
         n = len(ids) if last else max(0, len(ids) - high + 1)
         self.held, self.size = ([], 0) if last else ([ids[n:]], len(ids) - n)
-        wide = np.concatenate([ids, np.zeros(high, np.int64)])
-        word = [wide[i : i + n] for i in range(high)]
-        if gate is None:
-            fits = [w > 0 for w in word]
-        else:
-            hashes = np.array(self.numbers.hashes, np.uint64)[wide]
-            end = n + high - gate.size
-            there = np.ones(end, bool)
-            for i in range(gate.size):
-                there &= wide[i : i + end] > 0
-            at = np.nonzero(there)[0]
-            there[at] = gate.open(phrase_hash([hashes[at + i] for i in range(gate.size)]))
-            # word i is part of the phrase if the gate is open for the words that end there
-            fits = [there[max(0, i - gate.size + 1) :][:n] for i in range(high)]
+        return np.concatenate([ids, np.zeros(high, np.int64)]), n
+
+    def fitting(self, at: np.ndarray, n: int, high: int, gates: list[Gate]) -> list[np.ndarray]:
+        """For word i of the phrases at n places: whether there is one, and each gate is open for the words that end with it."""
+        word, hashes = at[: n + high] > 0, np.array(self.numbers.hashes, np.uint64)
+        fits = [word[i : i + n].copy() for i in range(high)]
+        for gate in gates:
+            span = n + high - gate.size
+            there = np.logical_and.reduce([word[i : i + span] for i in range(gate.size)])
+            some = np.nonzero(there)[0]
+            there[some] = gate.open(phrase_hash([hashes[at[some + i]] for i in range(gate.size)]))
+            for i in range(gate.size - 1, high):
+                fits[i] &= there[i - gate.size + 1 : i - gate.size + 1 + n]
+        return fits
+
+    def count(self, gates: list[Gate], last: bool) -> None:
+        """Puts the phrases at all held places into the trie."""
+        at, n = self.positions(self.trie.high, last)
         columns, on = [], np.ones(n, bool)
-        for i in range(high):
-            on = on & fits[i]
-            columns.append(np.where(on, word[i], 0))
-        rows = np.nonzero(columns[low - 1])[0]
+        for i, fits in enumerate(self.fitting(at, n, self.trie.high, gates)):
+            on = on & fits
+            columns.append(np.where(on, at[i : i + n], 0))
+        rows = np.nonzero(columns[0])[0]
         if len(rows):
             self.trie.add([c[rows] for c in columns])
 
-    def run(self, parts: list[tuple[np.ndarray, np.ndarray]], low: int) -> Iterator[pa.RecordBatch]:
-        """Spilled subtrees as one sorted run: phrases of low to high words with their counts, which are sums over all that begin so."""
+    def hashed(self, size: int, gates: list[Gate], last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the phrases of ``size`` words at all held places, and how often each occurs."""
+        at, n = self.positions(size, last)
+        rows = np.nonzero(np.logical_and.reduce(self.fitting(at, n, size, gates)))[0]
+        hashes = np.array(self.numbers.hashes, np.uint64)
+        return np.unique(phrase_hash([hashes[at[rows + i]] for i in range(size)]), return_counts=True)
+
+    def run(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Spilled subtrees as one sorted run: phrases of one word to all with their counts, which are sums over all that begin so."""
         if not parts:
             return
         names = self.numbers.names
@@ -209,8 +219,6 @@ class Stream:
         new = np.zeros(len(counts), bool)
         for size in range(1, len(columns) + 1):
             new |= np.diff(columns[size - 1], prepend=-1) != 0
-            if size < low:
-                continue
             starts = np.nonzero(new)[0]
             sums = np.add.reduceat(counts, starts)
             there = columns[size - 1][starts] > 0
@@ -236,31 +244,77 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
     yield [_BREAK]
 
 
-def trie_counts(docs: DataFrame, low: int, high: int, gate: Gate | None, words: int = WORDS, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """(lang, size, phrase, c): sorted runs of the counts of phrases of low to high words, and for size 0 the words of each language.
+def hash_counts(docs: DataFrame, size: int, gates: list[Gate], words: int = WORDS, entries: int = ENTRIES) -> DataFrame:
+    """(h, c): counts of the hashes of all phrases of ``size`` words that pass the gates; a hash may come from several tasks, and more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast(gates)
 
-    Of each phrase, every ``gate.size`` words in a row pass the gate."""
-    shared = docs.sparkSession.sparkContext.broadcast(gate)
+    def count(batches):
+        gates, streams, known, held, size_held = shared.value, {}, 0, [], 0
+
+        def emptied():
+            h, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            c = np.bincount(back, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+            for at in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)].view(np.int64)), pa.array(c[at : at + (1 << 16)])], names=["h", "c"])
+
+        for lang, some in chain(_parts(batches), [(None, None)]):
+            if some is not None:
+                s = streams.get(lang) or streams.setdefault(lang, Stream(lang, 1, BURST))
+                before = len(s.numbers)
+                s.take(some)
+                known += len(s.numbers) - before
+                full = [(lang, False)] if s.size >= POSITIONS else []
+            if some is None or known + 64 * len(streams) > words:  # all texts but the one at hand end with a break
+                full = [(k, k != lang) for k in streams]
+            for k, last in full:
+                held.append(streams[k].hashed(size, gates, last))
+                size_held += len(held[-1][0])
+            if len(full) > 1 or some is None or known + 64 * len(streams) > words:
+                open_words = [s.numbers.names[i] or _BREAK for ids in s.held for i in ids.tolist()] if some is not None else []
+                streams, known = {}, 0
+                if open_words:
+                    streams[lang] = Stream(lang, 1, BURST)
+                    streams[lang].take(open_words)
+                    known = len(streams[lang].numbers)
+            if held and (some is None or size_held > 2 * entries):
+                yield from emptied()
+                held, size_held = [], 0
+
+    return _texts(docs).mapInArrow(count, "h long, c long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+
+
+def _parts(batches) -> Iterator[tuple[str, list[bytes]]]:
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+            raw = text.as_py()
+            for some in tokens(raw) if raw else ():
+                yield lang, some
+
+
+def trie_counts(docs: DataFrame, high: int, gates: list[Gate], words: int = WORDS, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+    """(lang, size, phrase, c): sorted runs of the counts of phrases of one to ``high`` words, and for size 0 the words of each language.
+
+    Every gate is open for each of its sizes of words in a row of a phrase."""
+    shared = docs.sparkSession.sparkContext.broadcast(gates)
 
     def count(batches):
-        gate, streams, totals = shared.value, {}, Counter()
+        gates, streams, totals = shared.value, {}, Counter()
         used = {"words": 0, "entries": 0}
 
         def counted(s: Stream, last: bool) -> None:
             before = s.trie.entries
-            s.count(low, gate, last)
+            s.count(gates, last)
             used["entries"] += s.trie.entries - before
 
         def spilled(s: Stream, keep: int):
             before = s.trie.entries
-            yield from s.run(list(s.trie.spill(keep)), low)
+            yield from s.run(list(s.trie.spill(keep)))
             used["entries"] += s.trie.entries - before
 
-        def lightened():
-            """Half of the entries are left at most."""
-            for s in streams.values():
-                yield from spilled(s, entries // (2 * len(streams)))
-
         def renewed(now: str | None):
             """All is spilled; the open end of the text at hand goes on under new numbers."""
             for lang in list(streams):
@@ -272,26 +326,24 @@ def trie_counts(docs: DataFrame, low: int, high: int, gate: Gate | None, words:
                     streams[lang].take([s.numbers.names[i] or _BREAK for ids in s.held for i in ids.tolist()])
             used["words"] = sum(len(s.numbers) for s in streams.values())
 
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
-                raw = text.as_py()
-                for some in tokens(raw) if raw else ():
-                    s = streams.get(lang) or streams.setdefault(lang, Stream(lang, high, burst))
-                    before = len(s.numbers)
-                    totals[lang] += s.take(some)
-                    used["words"] += len(s.numbers) - before
-                    if s.size >= POSITIONS:
-                        counted(s, False)
-                    if used["words"] + 64 * len(streams) > words:
-                        yield from renewed(lang)
-                    elif used["entries"] > entries:
-                        yield from lightened()
+        for lang, some in _parts(batches):
+            s = streams.get(lang) or streams.setdefault(lang, Stream(lang, high, burst))
+            before = len(s.numbers)
+            totals[lang] += s.take(some)
+            used["words"] += len(s.numbers) - before
+            if s.size >= POSITIONS:
+                counted(s, False)
+            if used["words"] + 64 * len(streams) > words:
+                yield from renewed(lang)
+            elif used["entries"] > entries:
+                for s in streams.values():  # half of the entries are left at most
+                    yield from spilled(s, entries // (2 * len(streams)))
         yield from renewed(None)
         rows = [(k, n) for k, n in totals.items() if n]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([""] * len(rows)), pa.array([n for _, n in rows])], names=["lang", "size", "phrase", "c"])
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, COUNTS)
+    return _texts(docs).mapInArrow(count, COUNTS)
 
 
 def merged(runs: DataFrame, least: int) -> DataFrame:
@@ -302,18 +354,11 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
     return all_of.where((F.col("size") == 0) | (F.col("c") >= least)).select("lang", "size", "phrase", "c")
 
 
-def gate_of(frequent: DataFrame, size: int, bits: int = FILTER_BITS) -> Gate:
-    """The filter of all phrases of ``size`` words: tasks set bits, their bitmaps are joined by aggregates, and the driver gets one of ``bits`` bits."""
-
-    def hashed(batches):
-        for b in batches:
-            if b.num_rows:
-                words = [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
-                langs = b.column("lang").to_pylist()
-                each = [np.fromiter((word_hash(g, w[i]) for g, w in zip(langs, words, strict=True)), np.uint64, len(words)) for i in range(size)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places(phrase_hash(each), bits)))], names=["at"])
-
-    at = frequent.where(F.col("size") == size).select("lang", "phrase").mapInArrow(hashed, "at long")
+def gate_of(hashes: DataFrame, size: int, least: int, bits: int = FILTER_BITS) -> Gate:
+    """The filter of all phrases of ``size`` words whose hash (h, c) counts ``least`` or more: tasks set bits, aggregates join their bitmaps, and the driver gets one of ``bits`` bits."""
+    often = hashes.repartition("h").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    place = lambda h: h.bitwiseAND(F.lit(bits - 1))
+    at = often.select(F.explode(F.array(place(F.col("h")), place(F.shiftrightunsigned("h", 32)))).alias("at"))
     maps = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in maps.collect():
@@ -323,24 +368,18 @@ def gate_of(frequent: DataFrame, size: int, bits: int = FILTER_BITS) -> Gate:
     return Gate(size, out)
 
 
-def phrase_counts(docs: DataFrame, most: int = 4, least: int = 30, bits: int = FILTER_BITS, **how) -> DataFrame:
+def phrase_counts(docs: DataFrame, most: int = 4, least: int = 30, bits: int = FILTER_BITS, words: int = WORDS, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
     """(lang, size, phrase, c): all phrases of one to ``most`` words that occur ``least`` times or more; size 0 has the words of a language.
 
-    In three passes over the texts, as every part of a frequent phrase is frequent too: words;
-    pairs of frequent words; longer phrases of which all pairs are frequent. What a pass may
-    leave out is told by a filter of fixed size, which never leaves out a frequent phrase.
-    Counts are exact. ``lang`` null counts as "und"."""
-    found, gate = [], None
-    for low, high in ((1, 1), (2, 2), (3, most)):
-        if high >= low and low <= most:
-            got = cut(merged(trie_counts(docs, low, high, gate, **how), least), "phrases")
-            found.append(got if low == 1 else got.where("size > 0"))
-            if low < most:
-                gate = gate_of(got, low, bits)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    Every part of a frequent phrase is frequent too. So passes over the texts first count
+    hashes: of words, of pairs of frequent words, of threes whose pairs are frequent; what is
+    frequent goes into filters of fixed size, which never leave out a frequent phrase. The
+    last pass counts the phrases that pass them in tries. Counts are exact. ``lang`` null
+    counts as "und"."""
+    gates: list[Gate] = []
+    for size in range(1, most):
+        gates.append(gate_of(hash_counts(docs, size, gates[-1:], words, entries), size, least, bits))
+    return merged(trie_counts(docs, most, gates, words, entries, burst), least)
 
 
 # ---- scores ----------------------------------------------------------------------------------
