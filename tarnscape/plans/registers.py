@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from tarnscape.operators.joins import envelope_join
 from tarnscape.plans.base import query
-from tarnscape.session import table
+from tarnscape.session import new_path, table
 from tarnscape.sources import fixtures as fx
+from tarnscape.sources import layout
 from tarnscape.streaming import state
 
 BOX = {"e": (200, 400), "n": (300, 500)}
@@ -19,9 +20,10 @@ def s1_filtered_scan(spark, sf):
 
 @query(f"WITH {fx.FEATURES} SELECT id, type FROM features WHERE max_e >= 200 AND min_e <= 400 AND max_n >= 300 AND min_n <= 500")
 def s2_envelope_scan(spark, sf):
-    (e0, e1), (n0, n1) = BOX["e"], BOX["n"]
-    f = fx.features(spark, sf)
-    return f.where((F.col("max_e") >= e0) & (F.col("min_e") <= e1) & (F.col("max_n") >= n0) & (F.col("min_n") <= n1)).select("id", "type")
+    """The features are written along the curve, and the window opens the files that it touches."""
+    path = new_path(spark, "features")
+    layout.write_features(fx.features(spark, sf), path, per_file=500)
+    return layout.scan_window(spark, path, (*BOX["e"], *BOX["n"])).select("id", "type")
 
 
 @query("SELECT c_custkey AS id, coalesce(c_name, '?') AS name FROM customer")
