@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnscape.operators import vectors
+from tarnscape.session import cut
 
 
 def shore_samples(outlines: DataFrame, cells: DataFrame, margin: int = 2) -> DataFrame:
@@ -40,6 +41,40 @@ def century_levels(present: DataFrame, samples: DataFrame, least: int = 50) -> D
     return t.withColumn("level", F.bround(F.min("raw").over(w), 1)).select("slug", "bp", "year", "level", "samples", "raw", "trend_rms")
 
 
+def levels_at(steps: DataFrame, questions: DataFrame) -> DataFrame:
+    """All columns of ``questions`` (slug, year, ...) with level: that of the site's table ``steps`` (slug, year, level) at any year.
+
+    Linear between the two steps around the year, and the first or last level beyond the
+    table. Steps without a slug, year or level don't count; of several at one year the lowest
+    does. A question without a slug or year, or of a site without steps, has a null level. A
+    column named level in ``questions`` is replaced.
+
+    An as-of merge: steps and questions are sorted together by ranges of (slug, year), so a
+    site that most questions ask about spreads over many tasks. Within a range the step before
+    and after is a running last and first; a table with a row for each slug and range has the
+    steps that come from the ranges around it."""
+    asked = [c for c in questions.columns if c != "level"]
+    step = F.struct(F.col("year").cast("double").alias("y"), F.col("level").cast("double").alias("l"))
+    s = steps.where("slug IS NOT NULL AND year IS NOT NULL AND level IS NOT NULL").groupBy("slug", "year").agg(F.min("level").alias("level"))
+    s = s.select(F.col("slug").alias("__s"), F.col("year").cast("double").alias("__y"), F.lit(0).cast("long").alias("__k"), step.alias("__step"), F.lit(None).cast(questions.select(F.struct(*asked)).schema[0].dataType).alias("__q"))
+    q = questions.select(F.col("slug").alias("__s"), F.col("year").cast("double").alias("__y"), F.monotonically_increasing_id().alias("__k") + 1, F.lit(None).cast("struct<y: double, l: double>").alias("__step"), F.struct(*asked).alias("__q")).toDF(*s.columns)
+    ranged = cut(s.unionByName(q).repartitionByRange("__s", "__y", "__k").withColumn("__p", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy("__s", "__p").agg(F.max("__step").alias("__high"), F.min("__step").alias("__low"))
+    by = Window.partitionBy("__s").orderBy("__p")
+    around = per.select(
+        F.col("__s").alias("__t"), F.col("__p").alias("__r"),
+        F.last("__high", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__back"), F.first("__low", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("__ahead"),
+    )
+    inner = Window.partitionBy("__s", "__p").orderBy("__y", "__k")
+    last, after = F.last("__step", True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.first("__step", True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    both = ranged.select("*", last.alias("__last"), after.alias("__next")).where("__q IS NOT NULL")
+    both = both.join(around, F.expr("__s = __t AND __p = __r"), "left")
+    a, b, y = F.coalesce("__last", "__back"), F.coalesce("__next", "__ahead"), F.col("__y")
+    between = a["l"] + (b["l"] - a["l"]) * ((y - a["y"]) / (b["y"] - a["y"]))
+    level = F.when(y.isNull(), None).when(a.isNull(), b["l"]).when(b.isNull() | (a["y"] == y), a["l"]).otherwise(between)
+    return both.select(*[F.col("__q")[c].alias(c) for c in asked], level.alias("level"))
+
+
 def missing_centuries(levels: DataFrame, youngest: int = 800, oldest: int = 3000) -> DataFrame:
     """(slug, bp): centuries of the range that a site has no entry for."""
     every = levels.select("slug").distinct().select("slug", F.explode(F.sequence(F.lit(youngest), F.lit(oldest), F.lit(100))).alias("bp"))

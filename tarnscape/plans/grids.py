@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnscape.operators import raster, sight
+from tarnscape.operators import raster, series, sight
 from tarnscape.plans.base import query
 from tarnscape.session import cut, table
 from tarnscape.sources import fixtures as fx
@@ -46,11 +46,15 @@ LEVEL_AT = """steps(y0, l0) AS (VALUES (-1000, 14.0::DOUBLE), (-500, 11.0), (0,
   iv AS (SELECT *, lead(y0) OVER (ORDER BY y0) AS y1, lead(l0) OVER (ORDER BY y0) AS l1, lag(y0) OVER (ORDER BY y0) IS NULL AS f FROM steps)"""
 
 
-@query(f"""WITH {LEVEL_AT}, y AS (SELECT event_id, (event_id % 3001 - 1500)::INT AS year FROM events)
-  SELECT event_id, year, round(CASE WHEN y1 IS NULL OR year < y0 THEN l0 ELSE l0 + (l1 - l0) * (year - y0) / (y1 - y0) END, 6) AS level FROM y JOIN iv ON (year >= y0 AND (y1 IS NULL OR year < y1)) OR (f AND year < y0)""")
+@query(f"""WITH {fx.LEVELS}, st AS (SELECT slug, (1950 - bp)::DOUBLE AS y, round(median(value), 6) AS l FROM samples GROUP BY slug, bp HAVING count(value) >= 3),
+  iv AS (SELECT *, lead(y) OVER w AS y1, lead(l) OVER w AS l1, lag(y) OVER w IS NULL AS f FROM st WINDOW w AS (PARTITION BY slug ORDER BY y)),
+  q AS (SELECT event_id, user_id AS slug, (event_id % 4001 - 2200)::INT AS year FROM events)
+  SELECT event_id, q.slug, year, round(CASE WHEN y1 IS NULL OR year < y THEN l ELSE l + (l1 - l) * ((year - y) / (y1 - y)) END, 6) AS level FROM q LEFT JOIN iv ON iv.slug = q.slug AND ((year >= y AND (y1 IS NULL OR year < y1)) OR (f AND year < y))""")
 def j7_level_at_year(spark, sf):
-    y = table(spark, sf, "events").select("event_id", F.expr("int(event_id % 3001 - 1500)").alias("year"))
-    return level_at(spark, y).withColumn("level", F.round("level", 6))
+    """Levels at any year from each site's own table of centuries."""
+    s = fx.level_samples(spark, sf).groupBy("slug", "bp").agg(F.round(F.median("value"), 6).alias("level"), F.count("value").alias("n")).where("n >= 3")
+    q = table(spark, sf, "events").select("event_id", F.col("user_id").alias("slug"), F.expr("int(event_id % 4001 - 2200)").alias("year"))
+    return series.levels_at(s.select("slug", (1950 - F.col("bp")).alias("year"), "level"), q).withColumn("level", F.round("level", 6))
 
 
 @query(f"""WITH RECURSIVE {FLOOD}, {LEVEL_AT}, y(year) AS (VALUES (-800), (-200), (350), (900)),

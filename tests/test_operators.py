@@ -4,6 +4,7 @@ import heapq
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
@@ -124,13 +125,26 @@ def test_nearest_evidence_equals_brute_force(spark):
     assert got == {k: v for k, v in want.items() if v <= 36}
 
 
-def test_stream_gives_the_batch_state(spark, tmp_path):
+def test_stream_gives_the_batch_state_after_every_batch(spark, tmp_path):
+    """Late, replayed and null events; a restart for each batch; past files are gone by then; a torn batch doesn't count."""
     rng = random.Random(5)
-    rows = [(rng.randrange(9), i, rng.choice(["build", "upload", "failure"]), rng.random() < 0.7, float(i)) for i in range(200)]
+    rows = [(rng.choice([*range(9), None]), i, rng.choice(["build", "upload", "failure"]), rng.random() < 0.7, float(i)) for i in range(240)]
     schema = "slug long, at long, kind string, ok boolean, bytes double"
     log = spark.createDataFrame(rows, schema)
-    for k in range(3):
-        log.where(F.col("at") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-        state.stream_state(spark, f"{tmp_path}/log", log.schema, f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
-    got = sorted(map(tuple, state.latest_state(spark, f"{tmp_path}/state").collect()))
-    assert got == sorted(map(tuple, state.fold_state(log).collect()))
+    parts = [rows[k::4] for k in range(4)] + [rows[:30], rows[200:]]  # the last two are replays
+    seen = []
+    for k, part in enumerate(parts):
+        seen += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        state.stream_state(spark, f"{tmp_path}/log", log.schema, f"{tmp_path}/state", f"{tmp_path}/cp", buckets=4).awaitTermination()
+        for f in (tmp_path / "log").glob("*.parquet"):
+            f.unlink()
+        want = sorted(map(tuple, state.fold_state(spark.createDataFrame(seen, schema)).collect()), key=str)
+        assert sorted(map(tuple, state.latest_state(spark, f"{tmp_path}/state").collect()), key=str) == want, k
+    # a repeated batch, and one that never came to its end
+    state._merge(state.fold_state(log.limit(3)), 1, f"{tmp_path}/state", 4)
+    state.fold_state(log.limit(3)).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{tmp_path}/state/batch=99")
+    (tmp_path / "state/batch=99/_SUCCESS").unlink()
+    assert sorted(map(tuple, state.latest_state(spark, f"{tmp_path}/state").collect()), key=str) == want
+    with pytest.raises(FileNotFoundError):
+        state.latest_state(spark, f"{tmp_path}/nothing")
