@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -88,7 +89,6 @@ def test_small_memory_spills_and_bursts_to_the_same_counts(spark, monkeypatch):
 def test_parts_of_a_text_count_as_one(monkeypatch):
     rows = made(3)
     monkeypatch.setattr(collocations, "CHARS", 7)
-    monkeypatch.setattr(collocations, "POSITIONS", 5)
     trie = {}
     for g, t in rows:
         s = trie.setdefault(g, collocations.Stream(str(g), 4, 2))
@@ -100,23 +100,37 @@ def test_parts_of_a_text_count_as_one(monkeypatch):
     found = Counter()
     for s in trie.values():
         s.count([], True)
-        for b in s.run(list(s.trie.spill(0))):
-            for r in b.to_pylist():
-                found[r["lang"], tuple(r["phrase"].split(" "))] += r["c"]
+        for _, phrases, counts in s.runs(0, 7):
+            for p, c in zip(zlib.decompress(phrases).decode().split("\n"), np.frombuffer(zlib.decompress(counts), np.int64), strict=True):
+                found[s.lang, tuple(p.split(" "))] += int(c)
         assert s.trie.entries == 0
     assert found == f
 
 
-def test_runs_are_sorted_and_whole_subtrees_leave_first():
-    t = collocations.Trie(2, 4)
+@pytest.mark.parametrize("high", [2, 3, 4])
+def test_largest_subtrees_leave_first_and_nothing_is_lost(high):
+    t = collocations.Trie(high, 4)
     rng = np.random.default_rng(0)
-    t.add([rng.integers(1, 5, 500), rng.integers(1, 90, 500)])
+    columns = [rng.integers(1, 5 + 20 * i, 800) for i in range(high)]
+    t.add([c[:500] for c in columns])
+    t.add([c[500:] for c in columns])
     before = t.entries
-    parts = list(t.spill(before // 2))
-    left = {w for w, at in t.root.items()}
-    gone = {int(w) for c, _ in parts for w in c[0]}
-    assert parts and not left & gone and t.entries <= before // 2 < before
-    assert sum(len(n) for _, n in parts) + t.entries == before
+    part, n = t.spill(before // 2)
+    assert len(n) and not set(t.root) & set(part[0].tolist()) and t.entries <= before // 2 < before
+    rest, m = t.spill(0)
+    got = Counter()
+    for c, k in ((part, n), (rest, m)):
+        for row, count in zip(c.T.tolist(), k.tolist(), strict=True):
+            got[tuple(row)] += count
+    assert got == Counter(zip(*(c.tolist() for c in columns), strict=True)) and t.entries == 0
+
+
+def test_runs_of_hashes_come_back():
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 2**48, 5000).astype(np.uint64))
+    assert (collocations._unpack(collocations._pack(h)) == h).all()
+    a, b = collocations._summed([h, h[::2]], [np.ones(len(h), np.int64), np.full(len(h[::2]), 3)])
+    assert (a == h).all() and (b[::2] == 4).all() and (b[1::2] == 1).all()
 
 
 def test_empty_tables(spark):
