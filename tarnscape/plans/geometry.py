@@ -163,7 +163,7 @@ def g13_inward_normals(spark, sf):
 def g14_containment(spark, sf):
     """Small outlines, and all outlines that contain them; strictly, or with a shared border."""
     e = fx.vertices(spark, sf).groupBy("feature_id").agg(F.min("x").alias("min_e"), F.max("x").alias("max_e"), F.min("y").alias("min_n"), F.max("y").alias("max_n"))
-    j = envelope_join(e.where("max_e - min_e < 400 AND max_n - min_n < 400"), e, 250)
+    j = envelope_join(e.where("max_e - min_e < 400 AND max_n - min_n < 400"), e)
     inside = "min_e >= min_e_b AND max_e <= max_e_b AND min_n >= min_n_b AND max_n <= max_n_b AND feature_id <> feature_id_b"
     strict = F.expr("min_e > min_e_b AND max_e < max_e_b AND min_n > min_n_b AND max_n < max_n_b")
     return j.where(inside).select(F.col("feature_id").alias("inner_id"), F.col("feature_id_b").alias("outer_id"), strict.alias("strict"))

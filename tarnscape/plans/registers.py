@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnscape.operators.joins import envelope_join
+from tarnscape.operators.joins import best_records, envelope_join
 from tarnscape.plans.base import query
 from tarnscape.session import new_path, table
 from tarnscape.sources import fixtures as fx
@@ -64,7 +64,25 @@ def s9_connect_precedence(spark, sf):
 @query(f"WITH {fx.SITES}, {fx.FEATURES} SELECT s_suppkey, id, type FROM sites JOIN features ON max_e >= e - half AND min_e <= e + half AND max_n >= n - half AND min_n <= n + half")
 def j1_range_join(spark, sf):
     s = fx.sites(spark, sf).selectExpr("s_suppkey", "e - half AS min_e", "e + half AS max_e", "n - half AS min_n", "n + half AS max_n")
-    return envelope_join(s, fx.features(spark, sf), 100).select("s_suppkey", F.col("id_b").alias("id"), F.col("type_b").alias("type"))
+    return envelope_join(s, fx.features(spark, sf)).select("s_suppkey", F.col("id_b").alias("id"), F.col("type_b").alias("type"))
+
+
+#: Types that a site's map shows.
+SHOWN = ("BUILDING", "MACHINERY", "AUTOMOBILE")
+
+
+@query(f"""WITH {fx.SITES}, {fx.FEATURES}, p AS (SELECT s_suppkey, id // 4 AS record, (id * 7) % 3 AS kind, id, features.name, type, (min_e + max_e) / 2.0 AS x, (min_n + max_n) / 2.0 AS y FROM sites JOIN features ON max_e >= e - half AND min_e <= e + half AND max_n >= n - half AND min_n <= n + half WHERE type IN {SHOWN}),
+  b AS (SELECT *, min(kind) OVER (PARTITION BY s_suppkey, record) AS best FROM p)
+  SELECT s_suppkey, record, best AS kind, min_by(name, id) AS name, min_by(type, id) AS type, count(*)::INT AS parts, round(min_by(x, id), 2) AS x, round(sum(y) / count(*), 2) AS y FROM b WHERE kind = best GROUP BY s_suppkey, record, best""")
+def j1_site_records(spark, sf):
+    """What each site's map shows: one record an id, from its polygons, else lines, else points, named by the first of these."""
+    s = fx.sites(spark, sf).selectExpr("s_suppkey", "e - half AS min_e", "e + half AS max_e", "n - half AS min_n", "n + half AS max_n")
+    f = fx.features(spark, sf).where(F.col("type").isin(*SHOWN))
+    middle = F.struct(((F.col("min_e_b") + F.col("max_e_b")) / 2.0).alias("x"), ((F.col("min_n_b") + F.col("max_n_b")) / 2.0).alias("y"))
+    j = envelope_join(s, f).select("s_suppkey", F.expr("id_b div 4").alias("record"), F.expr("(id_b * 7) % 3").alias("kind"), "id_b", F.col("name_b").alias("name"), F.col("type_b").alias("type"), middle.alias("g"))
+    r = best_records(j, ["s_suppkey", "record"], F.col("kind"), F.col("id_b"), ["name", "type"], "g")
+    total = F.aggregate("geometries", F.lit(0.0), lambda a, g: a + g["y"])
+    return r.select("s_suppkey", "record", F.col("rank").alias("kind"), "name", "type", F.size("geometries").alias("parts"), F.round(F.col("geometries")[0]["x"], 2).alias("x"), F.round(total / F.size("geometries"), 2).alias("y"))
 
 
 @query(f"WITH {fx.SITES}, {fx.FEATURES}, p AS (SELECT DISTINCT s_suppkey, type FROM sites JOIN features ON max_e >= e - 30 AND min_e <= e + 30 AND max_n >= n - 30 AND min_n <= n + 30) SELECT type, count(*) AS sites, round(count(*) / (SELECT count(*) FROM sites)::DOUBLE, 6) AS share FROM p GROUP BY 1")
@@ -72,7 +90,7 @@ def j2_neighbourhood_survey(spark, sf):
     """Share of sites with each type of remain near them."""
     s = fx.sites(spark, sf)
     box = s.selectExpr("s_suppkey", "e - 30 AS min_e", "e + 30 AS max_e", "n - 30 AS min_n", "n + 30 AS max_n")
-    p = envelope_join(box, fx.features(spark, sf), 100).select("s_suppkey", F.col("type_b").alias("type")).distinct()
+    p = envelope_join(box, fx.features(spark, sf)).select("s_suppkey", F.col("type_b").alias("type")).distinct()
     total = s.agg(F.count("*").alias("total"))
     return p.groupBy("type").agg(F.count("*").alias("sites")).crossJoin(F.broadcast(total)).select("type", "sites", F.round(F.col("sites") / F.col("total"), 6).alias("share"))
 

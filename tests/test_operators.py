@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
-from tarnscape.operators import raster
+from tarnscape.operators import joins, raster
 from tarnscape.operators.graph import components
 from tarnscape.operators.joins import envelope_join
 from tarnscape.streaming import state
@@ -98,7 +98,6 @@ def test_projection_of_a_known_point(spark):
     row = spark.range(1).select(F.expr(e).alias("e"), F.expr(n).alias("n")).first()
     assert abs(row["e"] - 500000) < 1e-6 and abs(row["n"] - 6651411.19) < 0.1
 
-
 def test_envelope_join_equals_brute_force(spark):
     rng = random.Random(2)
 
@@ -106,13 +105,47 @@ def test_envelope_join_equals_brute_force(spark):
         out = []
         for i in range(n):
             x, y = rng.randint(-50, 50), rng.randint(-50, 50)
-            out.append((i, x, x + rng.randint(0, 30), y, y + rng.randint(0, 30)))
-        return out
+            w = rng.choice([0, 1, 30, 300])
+            out.append((i, x, x + rng.randint(0, w), y, y + rng.randint(0, w)))
+        return out + [(n, None, 1, 2, 3), *out[:3]]
 
     a, b = boxes(40), boxes(60)
     s = "id long, min_e long, max_e long, min_n long, max_n long"
-    got = sorted((r["id"], r["id_b"]) for r in envelope_join(spark.createDataFrame(a, s), spark.createDataFrame(b, s), 16).collect())
-    assert got == sorted((p[0], q[0]) for p in a for q in b if p[2] >= q[1] and p[1] <= q[2] and p[4] >= q[3] and p[3] <= q[4])
+    want = sorted((p[0], q[0]) for p in a for q in b if None not in (*p, *q) and p[2] >= q[1] and p[1] <= q[2] and p[4] >= q[3] and p[3] <= q[4])
+    for bound in (4, 16, 4096):
+        df = envelope_join(spark.createDataFrame(a, s), spark.createDataFrame(b, s).withColumn("__leaf_note", F.lit(1)), bound)
+        assert df.columns[:6] == ["id", "min_e", "max_e", "min_n", "max_n", "id_b"]
+        assert sorted((r["id"], r["id_b"]) for r in df.collect()) == want
+    assert envelope_join(spark.createDataFrame(a, s).limit(0), spark.createDataFrame(b, s)).count() == 0
+
+
+def test_no_block_is_over_the_bound_with_all_on_one_spot(spark):
+    spot = "id", "5.0D AS min_e", "6.0D AS max_e", "7.0D AS min_n", "7.0D AS max_n"
+    a = spark.range(1500).selectExpr(*spot)
+    b = spark.range(300).selectExpr(*spot).unionByName(spark.range(300, 1000).selectExpr("id", "id * 1.0D AS min_e", "id + 0.5D AS max_e", "id % 7 * 1.0D AS min_n", "id % 7 + 1.0D AS max_n"))
+    bound = 200
+    for side in joins.assigned(joins._numbered(a, "a"), joins._numbered(b, "b"), bound):
+        assert side.groupBy("__leaf", "__i", "__j").count().agg(F.max("count")).first()[0] <= bound
+    j = envelope_join(a, b, bound)
+    assert j.count() == 1500 * 300 + 0 * 1 and j.select("id", "id_b").distinct().count() == 1500 * 300
+
+
+def test_leaves_part_a_crowd(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(10, 0.01, (500, 2)), rng.uniform(0, 1000, (500, 2))])
+    boxes = np.stack([x[:, 0], x[:, 0] + 0.001, x[:, 1], x[:, 1] + 0.001], axis=1)
+    tree = joins.Quadtree((-1.0, 1001.0, -1.0, 1001.0), boxes, 20)
+    rows, leaves = tree.leaves_of(boxes)
+    assert set(rows) == set(range(1000)) and np.bincount(leaves).max() <= 20
+    wide = np.array([[-1.0, 1000.0, -1.0, 1000.0]])
+    assert len(tree.leaves_of(wide)[1]) == (tree.child < 0).sum()
+
+
+def test_records_take_their_best_kind(spark):
+    rows = [(1, "a", 2, 1, "x", "L1"), (1, "a", 1, 9, "y", "P2"), (1, "a", 1, 3, "z", "P1"), (1, "b", 3, 1, "w", "Q"), (1, "b", 1, 1, "w", None), (None, "c", 1, 1, "w", "P"), (2, "a", 3, 5, None, "Q1"), (2, "a", 3, 6, "v", "Q2")]
+    df = spark.createDataFrame(rows, "site long, id string, kind int, seq int, name string, g string")
+    got = joins.best_records(df, ["site", "id"], F.col("kind"), F.col("seq"), ["name"], "g")
+    assert sorted((r.site, r.id, r.rank, r.name, tuple(r.geometries)) for r in got.collect()) == [(1, "a", 1, "z", ("P1", "P2")), (1, "b", 3, "w", ("Q",)), (2, "a", 3, None, ("Q1", "Q2"))]
 
 
 def test_nearest_evidence_equals_brute_force(spark):
