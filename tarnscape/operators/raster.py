@@ -108,64 +108,113 @@ def _down_columns(has: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return dr, np.minimum(np.where(d_up == dr, v_up, np.inf), np.where(d_down == dr, v_down, np.inf))
 
 
-def _along_rows(dr: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least squared distance over all columns of the row, and its value (ties: the smaller), up to ``most`` cells.
-
-    Columns further and further away are tried until none can be nearer than what each cell has."""
-    far = np.int64(_FAR) * _FAR
-    best = np.where(dr < _FAR, dr.astype(np.int64) ** 2, far)
-    own, val, width = best.copy(), v.copy(), dr.shape[1]
-    for dx in range(1, min(most, width - 1) + 1):
-        if best.max() < dx * dx:
-            break
-        for here, there in ((np.s_[:, dx:], np.s_[:, :-dx]), (np.s_[:, :-dx], np.s_[:, dx:])):
-            d = np.where(own[there] < far, own[there] + dx * dx, far)
-            nearer = (d < best[here]) | ((d == best[here]) & (v[there] < val[here]))
-            best[here] = np.where(nearer, d, best[here])
-            val[here] = np.where(nearer, v[there], val[here])
-    return best, val
-
-
-def nearest_evidence(cells: DataFrame, evidence: DataFrame, radius: int | None = None, strip: int = 64) -> DataFrame:
-    """(grid_id, r, c, d2, v): squared distance in cells to the nearest evidence cell; v is its value (ties: the smallest).
-
-    ``evidence`` has grid_id, r, c and a numeric v. Cells with no evidence within ``radius``
-    (anywhere in the grid, without one) are absent. Exact, in two passes: strips of columns
-    find the nearest evidence up and down, then strips of rows the nearest over all columns.
-    A task holds one strip; between the passes go blocks of strip x strip cells, packed."""
-    most = radius if radius is not None else 1 << 20
-    e = evidence.select("grid_id", "r", "c", F.col("v").cast("double").alias("v")).groupBy("grid_id", "r", "c").agg(F.min("v").alias("v"))
+def _along_rows(dr: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least squared distance over all columns of the row, and its value (ties: the smaller); infinity as value where there is none.
+
+    The squared distance to what column k has is a parabola over the row's cells, and the
+    answer their lower envelope. Columns are taken in turn, all rows at once; each parabola
+    enters a row's stack once, with the first cell from which on it is the lowest, and leaves
+    it at most once. So the time is linear in the width, wherever the evidence lies."""
+    rows, width = dr.shape
+    f = dr.astype(np.int64) ** 2
+    has = dr < _FAR
+    stack, start = np.zeros((rows, width + 1), np.int64), np.zeros((rows, width + 1), np.int64)
+    top = np.full(rows, -1)
+    for k in np.nonzero(has.any(axis=0))[0].tolist():
+        r = np.nonzero(has[:, k])[0]
+        while len(r):
+            t = top[r]
+            j = stack[r, np.maximum(t, 0)]
+            # parabola k is below that of column j from here on; where they meet in a cell, the smaller value counts
+            over, gap = f[r, k] + k * k - f[r, j] - j * j, 2 * np.maximum(k - j, 1)
+            at = over // gap
+            begins = np.where((over % gap == 0) & (v[r, k] < v[r, j]), at, at + 1)
+            none = t < 0
+            drops = ~none & (begins <= start[r, np.maximum(t, 0)])
+            stays = ~drops
+            s = r[stays]
+            top[s] += 1
+            stack[s, top[s]] = k
+            start[s, top[s]] = np.where(none, 0, np.maximum(begins, 0))[stays]
+            r = r[drops]
+            top[r] -= 1
+    order = np.zeros((rows, width + 1), np.int64)
+    n = top + 1
+    row = np.repeat(np.arange(rows), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    np.maximum.at(order, (row, np.minimum(start[row, place], width)), place)
+    order = np.maximum.accumulate(order[:, :width], axis=1)
+    j = np.take_along_axis(stack, order, axis=1)
+    any_of = (top >= 0)[:, None]
+    d2 = np.take_along_axis(f, j, axis=1) + (np.arange(width) - j) ** 2
+    return np.where(any_of, d2, np.int64(_FAR) * _FAR), np.where(any_of, np.take_along_axis(v, j, axis=1), np.inf)
+
+
+def _distances(cells: DataFrame, evidence: DataFrame, kinds: int, strip: int) -> DataFrame:
+    """(grid_id, r, c, d2_0, v_0, d2_1, ...): for each cell and kind (0 to kinds - 1) the squared distance to the nearest evidence, and its value; null without any.
+
+    Two passes: strips of columns find the nearest evidence up and down, then strips of rows
+    the nearest over all columns. A task holds one strip; between the passes go blocks of
+    strip x strip cells with all kinds, packed."""
+    e = evidence.select("grid_id", "r", "c", "kind", F.col("v").cast("double").alias("v")).where("v IS NOT NULL").groupBy("grid_id", "r", "c", "kind").agg(F.min("v").alias("v"))
     # evidence outside the cells counts too, as rows that aren't returned
-    both = cells.select("grid_id", "r", "c", F.lit(True).alias("cell"), F.lit(None).cast("double").alias("v")).unionByName(e.withColumn("cell", F.lit(False)))
+    both = cells.select("grid_id", "r", "c", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("double").alias("v")).unionByName(e)
     block = "grid_id long, rb int, cb int, dr binary, val binary, cell binary"
 
     def columns(pdf: pd.DataFrame) -> pd.DataFrame:
         g, cb = pdf["grid_id"].iloc[0], int(pdf["c"].iloc[0]) // strip
         r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64) - cb * strip
         n = -(-(int(r.max()) + 1) // strip) * strip
-        v = np.full((n, strip), np.inf)
-        is_e = ~pdf["cell"].to_numpy(bool)
-        v[r[is_e], c[is_e]] = pdf["v"].to_numpy(np.float64)[is_e]
+        kind = pdf["kind"].to_numpy(np.float64, na_value=np.nan)
+        is_e = ~np.isnan(kind)
+        v = np.full((kinds, n, strip), np.inf)
+        v[kind[is_e].astype(int), r[is_e], c[is_e]] = pdf["v"].to_numpy(np.float64)[is_e]
         cell = np.zeros((n, strip), bool)
         cell[r[~is_e], c[~is_e]] = True
-        dr, val = _down_columns(np.isfinite(v), v)
+        far = [_down_columns(np.isfinite(x), x) for x in v]
+        dr, val = np.stack([x[0] for x in far]), np.stack([x[1] for x in far])
         parts = range(n // strip)
-        cut_ = lambda a, k, t: np.ascontiguousarray(a[k * strip : (k + 1) * strip].astype(t)).tobytes()
+        cut_ = lambda a, k, t: np.ascontiguousarray(a[..., k * strip : (k + 1) * strip, :].astype(t)).tobytes()
         return pd.DataFrame({"grid_id": g, "rb": list(parts), "cb": cb, "dr": [cut_(dr, k, np.int32) for k in parts], "val": [cut_(val, k, np.float64) for k in parts], "cell": [cut_(cell, k, bool) for k in parts]})
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         g, rb, first = pdf["grid_id"].iloc[0], int(pdf["rb"].iloc[0]), int(pdf["cb"].min())
         width = (int(pdf["cb"].max()) - first + 1) * strip
-        dr, val, cell = np.full((strip, width), _FAR), np.full((strip, width), np.inf), np.zeros((strip, width), bool)
+        dr, val, cell = np.full((kinds, strip, width), _FAR), np.full((kinds, strip, width), np.inf), np.zeros((strip, width), bool)
         for cb, a, b, x in zip(pdf["cb"], pdf["dr"], pdf["val"], pdf["cell"], strict=True):
-            at = np.s_[:, (cb - first) * strip : (cb - first + 1) * strip]
-            dr[at], val[at], cell[at] = (np.frombuffer(y, t).reshape(strip, strip) for y, t in ((a, np.int32), (b, np.float64), (x, bool)))
-        d2, v = _along_rows(dr, val, most)
-        r, c = np.nonzero(cell & np.isfinite(v) & (d2 <= most * most))
-        return pd.DataFrame({"grid_id": g, "r": r + rb * strip, "c": c + first * strip, "d2": d2[r, c], "v": v[r, c]})
+            at = np.s_[..., (cb - first) * strip : (cb - first + 1) * strip]
+            dr[at], val[at], cell[at] = np.frombuffer(a, np.int32).reshape(kinds, strip, strip), np.frombuffer(b).reshape(kinds, strip, strip), np.frombuffer(x, bool).reshape(strip, strip)
+        r, c = np.nonzero(cell)
+        out = {"grid_id": g, "r": r + rb * strip, "c": c + first * strip}
+        for k in range(kinds):
+            d2, v = (x[r, c] for x in _along_rows(dr[k], val[k]))
+            out |= {f"d2_{k}": pd.Series(d2, dtype="Int64").where(np.isfinite(v)), f"v_{k}": pd.Series(v).where(np.isfinite(v))}
+        return pd.DataFrame(out)
 
     packed = both.groupBy("grid_id", F.expr(f"int(c div {strip})")).applyInPandas(columns, block)
-    return packed.groupBy("grid_id", "rb").applyInPandas(rows, "grid_id long, r int, c int, d2 long, v double")
+    named = ", ".join(f"d2_{k} long, v_{k} double" for k in range(kinds))
+    return packed.groupBy("grid_id", "rb").applyInPandas(rows, f"grid_id long, r int, c int, {named}")
+
+
+def nearest_evidence(cells: DataFrame, evidence: DataFrame, radius: int | None = None, strip: int = 64) -> DataFrame:
+    """(grid_id, r, c, d2, v): squared distance in cells to the nearest evidence cell; v is its value (ties: the smallest).
+
+    ``evidence`` has grid_id, r, c and a numeric v; a null v is no evidence. Cells with no
+    evidence within ``radius`` (anywhere in the grid, without one) are absent. Exact, and in
+    linear time (see _distances)."""
+    d = _distances(cells, evidence.withColumn("kind", F.lit(0)), 1, strip).where("d2_0 IS NOT NULL")
+    d = d if radius is None else d.where(F.col("d2_0") <= radius * radius)
+    return d.select("grid_id", "r", "c", F.col("d2_0").alias("d2"), F.col("v_0").alias("v"))
+
+
+def distance_by_kind(cells: DataFrame, evidence: DataFrame, kinds: list[str], strip: int = 64) -> DataFrame:
+    """(grid_id, r, c, one column for each of ``kinds``): squared distance in cells to the nearest evidence (grid_id, r, c, kind) of each, null without any.
+
+    All kinds go through the same two shuffles; evidence of other kinds doesn't count."""
+    number = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int") - 1
+    e = evidence.where(F.col("kind").isin(*kinds)).select("grid_id", "r", "c", number.alias("kind"), F.lit(0.0).alias("v"))
+    d = _distances(cells, e, len(kinds), strip)
+    return d.select("grid_id", "r", "c", *[F.col(f"d2_{i}").alias(k) for i, k in enumerate(kinds)])
 
 
 def nearest_fill(cells: DataFrame, value: str = "z") -> DataFrame:

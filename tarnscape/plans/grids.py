@@ -141,9 +141,12 @@ def j11_evidence_distance(spark, sf):
     return raster.nearest_evidence(fx.cells(spark, sf), e, 20).select("grid_id", "r", "c", "d2")
 
 
-@query(f"""WITH {fx.HOLED}, k AS (SELECT a.grid_id, a.r, a.c, min(((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) * 1000 + b.z) % 1000 AS z
-  FROM holed a JOIN holed b ON a.grid_id = b.grid_id AND b.z IS NOT NULL WHERE a.z IS NULL GROUP BY 1, 2, 3)
-  SELECT grid_id, r, c, z::DOUBLE AS z, TRUE AS filled FROM k UNION ALL SELECT grid_id, r, c, z, FALSE FROM holed WHERE z IS NOT NULL""")
+# down the columns, then along the rows: a distance and the value there as one number, least first
+@query(f"""WITH {fx.HOLED}, u AS (SELECT grid_id, r, c, z, max(CASE WHEN z IS NOT NULL THEN r END) OVER up AS a, arg_max(z, r) FILTER (z IS NOT NULL) OVER up AS za, min(CASE WHEN z IS NOT NULL THEN r END) OVER down AS b, arg_min(z, r) FILTER (z IS NOT NULL) OVER down AS zb
+    FROM holed WINDOW up AS (PARTITION BY grid_id, c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY grid_id, c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  col AS (SELECT grid_id, r, c, z, least(coalesce((r - a) * (r - a) * 1000 + za, 100000000), coalesce((b - r) * (b - r) * 1000 + zb, 100000000)) AS near FROM u),
+  k AS (SELECT x.grid_id, x.r, x.c, min(y.near + (x.c - y.c) * (x.c - y.c) * 1000) AS best FROM col x JOIN col y ON x.grid_id = y.grid_id AND x.r = y.r WHERE x.z IS NULL AND y.near < 100000000 GROUP BY 1, 2, 3)
+  SELECT grid_id, r, c, (best % 1000)::DOUBLE AS z, TRUE AS filled FROM k UNION ALL SELECT grid_id, r, c, z, FALSE FROM holed WHERE z IS NOT NULL""")
 def j12_nearest_fill(spark, sf):
     """An uncovered cell takes the value of the nearest covered one, however far (ties: the lowest value)."""
     return raster.nearest_fill(fx.holed(spark, sf))
@@ -231,13 +234,13 @@ def land_cover(ground, evidence, res: float, rules: dict = RULES):
     0 water, 1 fen, 2 cleared, 3 road or gravel, 4 farmland (mapped, then by nearness), 5
     meadow, 6 pasture, 7 broadleaf, 8 conifer. ``evidence`` has a family for each cell:
     monument, road, cultivation, settlement. Soil groups: 0 water, 1 peat, 2 fine, 3 clay,
-    4 gravel, 5 till. Each distance is searched only as far as its rule reaches."""
-    p, s = rules, ground
-    reach = {"monument": p["monument_m"], "road": p["road_m"], "cultivation": p["cultivation_m"], "settlement": max(p["farmland_m"], p["pasture_m"])}
-    looked = [(f"d_{k}", evidence.where(F.col("family") == k), m) for k, m in reach.items()] + [("d_fine", ground.where("g = 2"), p["margin_m"])]
-    for name, e, metres in looked:
-        d = raster.nearest_evidence(ground, e.withColumn("v", F.lit(0)), int(metres // res))
-        s = s.join(d.select("grid_id", "r", "c", (F.sqrt("d2") * res).alias(name)), ["grid_id", "r", "c"], "left")
+    4 gravel, 5 till. All five distances come from one pass over the grid."""
+    p = rules
+    fine = ground.where("g = 2").select("grid_id", "r", "c", F.lit("fine").alias("kind"))
+    marks = evidence.select("grid_id", "r", "c", F.col("family").alias("kind")).unionByName(fine)
+    d = raster.distance_by_kind(ground, marks, ["monument", "road", "cultivation", "settlement", "fine"])
+    d = d.select("grid_id", "r", "c", *[(F.sqrt(k) * res).alias(f"d_{k}") for k in d.columns[3:]])
+    s = ground.join(d, ["grid_id", "r", "c"], "left")
     near = lambda name, key: F.col(name) <= p[key]
     g, slope = F.col("g"), F.col("slope")
     old = F.col("connect") > p["level_m"] + p["fresh_m"] - 0.0005

@@ -1,6 +1,7 @@
 """Grid, geometry, source and document operators against brute force and known shapes."""
 
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,45 @@ def test_distance_reaches_everywhere_and_takes_the_smallest_value(spark):
     assert max(x.d2 for x in raster.nearest_evidence(grid(spark, z), e, 5, 16).collect()) == 25
 
 
+def brute_rows(dr, v):
+    out = []
+    for f, w in zip(dr, v, strict=True):
+        best = [min(((int(f[j]) ** 2 + (i - j) ** 2, w[j]) for j in range(len(f)) if f[j] < raster._FAR), default=(raster._FAR**2, np.inf)) for i in range(len(f))]
+        out.append(best)
+    return out
+
+
+def test_lower_envelope_equals_all_columns():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = rng.integers(1, 6), rng.integers(1, 40)
+        dr = np.where(rng.random((n, m)) < rng.random(), rng.integers(0, rng.choice([2, 9, 60]), (n, m)), raster._FAR)
+        v = np.where(dr < raster._FAR, rng.integers(0, 4, (n, m)), np.inf)
+        d2, got = raster._along_rows(dr, v)
+        assert [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(d2, got, strict=True)] == brute_rows(dr, v)
+
+
+def test_one_evidence_in_a_wide_row_is_quick():
+    dr = np.full((64, 20_000), raster._FAR)
+    dr[10, 17_000] = 0
+    began = time.perf_counter()
+    d2, v = raster._along_rows(dr, np.where(dr == 0, 5.0, np.inf))
+    assert time.perf_counter() - began < 2 and d2[10, 0] == 17_000**2 and v[10, 19_999] == 5 and np.isinf(v[9]).all()
+
+
+def test_distance_by_kind_equals_each_alone(spark):
+    rng = np.random.default_rng(1)
+    cells = grid(spark, np.zeros((40, 50)))
+    rows = [(0, int(rng.integers(0, 40)), int(rng.integers(0, 50)), str(rng.choice(["a", "b", "x"]))) for _ in range(12)] + [(3, 1, 1, "a"), (0, 1, 1, None)]
+    e = spark.createDataFrame(rows, "grid_id long, r int, c int, kind string")
+    got = raster.distance_by_kind(cells, e, ["a", "b", "none"], 16)
+    assert got.columns == ["grid_id", "r", "c", "a", "b", "none"] and got.count() == 2000 and got.where("none IS NOT NULL").isEmpty()
+    at = {k: [(r, c) for g, r, c, kind in rows if g == 0 and kind == k] for k in "ab"}
+    for x in got.collect():
+        for k in "ab":
+            assert x[k] == min((x.r - r) ** 2 + (x.c - c) ** 2 for r, c in at[k])
+
+
 def test_fill_of_a_hole_wider_than_twenty_cells_and_of_nothing(spark):
     z = np.arange(60.0)[:, None] + np.zeros(60)
     df = grid(spark, z).withColumn("z", F.when(F.expr("r < 3 OR r > 56 OR c < 3 OR c > 56"), F.col("z")))
