@@ -140,11 +140,11 @@ def drop_duplicate_lines(docs: DataFrame, **how) -> DataFrame:
     all their columns, with n_chars set anew where there is such a column. Null and empty
     texts stay as they are. Columns named text_id or gone in the input don't clash."""
     gone = duplicate_lines(docs, **how).groupBy(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t")).agg(F.collect_set("line_no").alias("__gone"))
-    cols = docs.columns
-    j = docs.withColumn("__h", F.xxhash64("text")).join(gone, F.expr("doc_id <=> __d AND __h = __t"), "left")
+    # rows travel as one column each, so no column of theirs can clash
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    j = rows.join(gone, F.expr("doc_id <=> __d AND h = __t"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    j = j.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    j = j.where(F.col("__gone").isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in cols:
-        j = j.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return j.select(*cols)
+    whole = F.col("__gone").isNull()
+    j = j.withColumn("text", F.when(whole, F.col("text")).otherwise(kept)).where(whole | F.col("text").rlike(r"\S"))
+    made = {"text": F.col("text"), "n_chars": F.when(whole, F.col("row")["n_chars"]).otherwise(F.length("text").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return j.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

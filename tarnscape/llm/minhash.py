@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnscape.llm.memo import Memo
+from tarnscape.llm.mixing import running
 from tarnscape.operators.graph import components
 from tarnscape.session import cut, drop
 
@@ -242,13 +243,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near copies: of each component the smallest doc_id stays, once.
-
-    Rows without words stay as they are, but for full repeats of a row with their doc_id."""
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__d")).distinct()
-    j = docs.join(kept, F.col("doc_id") == F.col("__d"), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    j = j.withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r")
-    return j.unionByName(docs.where("doc_id IS NULL"))
+    """The documents without near copies: of each component one text stays, with its smallest doc_id, once.
+
+    A text is a document of its own, also where several have one doc_id: then each pair of
+    doc_id and text counts as a node, in order of doc_id and a hash of the text, and unrelated
+    texts of one id all stay. Of rows with equal doc_id and text one stays: that with the
+    smallest hash of all its columns. Rows without words stay, but for such repeats; rows with
+    a null doc_id all stay."""
+    # rows travel as one column each, so no column of theirs can clash
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), "text", F.struct(*docs.columns).alias("row"))
+    rest = docs.where("doc_id IS NULL")
+    ids = named.select("doc_id", "t")
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(named, **how).where("kept").select("doc_id").distinct()
+        return named.join(kept, "doc_id", "left_semi").select("row.*").unionByName(rest)
+    numbers = cut(running(ids.distinct(), [F.col("doc_id"), F.col("t")], n=F.lit(1)), "numbers")
+    nodes = named.select("doc_id", "t", "text").join(numbers, ["doc_id", "t"]).select(F.col("n").cast("long").alias("doc_id"), "text")
+    kept = near_duplicates(nodes, **how).where("kept").select(F.col("doc_id").alias("n")).distinct()
+    left = named.join(numbers.join(kept, "n").drop("n"), ["doc_id", "t"], "left_semi")
+    one = left.groupBy("doc_id", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(rest)

@@ -97,18 +97,19 @@ def _truncated(queue: DataFrame, budget: int, ranges: int, cap: int) -> tuple[Da
     """The packets of the range of finish times in which the budget ends, with the words taken of each; and that range.
 
     All packets fall into ranges of finish times. A table with a row for each range has the
-    running words; the one in which they reach the budget is sorted, and cut there."""
+    running words. The one in which they reach the budget has a packet of every source, as all
+    of them end at virtual time 1; so it is sorted and summed over ranges of its own (see
+    running), and cut where the budget ends."""
     each = queue.select("*", F.explode(_packets(cap)).alias("p")).select(*queue.columns, "p.lo", "p.hi", (F.col("p.hi") - F.col("p.lo")).alias("words"), (F.col("p.hi") / F.col("target")).alias("finish"))
     per = cut(each.groupBy(_range_of(F.col("hi"), ranges).alias("range")).agg(F.sum("words").alias("words")), "ranges")
     total = per.withColumn("after", F.sum("words").over(Window.orderBy("range")))
     last = total.where(F.col("after") >= budget).agg(F.min(F.struct("range", "after", "words")).alias("x")).first()["x"]
     if last is None:  # nothing is queued, or the last words are lost to rounding
         return each.where("false").withColumn("taken", F.lit(0).cast("long")), 2**62
-    order = Window.orderBy("finish", F.col("source").isNull(), "source", "lo").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("words").over(order), F.lit(0))
-    left = F.lit(budget - (last["after"] - last["words"])) - ahead
     edge = each.where(_range_of(F.col("hi"), ranges) == last["range"])
-    return edge.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")), last["range"]
+    edge = running(edge, [F.col("finish"), F.col("source").isNull(), F.col("source"), F.col("lo")], __ahead=F.col("words"))
+    left = F.lit(budget - (last["after"] - last["words"])) - F.col("__ahead")
+    return edge.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("__ahead"), last["range"]
 
 
 def _key(side: str = "") -> list[str]:
@@ -138,8 +139,8 @@ def queued(docs: DataFrame, seed: str = "mix", rows_per_bucket: int = 20_000, ca
     all documents; the last packet is cut. So a source ends within a packet of its target.
 
     The running word count of a source is a sum over buckets of the shuffled order plus a sum
-    in a bucket, and the running count of the mix a sum over ranges of finish times plus a sum
-    in the last one, so a source with a third of all rows spreads over many tasks. Null texts
+    in a bucket, and the running count of the mix a sum over ranges of finish times plus one
+    over ranges of the last of these, so a source with a third of all rows spreads over many tasks. Null texts
     and sources without words give 0; a null source is a source of its own, and comes last.
     Equal rows (doc_id, source, text) share their words evenly, to a word. Columns other than
     doc_id, source and text aren't read."""
@@ -166,14 +167,15 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", rows_per_bucket: int = 2
     All columns of docs stay; those that have one of these four names are replaced."""
     got = _taken(docs, seed, rows_per_bucket, cap).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in (*_key(), "copies", "source_size", "target", "taken")])
     got = cut(got, "taken")
-    text_hash = F.coalesce(F.md5("text"), F.lit(""))
-    j = docs.withColumn("__h", text_hash).join(got, F.expr("doc_id <=> __doc_id AND source <=> __source AND __h = __text_hash"))
+    # rows travel as one column each, so no column of theirs can clash
+    rows = docs.select("doc_id", "source", F.coalesce(F.md5("text"), F.lit("")).alias("h"), F.struct(*docs.columns).alias("row"))
+    j = rows.join(got, F.expr("doc_id <=> __doc_id AND source <=> __source AND h = __text_hash"))
     share = F.floor(F.col("__taken") / F.col("__copies"))
     if got.where("__taken % __copies > 0").isEmpty():
         j = j.withColumn("__n", share)
     else:  # equal rows are numbered, and the first ones take a word more
-        one = Window.partitionBy("__doc_id", "__source", "__text_hash").orderBy(F.lit(0))
+        one = Window.partitionBy("__doc_id", "__source", "__text_hash").orderBy(F.xxhash64("row"))
         more = j.where("__taken % __copies > 0").withColumn("__n", share + (F.row_number().over(one) <= F.col("__taken") % F.col("__copies")).cast("long"))
         j = j.where("__taken % __copies = 0").withColumn("__n", share).unionByName(more)
     made = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__n").cast("long")}
-    return j.where("__n > 0").select(*[F.col(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    return j.where("__n > 0").select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
