@@ -23,7 +23,10 @@ def regions(cells: DataFrame) -> DataFrame:
     ``cells`` has covered and z; a covered cell without z is water, as ground data has no
     returns there. The boundary are the covered cells next to the area, each once: how many
     there are, how many have a height, their share (3 places), median and 90th percentile (1)."""
-    area = cut(raster.connected_areas(cells.where("NOT covered")), "regions")
+    return _regions(cells, cut(raster.connected_areas(cells.where("NOT covered")), "regions"))
+
+
+def _regions(cells: DataFrame, area: DataFrame) -> DataFrame:
     size = cells.groupBy("grid_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc"))
     own = area.join(size, "grid_id").groupBy("grid_id", "area").agg(F.count("*").alias("cells"), F.bool_or(F.expr("r = 0 OR c = 0 OR r = mr OR c = mc")).alias("touches_edge"))
     near = F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])
@@ -68,8 +71,8 @@ def repaired(cells: DataFrame, reach: float = 200.0, sea_level: float = 0.0, sho
     edge with a low boundary is sea at ``sea_level``, and one at the edge with a high
     boundary is foreign land: refused, without z. repair is null for cells that had z."""
     src = cells.select(*CELL, "z", F.col("z").isNotNull().alias("covered"))
-    found = regions(src)
-    area = raster.connected_areas(src.where("z IS NULL"))
+    area = cut(raster.connected_areas(src.where("z IS NULL")), "areas")
+    found = _regions(src, area)
     far = raster.nearest_evidence(src.where("z IS NULL"), src.where("z IS NOT NULL").withColumn("v", F.lit(0.0))).select(*CELL, "d2")
     wide = area.join(far, CELL, "left").groupBy("grid_id", "area").agg(F.max(F.coalesce("d2", F.lit(2**40))).alias("d2"))
     told = found.join(wide, ["grid_id", "area"]).withColumn("verdict", verdict(F.col("touches_edge"), F.col("share"), F.col("median"), shore_m=shore_m))
@@ -110,16 +113,17 @@ def grid_gates(built: DataFrame, size: int, scale: float, band: tuple[float, flo
     return g.select("grid_id", F.explode(F.array_compact(F.array(*all_))).alias("g")).select("grid_id", "g.gate", "g.value")
 
 
-def mosaic(tiles: DataFrame, earlier_wins: bool = True) -> DataFrame:
-    """(r, c, z, covered, tile): tiles (tile, row0, col0, r, c, z) placed on one lattice, each window at its own place.
+def mosaic(tiles: DataFrame, earlier_wins: bool = True, by: list[str] | None = None) -> DataFrame:
+    """(by, r, c, z, covered, tile): tiles (tile, row0, col0, r, c, z) placed on one lattice, or one for each value of ``by``, each window at its own place.
 
     Where windows overlap, the first tile with a height wins (or the last); a cell is covered
     if any window reaches it, also without a height."""
-    placed = tiles.select("tile", (F.col("row0") + F.col("r")).alias("r"), (F.col("col0") + F.col("c")).alias("c"), "z")
+    by = by or []
+    placed = tiles.select(*by, "tile", (F.col("row0") + F.col("r")).alias("r"), (F.col("col0") + F.col("c")).alias("c"), "z")
     rank = F.when(F.col("z").isNotNull(), F.col("tile") if earlier_wins else -F.col("tile"))
     best = F.min(F.struct(rank.isNull().alias("none"), rank.alias("rank"), "z", "tile"))
-    m = placed.groupBy("r", "c").agg(best.alias("m"))
-    return m.select("r", "c", "m.z", F.lit(True).alias("covered"), F.when(~F.col("m.none"), F.col("m.tile")).alias("tile"))
+    m = placed.groupBy(*by, "r", "c").agg(best.alias("m"))
+    return m.select(*by, "r", "c", "m.z", F.lit(True).alias("covered"), F.when(~F.col("m.none"), F.col("m.tile")).alias("tile"))
 
 
 def bilinear(points: DataFrame, cells: DataFrame, *keys: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
 from tarnscape.operators import documents as doc
-from tarnscape.operators import raster, vectors
+from tarnscape.operators import order, raster, vectors
 from tarnscape.plans.base import query
 from tarnscape.plans.geometry import OUTLINE
 from tarnscape.session import new_path, table
@@ -145,7 +145,8 @@ def a10_floor(spark, sf):
     f = fx.cells(spark, sf).withColumn("f", F.explode(F.array(F.lit(2), F.lit(4), F.lit(8)))).withColumn("half_m", F.col("f") * 2000).where("NOT (grid_id % 3 = 0 AND half_m = 8000)")
     b = f.groupBy("grid_id", "half_m", F.expr("r div f").alias("r"), F.expr("c div f").alias("c")).agg(F.avg("z").alias("z"))
     p = b.groupBy("grid_id").agg(F.coalesce(F.max(F.when(F.col("half_m") == 8000, F.col("half_m"))), F.max("half_m")).alias("half_m"))
-    return b.join(p, ["grid_id", "half_m"]).groupBy("grid_id", "half_m").agg(F.round(F.greatest(F.lit(0.0), F.percentile("z", 0.05)), 6).alias("floor_m"))
+    low = order.exact_percentiles(b.join(p, ["grid_id", "half_m"]), ["grid_id", "half_m"], "z", {"p5": 0.05})
+    return low.select("grid_id", "half_m", F.round(F.greatest(F.lit(0.0), F.col("p5")), 6).alias("floor_m"))
 
 
 @query(f"""WITH {fx.HOLED}, g AS (SELECT grid_id, round(avg((z IS NULL)::INT), 6) AS filled FROM holed GROUP BY 1), f AS (SELECT l_suppkey % (SELECT count(*) FROM g) AS grid_id, sum(l_extendedprice::BIGINT) AS bytes, count(*) AS files FROM lineitem GROUP BY 1)

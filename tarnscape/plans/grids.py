@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnscape.operators import raster, series, sight
+from tarnscape.operators import order, raster, series, sight
 from tarnscape.plans.base import query
 from tarnscape.session import cut, table
 from tarnscape.sources import fixtures as fx
@@ -109,7 +109,10 @@ def a7_block_mean(spark, sf):
 @query(f"""WITH {fx.CELLS} SELECT grid_id, coalesce(max(z) FILTER ((r - 32) * (r - 32) + (c - 32) * (c - 32) < 100), max(z)) AS crown, greatest(0, quantile_cont(z, 0.05))::DOUBLE AS floor_m, median(z) AS mid FROM cells GROUP BY 1""")
 def a9_crown_and_floor(spark, sf):
     inside = F.expr("(r - 32) * (r - 32) + (c - 32) * (c - 32) < 100")
-    return fx.cells(spark, sf).groupBy("grid_id").agg(F.coalesce(F.max(F.when(inside, F.col("z"))), F.max("z")).alias("crown"), F.greatest(F.lit(0.0), F.percentile("z", 0.05)).alias("floor_m"), F.median("z").alias("mid"))
+    c = fx.cells(spark, sf)
+    crown = c.groupBy("grid_id").agg(F.coalesce(F.max(F.when(inside, F.col("z"))), F.max("z")).alias("crown"))
+    p = order.exact_percentiles(c, ["grid_id"], "z", {"p5": 0.05, "mid": 0.5})
+    return crown.join(p, "grid_id", "left").select("grid_id", "crown", F.when(F.col("p5").isNotNull(), F.greatest(F.lit(0.0), F.col("p5"))).otherwise(0.0).alias("floor_m"), "mid")
 
 
 @query(f"""WITH {fx.CELLS}, g AS (SELECT grid_id, k FROM (SELECT DISTINCT grid_id FROM cells), range(0, 10) t(k)) SELECT g.grid_id, g.k::INT AS class, count(c.label) AS n, round(count(c.label) / 4096.0, 6) AS share FROM g LEFT JOIN cells c ON g.grid_id = c.grid_id AND g.k = c.label GROUP BY 1, 2""")
@@ -166,7 +169,9 @@ def j3_nearest_cell(spark, sf):
 def j6_ring_offset(spark, sf):
     c = fx.cells(spark, sf)
     ring = raster.block_mean(c, 4).select("grid_id", (F.col("r") * 4 + 2).alias("r"), (F.col("c") * 4 + 2).alias("c"), "mean")
-    return ring.join(c, ["grid_id", "r", "c"]).groupBy("grid_id").agg(F.round(F.median(F.col("mean") - F.col("z")), 6).alias("offset"), F.count("*").alias("n"))
+    both = ring.join(c, ["grid_id", "r", "c"]).select("grid_id", (F.col("mean") - F.col("z")).alias("d"))
+    mid = order.exact_percentiles(both, ["grid_id"], "d", {"mid": 0.5})
+    return both.groupBy("grid_id").agg(F.count("*").alias("n")).join(mid, "grid_id", "left").select("grid_id", F.round("mid", 6).alias("offset"), "n")
 
 
 @query(f"""WITH {fx.CELLS}, {fx.OBSERVERS}, o AS (SELECT obs_id, x.grid_id, r, c, z + 1.7 AS eye FROM observers b JOIN cells x ON x.grid_id = b.grid_id AND x.r = floor(row) AND x.c = floor(col) WHERE z IS NOT NULL),
