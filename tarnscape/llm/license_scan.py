@@ -1,6 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance down the directories."""
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,19 @@ from pyspark.sql import functions as F
 
 from tarnscape.session import cut
 
+#: The first paragraph of the header that the GNU licences ask for.
+_GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    return [f"This work is licensed under the GNU {name}General Public License, version {version}.", *(_GNU.format(what=what, mark=":", name=name, version=version) for what in ("program", "library"))]
+
+
+def _cc(short: str, name: str) -> list[str]:
+    return [f"Licensed under CC {short} 4.0.", f"Licensed under the Creative Commons {name} 4.0 International License.", _CC.format(name)]
+
+
 #: Notices by licence, in the words that headers and licence files use.
 TEMPLATES = {
     "Apache-2.0": [
@@ -24,23 +38,28 @@ TEMPLATES = {
     ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
     ],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 2-Clause License.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License; version 2"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "GPL-2.0": _gnu("", "2"),
+    "GPL-3.0": _gnu("", "3"),
+    "LGPL-2.1": _gnu("Lesser ", "2.1"),
+    "LGPL-3.0": _gnu("Lesser ", "3"),
+    "AGPL-3.0": _gnu("Affero ", "3"),
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
     "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"],
-    "CC0-1.0": ["Released under CC0 1.0.", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC0-1.0": ["Released under CC0 1.0.", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication.", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."],
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without written permission."],
 }
@@ -55,7 +74,7 @@ WHOLE = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 
-_TERM = re.compile(r"[a-z0-9][a-z0-9.\-]*")
+_TERM = re.compile(r"[a-z0-9][a-z0-9.]*")
 _WORD = re.compile(r"\w+")
 _TAG = re.compile(r"<[^<>]*>")
 #: All other tags stand within a line.
@@ -69,8 +88,8 @@ _CUE = re.compile(
 
 
 def terms(text: str) -> list[str]:
-    """Words and pairs of words, so that "gnu general" and "version 3" weigh as phrases."""
-    w = [t.strip(".-") for t in _TERM.findall(text.lower())]
+    """Words and pairs of words, so that "gnu general" and "version 3" weigh as phrases. Hyphens part words, as lines break there."""
+    w = [t.strip(".") for t in _TERM.findall(text.lower())]
     w = [t for t in w if t]
     return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
 
@@ -114,14 +133,24 @@ def segments(text: str | None) -> Iterator[str]:
                 yield "\n".join(lines[i : j + 1])
 
 
+#: A licence whose text has all of another's, and more: where both are found, it is this one.
+CONTAINS = {"BSD-2-Clause": "BSD-3-Clause"}
+#: Licences nearer to each other than this aren't told apart.
+MARGIN = 0.001
+
+
 class Templates:
     """Unit TF-IDF vectors of the templates under one set of document frequencies.
 
+    A term weighs by how few texts have it, and by how few licences: "lesser", "affero" or a
+    version tell apart what is otherwise the same text, however common they are in the texts.
     A term outside the vocabulary weighs as if one document had it."""
 
     def __init__(self, df: dict[str, int], docs: int):
         self.rare = float(np.log((1 + docs) / 2) + 1)
-        self.idf = {t: float(np.log((1 + docs) / (1 + df.get(t, 0))) + 1) for t in VOCABULARY}
+        many = Counter(t for name, forms in TEMPLATES.items() for t in {t for f in [*forms, WHOLE.get(name, "")] for t in terms(f)})
+        spread = {t: float(np.log((1 + len(TEMPLATES)) / (1 + n)) + 1) for t, n in many.items()}
+        self.idf = {t: float(np.log((1 + docs) / (1 + df.get(t, 0))) + 1) * spread[t] for t in VOCABULARY}
         self.post: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
         notices = [(name, f) for name, forms in TEMPLATES.items() for f in forms]
@@ -139,33 +168,52 @@ class Templates:
         v = {t: n * self.idf.get(t, self.rare) for t, n in tf.items()}
         return v, float(np.sqrt(sum(x * x for x in v.values())))
 
-    def nearest(self, text: str, many: int) -> tuple[str | None, float]:
-        """The nearest of the first ``many`` templates (ties: first by name), by sparse dot products."""
+    def scores(self, text: str, many: int) -> dict[str, float]:
+        """The cosine of each licence: that of its nearest among the first ``many`` templates, by sparse dot products."""
         v, norm = self.vector(text)
         score = np.zeros(len(self.names))
         for t, x in v.items():
             for i, y in self.post.get(t, ()):
                 score[i] += x * y
-        if not norm:
-            return None, 0.0
-        s = score[:many] / norm
-        m = float(s.max())
-        return min(self.names[i] for i in np.nonzero(s >= m - 1e-12)[0]), m
+        out: dict[str, float] = {}
+        for name, s in zip(self.names[:many], score[:many].tolist(), strict=True) if norm else ():
+            if s:
+                out[name] = max(out.get(name, 0.0), s / norm)
+        return out
 
     def best(self, text: str | None, file: bool = False, least: float = 0.6) -> tuple[str | None, float]:
-        """The template nearest to any segment of the text; of a licence file, the one nearest to all of it if that is near enough.
+        """The licence nearest to any segment of the text; of a licence file, the one nearest to all of it if that is near enough.
 
-        So a licence that begins like a shorter one isn't taken for it."""
+        So a licence that begins like a shorter one isn't taken for it. Of licences within
+        MARGIN of each other in the same segment none is told, as where a text names a licence
+        without its version."""
         if file and text:
-            name, m = self.nearest(_TAG.sub("", _BLOCK.sub("\n", text)), len(self.names))
+            whole = self.scores(_TAG.sub("", _BLOCK.sub("\n", text)), len(self.names))
+            name, m = self._told(whole, whole)
             if m >= least:
                 return name, m
-        top: tuple[float, str | None] = (0.0, None)
+        top: dict[str, float] = {}
+        at: tuple[float, dict[str, float]] = (0.0, {})
         for seg in segments(text):
-            name, m = self.nearest(seg, self.notices)
-            if name is not None and (m > top[0] + 1e-12 or (abs(m - top[0]) <= 1e-12 and top[1] is not None and name < top[1])):
-                top = (m, name)
-        return top[1], top[0]
+            found = self.scores(seg, self.notices)
+            for name, m in found.items():
+                top[name] = max(top.get(name, 0.0), m)
+            m = max(found.values(), default=0.0)
+            if m > at[0] + 1e-12:
+                at = (m, found)
+        return self._told(at[1], top)
+
+    def _told(self, found: dict[str, float], top: dict[str, float]) -> tuple[str | None, float]:
+        """The nearest licence of a segment, given the best of all segments."""
+        if not found:
+            return None, 0.0
+        m = max(found.values())
+        name = min(n for n, x in found.items() if x >= m - 1e-12)
+        wider = CONTAINS.get(name)
+        if wider and top.get(wider, 0.0) >= 0.9 * m:
+            return wider, top[wider]
+        rivals = [n for n, x in found.items() if n != name and x >= m - MARGIN and CONTAINS.get(n) != name]
+        return (None, m) if rivals else (name, m)
 
 
 def frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
@@ -229,10 +277,12 @@ def scan(files: DataFrame, least: float = 0.6, any_file: bool = False) -> DataFr
     # ancestors go as hashes, so a deep path doesn't write each of them out
     bare = own.where(F.col("own").isNull() & F.col("path").isNotNull()).select("path").distinct()
     deep = F.size(F.split("path", "/")) - 1
-    keys = F.transform(F.sequence(F.lit(0), deep), lambda i: F.xxhash64(F.call_function("substring_index", F.col("path"), F.lit("/"), i)))
-    above = bare.select(F.xxhash64("path").alias("of"), F.posexplode(keys).alias("depth", "key"))
+    keys = F.transform(F.sequence(F.lit(1), deep), lambda i: F.xxhash64(F.call_function("substring_index", F.col("path"), F.lit("/"), i)))
+    above = bare.where(deep > 0).select(F.xxhash64("path").alias("of"), F.posexplode(keys).alias("depth", "key"))
     near = above.join(dirs, "key").groupBy("of").agg(F.max_by(F.struct("dir_own", "dir"), "depth").alias("up"))
-    out = own.withColumn("of", F.xxhash64("path")).join(near, "of", "left")
+    # all paths lie under the root, so its licence isn't joined: it is one row
+    root = dirs.where("dir = ''").agg(F.first(F.struct("dir_own", "dir")).alias("root"))
+    out = own.withColumn("of", F.xxhash64("path")).join(near, "of", "left").crossJoin(F.broadcast(root)).withColumn("up", F.coalesce("up", "root"))
     inside = (F.col("up.dir") == "") | F.col("path").startswith(F.concat("up.dir", F.lit("/")))
     takes = F.col("own").isNull() & F.col("path").isNotNull() & F.col("up").isNotNull() & inside
     return out.select("row.*", F.coalesce("own", F.when(takes, F.col("up.dir_own"))).alias("licence"), "cosine", F.coalesce(takes, F.lit(False)).alias("inherited"), F.when(takes, F.col("up.dir")).alias("from_dir"))

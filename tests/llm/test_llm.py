@@ -654,24 +654,39 @@ def brute_scan(rows, least=0.6):
         for w in set(license_scan.VOCABULARY) & set(license_scan.terms(t or "")):
             frequency[w] = frequency.get(w, 0) + 1
     n = sum(t is not None for _, t in rows)
-    idf = lambda w: np.log((1 + n) / (1 + frequency.get(w, 0) if w in license_scan.VOCABULARY else 2)) + 1
+    texts = {name: [*fs, *([license_scan.WHOLE[name]] if name in license_scan.WHOLE else [])] for name, fs in license_scan.TEMPLATES.items()}
+    have = {w: sum(any(w in license_scan.terms(f) for f in fs) for fs in texts.values()) for w in license_scan.VOCABULARY}
+    idf = lambda w: (np.log((1 + n) / (1 + frequency.get(w, 0))) + 1) * (np.log((1 + len(texts)) / (1 + have[w])) + 1) if w in have else np.log((1 + n) / 2) + 1
 
     def cosine(a, b):
         x, y = ({w: t.count(w) * idf(w) for w in t} for t in (license_scan.terms(a), license_scan.terms(b)))
         size = lambda v: np.sqrt(sum(z * z for z in v.values()))
         return sum(z * y.get(w, 0) for w, z in x.items()) / size(x) / size(y) if x and y else 0.0
 
+    def told(near, top):
+        """The nearest licence; none if another is as near; the one that contains it if that is found too."""
+        m, name = max(near.values()), min(k for k, v in near.items() if v >= max(near.values()) - 1e-12)
+        if name == "BSD-2-Clause" and top["BSD-3-Clause"] >= 0.9 * m:
+            return "BSD-3-Clause", top["BSD-3-Clause"]
+        others = [k for k, v in near.items() if k != name and v >= m - license_scan.MARGIN and (k, name) != ("BSD-2-Clause", "BSD-3-Clause")]
+        return (None if others else name), m
+
     def own(path, text):
+        near = lambda t, forms: {k: max(cosine(t, f) for f in fs) for k, fs in forms.items()}
         if path is not None and re.search(license_scan.LICENCE_FILE, path) and text:
-            best = min((-round(cosine(text, f), 9), name) for name, fs in [*license_scan.TEMPLATES.items(), *((k, [v]) for k, v in license_scan.WHOLE.items())] for f in fs)
-            if -best[0] >= least:
-                return best[1]
-        best = (0.0, "")
-        for seg in license_scan.segments(text):
-            for name, fs in license_scan.TEMPLATES.items():
-                for f in fs:
-                    best = min(best, (-round(cosine(seg, f), 9), name))
-        return best[1] if -best[0] >= least else None
+            whole = near(text, texts)
+            name, m = told(whole, whole)
+            if m >= least:
+                return name
+        segments = [near(seg, license_scan.TEMPLATES) for seg in license_scan.segments(text)]
+        if not segments:
+            return None
+        best = segments[0]
+        for seg in segments[1:]:
+            if max(seg.values()) > max(best.values()) + 1e-12:
+                best = seg
+        name, m = told(best, {k: max(seg[k] for seg in segments) for k in best})
+        return name if m >= least else None
 
     mine = [own(p, t) for p, t in rows]
     dirs = {}
