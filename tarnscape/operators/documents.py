@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 LAYERS = ("dem", "context", "rings", "connect", "shoreline", "landcover", "rampart")
 #: Steps of a height that grids may have.
 SCALES = (0.1, 0.5, 1.0)
-#: Read schemas of the documents, by kind; unknown keys are passed over.
+_BOX = "struct<minE: double, minN: double, maxE: double, maxN: double>"
+_GRID = f"struct<path: string, resolution: double, width: int, height: int, bounds3006: {_BOX}, boundsLocal: struct<minX: double, minZ: double, maxX: double, maxZ: double>, encoding: struct<dtype: string, scale: double, unit: string>, minElevation: double, maxElevation: double>"
+_SOURCE = "struct<id: string, product: string, url: string, fetched: string>"
+#: Read schemas of the documents, by kind, with the fields of the contract; unknown keys are passed over.
 DOCUMENTS = {
-    "registry": "schemaVersion int, site string, entries array<struct<slug:string,name:string>>",
-    "sites": "schemaVersion int, site string, sites array<struct<id:string,x:double,z:double>>",
-    "shoreline": "schemaVersion int, site string, steps array<struct<yearCE:int,levelM:double>>",
-    "rampart": "schemaVersion int, site string, points array<array<double>>",
-    "legend": "schemaVersion int, site string, classes array<struct<index:int,id:string,color:string>>",
-    "manifest": "schemaVersion int, site string, layers array<string>",
-    "index": "schemaVersion int, site string, sites array<string>",
-    "report": "schemaVersion int, site string, checks array<struct<id:string,severity:string>>",
+    "registry": f"schemaVersion int, generated string, crs string, source {_SOURCE}, stats map<string, string>, sites array<struct<slug: string, lamningsnummer: string, name: string, county: string, kommun: string, centerE: double, centerN: double, extent: {_BOX}, extentSpanM: double, geometryClass: string, antikvariskBedomning: string, extentPreset: string, uuid: string, raaNummer: string, fornsokUrl: string>>",
+    "sites": "schemaVersion int, fetched string, site string, sites array<struct<id: string, name: string, lamningstyp: string, provenance: string, position: struct<x: double, z: double>, geometryLocal: struct<type: string, coordinates: string>, fornsokUrl: string, description: string>>",
+    "shoreline": f"schemaVersion int, site string, method string, source {_SOURCE}, steps array<struct<yearCE: int, bp: int, levelM: double>>",
+    "rampart": "schemaVersion int, site string, method string, paths array<struct<id: string, name: string, closed: boolean, lengthM: double, points: array<array<double>>>>",
+    "legend": f"schemaVersion int, site string, referenceYearCE int, referenceLevelM double, method string, caveat string, calibration string, source {_SOURCE}, classes array<struct<index: int, id: string, name: string, color: string, rule: string, vegetation: struct<type: string, densityPerHa: double>, dynamic: struct<kind: string, bandM: double>, areaFraction: double>>",
+    "manifest": f"schemaVersion int, site struct<id: string, name: string, raa: map<string, string>>, crs struct<horizontal: string, verticalDatum: string>, origin struct<e: double, n: double>, grids struct<core: {_GRID}, context: {_GRID}, rings: array<{_GRID}>>, assets map<string, string>, layers array<struct<id: string, name: string, provenance: string>>, attribution array<struct<text: string, license: string, url: string>>, provenance struct<generated: string, pipeline: string, sources: array<struct<id: string, product: string, fetched: string>>, processing: array<string>>",
+    "index": "schemaVersion int, generated string, crs struct<horizontal: string>, registry struct<source: string, generated: string, totalRegistered: long>, count int, sites array<struct<slug: string, name: string, county: string, centerE: double, centerN: double, bytes: long>>",
+    "report": "schemaVersion int, slug string, generated string, outDir string, built boolean, shippable boolean, bytes long, steps array<struct<name: string, status: string, message: string>>, qa struct<passed: boolean, checks: array<struct<id: string, severity: string, message: string>>>",
 }
 
 

@@ -217,12 +217,12 @@ def distance_by_kind(cells: DataFrame, evidence: DataFrame, kinds: list[str], st
     return d.select("grid_id", "r", "c", *[F.col(f"d2_{i}").alias(k) for i, k in enumerate(kinds)])
 
 
-def nearest_fill(cells: DataFrame, value: str = "z") -> DataFrame:
+def nearest_fill(cells: DataFrame, value: str = "z", strip: int = 64) -> DataFrame:
     """(grid_id, r, c, value, filled): a cell without a value takes that of the nearest one with a value (ties: the lowest).
 
     However far that is. A grid that nothing covers keeps its nulls, and ``filled`` is null
     there: a violation for the caller."""
-    near = nearest_evidence(cells, cells.where(F.col(value).isNotNull()).withColumn("v", F.col(value)))
+    near = nearest_evidence(cells, cells.where(F.col(value).isNotNull()).withColumn("v", F.col(value)), strip=strip)
     j = cells.select("grid_id", "r", "c", F.col(value).alias("own")).join(near, ["grid_id", "r", "c"], "left")
     filled = F.when(F.col("v").isNotNull(), F.col("own").isNull())
     return j.select("grid_id", "r", "c", F.coalesce(F.col("own").cast("double"), "v").alias(value), filled.alias("filled"))

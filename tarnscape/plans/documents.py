@@ -9,7 +9,7 @@ from tarnscape.plans.base import query
 from tarnscape.plans.geometry import OUTLINE
 from tarnscape.session import new_path, table
 from tarnscape.sources import fixtures as fx
-from tarnscape.sources import tiles, wkb
+from tarnscape.sources import document_set, tiles, wkb
 
 # ---- scans -----------------------------------------------------------------------------------
 
@@ -45,24 +45,43 @@ def s8_raster_round_trip(spark, sf):
 _KINDS = ", ".join(f"('{k}')" for k in sorted(doc.DOCUMENTS))
 
 
-@query(f"""WITH {fx.SITES}, k(kind) AS (VALUES {_KINDS}) SELECT 'site-' || s_suppkey AS site, kind, CASE WHEN s_suppkey % 5 <> 0 THEN 1 + s_suppkey % 3 END AS items FROM sites, k""")
+@query(f"""WITH {fx.SITES}, k(kind) AS (VALUES {_KINDS}) SELECT 'site-' || s_suppkey AS site, kind, CASE WHEN s_suppkey % 5 <> 0 THEN 1 + s_suppkey % 3 END AS items,
+    CASE WHEN s_suppkey % 5 <> 0 THEN CASE kind WHEN 'registry' THEN e WHEN 'sites' THEN n WHEN 'shoreline' THEN half / 4 WHEN 'rampart' THEN half WHEN 'legend' THEN half / 100 WHEN 'manifest' THEN e - half WHEN 'index' THEN n WHEN 'report' THEN s_suppkey * 1000 END END::DOUBLE AS number
+  FROM sites, k""")
 def s10_documents(spark, sf):
-    """All eight kinds of documents written as JSON and read with their schemas; every fifth site's texts are of another version."""
-    s = fx.sites(spark, sf).select("s_suppkey", F.concat(F.lit("site-"), F.col("s_suppkey").cast("string")).alias("site"))
+    """All eight kinds of documents, by their whole contract, written as a set of files and read back; every fifth site's are of another version."""
+    s = fx.sites(spark, sf).withColumn("site", F.concat(F.lit("site-"), F.col("s_suppkey").cast("string")))
     i = F.sequence(F.lit(0).cast("long"), F.col("s_suppkey") % 3)
     text = lambda x: F.concat(F.lit("x"), x.cast("string"))
-    items = {
-        "registry": ("entries", F.transform(i, lambda x: F.struct(text(x).alias("slug"), text(x).alias("name")))), "sites": ("sites", F.transform(i, lambda x: F.struct(text(x).alias("id"), (x / 2).alias("x"), (-x / 2).alias("z")))),
-        "shoreline": ("steps", F.transform(i, lambda x: F.struct(x.cast("int").alias("yearCE"), (x / 4).alias("levelM")))), "rampart": ("points", F.transform(i, lambda x: F.array(x / 2, x / 4))),
-        "legend": ("classes", F.transform(i, lambda x: F.struct(x.cast("int").alias("index"), text(x).alias("id"), F.lit("#aabbcc").alias("color")))), "manifest": ("layers", F.transform(i, text)), "index": ("sites", F.transform(i, text)),
-        "report": ("checks", F.transform(i, lambda x: F.struct(text(x).alias("id"), F.lit("pass").alias("severity")))),
+    named = lambda **fields: F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in fields.items()])
+    d = lambda c: F.col(c).cast("double")
+    box = named(minE=d("e") - d("half"), minN=d("n") - d("half"), maxE=d("e") + d("half"), maxN=d("n") + d("half"))
+    grid = named(path="dem_core.tif", resolution=1.0, width=(F.col("half") * 2).cast("int"), height=(F.col("half") * 2).cast("int"), bounds3006=box, encoding=named(dtype="int16", scale=0.1, unit="m"))
+    source = named(id="kmr", product="register", url="https://example.org", fetched="2024-01-01")
+    bodies = {
+        "registry": named(crs="EPSG:3006", source=source, sites=F.transform(i, lambda x: named(slug=text(x), name="n", county=F.col("county"), centerE=d("e"), centerN=d("n"), extent=box, extentPreset="standard"))),
+        "sites": named(fetched="2024-01-01", sites=F.transform(i, lambda x: named(id=text(x), name=F.col("name"), lamningstyp="Fornborg", provenance="measured", position=named(x=d("e"), z=d("n"))))),
+        "shoreline": named(site=F.col("site"), source=source, steps=F.transform(i, lambda x: named(yearCE=x.cast("int"), bp=(1950 - x).cast("int"), levelM=d("half") / 4))),
+        "rampart": named(site=F.col("site"), paths=F.transform(i, lambda x: named(id=text(x), name="Inner", closed=x % 2 == 0, lengthM=d("half"), points=F.array(F.array(d("e"), d("n")))))),
+        "legend": named(site=F.col("site"), referenceYearCE=500, caveat="a model", classes=F.transform(i, lambda x: named(index=x.cast("int"), id=text(x), name="Water", color="#aabbcc", rule="r", dynamic=named(kind="water"), areaFraction=d("half") / 100))),
+        "manifest": named(site=named(id=F.col("site"), name=F.col("name")), origin=named(e=d("e"), n=d("n")), grids=named(core=grid), assets=F.create_map(F.lit("sites"), F.lit("sites.json")), layers=F.transform(i, lambda x: named(id=text(x), name="Terrain", provenance="measured"))),
+        "index": named(count=F.size(i), sites=F.transform(i, lambda x: named(slug=text(x), name="n", county=F.col("county"), centerE=d("e"), centerN=d("n"), bytes=x))),
+        "report": named(slug=F.col("site"), built=True, bytes=F.col("s_suppkey") * 1000, steps=F.transform(i, lambda x: named(name=text(x), status="ok", message=""))),
+    }
+    late = F.when(F.col("s_suppkey") % 5 == 0, 2).otherwise(1)
+    whole = lambda body: F.to_json(F.struct(late.alias("schemaVersion"), body.alias("b")))
+    flat = lambda kind: F.regexp_replace(whole(bodies[kind]), r'^(\{"schemaVersion":\d+),"b":\{(.*)\}\}$', "$1,$2}")
+    docs = s.select("site", F.explode(F.array(*[named(kind=k, doc=flat(k)) for k in bodies])).alias("x")).select(F.concat("site", F.lit("/"), "x.kind", F.lit(".json")).alias("name"), "x.doc")
+    path = new_path(spark, "documents")
+    document_set.write_documents(docs, path)
+    back = document_set.read_documents(spark, path).select(F.substring_index("name", "/", 1).alias("site"), F.regexp_extract("name", r"/(\w+)\.json$", 1).alias("kind"), "doc")
+    at = {
+        "registry": ("sites", "d.sites[0].centerE"), "sites": ("sites", "d.sites[0].position.z"), "shoreline": ("steps", "d.steps[0].levelM"), "rampart": ("paths", "d.paths[0].lengthM"),
+        "legend": ("classes", "d.classes[0].areaFraction"), "manifest": ("layers", "d.grids.core.bounds3006.minE"), "index": ("sites", "d.sites[0].centerN"), "report": ("steps", "double(d.bytes)"),
     }
     out = None
-    for kind, (name, column) in items.items():
-        d = doc.written(s, kind, column, name)
-        late = F.regexp_extract("site", r"(\d+)$", 1).cast("long") % 5 == 0
-        d = d.withColumn("doc", F.when(late, F.replace("doc", F.lit('"schemaVersion":1'), F.lit('"schemaVersion":2'))).otherwise(F.col("doc")))
-        part = doc.read_back(d, kind).select("site", F.lit(kind).alias("kind"), F.when(F.col("d").isNotNull(), F.size(f"d.{name}")).cast("long").alias("items"))
+    for kind, (items, number) in at.items():
+        part = doc.read_back(back, kind).select("site", F.lit(kind).alias("kind"), F.when(F.col("d").isNotNull(), F.size(f"d.{items}")).cast("long").alias("items"), F.expr(number).alias("number"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -26,7 +26,7 @@ def basin_stats(flood, levels):
 
 @query(f"WITH RECURSIVE {FLOOD} SELECT grid_id, r, c, z::DOUBLE AS z, connect FROM cells JOIN flood USING (grid_id, r, c)")
 def i1_sea_connectivity(spark, sf):
-    return raster.sea_connectivity(fx.cells(spark, sf))
+    return raster.sea_connectivity(fx.cells(spark, sf), tile=16, blocks=2)  # tiles and blocks with seams
 
 
 _STEPS = [(-1000, 14.0), (-500, 11.0), (0, 9.0), (500, 7.0), (1000, 5.0)]
@@ -74,7 +74,7 @@ def i1_sea_share_at_year(spark, sf):
   SELECT grid_id, component, count(*) AS size, bool_or(r = 0 OR r = 63 OR c = 0 OR c = 63) AS edge FROM w JOIN m USING (id) GROUP BY 1, 2""")
 def i2_components(spark, sf):
     """Connected areas below a height, with size and whether they touch the edge."""
-    area = raster.connected_areas(fx.cells(spark, sf).where("z <= 8"))
+    area = raster.connected_areas(fx.cells(spark, sf).where("z <= 8"), tile=16)
     edge = F.col("r").isin(0, 63) | F.col("c").isin(0, 63)
     name = F.expr("grid_id * 4096 + area.r * 64 + area.c")
     return area.groupBy("grid_id", name.alias("component")).agg(F.count("*").alias("size"), F.bool_or(edge).alias("edge"))
@@ -141,7 +141,7 @@ def w7_relief(spark, sf):
 @query(f"WITH {fx.CELLS}, {fx.EVIDENCE} SELECT x.grid_id, x.r, x.c, min((x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c)) AS d2 FROM cells x JOIN evidence e ON x.grid_id = e.grid_id AND e.family = 'settlement' WHERE (x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c) <= 400 GROUP BY 1, 2, 3")
 def j11_evidence_distance(spark, sf):
     e = fx.evidence(spark, sf).where("family = 'settlement'").withColumn("v", F.lit(1))
-    return raster.nearest_evidence(fx.cells(spark, sf), e, 20).select("grid_id", "r", "c", "d2")
+    return raster.nearest_evidence(fx.cells(spark, sf), e, 20, strip=16).select("grid_id", "r", "c", "d2")
 
 
 # down the columns, then along the rows: a distance and the value there as one number, least first
@@ -152,7 +152,7 @@ def j11_evidence_distance(spark, sf):
   SELECT grid_id, r, c, (best % 1000)::DOUBLE AS z, TRUE AS filled FROM k UNION ALL SELECT grid_id, r, c, z, FALSE FROM holed WHERE z IS NOT NULL""")
 def j12_nearest_fill(spark, sf):
     """An uncovered cell takes the value of the nearest covered one, however far (ties: the lowest value)."""
-    return raster.nearest_fill(fx.holed(spark, sf))
+    return raster.nearest_fill(fx.holed(spark, sf), strip=16)
 
 
 @query(f"""WITH {fx.CELLS}, p AS (SELECT event_id, user_id % (SELECT greatest(1, count(DISTINCT grid_id)) FROM cells) AS grid_id, least(greatest(floor((event_id % 150 - 10) / 2.0), 0), 63)::INT AS r, least(greatest(floor((event_id % 139 - 5) / 2.0), 0), 63)::INT AS c FROM events)

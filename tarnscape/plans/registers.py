@@ -7,7 +7,7 @@ from tarnscape.operators.joins import best_records, envelope_join
 from tarnscape.plans.base import query
 from tarnscape.session import new_path, table
 from tarnscape.sources import fixtures as fx
-from tarnscape.sources import layout
+from tarnscape.sources import layout, pages
 from tarnscape.streaming import state
 
 BOX = {"e": (200, 400), "n": (300, 500)}
@@ -35,10 +35,23 @@ def s4_column_variants(spark, sf):
     return df.select(pick("lamningsnummer", "c_custkey").alias("id"), F.coalesce(pick("lamningsnamn", "c_name"), F.lit("?")).alias("name"))
 
 
-@query("SELECT user_id, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM events GROUP BY 1")
+@query("""WITH f AS (SELECT *, (event_id * 7) % 23 AS page FROM events WHERE (event_id * 7) % 23 <> 5)
+  SELECT 'u' || user_id AS id, arg_min(page, page * 10000000000 + event_id) AS page, arg_min(event_id, page * 10000000000 + event_id) AS event_id, arg_min(event_type, page * 10000000000 + event_id) AS event_type, arg_min(round(value, 6), page * 10000000000 + event_id) AS x,
+    (SELECT count(*) FROM (SELECT 5 AS page UNION SELECT page FROM f) WHERE page = 5)::BIGINT AS broken FROM f GROUP BY user_id""")
 def s6_first_by_id(spark, sf):
-    """Pages of features put together, the first of each id kept."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
+    """Events as pages of features on disk, one of them torn; read back in page order, the first of each id kept."""
+    f = table(spark, sf, "events").select(
+        F.expr("(event_id * 7) % 23").alias("page"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"),
+        F.struct("event_id", "event_type").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.round("value", 6), F.lit(0.0)).alias("coordinates")).alias("geometry"),
+    )
+    path = new_path(spark, "pages")
+    pages.write_pages(f.where("page <> 5"), path)
+    torn = spark.range(1).select(F.lit(5).alias("page"), F.lit('{"type": "FeatureCollection", "features": [{"id": "u1"}').alias("value"))
+    torn.write.mode("append").partitionBy("page").text(path)
+    good, bad = pages.read_pages(spark, path, "struct<event_id: long, event_type: string>")
+    n = bad.agg(F.count("*").alias("broken"))
+    one = pages.first_by_id(good).select("id", "page", "properties.event_id", "properties.event_type", F.col("geometry.coordinates")[0].alias("x"))
+    return one.crossJoin(F.broadcast(n))  # one row
 
 
 @query("""SELECT event_id, lo, hi FROM (SELECT event_id, regexp_extract(name, 'bp([0-9]+)-([0-9]+)', 1)::INT AS lo, regexp_extract(name, 'bp([0-9]+)-([0-9]+)', 2)::INT AS hi
