@@ -9,7 +9,7 @@ from tarnscape.plans.base import query
 from tarnscape.plans.geometry import OUTLINE
 from tarnscape.session import new_path, table
 from tarnscape.sources import fixtures as fx
-from tarnscape.sources import document_set, tiles, wkb
+from tarnscape.sources import document_set, tiles, wkb, world
 
 # ---- scans -----------------------------------------------------------------------------------
 
@@ -42,6 +42,21 @@ def s8_raster_round_trip(spark, sf):
     return tiles.read_tiles(spark, path, (10, 40, 5, 50), 16).withColumn("z", F.round("z", 6))
 
 
+@query(f"""WITH {fx.HOLED}, w AS (SELECT grid_id, r, c, 1000 * grid_id + (c + 0.5) * 2.0 AS e, 5000 - (r + 0.5) * 2.0 AS n, z::DOUBLE AS z FROM holed WHERE z IS NOT NULL)
+  SELECT layout, grid_id, r, c, e::DOUBLE AS e, n::DOUBLE AS n, z FROM w, (VALUES ('tiles'), ('strips')) t(layout) WHERE e BETWEEN 1020 AND 3070.5 AND n BETWEEN 4900 AND 4980""")
+def s8_world_window(spark, sf):
+    """Grids written in tiles and in strips with their places, and a window in metres read from both."""
+    h = fx.holed(spark, sf)
+    places = h.select("grid_id").distinct().selectExpr("grid_id", "grid_id * 1000D AS e0", "5000D AS n0", "2D AS res", "'EPSG:3006' AS crs")
+    out = None
+    for layout in world.LAYOUTS:
+        path = new_path(spark, layout)
+        world.write_raster(h, places, path, 0.5, layout, 16)
+        part = world.read_raster(spark, path, (1020.0, 3070.5, 4900.0, 4980.0)).select(F.lit(layout).alias("layout"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _KINDS = ", ".join(f"('{k}')" for k in sorted(doc.DOCUMENTS))
 
 

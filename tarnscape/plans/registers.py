@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from tarnscape.operators.joins import best_records, envelope_join
 from tarnscape.plans.base import query
-from tarnscape.session import new_path, table
+from tarnscape.session import cut, new_path, table
 from tarnscape.sources import fixtures as fx
-from tarnscape.sources import layout, pages
+from tarnscape.sources import layout, pages, scan
 from tarnscape.streaming import state
 
 BOX = {"e": (200, 400), "n": (300, 500)}
@@ -18,6 +18,16 @@ def s1_filtered_scan(spark, sf):
     return table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", "c_nationkey")
 
 
+@query("""WITH b AS (SELECT *, coalesce(c_acctbal > 0, FALSE) AS usable, c_custkey % 4 <> 1 AS wanted FROM customer WHERE c_mktsegment = 'BUILDING'),
+  n AS (SELECT count(*) FILTER (usable) AS scanned, count(*) FILTER (NOT usable) AS unusable, count(*) FILTER (usable AND wanted) AS kept FROM b)
+  SELECT c_nationkey, count(*) AS n, any_value(scanned) AS scanned, any_value(unusable) AS unusable, any_value(kept) AS kept FROM b, n WHERE usable AND wanted GROUP BY 1""")
+def s1_scan_counts(spark, sf):
+    """What a filtered scan keeps, by nation, with the numbers of rows that it scanned, couldn't use and kept."""
+    got, seen = scan.counted_scan(table(spark, sf, "customer"), F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 0, F.col("c_custkey") % 4 != 1)
+    per = cut(got.groupBy("c_nationkey").agg(F.count("*").alias("n")), "scan")
+    return per.select("*", *[F.lit(seen.get[k]).cast("long").alias(k) for k in ("scanned", "unusable", "kept")])
+
+
 @query(f"WITH {fx.FEATURES} SELECT id, type FROM features WHERE max_e >= 200 AND min_e <= 400 AND max_n >= 300 AND min_n <= 500")
 def s2_envelope_scan(spark, sf):
     """The features are written along the curve, and the window opens the files that it touches."""
