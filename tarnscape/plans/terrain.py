@@ -183,19 +183,31 @@ def i22_thumbnail(spark, sf):
     return terrain.thumbnail(fx.cells(spark, sf), F.col("z") <= 9, 2.0, 8)
 
 
-@query(f"""WITH {fx.CELLS}, ray AS (SELECT s_suppkey AS ray_id, s_suppkey % (SELECT count(DISTINCT grid_id) FROM cells) AS grid_id, (s_suppkey * 7 % 50)::DOUBLE AS r, (s_suppkey * 11 % 50)::DOUBLE AS c, 24.0 AS h, (s_suppkey % 7) / 10.0 AS dr, (s_suppkey % 5) / 10.0 AS dc, -0.3 AS dh FROM supplier),
+HIT = f"""{fx.CELLS}, ray AS (SELECT s_suppkey AS ray_id, s_suppkey % (SELECT count(DISTINCT grid_id) FROM cells) AS grid_id, (s_suppkey * 7 % 50)::DOUBLE AS r, (s_suppkey * 11 % 50)::DOUBLE AS c, 24.0 AS h, (s_suppkey % 7) / 10.0 AS dr, (s_suppkey % 5) / 10.0 AS dc, -0.3 AS dh FROM supplier),
   st AS (SELECT ray_id, grid_id, k AS step, r + dr * k AS fr, c + dc * k AS fc, h + dh * k AS y FROM ray, range(0, 101) q(k)), q AS (SELECT *, least(floor(fr), 62)::INT AS r0, least(floor(fc), 62)::INT AS c0 FROM st WHERE fr BETWEEN 0 AND 63 AND fc BETWEEN 0 AND 63),
   w AS (SELECT ray_id, q.grid_id, step, y, z, (CASE WHEN x.r = r0 THEN 1 - (fr - r0) ELSE fr - r0 END) * (CASE WHEN x.c = c0 THEN 1 - (fc - c0) ELSE fc - c0 END) AS w FROM q JOIN cells x ON x.grid_id = q.grid_id AND x.r IN (r0, r0 + 1) AND x.c IN (c0, c0 + 1)),
-  g AS (SELECT ray_id, grid_id, step, y, CASE WHEN count(z) = count(*) THEN sum(z * w) END AS h FROM w WHERE w > 1e-12 GROUP BY 1, 2, 3, 4) SELECT ray_id, grid_id, min(step)::INT AS step FROM g WHERE y <= h + 1e-9 GROUP BY 1, 2""")
+  g AS (SELECT ray_id, grid_id, step, y, CASE WHEN count(z) = count(*) THEN sum(z * w) END AS h FROM w WHERE w > 1e-12 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {HIT} SELECT ray_id, grid_id, min(step)::INT AS step FROM g WHERE y <= h + 1e-9 GROUP BY 1, 2")
 def i19_first_hit(spark, sf):
     """The first sample of each ray that lies below the ground."""
     return terrain.first_hits(fx.rays(spark, sf), fx.cells(spark, sf), 1.0, 100)
 
 
-@query()
+# the same halvings in a recursion over all rays
+@query(f"""WITH RECURSIVE {HIT}, hit AS (SELECT ray_id, min(step)::INT AS step FROM g WHERE y <= h + 1e-9 GROUP BY ray_id), gl AS (SELECT grid_id, list(z::DOUBLE ORDER BY r, c) AS zs FROM cells GROUP BY grid_id),
+  b AS (SELECT grid_id, min(r) AS ra, max(r) AS rb, min(c) AS ca, max(c) AS cb FROM cells WHERE z IS NOT NULL GROUP BY grid_id),
+  one AS (SELECT ray_id, r, c, h::DOUBLE AS h, dr::DOUBLE AS dr, dc::DOUBLE AS dc, dh::DOUBLE AS dh, step, zs, ra, rb, ca, cb FROM ray JOIN hit USING (ray_id) JOIN gl USING (grid_id) JOIN b USING (grid_id)),
+  s(i, ray_id, lo, hi) AS (SELECT 0, ray_id, greatest(step - 1, 0)::DOUBLE, step::DOUBLE FROM one UNION ALL
+    SELECT i + 1, ray_id, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END FROM (
+      SELECT *, coalesce(y > (zs[a * 64 + k + 1] * (1 - (fc - k)) + zs[a * 64 + least(k + 1, cb) + 1] * (fc - k)) * (1 - (fr - a)) + (zs[least(a + 1, rb) * 64 + k + 1] * (1 - (fc - k)) + zs[least(a + 1, rb) * 64 + least(k + 1, cb) + 1] * (fc - k)) * (fr - a), FALSE) AS up FROM (
+        SELECT *, least(floor(fr)::INT, greatest(rb - 1, ra)) AS a, least(floor(fc)::INT, greatest(cb - 1, ca)) AS k FROM (
+          SELECT s.i, s.ray_id, s.lo, s.hi, one.zs, ra, rb, ca, cb, least(greatest(one.r + dr * ((lo + hi) / 2), ra), rb) AS fr, least(greatest(one.c + dc * ((lo + hi) / 2), ca), cb) AS fc, one.h + dh * ((lo + hi) / 2) AS y FROM s JOIN one USING (ray_id) WHERE i < 24))))
+  SELECT ray_id, round(r + dr * (lo + hi) / 2, 4) AS r, round(c + dc * (lo + hi) / 2, 4) AS c FROM s JOIN one USING (ray_id) WHERE i = 24""")
 def i19_pick(spark, sf):
-    """Where each ray meets the ground, refined; tests hold it against a plane."""
-    return terrain.picked(fx.rays(spark, sf), fx.cells(spark, sf), 1.0, 100)
+    """Where each ray meets the ground, refined by halvings."""
+    return terrain.picked(fx.rays(spark, sf), fx.cells(spark, sf), 1.0, 100, tile=16).select("ray_id", F.round("r", 4).alias("r"), F.round("c", 4).alias("c"))
 
 
 # ---- land cover and plants -------------------------------------------------------------------
