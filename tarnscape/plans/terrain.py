@@ -1,5 +1,7 @@
 """Queries over regions, repair, grid building, vegetation, water levels and crests (A, I, J, Q, W)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
@@ -315,9 +317,24 @@ def i15_shore_band(spark, sf):
     return b.select("grid_id", "lr", "lc", "connect", F.round("height", 6).alias("height"), F.round("yaw", 6).alias("yaw"))
 
 
-@query()
+def _scaled(name: str, rows: list, stream: str, draws: int, scale: str) -> str:
+    """SQL for CTEs that end in ``name``: the places of lattices whose densities a table of scales has changed, with the cells they lie in."""
+    lat = f"""lat AS (SELECT grid_id, class, spacing, ceil(128.0 / spacing)::BIGINT AS cols, lr, lc, xor(((({stream}) + 1)::HUGEINT * 2654435761 % 4294967296)::BIGINT, 1) AS seed FROM (
+    SELECT grid_id, class, sqrt(10000.0 / (density * scale)) AS spacing FROM {scale}, (VALUES {", ".join(f"({a}, {c}::DOUBLE)" for a, _, c in rows)}) leg(class, density)), range(0, 128) p(lr), range(0, 128) q(lc) WHERE lr < ceil(128.0 / spacing) AND lc < ceil(128.0 / spacing))"""
+    every = f"{lat}, {_drawn('seed', f'{draws} * (lr * cols + lc)', 2)}, {name} AS (SELECT p.grid_id, p.class, p.lr, p.lc, c.z, c.label FROM (SELECT d.*, (lc + w0) * spacing AS x, (lr + w1) * spacing AS y FROM d) p JOIN cells c ON c.grid_id = p.grid_id AND c.r = least(floor(y / 2), 63) AND c.c = least(floor(x / 2), 63) WHERE x <= 128 AND y <= 128)"
+    return re.sub(r"\b(lat|a0|a1|a2|a3|d)\b(?!\()", lambda m: f"{name}_{m[1]}", every)
+
+
+_CAPACITY = "(SELECT grid_id, max(n) AS capacity FROM (SELECT grid_id, count(*) OVER (PARTITION BY grid_id ORDER BY z RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS n FROM {} WHERE z > 8 AND z <= 10 AND NOT coalesce(label IN (0, 5), FALSE)) GROUP BY grid_id)"
+
+
+@query(f"""WITH {fx.CELLS}, one AS (SELECT DISTINCT grid_id, 1.0::DOUBLE AS scale FROM cells), {_scaled("own", PLANTS, "class", 2, "one")}, {_scaled("band", BAND, "class + 200", 7, "one")},
+  n AS (SELECT one.grid_id, coalesce(k.n, 0) + coalesce(m.capacity, 0) AS n FROM one LEFT JOIN (SELECT grid_id, count(*) AS n FROM own WHERE label = class GROUP BY grid_id) k USING (grid_id) LEFT JOIN {_CAPACITY.format("band")} m USING (grid_id)),
+  less AS (SELECT grid_id, CASE WHEN n > 300 THEN 300 / n::DOUBLE ELSE 1.0 END AS scale FROM n), {_scaled("own2", PLANTS, "class", 2, "less")}, {_scaled("band2", BAND, "class + 200", 7, "less")},
+  t AS (SELECT own2.*, row_number() OVER (PARTITION BY own2.grid_id ORDER BY class, lr, lc) AS i, greatest(0, 300 - coalesce(capacity, 0)) AS budget FROM own2 LEFT JOIN {_CAPACITY.format("band2")} m USING (grid_id) WHERE label = class)
+  SELECT grid_id, class, count(*) AS n, round(max(scale), 9) AS scale FROM t JOIN less USING (grid_id) WHERE i <= budget GROUP BY grid_id, class""")
 def i16_budget(spark, sf):
-    """Plants of all classes under a budget of 300 a grid; tests hold totals and scale against a plain run."""
+    """Plants of all classes under a budget of 300 a grid."""
     c, ext = _ground(spark, sf)
     p = vegetation.budgeted(c, ext, _rows(spark, PLANTS), _rows(spark, BAND), [0, 5], 2.0, (8.0, 9.0), 1.0, 1.8, 300)
     return p.groupBy("grid_id", "class").agg(F.count("*").alias("n"), F.round(F.max("scale"), 9).alias("scale"))
