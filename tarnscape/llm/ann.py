@@ -11,9 +11,6 @@ from pyspark.sql.types import FloatType
 
 from tarnscape.session import cut
 
-#: Sums of axis scores that are looked at, at most, when the probed cells of a query are chosen.
-SUMS = 1 << 14
-
 
 @cache
 def _hadamard_matrix(n: int) -> np.ndarray:
@@ -73,21 +70,27 @@ class Hashes:
         unit = np.concatenate([unit / np.linalg.norm(unit, axis=1)[:, None], np.zeros((len(v), 1))], 1).astype(np.float32)
         return self.scores(unit, table)
 
-    def sums(self, y: np.ndarray) -> np.ndarray:
-        """Scores of a query's best cells, the sums of its axes' scores: SUMS of them at most."""
-        many = min(self.axes, int(SUMS ** (1 / self.turns) + 1e-9))
-        best = -np.partition(-y, many - 1, axis=2)[:, :, :many]
-        out = best[:, 0]
-        for j in range(1, self.turns):
-            out = (out[:, :, None] + best[:, j, None, :]).reshape(len(y), -1)
-        return out
-
     def least(self, y: np.ndarray, probes: int | None) -> np.ndarray:
-        """The score of the last of a query's ``probes`` best cells; None stands for all cells."""
-        s = self.sums(y)
-        if probes is None or probes >= s.shape[1]:
+        """The score of the last of a query's ``probes`` best cells, of all there are (None: any score): a cell's score is the sum of its axes' scores.
+
+        Turn by turn: a cell is among the best only if its first axes are among the best, and
+        the i-th best of these with the j-th best next axis has i * j cells at or above it."""
+        if probes is None:
             return np.full(len(y), -np.inf, np.float32)
-        return np.partition(s, s.shape[1] - probes, axis=1)[:, s.shape[1] - probes]
+        probes = min(probes, self.axes**self.turns)
+        best = -np.sort(-y[:, 0], axis=1)[:, :probes]
+        for j in range(1, self.turns):
+            i, axis = _pairs(best.shape[1], self.axes, probes)
+            sums = best[:, i] + (-np.sort(-y[:, j], axis=1))[:, axis]
+            many = min(probes, sums.shape[1])
+            best = -np.sort(np.partition(-sums, many - 1, axis=1)[:, :many], axis=1)
+        return best[:, -1]
+
+    def ranks(self, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For one query's scores (turn, axis), how many cells of all are better than each of ``own``, by meeting in the middle."""
+        half = self.turns // 2
+        left, right = (np.sort(_all_sums(part)) for part in (y[:half], y[half:]))
+        return np.array([(len(left) - np.searchsorted(left, o + 1e-6 - right, "right")).sum() for o in own.tolist()])
 
     def group(self, axes: np.ndarray, groups: int | np.ndarray) -> np.ndarray:
         """The group of a cell: cells by their first axes, in equal shares."""
@@ -110,6 +113,21 @@ class Hashes:
         return out
 
 
+@cache
+def _pairs(many: int, axes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and j, from 0, with (i + 1)(j + 1) at most ``probes``."""
+    per = np.minimum(axes, probes // np.arange(1, many + 1))
+    i = np.repeat(np.arange(many), per)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per)
+
+
+def _all_sums(y: np.ndarray) -> np.ndarray:
+    out = np.zeros(1)
+    for row in y.astype(np.float64):
+        out = (out[:, None] + row).ravel()
+    return out
+
+
 def _vectors(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
@@ -194,12 +212,13 @@ def probes_for(base: DataFrame, ask: DataFrame, hashes: Hashes, top: dict, k: in
     cells = hashes.cells(_vectors(near["v"], kind), np.exp2(near["length"].to_numpy() - [top[x] for x in near["band"]]))
     place = pd.Series(np.arange(len(ids)), ids)
     row = place[~place.index.duplicated()].loc[near["query_id"]].to_numpy()
-    ranks = np.full(len(near), 2**31)
+    ranks = np.full(len(near), np.iinfo(np.int64).max)
     for t in range(hashes.tables):
-        y = hashes.asked(asked, t)
-        s = hashes.sums(y)
+        y = hashes.asked(asked, t).astype(np.float64)
         own = sum(y[row, j, cells[:, t, j]] for j in range(hashes.turns))
-        ranks = np.minimum(ranks, (s[row] > own[:, None] + 1e-6).sum(1))
+        for q in np.unique(row):
+            mine = np.nonzero(row == q)[0]
+            ranks[mine] = np.minimum(ranks[mine], hashes.ranks(y[q], own[mine]))
     return int(np.quantile(ranks, recall, method="higher")) + 1
 
 
