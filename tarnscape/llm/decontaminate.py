@@ -347,6 +347,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, bloc
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that contain no benchmark item, with their columns. A null doc_id equals only null."""
-    bad = cut(contamination(docs, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents whose text contains no benchmark item, with their columns.
+
+    Texts are known by a hash of their own, so a document goes only for its own text,
+    whatever doc_id it has or shares; null texts stay."""
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = cut(contamination(texts, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
+    rows = docs.select(F.xxhash64("text").alias("h"), F.col("text").isNotNull().alias("told"), F.struct(*docs.columns).alias("row"))
+    return rows.join(bad, F.expr("told AND h = __bad"), "left_anti").select("row.*")

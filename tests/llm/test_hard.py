@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tarnscape.llm import minhash, mixing
+from tarnscape.llm import decontaminate, minhash, mixing
 from test_llm import DOC, HARD, brute_near, docs_of
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -56,6 +56,17 @@ def test_many_sources_share_out_the_edge(spark, monkeypatch):
     assert (got["taken"] <= 3 * got["size"]).all() and per.sum() == got["size"].sum()
 
 
+def test_only_the_contaminated_text_of_an_id_goes(spark):
+    item = prose(50, 30)
+    rows = [(1, prose(51), "en", "s", 1), (1, f"{prose(52)} {item} end", "en", "s", 2), (None, prose(53), "en", "s", 3), (None, f"so {item}", "en", "s", 4), (2, None, "en", "s", 5), (3, "", "en", None, 6), (1, prose(51), "en", "s", 7)]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS h", "2 AS __bad", "3 AS told")
+    items = spark.createDataFrame([(9, item), (10, None), (11, "")], "item_id long, text string")
+    got = decontaminate.clean_documents(docs, items)
+    assert got.columns == docs.columns
+    assert sorted((r.n_chars for r in got.collect())) == [1, 3, 5, 6, 7]
+    assert decontaminate.clean_documents(docs, items.limit(0)).count() == 7
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_on_hard_and_empty_tables(spark, tmp_path, empty):
     clean = [prose(20 + i, 80) for i in range(12)]
