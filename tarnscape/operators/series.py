@@ -60,13 +60,13 @@ def levels_at(steps: DataFrame, questions: DataFrame) -> DataFrame:
     q = questions.select(F.col("slug").alias("__s"), F.col("year").cast("double").alias("__y"), F.monotonically_increasing_id().alias("__k") + 1, F.lit(None).cast("struct<y: double, l: double>").alias("__step"), F.struct(*asked).alias("__q")).toDF(*s.columns)
     ranged = cut(s.unionByName(q).repartitionByRange("__s", "__y", "__k").withColumn("__p", F.spark_partition_id()), "ranges")
     per = ranged.groupBy("__s", "__p").agg(F.max("__step").alias("__high"), F.min("__step").alias("__low"))
-    by = Window.partitionBy("__s").orderBy("__p")
+    # what comes next is the last in falling order: a frame that grows is summed once, one that shrinks anew for each row
+    grown = lambda keys, order, to: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, to)
     around = per.select(
         F.col("__s").alias("__t"), F.col("__p").alias("__r"),
-        F.last("__high", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__back"), F.first("__low", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("__ahead"),
+        F.last("__high", True).over(grown(["__s"], ["__p"], -1)).alias("__back"), F.last("__low", True).over(grown(["__s"], [F.desc("__p")], -1)).alias("__ahead"),
     )
-    inner = Window.partitionBy("__s", "__p").orderBy("__y", "__k")
-    last, after = F.last("__step", True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.first("__step", True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    last, after = F.last("__step", True).over(grown(["__s", "__p"], ["__y", "__k"], 0)), F.last("__step", True).over(grown(["__s", "__p"], [F.desc("__y"), F.desc("__k")], 0))
     both = ranged.select("*", last.alias("__last"), after.alias("__next")).where("__q IS NOT NULL")
     both = both.join(around, F.expr("__s = __t AND __p = __r"), "left")
     a, b, y = F.coalesce("__last", "__back"), F.coalesce("__next", "__ahead"), F.col("__y")

@@ -50,7 +50,9 @@ def interpolated(cells: DataFrame, reach: int = 200) -> DataFrame:
     for part, order in (("c", "r"), ("r", "c")):
         w = Window.partitionBy("grid_id", part).orderBy(order)
         have = F.when(F.col("z").isNotNull(), F.struct(F.col(order).alias("at"), F.col("z").alias("z")))
-        back, on = F.last(have, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(have, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        # the next one as the last in falling order: a frame that grows is summed once, one that shrinks anew for each row
+        fall = Window.partitionBy("grid_id", part).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        back, on = F.last(have, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.last(have, True).over(fall)
         cells = cells.withColumn(f"{order}_a", back).withColumn(f"{order}_b", on)
     total = weight = F.lit(0.0)
     for order in ("r", "c"):

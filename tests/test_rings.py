@@ -60,15 +60,16 @@ def brute_ring(a, r, c, half, f):
 @pytest.mark.parametrize("repair", [None, 3.0])
 def test_ladder_equals_sites_one_by_one(spark, repair):
     z = surfaces()
-    sites = spark.createDataFrame(SITES, "site long, grid_id long, r int, c int, context int")
+    chosen = SITES if repair is None else SITES[:2]
+    sites = spark.createDataFrame(chosen, "site long, grid_id long, r int, c int, context int")
     ladder = spark.createDataFrame(STEPS, "ring int, half int, factor int")
-    crowns = {s[0]: 10.0 * i for i, s in enumerate(SITES)}
+    crowns = {s[0]: 10.0 * i for i, s in enumerate(chosen)}
     cells, told = rings.ring_ladder(ground_of(spark, z), sites, ladder, spark.createDataFrame(list(crowns.items()), "site long, crown double"), 400.0, 32, repair=repair)
     got = {}
     for x in cells.collect():
         got.setdefault((x.site, x.ring), {})[x.r, x.c] = (x.z, x.repair)
     want = {}
-    for site, g, r, c, context in SITES:
+    for site, g, r, c, context in chosen:
         usable = [s for s in STEPS if s[1] > context]
 
         def ring(half, f, g=g, r=r, c=c):
