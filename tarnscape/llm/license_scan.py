@@ -17,7 +17,8 @@ _CC = "This work is licensed under a Creative Commons {} 4.0 International Licen
 
 
 def _gnu(name: str, version: str) -> list[str]:
-    return [f"This work is licensed under the GNU {name}General Public License, version {version}.", *(_GNU.format(what=what, mark=":", name=name, version=version) for what in ("program", "library"))]
+    brief = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License, version {version}"
+    return [f"This work is licensed under the GNU {name}General Public License, version {version}.", brief, *(_GNU.format(what=what, mark=":", name=name, version=version) for what in ("program", "library"))]
 
 
 def _cc(short: str, name: str) -> list[str]:
@@ -189,7 +190,7 @@ class Templates:
         without its version."""
         if file and text:
             whole = self.scores(_TAG.sub("", _BLOCK.sub("\n", text)), len(self.names))
-            name, m = self._told(whole, whole)
+            name, m = self._told(whole, {})
             if m >= least:
                 return name, m
         top: dict[str, float] = {}
@@ -204,7 +205,7 @@ class Templates:
         return self._told(at[1], top)
 
     def _told(self, found: dict[str, float], top: dict[str, float]) -> tuple[str | None, float]:
-        """The nearest licence of a segment, given the best of all segments."""
+        """The nearest licence of a segment, given the best of all segments (none, where the segment is the whole text)."""
         if not found:
             return None, 0.0
         m = max(found.values())

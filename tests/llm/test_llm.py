@@ -666,7 +666,7 @@ def brute_scan(rows, least=0.6):
     def told(near, top):
         """The nearest licence; none if another is as near; the one that contains it if that is found too."""
         m, name = max(near.values()), min(k for k, v in near.items() if v >= max(near.values()) - 1e-12)
-        if name == "BSD-2-Clause" and top["BSD-3-Clause"] >= 0.9 * m:
+        if name == "BSD-2-Clause" and top.get("BSD-3-Clause", 0) >= 0.9 * m:
             return "BSD-3-Clause", top["BSD-3-Clause"]
         others = [k for k, v in near.items() if k != name and v >= m - license_scan.MARGIN and (k, name) != ("BSD-2-Clause", "BSD-3-Clause")]
         return (None if others else name), m
@@ -675,7 +675,7 @@ def brute_scan(rows, least=0.6):
         near = lambda t, forms: {k: max(cosine(t, f) for f in fs) for k, fs in forms.items()}
         if path is not None and re.search(license_scan.LICENCE_FILE, path) and text:
             whole = near(text, texts)
-            name, m = told(whole, whole)
+            name, m = told(whole, {})
             if m >= least:
                 return name
         segments = [near(seg, license_scan.TEMPLATES) for seg in license_scan.segments(text)]
