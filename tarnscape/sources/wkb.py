@@ -38,7 +38,10 @@ class _Reader:
     def geometry(self, depth: int = 0) -> None:
         if depth > 8:
             raise ValueError("nested too deeply")
-        order = "<" if self.take("B")[0] else ">"
+        (mark,) = self.take("B")
+        if mark > 1:
+            raise ValueError(f"byte order {mark}")
+        order = ">" if mark == 0 else "<"
         (code,) = self.take(order + "I")
         dims = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
         if code & 0x20000000:

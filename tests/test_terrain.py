@@ -228,7 +228,7 @@ def test_decode_reads_all_kinds_and_puts_bad_blobs_aside():
     for flags, size in ((1, 0), (3, 32), (5, 48), (9, 64)):
         assert wkb.decoded(b"GP\x00" + bytes([flags]) + struct.pack("<i", 3006) + b"\x00" * size + poly)[0] == "polygon"
     deep = b"\x01" + struct.pack("<II", 7, 1)
-    for bad in (None, b"", b"GP\x00\x11" + bytes(4), b"GP\x00\x0f" + bytes(4) + poly, poly[:-3], pt("<", 99, 1, 2), b"\x01" + struct.pack("<II", 2, 2**31), deep * 30, b"\x01"):
+    for bad in (None, b"", b"GP\x00\x11" + bytes(4), b"GP\x00\x0f" + bytes(4) + poly, poly[:-3], pt("<", 99, 1, 2), b"\x01" + struct.pack("<II", 2, 2**31), deep * 30, b"\x01", b"\x02" + pt("<", 1, 1, 2)[1:]):
         assert wkb.decoded(bad)[0] is None and wkb.decoded(bad)[2]
 
 
