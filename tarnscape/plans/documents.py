@@ -75,7 +75,7 @@ def s10_documents(spark, sf):
     source = named(id="kmr", product="register", url="https://example.org", fetched="2024-01-01")
     bodies = {
         "registry": named(crs="EPSG:3006", source=source, sites=F.transform(i, lambda x: named(slug=text(x), name="n", county=F.col("county"), centerE=d("e"), centerN=d("n"), extent=box, extentPreset="standard"))),
-        "sites": named(fetched="2024-01-01", sites=F.transform(i, lambda x: named(id=text(x), name=F.col("name"), lamningstyp="Fornborg", provenance="measured", position=named(x=d("e"), z=d("n"))))),
+        "sites": named(fetched="2024-01-01", sites=F.transform(i, lambda x: named(id=text(x), name=F.col("name"), lamningstyp="hillfort", provenance="measured", position=named(x=d("e"), z=d("n"))))),
         "shoreline": named(site=F.col("site"), source=source, steps=F.transform(i, lambda x: named(yearCE=x.cast("int"), bp=(1950 - x).cast("int"), levelM=d("half") / 4))),
         "rampart": named(site=F.col("site"), paths=F.transform(i, lambda x: named(id=text(x), name="Inner", closed=x % 2 == 0, lengthM=d("half"), points=F.array(F.array(d("e"), d("n")))))),
         "legend": named(site=F.col("site"), referenceYearCE=500, caveat="a model", classes=F.transform(i, lambda x: named(index=x.cast("int"), id=text(x), name="Water", color="#aabbcc", rule="r", dynamic=named(kind="water"), areaFraction=d("half") / 100))),
