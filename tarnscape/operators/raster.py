@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnscape.session import cut, drop
+from tarnscape.session import cut, drop, large
 
 
 def block_mean(cells: DataFrame, factor: int, value: str = "z") -> DataFrame:
@@ -223,7 +223,7 @@ def nearest_fill(cells: DataFrame, value: str = "z", strip: int = 64) -> DataFra
     However far that is. A grid that nothing covers keeps its nulls, and ``filled`` is null
     there: a violation for the caller."""
     near = nearest_evidence(cells, cells.where(F.col(value).isNotNull()).withColumn("v", F.col(value)), strip=strip)
-    j = cells.select("grid_id", "r", "c", F.col(value).alias("own")).join(near, ["grid_id", "r", "c"], "left")
+    j = cells.select("grid_id", "r", "c", F.col(value).alias("own")).join(large(near), ["grid_id", "r", "c"], "left")
     filled = F.when(F.col("v").isNotNull(), F.col("own").isNull())
     return j.select("grid_id", "r", "c", F.coalesce(F.col("own").cast("double"), "v").alias(value), filled.alias("filled"))
 
@@ -482,7 +482,7 @@ def neighbours(cells: DataFrame) -> DataFrame:
     right = cells.select("grid_id", "r", "c", F.col("r").alias("r2"), (F.col("c") + 1).alias("c2"))
     down = cells.select("grid_id", "r", "c", (F.col("r") + 1).alias("r2"), F.col("c").alias("c2"))
     there = cells.select("grid_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
-    return right.union(down).join(there, ["grid_id", "r2", "c2"]).select("grid_id", "r", "c", "r2", "c2")
+    return right.union(down).join(large(there), ["grid_id", "r2", "c2"]).select("grid_id", "r", "c", "r2", "c2")
 
 
 def _labels(mask: np.ndarray) -> np.ndarray:
@@ -528,7 +528,7 @@ def connected_areas(cells: DataFrame, tile: int = 512) -> DataFrame:
     seams = []
     for x, dr, dc in (("r", 1, 0), ("c", 0, 1)):
         near = own.where(high(x)).select("grid_id", (F.col("r") + dr).alias("r2"), (F.col("c") + dc).alias("c2"), F.col("own").alias("a"))
-        seams.append(near.join(there.where(low(f"{x}2")), ["grid_id", "r2", "c2"]).select("a", "b"))
+        seams.append(near.join(large(there.where(low(f"{x}2"))), ["grid_id", "r2", "c2"]).select("a", "b"))
     joined = components(seams[0].union(seams[1]).distinct())
     return own.join(joined.withColumnRenamed("node", "own"), "own", "left").select("grid_id", "r", "c", F.coalesce("component", "own").alias("area"))
 
@@ -547,7 +547,7 @@ def sight_lines(cells: DataFrame, observers: DataFrame, directions: int = 16, st
     turn = F.col("ray") * (2 * np.pi / directions)
     at = ray.select("obs_id", "grid_id", "ray", "step", "eye", (F.col("r") - F.round(F.col("step") * F.cos(turn) + 1e-9)).cast("int").alias("r"), (F.col("c") + F.round(F.col("step") * F.sin(turn) + 1e-9)).cast("int").alias("c"))
     d = F.col("step") * res
-    got = at.join(cells.where("z IS NOT NULL").select("grid_id", "r", "c", "z"), ["grid_id", "r", "c"]).withColumn("angle", (F.col("z") - d * d * (1 - k) / (2 * EARTH_RADIUS_M) - F.col("eye")) / d)
+    got = at.join(large(cells.where("z IS NOT NULL").select("grid_id", "r", "c", "z")), ["grid_id", "r", "c"]).withColumn("angle", (F.col("z") - d * d * (1 - k) / (2 * EARTH_RADIUS_M) - F.col("eye")) / d)
     near = Window.partitionBy("obs_id", "ray").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     blocked = F.max("angle").over(near)
     return got.select("obs_id", "ray", "step", (blocked.isNull() | (F.col("angle") >= blocked)).alias("visible"))

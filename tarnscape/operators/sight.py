@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnscape.operators.raster import EARTH_RADIUS_M, tiles
-from tarnscape.session import arrow_rows, cut
+from tarnscape.session import arrow_rows, cut, large
 
 #: The angle where nothing blocks: finite, so that it interpolates.
 NO_BLOCK = -1e30
@@ -182,7 +182,7 @@ def eyes(cells: DataFrame, observers: DataFrame) -> DataFrame:
     corner = F.array(*[F.struct(F.lit(f"z{i}{j}").alias("name"), (F.floor("row") + i).cast("int").alias("r"), (F.floor("col") + j).cast("int").alias("c"), w.alias("weight")) for (i, j), w in weight.items()])
     each = o.select("*", F.explode(F.filter(corner, lambda x: x["weight"] != 0)).alias("x")).select(*o.columns, "x.name", "x.r", "x.c")
     z = cells.select("grid_id", "r", "c", F.nanvl(F.col("z").cast("double"), F.lit(None)).alias("z"))
-    found = each.join(z, ["grid_id", "r", "c"], "left")
+    found = each.join(large(z), ["grid_id", "r", "c"], "left")
     names = [f"z{i}{j}" for i, j in weight]
     level = found.groupBy(*o.columns).agg(*[F.max(F.when(F.col("name") == n, F.col("z"))).alias(n) for n in names])
     z00, z01, z10, z11 = (F.when(w != 0, F.col(n)).otherwise(F.lit(0.0)) for n, w in zip(names, weight.values(), strict=True))

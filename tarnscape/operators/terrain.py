@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
 from tarnscape.operators import raster, vectors
-from tarnscape.session import cut
+from tarnscape.session import cut, large
 
 CELL = ["grid_id", "r", "c"]
 
@@ -30,7 +30,7 @@ def _regions(cells: DataFrame, area: DataFrame) -> DataFrame:
     size = cells.groupBy("grid_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc"))
     own = area.join(size, "grid_id").groupBy("grid_id", "area").agg(F.count("*").alias("cells"), F.bool_or(F.expr("r = 0 OR c = 0 OR r = mr OR c = mc")).alias("touches_edge"))
     near = F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    ring = area.select("grid_id", "area", F.inline(near)).distinct().join(cells.where("covered").select(*CELL, "z"), CELL)
+    ring = area.select("grid_id", "area", F.inline(near)).distinct().join(large(cells.where("covered").select(*CELL, "z")), CELL)
     edge = ring.groupBy("grid_id", "area").agg(F.count("*").alias("boundary"), F.count("z").alias("valid"), F.bround(F.median("z"), 1).alias("median"), F.bround(F.percentile("z", 0.9), 1).alias("p90"))
     j = own.join(edge, ["grid_id", "area"], "left").fillna(0, ["boundary", "valid"])
     share = F.when(F.col("boundary") > 0, F.bround(F.col("valid") / F.col("boundary"), 3)).otherwise(0.0)
@@ -76,7 +76,7 @@ def repaired(cells: DataFrame, reach: float = 200.0, sea_level: float = 0.0, sho
     area = cut(raster.connected_areas(src.where("z IS NULL")), "areas")
     found = _regions(src, area)
     far = raster.nearest_evidence(src.where("z IS NULL"), src.where("z IS NOT NULL").withColumn("v", F.lit(0.0))).select(*CELL, "d2")
-    wide = area.join(far, CELL, "left").groupBy("grid_id", "area").agg(F.max(F.coalesce("d2", F.lit(2**40))).alias("d2"))
+    wide = area.join(large(far), CELL, "left").groupBy("grid_id", "area").agg(F.max(F.coalesce("d2", F.lit(2**40))).alias("d2"))
     told = found.join(wide, ["grid_id", "area"]).withColumn("verdict", verdict(F.col("touches_edge"), F.col("share"), F.col("median"), shore_m=shore_m))
     how = (
         F.when(F.col("d2") <= reach * reach, "interpolated").when(F.col("verdict") == "sea", "sea")
@@ -84,11 +84,11 @@ def repaired(cells: DataFrame, reach: float = 200.0, sea_level: float = 0.0, sho
     )
     told = told.select("grid_id", "area", how.alias("repair"), "median")
     plan = area.join(told, ["grid_id", "area"]).select(*CELL, "repair", "median")
-    mid = src.join(plan, CELL, "left").withColumn("z", F.when(F.col("repair") == "sea", F.lit(float(sea_level))).when(F.col("repair") == "still", F.col("median")).otherwise(F.col("z").cast("double")))
+    mid = src.join(large(plan), CELL, "left").withColumn("z", F.when(F.col("repair") == "sea", F.lit(float(sea_level))).when(F.col("repair") == "still", F.col("median")).otherwise(F.col("z").cast("double")))
     mid = cut(mid.select(*CELL, "z", "repair"), "repair")
     done = interpolated(mid, int(reach)).select(*CELL, F.col("z").alias("made"))
     z = F.when(F.col("repair") == "interpolated", F.col("made")).otherwise(F.col("z"))
-    return mid.join(done, CELL).select(*CELL, z.alias("z"), "repair")
+    return mid.join(large(done), CELL).select(*CELL, z.alias("z"), "repair")
 
 
 # ---- grids and rings -------------------------------------------------------------------------
@@ -133,13 +133,13 @@ def bilinear(points: DataFrame, cells: DataFrame, *keys: str) -> DataFrame:
     size = cells.groupBy("grid_id").agg(F.max("r").alias("__mr"), F.max("c").alias("__mc"))
     # keys may have the names of a cell's own columns
     own = {k: f"__key_{k}" for k in keys}
-    p = points.select("grid_id", "fr", "fc", *[F.col(k).alias(v) for k, v in own.items()]).join(size, "grid_id")
+    p = large(points.select("grid_id", "fr", "fc", *[F.col(k).alias(v) for k, v in own.items()])).join(size, "grid_id")
     for f, m, i in (("fr", "__mr", "__r0"), ("fc", "__mc", "__c0")):
         p = p.withColumn(f, F.least(F.greatest(F.col(f), F.lit(0.0)), F.col(m).cast("double"))).withColumn(i, F.greatest(F.lit(0), F.least(F.floor(f), F.col(m) - 1)).cast("int"))
     wr, wc = F.col("fr") - F.col("__r0"), F.col("fc") - F.col("__c0")
     corner = lambda a, b: F.struct((F.col("__r0") + a).alias("r"), (F.col("__c0") + b).alias("c"), ((wr if a else 1 - wr) * (wc if b else 1 - wc)).alias("__w"))
     four = p.select("grid_id", *own.values(), F.inline(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])))
-    j = four.join(cells.select(*CELL, "z"), CELL).where("__w > 0")
+    j = four.join(large(cells.select(*CELL, "z")), CELL).where("__w > 0")
     h = j.groupBy(*own.values()).agg(F.when(F.count("z") == F.count("*"), F.sum(F.col("z") * F.col("__w"))).alias("h"))
     return h.withColumnsRenamed({v: k for k, v in own.items()})
 
@@ -156,7 +156,7 @@ def feathered(core: DataFrame, context: DataFrame, factor: int, band: int) -> Da
     far = bilinear(outer, context, *CELL)
     t = F.col("edge") / band
     z = F.when(F.col("edge") >= band, F.col("z").cast("double")).otherwise(F.col("h") * (1 - t) + F.col("z") * t)
-    return c.join(far, CELL, "left").select(*CELL, z.alias("z"))
+    return c.join(large(far), CELL, "left").select(*CELL, z.alias("z"))
 
 
 def lowered(cells: DataFrame, res: float, row0: float, col0: float, k: float = fn.REFRACTION_K) -> DataFrame:
@@ -182,7 +182,7 @@ def annulus(cells: DataFrame, inner_share: float = 0.5) -> DataFrame:
 def thumbnail(cells: DataFrame, wet: Column, res: float, factor: int) -> DataFrame:
     """(grid_id, r, c, red, green, blue): block means of the relief, washed with blue by 0.65 of the share of wet cells."""
     g = raster.gradient(cells, res)
-    shade = cells.join(g, CELL).where("d_row IS NOT NULL AND d_col IS NOT NULL").select(*CELL, raster.relief(F.col("d_row"), F.col("d_col")).alias("shade"), wet.cast("int").alias("wet"))
+    shade = cells.join(large(g), CELL).where("d_row IS NOT NULL AND d_col IS NOT NULL").select(*CELL, raster.relief(F.col("d_row"), F.col("d_col")).alias("shade"), wet.cast("int").alias("wet"))
     b = shade.groupBy("grid_id", F.expr(f"int(r div {factor})").alias("r"), F.expr(f"int(c div {factor})").alias("c")).agg(F.avg("shade").alias("s"), F.avg("wet").alias("w"))
     grey, alpha = F.floor(F.least(F.greatest(F.col("s") * 255, F.lit(0)), F.lit(255))), F.coalesce("w", F.lit(0.0)) * 0.65
     tint = lambda x: F.floor(grey * (1 - alpha) + x * alpha).cast("int")
@@ -201,7 +201,7 @@ def first_hits(rays: DataFrame, cells: DataFrame, step: float, steps: int) -> Da
     along = lambda a, b: F.col(a) + F.col(b) * F.col("step") * step
     at = at.select("ray_id", "grid_id", "step", along("r", "dr").alias("fr"), along("c", "dc").alias("fc"), along("h", "dh").alias("y"))
     size = cells.groupBy("grid_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc"))
-    at = at.join(size, "grid_id").where("fr BETWEEN 0 AND mr AND fc BETWEEN 0 AND mc").drop("mr", "mc")
+    at = large(at).join(size, "grid_id").where("fr BETWEEN 0 AND mr AND fc BETWEEN 0 AND mc").drop("mr", "mc")
     ground = bilinear(at, cells, "ray_id", "grid_id", "step", "y")
     return ground.where("y <= h + 1e-9").groupBy("ray_id", "grid_id").agg(F.min("step").alias("step"))
 
@@ -288,7 +288,7 @@ def crest(cells: DataFrame, outline: DataFrame, step: float = 1.0, smooth: float
     t = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("k")).withColumn("offset", F.col("k") * sample - outer)
     t = t.withColumn("fc", F.col("x") + F.col("nx") * F.col("offset")).withColumn("fr", F.col("y") + F.col("ny") * F.col("offset")).withColumn("grid_id", F.col("feature_id"))
     size = cells.groupBy(F.col("grid_id").alias("feature_id")).agg(F.max("r").alias("mr"), F.max("c").alias("mc"))
-    out = t.join(size, "feature_id").where("fr < -0.5 OR fc < -0.5 OR fr > mr + 0.5 OR fc > mc + 0.5 OR nx IS NULL").select("feature_id").distinct()
+    out = large(t).join(size, "feature_id").where("fr < -0.5 OR fc < -0.5 OR fr > mr + 0.5 OR fc > mc + 0.5 OR nx IS NULL").select("feature_id").distinct()
     h = bilinear(t, cells, *keys, "k", "offset")
     half = samples(background, sample)
     # a moving mean with padded edges: the ends count as often as they are missing
@@ -299,13 +299,13 @@ def crest(cells: DataFrame, outline: DataFrame, step: float = 1.0, smooth: float
     p = h.withColumn("value", F.col("h") - (mean + ends[0] * before + ends[1] * after) / (2 * half + 1)).where("value IS NOT NULL")
     p = cut(p.join(out, "feature_id", "left_anti").select(*keys, "k", "offset", "value"), "profiles")
     first = vectors.circular(ridge_pick(p, keys, sample), samples(guide, step), "inset", "guide", "median").select(*keys, "guide")
-    near = p.join(first, keys).withColumn("low", F.col("guide") - reject).withColumn("high", F.col("guide") + reject)
-    second = ridge_pick(near, keys, sample, "low", "high").join(first, keys)
+    near = large(p).join(first, keys).withColumn("low", F.col("guide") - reject).withColumn("high", F.col("guide") + reject)
+    second = ridge_pick(near, keys, sample, "low", "high").join(large(first), keys)
     weak = F.col("prominence") < least
     picks = cut(second.select(*keys, F.when(weak, F.col("guide")).otherwise(F.col("inset")).alias("inset"), "prominence", weak.alias("rejected")), "picks")
     hopeless = picks.groupBy("feature_id").agg(F.bool_and("rejected").alias("all")).where("all").select("feature_id")
     picks = picks.join(hopeless, "feature_id", "left_anti")
-    line = vectors.circular(picks, samples(crest_smooth, step), "inset", "deep").join(base, keys)
+    line = vectors.circular(picks, samples(crest_smooth, step), "inset", "deep").join(large(base), keys)
     line = line.select("feature_id", "ring", F.col("i").alias("seq"), (F.col("x") + F.col("nx") * F.col("deep")).alias("x"), (F.col("y") + F.col("ny") * F.col("deep")).alias("y"), F.lit(True).alias("closed"), F.lit(False).alias("hole"))
     points = vectors.resampled(line, step).select("feature_id", "ring", "i", F.bround("x", 2).alias("x"), F.bround("y", 2).alias("y"))
     return {"line": points, "picks": picks, "refused": out.unionByName(hopeless)}

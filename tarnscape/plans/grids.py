@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnscape.operators import order, raster, series, sight
 from tarnscape.plans.base import query
-from tarnscape.session import cut, table
+from tarnscape.session import cut, large, table
 from tarnscape.sources import fixtures as fx
 
 FLOOD = fx.FLOOD
@@ -162,14 +162,14 @@ def j3_nearest_cell(spark, sf):
     n = cells.agg(F.greatest(F.lit(1), F.count_distinct("grid_id")).alias("n"))
     at = lambda m, o: F.expr(f"int(least(greatest(floor((event_id % {m} - {o}) / 2.0D), 0), 63))")
     p = table(spark, sf, "events").crossJoin(F.broadcast(n)).select("event_id", F.expr("user_id % n").alias("grid_id"), at(150, 10).alias("r"), at(139, 5).alias("c"))
-    return p.join(cells, ["grid_id", "r", "c"]).select("event_id", "z", "label")
+    return p.join(large(cells), ["grid_id", "r", "c"]).select("event_id", "z", "label")
 
 
 @query(f"""WITH {fx.CELLS}, ring AS (SELECT grid_id, r // 4 AS r, c // 4 AS c, avg(z) AS m FROM cells GROUP BY 1, 2, 3) SELECT x.grid_id, round(median(ring.m - x.z), 6) AS "offset", count(*) AS n FROM ring JOIN cells x ON ring.grid_id = x.grid_id AND x.r = ring.r * 4 + 2 AND x.c = ring.c * 4 + 2 GROUP BY 1""")
 def j6_ring_offset(spark, sf):
     c = fx.cells(spark, sf)
     ring = raster.block_mean(c, 4).select("grid_id", (F.col("r") * 4 + 2).alias("r"), (F.col("c") * 4 + 2).alias("c"), "mean")
-    both = ring.join(c, ["grid_id", "r", "c"]).select("grid_id", (F.col("mean") - F.col("z")).alias("d"))
+    both = ring.join(large(c), ["grid_id", "r", "c"]).select("grid_id", (F.col("mean") - F.col("z")).alias("d"))
     mid = order.exact_percentiles(both, ["grid_id"], "d", {"mid": 0.5})
     return both.groupBy("grid_id").agg(F.count("*").alias("n")).join(mid, "grid_id", "left").select("grid_id", F.round("mid", 6).alias("offset"), "n")
 
@@ -183,7 +183,7 @@ def i18_sight_lines(spark, sf):
     """Sixteen rays from each site."""
     c = fx.cells(spark, sf)
     o = fx.observers(spark, sf).select("obs_id", "grid_id", F.floor("row").cast("int").alias("r"), F.floor("col").cast("int").alias("c"))
-    return raster.sight_lines(c, o.join(c.where("z IS NOT NULL"), ["grid_id", "r", "c"]).select("obs_id", "grid_id", "r", "c", (F.col("z") + 1.7).alias("eye")))
+    return raster.sight_lines(c, o.join(large(c.where("z IS NOT NULL")), ["grid_id", "r", "c"]).select("obs_id", "grid_id", "r", "c", (F.col("z") + 1.7).alias("eye")))
 
 
 _CURVE = f"{(1 - 0.13) / (2 * raster.EARTH_RADIUS_M)!r}::DOUBLE"
@@ -245,7 +245,7 @@ def land_cover(ground, evidence, res: float, rules: dict = RULES):
     marks = evidence.select("grid_id", "r", "c", F.col("family").alias("kind")).unionByName(fine)
     d = raster.distance_by_kind(ground, marks, ["monument", "road", "cultivation", "settlement", "fine"])
     d = d.select("grid_id", "r", "c", *[(F.sqrt(k) * res).alias(f"d_{k}") for k in d.columns[3:]])
-    s = ground.join(d, ["grid_id", "r", "c"], "left")
+    s = ground.join(large(d), ["grid_id", "r", "c"], "left")
     near = lambda name, key: F.col(name) <= p[key]
     g, slope = F.col("g"), F.col("slope")
     old = F.col("connect") > p["level_m"] + p["fresh_m"] - 0.0005
@@ -263,7 +263,7 @@ def fixture_ground(spark, sf):
     """Connect, slope, soil group and peat of the test grids."""
     c = fx.cells(spark, sf)
     g = raster.gradient(c, 2.0).select("grid_id", "r", "c", raster.slope_degrees(F.col("d_row"), F.col("d_col")).alias("slope"))
-    return c.join(g, ["grid_id", "r", "c"]).select("grid_id", "r", "c", F.col("z").cast("double").alias("connect"), "slope", F.expr("(z + label) % 9").alias("g"), F.expr("z % 7 = 0").alias("peat"))
+    return c.join(large(g), ["grid_id", "r", "c"]).select("grid_id", "r", "c", F.col("z").cast("double").alias("connect"), "slope", F.expr("(z + label) % 9").alias("g"), F.expr("z % 7 = 0").alias("peat"))
 
 
 @query(f"WITH {LANDCOVER} SELECT * FROM landcover")

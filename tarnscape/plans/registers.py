@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnscape.operators.joins import best_records, envelope_join
 from tarnscape.plans.base import query
-from tarnscape.session import cut, new_path, table
+from tarnscape.session import cut, large, new_path, table
 from tarnscape.sources import fixtures as fx
 from tarnscape.sources import layout, pages, scan
 from tarnscape.streaming import state
@@ -79,7 +79,7 @@ def s9_connect_precedence(spark, sf):
     c = fx.cells(spark, sf)
     delta, absolute = c.where("label % 3 = 0").select("grid_id", "r", "c", F.col("label").alias("delta")), c.where("label % 3 = 1").select("grid_id", "r", "c", (F.col("z") + 5).alias("abs"))
     key = ["grid_id", "r", "c"]
-    j = c.join(delta, key, "left").join(absolute, key, "left")
+    j = c.join(large(delta), key, "left").join(large(absolute), key, "left")
     v = F.coalesce(F.col("z") + F.col("delta"), "abs")
     return j.select(*key, v.alias("connect"), v.isNull().alias("missing"))
 
