@@ -6,43 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnscape.functions import scalars as fn
-from tarnscape.session import cut
+from tarnscape.session import cut, large
 
 M2_PER_HA = 10_000.0
 #: Number of the shore band's stream, before its class.
 BAND_STREAM = 200
 
 
-def lattice(extents: DataFrame, legend: DataFrame, draws: int, stream: Column, seed: int, scale: Column) -> DataFrame:
-    """(grid_id, class, form, lr, lc, x, y, w): a jittered place in each lattice cell of a class, and its ``draws`` draws.
+def lattice(extents: DataFrame, legend: DataFrame, draws: int, stream: Column, seed: int, scale: Column, *kept: str) -> DataFrame:
+    """(grid_id, class, form, lr, lc, x, y, seed, first, kept): a jittered place in each lattice cell of a class, and where its ``draws`` draws begin.
 
     ``extents`` has grid_id, width and height in metres; ``legend`` has class, form and density
     per hectare, a few rows. A lattice cell is one plant's worth of ground. Draws are numbered
-    by lattice cell, so any of them is found without those before. Places beyond the extent are left out."""
+    by lattice cell, so any of them is found without those before: the place takes the first two.
+    Places beyond the extent are left out."""
     e = extents.crossJoin(F.broadcast(legend)).withColumn("density", F.col("density") * scale).where("density > 0")
     e = e.withColumn("spacing", F.sqrt(M2_PER_HA / F.col("density")))
     count = lambda x: F.greatest(F.lit(1), F.ceil(F.col(x) / F.col("spacing"))).cast("long")
     e = e.withColumn("cols", count("width")).withColumn("rows", count("height")).withColumn("seed", fn.stream_seed(F.lit(seed).cast("long"), stream))
     up = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.col(x) - 1))
-    e = e.withColumn("lr", up("rows")).withColumn("lc", up("cols"))
-    e = e.withColumn("w", fn.draws(F.col("seed"), draws * (F.col("lr") * F.col("cols") + F.col("lc")), draws))
+    # a few rows make all the places: without a number of its own Spark would give them to one task
+    e = e.withColumn("lr", up("rows")).repartition(int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grid_id", "class", "lr")
+    e = e.withColumn("lc", up("cols")).withColumn("first", draws * (F.col("lr") * F.col("cols") + F.col("lc")))
+    e = e.withColumn("w", fn.draws(F.col("seed"), F.col("first"), 2))
     x, y = (F.col("lc") + F.col("w")[0]) * F.col("spacing"), (F.col("lr") + F.col("w")[1]) * F.col("spacing")
     e = e.withColumn("x", x).withColumn("y", y).where("x <= width AND y <= height")
-    return e.select("grid_id", "class", "form", "lr", "lc", "x", "y", "w")
+    return e.select("grid_id", "class", "form", "lr", "lc", "x", "y", "seed", "first", *kept)
+
+
+def _sized(extents: DataFrame, cells: DataFrame) -> DataFrame:
+    """Extents with mr and mc: the last row and column of each grid."""
+    return extents.join(cells.groupBy("grid_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc")), "grid_id")
 
 
 def at_cells(places: DataFrame, cells: DataFrame, res: float, *columns: str) -> DataFrame:
     """Places with columns of the cell that they lie in, clamped at the edges."""
-    size = cells.groupBy("grid_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc"))
+    p = places if {"mr", "mc"} <= set(places.columns) else _sized(large(places), cells)
     at = lambda v, m: F.least(F.greatest(F.floor(F.col(v) / res), F.lit(0)), F.col(m)).cast("int")
-    p = places.join(size, "grid_id").withColumn("r", at("y", "mr")).withColumn("c", at("x", "mc")).drop("mr", "mc")
-    return p.join(cells.select("grid_id", "r", "c", *[F.col(x).alias(f"cell_{x}") for x in columns]), ["grid_id", "r", "c"])
+    p = p.withColumn("r", at("y", "mr")).withColumn("c", at("x", "mc")).drop("mr", "mc")
+    return p.join(large(cells.select("grid_id", "r", "c", *[F.col(x).alias(f"cell_{x}") for x in columns])), ["grid_id", "r", "c"])
 
 
-def sampled(cells: DataFrame, extents: DataFrame, legend: DataFrame, res: float, seed: int = 1, scale: Column | None = None) -> DataFrame:
-    """(grid_id, class, form, lr, lc, x, y, r, c): plants of each class, kept where the grid has that class."""
-    places = lattice(extents, legend, 2, F.col("class"), seed, scale if scale is not None else F.lit(1.0)).drop("w")
-    return at_cells(places, cells, res, "class").where("cell_class = class").drop("cell_class")
+def sampled(cells: DataFrame, extents: DataFrame, legend: DataFrame, res: float, seed: int = 1, scale: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(grid_id, class, form, lr, lc, x, y, r, c, more): plants of each class, kept where the grid has that class; ``more`` are columns of the cell."""
+    places = lattice(_sized(extents, cells), legend, 2, F.col("class"), seed, scale if scale is not None else F.lit(1.0), "mr", "mc").drop("seed", "first")
+    p = at_cells(places, cells, res, "class", *more).where("cell_class = class").drop("cell_class")
+    return p.withColumnsRenamed({f"cell_{x}": x for x in more})
 
 
 def appearance(plants: DataFrame, forms: DataFrame, seed: int = 1, stream: int = 100) -> DataFrame:
@@ -66,11 +75,12 @@ def shore_band(cells: DataFrame, extents: DataFrame, legend: DataFrame, excluded
     members. Kept are those with min(levels) < connect <= max(levels) + band on a class that
     isn't excluded; ``legend`` has the band's class, form and density. The order is that of
     connect, then of the lattice."""
-    p = lattice(extents, legend, 7, F.col("class") + BAND_STREAM, seed, scale if scale is not None else F.lit(1.0))
-    p = at_cells(p, cells, res, "class", "connect").withColumnRenamed("cell_connect", "connect")
-    p = p.where((F.col("connect") > min(levels)) & (F.col("connect") <= max(levels) + band) & ~F.coalesce(F.col("cell_class").isin(excluded), F.lit(False)))
-    tall = height * (1 + (F.col("w")[2] * 2 - 1) * jitter)
-    return p.select("grid_id", "class", "lr", "lc", "x", "y", "connect", tall.alias("height"), (F.col("w")[4] * 2 * 3.141592653589793).alias("yaw"))
+    fits = (F.col("connect") > min(levels)) & (F.col("connect") <= max(levels) + band) & ~F.coalesce(F.col("class").isin(excluded), F.lit(False))
+    p = lattice(_sized(extents, cells), legend, 7, F.col("class") + BAND_STREAM, seed, scale if scale is not None else F.lit(1.0), "mr", "mc")
+    p = at_cells(p, cells.where(fits), res, "connect").withColumnRenamed("cell_connect", "connect")
+    p = p.withColumn("w", fn.draws(F.col("seed"), F.col("first") + 2, 3))  # the third to the fifth
+    tall = height * (1 + (F.col("w")[0] * 2 - 1) * jitter)
+    return p.select("grid_id", "class", "lr", "lc", "x", "y", "connect", tall.alias("height"), (F.col("w")[2] * 2 * 3.141592653589793).alias("yaw"))
 
 
 def capacity(candidates: DataFrame, band: float) -> DataFrame:

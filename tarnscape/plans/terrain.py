@@ -9,7 +9,7 @@ from tarnscape.operators import order, raster, rings, series, terrain, vectors,
 from tarnscape.plans.base import query
 from tarnscape.plans.geometry import OUTLINE
 from tarnscape.plans.grids import FLOOD, LANDCOVER, fixture_ground, land_cover
-from tarnscape.session import cut, table
+from tarnscape.session import cut, large, table
 from tarnscape.sources import fixtures as fx
 
 # ---- regions and repair ----------------------------------------------------------------------
@@ -123,7 +123,7 @@ def i9_far_water(spark, sf):
     """The flood on the second, coarser ring, for grids that have a table of levels; rounded up to its steps."""
     c = fx.cells(spark, sf).join(table(spark, sf, "events").select(F.col("user_id").alias("grid_id")).distinct(), "grid_id", "left_semi")
     far = raster.block_mean(c, 2).where("n = 4").select("grid_id", "r", "c", F.col("mean").alias("z"))
-    edge = fx.cells(spark, sf).where("r % 2 = 0 AND c % 2 = 0").select("grid_id", F.expr("int(r div 2)").alias("r"), F.expr("int(c div 2)").alias("c")).join(far, ["grid_id", "r", "c"], "left")
+    edge = fx.cells(spark, sf).where("r % 2 = 0 AND c % 2 = 0").select("grid_id", F.expr("int(r div 2)").alias("r"), F.expr("int(c div 2)").alias("c")).join(large(far), ["grid_id", "r", "c"], "left")
     return raster.sea_connectivity(edge).select("grid_id", "r", "c", fn.quantize_up(F.col("connect"), 0.5).alias("raw"))
 
 
@@ -152,7 +152,7 @@ def q5_ring_agreement(spark, sf):
     """The grid of each site whose ring is furthest off, and whether that is too far."""
     c = fx.cells(spark, sf)
     ring = raster.block_mean(c, 4).select("grid_id", (F.col("r") * 4 + 2).alias("r"), (F.col("c") * 4 + 2).alias("c"), "mean")
-    apart = ring.join(c, ["grid_id", "r", "c"]).select("grid_id", (F.col("mean") - F.col("z")).alias("d"))
+    apart = ring.join(large(c), ["grid_id", "r", "c"]).select("grid_id", (F.col("mean") - F.col("z")).alias("d"))
     o = order.exact_percentiles(apart, ["grid_id"], "d", {"off": 0.5})
     top = F.max(F.abs("off"))
     return o.groupBy((F.col("grid_id") % 3).alias("site")).agg(F.max_by("grid_id", F.struct(F.abs("off"), -F.col("grid_id"))).alias("worst"), F.round(top, 6).alias("off"), F.when(top > 0.1, "fail").otherwise("pass").alias("severity"))
@@ -343,7 +343,7 @@ def i16_budget(spark, sf):
 @query(f"""WITH {SAMPLE}, lv(level) AS (VALUES (8.0::DOUBLE), (10.0), (12.0)) SELECT grid_id, level, CASE class WHEN 3 THEN 'broadleaf' WHEN 8 THEN 'reeds' ELSE 'conifer' END AS form, count(*) FILTER (z > level + 1) AS visible FROM plant, lv GROUP BY 1, 2, 3""")
 def i17_visible_plants(spark, sf):
     c, ext = _ground(spark, sf)
-    p = vegetation.at_cells(vegetation.sampled(c, ext, _rows(spark, PLANTS), 2.0).drop("r", "c"), c, 2.0, "connect").withColumnRenamed("cell_connect", "connect")
+    p = vegetation.sampled(c, ext, _rows(spark, PLANTS), 2.0, more=("connect",))
     return vegetation.visible(p, spark.createDataFrame([(8.0,), (10.0,), (12.0,)], "level double"), 1.0)
 
 
