@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,16 @@ def format_year(year: Column) -> Column:
     return F.when(y > 0, F.concat(y.cast("string"), F.lit(" CE"))).when(y == 0, "1 BCE").otherwise(F.concat((-y).cast("string"), F.lit(" BCE")))
 
 
+def one_place(x: Column) -> Column:
+    """A number to a tenth as C's printf has it: by its exact binary value, ties to even. Java's format rounds ties up."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.1f}", na_action="ignore")
+
+    return shown(x)
+
+
 def format_level(level: Column) -> Column:
     return F.concat(F.when(level >= 0, "+").otherwise(""), F.format_string("%.1f", level), F.lit(" m above present sea"))
 

@@ -246,8 +246,9 @@ def i13_legend(spark, sf):
     n = land_cover(fixture_ground(spark, sf), fx.evidence(spark, sf), 2.0).groupBy("grid_id", "class").count()
     total = n.groupBy("grid_id").agg(F.sum("count").alias("total"))
     j = total.crossJoin(F.broadcast(spark.createDataFrame(LEGEND, "class int, id string, color string, rule string"))).join(n, ["grid_id", "class"], "left")  # nine rows
-    share = F.coalesce("count", F.lit(0)) / F.col("total")
-    return j.select("grid_id", "class", "id", "color", F.format_string("%s: %s (%.1f %% of the grid)", "id", "rule", 100.0 * share).alias("text"), F.round(share, 6).alias("fraction"))
+    n = F.coalesce("count", F.lit(0))
+    text = F.format_string("%s: %s (%s %% of the grid)", "id", "rule", fn.one_place(100.0 * n / F.col("total")))
+    return j.select("grid_id", "class", "id", "color", text.alias("text"), F.round(n / F.col("total"), 6).alias("fraction"))
 
 
 #: Class, form and density of the test legend, and the band's.
