@@ -181,3 +181,13 @@ def test_stream_gives_the_batch_state_after_every_batch(spark, tmp_path):
     assert sorted(map(tuple, state.latest_state(spark, f"{tmp_path}/state").collect()), key=str) == want
     with pytest.raises(FileNotFoundError):
         state.latest_state(spark, f"{tmp_path}/nothing")
+
+
+def test_envelopes_over_everything_are_not_repeated(spark):
+    wide = spark.range(400).selectExpr("id", "id % 9 * 1.0D AS min_e", "990 + id % 9 * 1.0D AS max_e", "id % 7 * 1.0D AS min_n", "980 + id % 11 * 1.0D AS max_n")
+    small = spark.range(400).selectExpr("id", "id * 2.0D AS min_e", "id * 2.0D + 1 AS max_e", "id * 2.0D AS min_n", "id * 2.0D + 1 AS max_n")
+    a, b = joins.assigned(joins._numbered(small, "a"), joins._numbered(wide, "b"), 64)
+    blocks = a.select("__leaf", "__i", "__j").distinct().count()
+    assert b.select("__id", "__leaf").distinct().count() <= 400 * 16 and blocks < 1000
+    assert "BroadcastHashJoin [__leaf" not in joins.envelope_join(small, wide, 64)._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    assert joins.envelope_join(small, wide, 64).count() == sum(1 for i in range(400) for k in range(400) if 2 * i + 1 >= k % 9 and 2 * i <= 990 + k % 9 and 2 * i + 1 >= k % 7 and 2 * i <= 980 + k % 11)
