@@ -6,30 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnscape.operators import vectors
-from tarnscape.session import cut
+from tarnscape.session import cut, large
 
 
 def shore_samples(outlines: DataFrame, cells: DataFrame, margin: int = 2) -> DataFrame:
-    """(slug, bp, z): heights at points a cell apart along the shores of each site and century.
+    """(slug, bp, z, n): how many points a cell apart along the shores of each site and century have a height.
 
     ``outlines`` are vertices in cell units with slug and bp for each feature. Segments keep
     both ends, so shared vertices count twice. Points within ``margin`` cells of the edge go:
     there an outline follows the clip, not a shore. A point takes the cell that it lies in."""
-    name = outlines.select("feature_id", "slug", "bp").distinct()
-    p = vectors.densified(outlines, 1.0).select("feature_id", "x", "y").join(name, "feature_id")
     size = cells.groupBy(F.col("grid_id").alias("slug")).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    p = p.join(size, "slug").where((F.col("x").between(margin, F.col("w") - margin)) & (F.col("y").between(margin, F.col("h") - margin)))
-    p = p.select("slug", "bp", F.floor("y").cast("int").alias("r"), F.floor("x").cast("int").alias("c"))
-    return p.join(cells.where("z IS NOT NULL").select(F.col("grid_id").alias("slug"), "r", "c", "z"), ["slug", "r", "c"]).select("slug", "bp", "z")
+    p = vectors.densified(outlines.join(size, "slug"), 1.0, more=("slug", "bp", "h", "w"))
+    p = p.where((F.col("x").between(margin, F.col("w") - margin)) & (F.col("y").between(margin, F.col("h") - margin)))
+    p = p.groupBy("slug", "bp", F.floor("y").cast("int").alias("r"), F.floor("x").cast("int").alias("c")).agg(F.count("*").alias("n"))
+    j = p.join(large(cells.where("z IS NOT NULL").select(F.col("grid_id").alias("slug"), "r", "c", "z")), ["slug", "r", "c"])
+    return j.groupBy("slug", "bp", "z").agg(F.sum("n").alias("n"))
 
 
 def century_levels(present: DataFrame, samples: DataFrame, least: int = 50) -> DataFrame:
-    """(slug, bp, year, level, samples, raw, trend_rms): a level for every (slug, bp) in ``present``, oldest first never rising.
+    """(slug, bp, year, level, samples, raw, trend_rms): from heights (slug, bp, z, and n where a row is many) a level for every (slug, bp) in ``present``, oldest first never rising.
 
     Measured is the median of at least ``least`` samples, to 0.1; what lacks them takes the
     site's linear trend through its measured centuries. A site with fewer than two measured
     centuries has no trend, and unmeasured centuries of it no level."""
-    m = samples.groupBy("slug", "bp").agg(F.median("z").alias("z"), F.count("z").alias("samples")).where(F.col("samples") >= least).select("slug", "bp", F.bround("z", 1).alias("z"), "samples")
+    samples = samples if "n" in samples.columns else samples.withColumn("n", F.lit(1))
+    m = samples.where("z IS NOT NULL").groupBy("slug", "bp").agg(F.percentile("z", 0.5, F.col("n")).alias("z"), F.sum("n").alias("samples")).where(F.col("samples") >= least).select("slug", "bp", F.bround("z", 1).alias("z"), "samples")
     y = (1950 - F.col("bp")).cast("double")
     fit = m.groupBy("slug").agg(F.regr_slope("z", y).alias("a"), F.regr_intercept("z", y).alias("b"), F.count("*").alias("n")).where("n > 1")
     miss = F.col("z") - (F.col("a") * y + F.col("b"))

@@ -80,8 +80,8 @@ def _targets(s: DataFrame, last: Column, *more: Column) -> DataFrame:
     return s.select(*PART, "i", x.alias("x"), y.alias("y"), *more)
 
 
-def densified(v: DataFrame, step: float, shared: bool = True, window: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """(feature_id, ring, seq, k, x, y): points at most ``step`` apart along each segment.
+def densified(v: DataFrame, step: float, shared: bool = True, window: tuple[float, float, float, float] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(feature_id, ring, seq, k, x, y, more): points at most ``step`` apart along each segment.
 
     With ``shared`` both ends of a segment are points, so vertices come twice and weigh twice
     in a median. Without, a segment has no last point, but the last of an open line has.
@@ -94,7 +94,7 @@ def densified(v: DataFrame, step: float, shared: bool = True, window: tuple[floa
     s = s.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / step)).cast("long")).withColumn("end", F.col("n") - F.when(last, 0).otherwise(1))
     s = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"))))
     at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")
-    return s.select(*PART, "seq", "k", at("x", "x2").alias("x"), at("y", "y2").alias("y"))
+    return s.select(*PART, "seq", "k", at("x", "x2").alias("x"), at("y", "y2").alias("y"), *more)
 
 
 def posts(v: DataFrame, spacing: float) -> DataFrame:

@@ -26,3 +26,14 @@ def test_heights_between_cells_need_no_broadcast(spark):
     got = terrain.bilinear(points, _cells(spark), "id")
     assert "BroadcastHashJoin" not in _plan(got) and "SortMergeJoin" in _plan(got)
     assert sorted((r.id, r.h) for r in got.collect()) == [(i, i * 0.5 + 1.25) for i in range(4)]
+
+
+def test_shore_points_are_counted_by_height(spark):
+    from tarnscape.operators import series
+
+    cells = spark.range(8).select(F.lit(0).cast("long").alias("grid_id"), F.col("id").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c")).withColumn("z", F.lit(3))
+    ring = [(1, 0, False, i, True, x, y, 0, 800) for i, (x, y) in enumerate([(2.0, 2.0), (5.0, 2.0), (5.0, 5.0), (2.0, 5.0)])]
+    v = spark.createDataFrame(ring, "feature_id long, ring int, hole boolean, seq int, closed boolean, x double, y double, slug long, bp int")
+    got = series.shore_samples(v, cells)
+    assert [tuple(r) for r in got.select("slug", "bp", "z", "n").collect()] == [(0, 800, 3, 16)]
+    assert [(r.level, r.samples) for r in series.century_levels(v, got, 16).collect()] == [(3.0, 16)]
