@@ -20,91 +20,125 @@ SLACK = 2
 #: Rows that a tile takes over from its neighbour towards the observer.
 EDGE = 4
 SWEEPS = "EWSN"
+#: Eyes of a grid that look together, about, and the angles of columns that they hold.
+EYES, HELD = 256, 4_000_000
+#: Cells that are put together to a batch of results, about.
+CELLS = 500_000
 
 
-class Sweep:
-    """A sweep along x away from an eye at (x, y): a column at a time, each from the one before.
+class Sweeps:
+    """Sweeps of several eyes at (x, y) along x away from them: a column at a time, each from the one before.
 
     The sight line to a cell crosses the column before at a fraction of a row, between two
     cells whose highest angles so far are interpolated. The wedge has the rows within 45
     degrees, without the diagonals if ``strict``, so four sweeps share out a grid. ``flip``
     has the number of columns where x runs against the grid.
 
-    Tiles come strip by strip, and in a strip from the eye's row outwards. Each takes the
+    Tiles come strip by strip, and in a strip from the eyes' rows outwards. Each takes the
     angles of the column before it from the strip before, and those of the rows next to it
-    from its neighbour towards the eye, and hands on its own. So what is held is a tile, a
-    column and the edge rows of one tile."""
+    from its neighbour towards the eye, and hands on its own. So what is held is a tile, and
+    a column and the edge rows of one tile for each eye."""
 
-    def __init__(self, eye: float, flip: int, y: float, level: float, rows: int, strict: bool, res: float, target: float, radius: float, curve: float):
-        self.eye, self.flip, self.y, self.level, self.rows, self.strict = eye, flip, y, level, rows, strict
+    def __init__(self, flip: int, rows: int, strict: bool, res: float, target: float, radius: float, curve: float):
+        self.flip, self.rows, self.strict = flip, rows, strict
         self.res, self.target, self.radius, self.curve = res, target, radius, curve
-        self.first = flip - int(np.ceil(eye)) if flip else int(np.floor(eye)) + 1
+        self.slots: dict[int, int] = {}
         self.strip: int | None = None
-        self.column, self.next = np.empty(0), np.full(rows + 2 * EDGE, NO_BLOCK)
+        self.column, self.next = self._blank(0), self._blank(0)
         self.edges: dict[int, np.ndarray] = {}
 
-    def away(self, x: int) -> float:
-        return self.eye - (self.flip - 1 - x) if self.flip else x - self.eye
+    def _blank(self, n: int) -> np.ndarray:
+        return np.full((n, self.rows + 2 * EDGE), NO_BLOCK)
+
+    def _slots_of(self, ids: list[int]) -> np.ndarray:
+        slots = np.array([self.slots.setdefault(i, len(self.slots)) for i in ids])
+        if len(self.slots) > len(self.next):
+            more = max(len(self.slots), 2 * len(self.next)) - len(self.next)
+            self.column, self.next = np.concatenate([self.column, self._blank(more)]), np.concatenate([self.next, self._blank(more)])
+            self.edges = {k: np.concatenate([e, np.full((more, *e.shape[1:]), NO_BLOCK)]) for k, e in self.edges.items()}
+        return slots
+
+    def away(self, eye: np.ndarray, x: int) -> np.ndarray:
+        return eye - (self.flip - 1 - x) if self.flip else x - eye
 
-    def window(self, x: int) -> tuple[int, int]:
+    def window(self, y: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last row that is computed in a column."""
-        away = self.away(x)
         if self.strict:
-            lo, hi = int(np.floor(self.y - away)) + 1, int(np.ceil(self.y + away)) - 1
+            lo, hi = np.floor(y - away) + 1, np.ceil(y + away) - 1
         else:
-            lo, hi = int(np.ceil(self.y - away)), int(np.floor(self.y + away))
-        return max(lo - SLACK, 0), min(hi + SLACK, self.rows - 1)
+            lo, hi = np.ceil(y - away), np.floor(y + away)
+        return np.maximum(lo - SLACK, 0)[:, None], np.minimum(hi + SLACK, self.rows - 1)[:, None]
 
-    def tile(self, side: int, x0: int, y0: int, z: np.ndarray) -> np.ndarray:
-        """The cells of a tile that are seen. ``side``: 0 for the eye's rows, 1 before them, 2 after."""
+    def tile(self, ids: list[int], eye: np.ndarray, y: np.ndarray, level: np.ndarray, side: int, x0: int, y0: int, z: np.ndarray) -> np.ndarray:
+        """The cells of a tile that each of the eyes ``ids`` sees. ``side``: 0 for the eyes' rows, 1 before them, 2 after."""
         h, w = z.shape
         if x0 != self.strip:
-            self.strip, self.column, self.next = x0, self.next, np.full(self.rows + 2 * EDGE, NO_BLOCK)
-        seen = np.zeros((h, w), bool)
-        before = self.column[y0 : y0 + h + 2 * EDGE]
-        near = self.edges.get(side)
-        low, high = np.full((EDGE, w), NO_BLOCK), np.full((EDGE, w), NO_BLOCK)
-        n = min(EDGE, h)
+            self.strip, self.column, self.next = x0, self.next, self._blank(len(self.next))
+        own = self._slots_of(ids)
+        n = len(own)
+        first = self.flip - np.ceil(eye) if self.flip else np.floor(eye) + 1
+        seen = np.zeros((n, h, w), bool)
+        before = self.column[own, y0 : y0 + h + 2 * EDGE]
+        near = self.edges[side][own] if side in self.edges else None
+        low, high = np.full((n, EDGE, w), NO_BLOCK), np.full((n, EDGE, w), NO_BLOCK)
+        e = min(EDGE, h)
+        rows = np.arange(y0, y0 + h)
+        dy, lift = rows - y[:, None], level[:, None]
         for i in range(w):
             x = x0 + i
-            column = np.full(h + 2 * EDGE, NO_BLOCK)
-            if x >= self.first:
-                from_row, to_row = self.window(x)
-                a, b = max(from_row, y0), min(to_row, y0 + h - 1) + 1
-                if a < b:
-                    rows, away = np.arange(a, b), self.away(x)
-                    dy = rows - self.y
-                    limit = np.full(b - a, NO_BLOCK)
-                    if x > self.first:
-                        at = self.y + dy * (self.away(x - 1) / away)
-                        below = np.floor(at)
-                        least, most = self.window(x - 1)
-                        p = before[np.clip(below, least, most).astype(np.int64) - y0 + EDGE]
-                        q = before[np.clip(below + 1, least, most).astype(np.int64) - y0 + EDGE]
-                        limit = p + (q - p) * (at - below)
-                    d2 = (dy * dy + away * away) * self.res * self.res
-                    d = np.sqrt(d2)
-                    eff = z[a - y0 : b - y0, i] - self.curve * d2 - self.level
-                    block = np.where(np.isnan(eff), NO_BLOCK, eff / d)
-                    column[a - y0 + EDGE : b - y0 + EDGE] = np.maximum(block, limit)
-                    fits = (np.abs(dy) < away if self.strict else np.abs(dy) <= away) & ((eff + self.target) / d >= limit)
-                    if self.radius > 0:
-                        fits &= d2 <= self.radius * self.radius
-                    seen[a - y0 : b - y0, i] = fits
-            low[:n, i], high[EDGE - n :, i] = column[EDGE : EDGE + n], column[EDGE + h - n : EDGE + h]
+            column = np.full((n, h + 2 * EDGE), NO_BLOCK)
+            begun = x >= first
+            if begun.any():
+                away = np.where(begun, self.away(eye, x), 1.0)
+                lo, hi = self.window(y, away)
+                inside = begun[:, None] & (rows >= lo) & (rows <= hi)
+                last = np.where(x > first, self.away(eye, x - 1), 0.0)
+                at = y[:, None] + dy * (last / away)[:, None]
+                below = np.floor(at)
+                least, most = self.window(y, last)
+                place = lambda k: np.clip(np.clip(k, least, most).astype(np.int64) - y0 + EDGE, 0, h + 2 * EDGE - 1)  # noqa: B023, E731
+                p, q = np.take_along_axis(before, place(below), axis=1), np.take_along_axis(before, place(below + 1), axis=1)
+                limit = np.where((x > first)[:, None], p + (q - p) * (at - below), NO_BLOCK)
+                d2 = (dy * dy + (away * away)[:, None]) * self.res * self.res
+                d = np.sqrt(d2)
+                eff = z[:, i] - self.curve * d2 - lift
+                block = np.where(np.isnan(eff), NO_BLOCK, eff / d)
+                column[:, EDGE : EDGE + h] = np.where(inside, np.maximum(block, limit), NO_BLOCK)
+                fits = (np.abs(dy) < away[:, None] if self.strict else np.abs(dy) <= away[:, None]) & ((eff + self.target) / d >= limit)
+                if self.radius > 0:
+                    fits &= d2 <= self.radius * self.radius
+                seen[:, :, i] = fits & inside
+            low[:, :e, i], high[:, EDGE - e :, i] = column[:, EDGE : EDGE + e], column[:, EDGE + h - e : EDGE + h]
             if near is not None and side == 1:
-                column[EDGE + h :] = near[:, i]
+                column[:, EDGE + h :] = near[:, :, i]
             elif near is not None and side == 2:
-                column[:EDGE] = near[:, i]
+                column[:, :EDGE] = near[:, :, i]
             before = column
-        self.next[y0 + EDGE : y0 + EDGE + h] = before[EDGE : EDGE + h]
+        self.next[own, y0 + EDGE : y0 + EDGE + h] = before[:, EDGE : EDGE + h]
         if side == 0:
-            self.edges = {1: low, 2: high}
+            self.edges = {k: np.full((len(self.next), EDGE, w), NO_BLOCK) for k in (1, 2)} if self.edges.get(1) is None or self.edges[1].shape[2] != w else self.edges
+            self.edges[1][own], self.edges[2][own] = low, high
         else:
-            self.edges[side] = low if side == 1 else high
+            self.edges[side][own] = low if side == 1 else high
         return seen
 
 
+class Sweep:
+    """The sweep of one eye (see Sweeps)."""
+
+    def __init__(self, eye: float, y: float, level: float, sweeps: Sweeps):
+        self.eye, self.y, self.level = (np.array([v]) for v in (eye, y, level))
+        self.sweeps = sweeps
+        sweeps._slots_of([0])
+
+    @property
+    def next(self) -> np.ndarray:
+        return self.sweeps.next[0]
+
+    def tile(self, side: int, x0: int, y0: int, z: np.ndarray) -> np.ndarray:
+        return self.sweeps.tile([0], self.eye, self.y, self.level, side, x0, y0, z)[0]
+
+
 def _turned(sweep: str, z: np.ndarray) -> np.ndarray:
     """Rows and columns so that the sweep goes along the columns, away from the eye; turned twice, it is what it was."""
     if sweep == "E":
@@ -118,10 +152,17 @@ def _back(sweep: str, z: np.ndarray) -> np.ndarray:
     return z.T[::-1] if sweep == "N" else _turned(sweep, z)
 
 
-def _sweep(sweep: str, row: float, col: float, level: float, h: int, w: int, **how) -> Sweep:
+def _sweeps(sweep: str, h: int, w: int, **how) -> Sweeps:
     across = sweep in "EW"
-    eye, y, rows = (col, row, h) if across else (row, col, w)
-    return Sweep(eye, {"W": w, "N": h}.get(sweep, 0), y, level, rows, not across, **how)
+    return Sweeps({"W": w, "N": h}.get(sweep, 0), h if across else w, not across, **how)
+
+
+def _places(sweep: str, row, col) -> tuple:
+    return (col, row) if sweep in "EW" else (row, col)
+
+
+def _sweep(sweep: str, row: float, col: float, level: float, h: int, w: int, **how) -> Sweep:
+    return Sweep(*_places(sweep, row, col), level, _sweeps(sweep, h, w, **how))
 
 
 def _how(res: float, target: float, radius: float, k: float | None) -> dict:
@@ -208,7 +249,7 @@ def _itinerary(who: DataFrame, tile: int, reach: float) -> DataFrame:
         first, last = f"int(floor({y}) div {tile})", f"int(least(floor({y}) + 1, {n} - 1) div {tile})"
         side = f"CASE WHEN {lateral} < {first} THEN 1 WHEN {lateral} > {last} THEN 2 ELSE 0 END"
         meets = f"{away} > 0 AND greatest(0, {lo} - {y}, {y} - {hi}) <= {away} + {EDGE}"
-        steps.append(f"CASE WHEN {meets} THEN struct('{s}' AS sweep, {strip} AS strip, {side} AS side, CASE WHEN {lateral} < {first} THEN -{lateral} ELSE {lateral} END AS place, {last} - {first} + 1 AS middle) END")
+        steps.append(f"CASE WHEN {meets} THEN struct('{s}' AS sweep, {strip} AS strip, {side} AS side, CASE WHEN {lateral} < {first} THEN -{lateral} ELSE {lateral} END AS place, {last} - {first} + 1 AS middle, {first} AS first) END")
     return each.select("*", F.explode(F.expr(f"filter(array({', '.join(steps)}), x -> x IS NOT NULL)")).alias("s")).select(*each.columns, "s.*")
 
 
@@ -217,24 +258,31 @@ def viewshed_masks(cells: DataFrame, observers: DataFrame, res: float, radius: f
 
     Without a radius (in metres) an observer looks over the whole grid. Each of the four
     sweeps of an observer is a stream of the tiles that its wedge meets, sorted away from the
-    observer, in one task (see Sweep); a task holds a tile, a column and the edge of a tile,
-    whatever the distance. A tile goes to the observers that can see it, once for each sweep.
+    observer, in one task (see Sweep); a task holds a tile, and a column and the edge of a tile
+    for each observer, whatever the distance. Observers of a grid whose tiles come in the same
+    order look together, a bounded number of them, and a tile goes to them once a sweep.
     A tile may come once for each sweep, and the masks of an observer don't overlap."""
     how = _how(res, target, radius, k)
     who = cut(eyes(cells, observers), "eyes")
-    plan = _itinerary(who.where("level IS NOT NULL"), tile, radius / res if radius > 0 else np.inf)
+    parts = who.groupBy("grid_id").agg(F.expr(f"int(ceil(count(*) / least({EYES}, greatest(1, {HELD} div max(greatest(h, w))))))").alias("parts"))
+    apart = who.where("level IS NOT NULL").join(large(parts), "grid_id").withColumn("part", F.expr("int(pmod(xxhash64(obs_id), parts))")).drop("parts")
+    plan = _itinerary(apart, tile, radius / res if radius > 0 else np.inf)
     ground = cut(packed(cells, tile), "tiles")
-    stream = plan.join(ground, ["grid_id", "tr", "tc"], "left").repartition("obs_id", "sweep").sortWithinPartitions("obs_id", "sweep", "strip", "side", "place")
+    same = ["grid_id", "h", "w", "tr", "tc", "sweep", "first", "middle", "part", "strip", "side", "place"]
+    eye = F.struct("obs_id", "row", "col", "level")
+    met = plan.groupBy(*same).agg(F.collect_list(eye).alias("eyes"))
+    group = ["grid_id", "sweep", "first", "middle", "part"]
+    stream = met.join(large(ground), ["grid_id", "tr", "tc"], "left").repartition(*group).sortWithinPartitions(*group, "strip", "side", "place")
 
     def look(batches) -> Iterator[pa.RecordBatch]:
         now, sweep, middle = None, None, []
         for b in batches:
             out = []
             for x in b.to_pylist():
-                key = (x["obs_id"], x["sweep"])
+                key = tuple(x[k] for k in group)
                 if key != now:
                     now, middle = key, []
-                    sweep = _sweep(x["sweep"], x["row"], x["col"], x["level"], x["h"], x["w"], **how)
+                    sweep = _sweeps(x["sweep"], x["h"], x["w"], **how)
                 r0, c0 = x["tr"] * tile, x["tc"] * tile
                 h, w = min(tile, x["h"] - r0), min(tile, x["w"] - c0)
                 z = np.full((tile, tile), np.nan) if x["z"] is None else np.frombuffer(x["z"]).reshape(tile, tile)
@@ -245,13 +293,16 @@ def viewshed_masks(cells: DataFrame, observers: DataFrame, res: float, radius: f
                 z = np.concatenate([m[2] for m in middle], axis=0 if x["sweep"] in "EW" else 1)
                 middle, (h, w) = [], z.shape
                 x0 = {"E": c0, "W": x["w"] - c0 - w, "S": r0, "N": x["h"] - r0 - h}[x["sweep"]]
-                seen = _back(x["sweep"], sweep.tile(x["side"], x0, r0 if x["sweep"] in "EW" else c0, _turned(x["sweep"], z)))
-                own = own_cell(x["row"], x["col"], x["h"], x["w"])
-                if r0 <= own[0] < r0 + h and c0 <= own[1] < c0 + w:
-                    seen = seen.copy()
-                    seen[own[0] - r0, own[1] - c0] = False
-                if seen.any():
-                    out.append({"obs_id": x["obs_id"], "grid_id": x["grid_id"], "r0": r0, "c0": c0, "h": h, "w": w, "mask": np.packbits(seen).tobytes()})
+                ids, row, col, level = ([e[k] for e in x["eyes"]] for k in ("obs_id", "row", "col", "level"))
+                seen = sweep.tile(ids, *_places(x["sweep"], np.array(row), np.array(col)), np.array(level), x["side"], x0, r0 if x["sweep"] in "EW" else c0, _turned(x["sweep"], z))
+                for obs, at_row, at_col, turned in zip(ids, row, col, seen, strict=True):
+                    mask = _back(x["sweep"], turned)
+                    own = own_cell(at_row, at_col, x["h"], x["w"])
+                    if r0 <= own[0] < r0 + h and c0 <= own[1] < c0 + w:
+                        mask = mask.copy()
+                        mask[own[0] - r0, own[1] - c0] = False
+                    if mask.any():
+                        out.append({"obs_id": obs, "grid_id": x["grid_id"], "r0": r0, "c0": c0, "h": h, "w": w, "mask": np.packbits(mask).tobytes()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("obs_id", pa.int64()), ("grid_id", pa.int64()), *[(n, pa.int32()) for n in ("r0", "c0", "h", "w")], ("mask", pa.binary())]))
 
@@ -265,10 +316,22 @@ def viewshed_masks(cells: DataFrame, observers: DataFrame, res: float, radius: f
 def viewshed(cells: DataFrame, observers: DataFrame, res: float, radius: float = 0.0, target: float = 0.0, k: float | None = 0.13, tile: int = 256) -> DataFrame:
     """(obs_id, grid_id, r, c): the cells that each observer sees (see viewshed_masks and visible_from)."""
 
+    def whole(rows: list) -> pd.DataFrame:
+        i, g, r, c = zip(*rows, strict=True)
+        n = [len(x) for x in r]
+        return pd.DataFrame({"obs_id": np.repeat(i, n), "grid_id": np.repeat(g, n), "r": np.concatenate(r), "c": np.concatenate(c)})
+
     def spread(batches):
         for b in batches:
+            rows, n = [], 0
             for i, g, r0, c0, h, w, mask in b.itertuples(index=False):
-                r, c = np.nonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=h * w).reshape(h, w))
-                yield pd.DataFrame({"obs_id": i, "grid_id": g, "r": (r + r0).astype(np.int32), "c": (c + c0).astype(np.int32)})
+                r, c = np.divmod(np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=h * w)), w)
+                rows.append((i, g, (r + r0).astype(np.int32), (c + c0).astype(np.int32)))
+                n += len(r)
+                if n >= CELLS:
+                    yield whole(rows)
+                    rows, n = [], 0
+            if rows:
+                yield whole(rows)
 
     return viewshed_masks(cells, observers, res, radius, target, k, tile).mapInPandas(spread, "obs_id long, grid_id long, r int, c int")

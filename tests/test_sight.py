@@ -112,3 +112,17 @@ def test_no_cells_and_no_observers(spark):
     assert sight.viewshed(cells, o, 2.0).count() == 0
     some = spark.createDataFrame([(1, 0, 1.0, 1.0, 1.7)], o.schema)
     assert sight.viewshed(cells.limit(0), some, 2.0).count() == 0
+
+
+def test_eyes_of_a_grid_look_together(spark):
+    """A tile goes to many eyes at once, whose places differ, and each sees what it sees alone."""
+    z = rough(40, 40, 3)
+    rows = [(i, 0, (i * 7 % 390) / 10, (i * 13 % 380) / 10, 1.7) for i in range(60)]
+    o = spark.createDataFrame(rows, "obs_id long, grid_id long, row double, col double, height double")
+    got = {}
+    for r in sight.viewshed(grid(spark, z), o, 2.0, tile=16).collect():
+        got.setdefault(r.obs_id, set()).add((r.r, r.c))
+    for i, _, row, col, height in rows:
+        assert got[i] == set(zip(*(v.tolist() for v in np.nonzero(sight.visible_from(z, row, col, height, 2.0))), strict=True)), i
+    s = sight._sweeps("E", 40, 40, **sight._how(2.0, 0.0, 0.0, 0.13))
+    assert s.tile([3, 9], np.array([5.5, 9.0]), np.array([5.5, 9.0]), np.array([9.0, 9.0]), 0, 0, 0, z[:16, :16]).shape == (2, 16, 16)
