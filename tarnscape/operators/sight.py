@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ SLACK = 2
 #: Rows that a tile takes over from its neighbour towards the observer.
 EDGE = 4
 SWEEPS = "EWSN"
-#: Eyes of a grid that look together, about, and the angles of columns that they hold.
-EYES, HELD = 256, 4_000_000
+#: Eyes that look together, about, and the angles of columns, and heights of tiles, that they hold.
+EYES, HELD = 1024, 4_000_000
 #: Cells that are put together to a batch of results, about.
 CELLS = 500_000
 
@@ -69,9 +70,9 @@ class Sweeps:
             lo, hi = np.ceil(y - away), np.floor(y + away)
         return np.maximum(lo - SLACK, 0)[:, None], np.minimum(hi + SLACK, self.rows - 1)[:, None]
 
-    def tile(self, ids: list[int], eye: np.ndarray, y: np.ndarray, level: np.ndarray, side: int, x0: int, y0: int, z: np.ndarray) -> np.ndarray:
-        """The cells of a tile that each of the eyes ``ids`` sees. ``side``: 0 for the eyes' rows, 1 before them, 2 after."""
-        h, w = z.shape
+    def tile(self, ids: list[int], eye: np.ndarray, y: np.ndarray, level: np.ndarray, side: int, x0: int, y0: int, z: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """The cells of a tile that each of the eyes ``ids`` sees. ``side``: 0 for the eyes' rows, 1 before them, 2 after; ``z`` has that tile of several grids, ``grid`` each eye's."""
+        h, w = z.shape[1:]
         if x0 != self.strip:
             self.strip, self.column, self.next = x0, self.next, self._blank(len(self.next))
         own = self._slots_of(ids)
@@ -101,7 +102,7 @@ class Sweeps:
                 limit = np.where((x > first)[:, None], p + (q - p) * (at - below), NO_BLOCK)
                 d2 = (dy * dy + (away * away)[:, None]) * self.res * self.res
                 d = np.sqrt(d2)
-                eff = z[:, i] - self.curve * d2 - lift
+                eff = z[grid, :, i] - self.curve * d2 - lift
                 block = np.where(np.isnan(eff), NO_BLOCK, eff / d)
                 column[:, EDGE : EDGE + h] = np.where(inside, np.maximum(block, limit), NO_BLOCK)
                 fits = (np.abs(dy) < away[:, None] if self.strict else np.abs(dy) <= away[:, None]) & ((eff + self.target) / d >= limit)
@@ -136,7 +137,7 @@ class Sweep:
         return self.sweeps.next[0]
 
     def tile(self, side: int, x0: int, y0: int, z: np.ndarray) -> np.ndarray:
-        return self.sweeps.tile([0], self.eye, self.y, self.level, side, x0, y0, z)[0]
+        return self.sweeps.tile([0], self.eye, self.y, self.level, side, x0, y0, z[None], np.zeros(1, np.int64))[0]
 
 
 def _turned(sweep: str, z: np.ndarray) -> np.ndarray:
@@ -259,52 +260,61 @@ def viewshed_masks(cells: DataFrame, observers: DataFrame, res: float, radius: f
     Without a radius (in metres) an observer looks over the whole grid. Each of the four
     sweeps of an observer is a stream of the tiles that its wedge meets, sorted away from the
     observer, in one task (see Sweep); a task holds a tile, and a column and the edge of a tile
-    for each observer, whatever the distance. Observers of a grid whose tiles come in the same
-    order look together, a bounded number of them, and a tile goes to them once a sweep.
+    for each observer, whatever the distance. Observers of grids of one size whose tiles come
+    in the same order look together, a bounded number of them, and a tile goes to them once a sweep.
     A tile may come once for each sweep, and the masks of an observer don't overlap."""
     how = _how(res, target, radius, k)
     who = cut(eyes(cells, observers), "eyes")
-    parts = who.groupBy("grid_id").agg(F.expr(f"int(ceil(count(*) / least({EYES}, greatest(1, {HELD} div max(greatest(h, w))))))").alias("parts"))
-    apart = who.where("level IS NOT NULL").join(large(parts), "grid_id").withColumn("part", F.expr("int(pmod(xxhash64(obs_id), parts))")).drop("parts")
+    most = f"least({EYES}, greatest(1, {HELD} div greatest(h, w, {tile * tile})))"
+    per = who.groupBy("grid_id", "h", "w").agg(F.count("*").alias("n"))
+    total = per.groupBy("h", "w").agg(F.sum("n").alias("total"))
+    # grids of one size are dealt out, and a grid with more eyes than look together is parted
+    parts = per.join(total, ["h", "w"]).selectExpr("grid_id", f"pmod(xxhash64(grid_id), int(ceil(total / {most}))) AS part", f"int(ceil(n / {most})) AS k")
+    apart = who.where("level IS NOT NULL").join(large(parts), "grid_id").withColumn("within", F.expr("int(pmod(xxhash64(obs_id), k))")).drop("k")
     plan = _itinerary(apart, tile, radius / res if radius > 0 else np.inf)
     ground = cut(packed(cells, tile), "tiles")
-    same = ["grid_id", "h", "w", "tr", "tc", "sweep", "first", "middle", "part", "strip", "side", "place"]
+    same = ["grid_id", "h", "w", "tr", "tc", "sweep", "first", "middle", "part", "within", "strip", "side", "place"]
     eye = F.struct("obs_id", "row", "col", "level")
     met = plan.groupBy(*same).agg(F.collect_list(eye).alias("eyes"))
-    group = ["grid_id", "sweep", "first", "middle", "part"]
-    stream = met.join(large(ground), ["grid_id", "tr", "tc"], "left").repartition(*group).sortWithinPartitions(*group, "strip", "side", "place")
+    group = ["h", "w", "sweep", "first", "middle", "part", "within"]
+    stream = met.join(large(ground), ["grid_id", "tr", "tc"], "left").repartition(*group).sortWithinPartitions(*group, "strip", "side", "place", "grid_id")
+
+    def seen_of(sweep: Sweeps, rows: list[dict]) -> Iterator[dict]:
+        """What the eyes of several grids see of a tile at one place, or of the middle tiles of a strip side by side."""
+        ground, eyes = {}, {}
+        for x in rows:
+            r0, c0 = x["tr"] * tile, x["tc"] * tile
+            z = np.full((tile, tile), np.nan) if x["z"] is None else np.frombuffer(x["z"]).reshape(tile, tile)
+            ground.setdefault(x["grid_id"], []).append(z[: min(tile, x["h"] - r0), : min(tile, x["w"] - c0)])
+            eyes[x["grid_id"]] = x["eyes"]
+        x, across = rows[0], rows[0]["sweep"] in "EW"
+        r0, c0 = x["tr"] * tile, x["tc"] * tile
+        z = np.stack([_turned(x["sweep"], np.concatenate(g, axis=0 if across else 1)) for g in ground.values()])
+        h, w = _back(x["sweep"], z[0]).shape
+        x0 = {"E": c0, "W": x["w"] - c0 - w, "S": r0, "N": x["h"] - r0 - h}[x["sweep"]]
+        of = np.repeat(np.arange(len(z)), [len(eyes[g]) for g in ground])
+        ids, row, col, level = ([e[k] for g in ground for e in eyes[g]] for k in ("obs_id", "row", "col", "level"))
+        seen = sweep.tile(ids, *_places(x["sweep"], np.array(row), np.array(col)), np.array(level), x["side"], x0, r0 if across else c0, z, of)
+        grids = list(ground)
+        for obs, g, at_row, at_col, turned in zip(ids, of, row, col, seen, strict=True):
+            mask, own = _back(x["sweep"], turned), own_cell(at_row, at_col, x["h"], x["w"])
+            if r0 <= own[0] < r0 + h and c0 <= own[1] < c0 + w:
+                mask = mask.copy()
+                mask[own[0] - r0, own[1] - c0] = False
+            if mask.any():
+                yield {"obs_id": obs, "grid_id": grids[g], "r0": r0, "c0": c0, "h": h, "w": w, "mask": np.packbits(mask).tobytes()}
 
     def look(batches) -> Iterator[pa.RecordBatch]:
-        now, sweep, middle = None, None, []
-        for b in batches:
-            out = []
-            for x in b.to_pylist():
-                key = tuple(x[k] for k in group)
-                if key != now:
-                    now, middle = key, []
-                    sweep = _sweeps(x["sweep"], x["h"], x["w"], **how)
-                r0, c0 = x["tr"] * tile, x["tc"] * tile
-                h, w = min(tile, x["h"] - r0), min(tile, x["w"] - c0)
-                z = np.full((tile, tile), np.nan) if x["z"] is None else np.frombuffer(x["z"]).reshape(tile, tile)
-                middle.append((r0, c0, z[:h, :w]))
-                if x["side"] == 0 and len(middle) < x["middle"]:
-                    continue
-                r0, c0 = middle[0][:2]
-                z = np.concatenate([m[2] for m in middle], axis=0 if x["sweep"] in "EW" else 1)
-                middle, (h, w) = [], z.shape
-                x0 = {"E": c0, "W": x["w"] - c0 - w, "S": r0, "N": x["h"] - r0 - h}[x["sweep"]]
-                ids, row, col, level = ([e[k] for e in x["eyes"]] for k in ("obs_id", "row", "col", "level"))
-                seen = sweep.tile(ids, *_places(x["sweep"], np.array(row), np.array(col)), np.array(level), x["side"], x0, r0 if x["sweep"] in "EW" else c0, _turned(x["sweep"], z))
-                for obs, at_row, at_col, turned in zip(ids, row, col, seen, strict=True):
-                    mask = _back(x["sweep"], turned)
-                    own = own_cell(at_row, at_col, x["h"], x["w"])
-                    if r0 <= own[0] < r0 + h and c0 <= own[1] < c0 + w:
-                        mask = mask.copy()
-                        mask[own[0] - r0, own[1] - c0] = False
-                    if mask.any():
-                        out.append({"obs_id": obs, "grid_id": x["grid_id"], "r0": r0, "c0": c0, "h": h, "w": w, "mask": np.packbits(mask).tobytes()})
+        schema = pa.schema([("obs_id", pa.int64()), ("grid_id", pa.int64()), *[(n, pa.int32()) for n in ("r0", "c0", "h", "w")], ("mask", pa.binary())])
+        now, sweep = None, None
+        every = (x for b in batches for x in b.to_pylist())
+        for (key, *_), rows in groupby(every, lambda x: (tuple(x[k] for k in group), x["strip"], x["side"], x["side"] and x["place"])):
+            rows = list(rows)
+            if key != now:
+                now, sweep = key, _sweeps(rows[0]["sweep"], rows[0]["h"], rows[0]["w"], **how)
+            out = list(seen_of(sweep, rows))
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("obs_id", pa.int64()), ("grid_id", pa.int64()), *[(n, pa.int32()) for n in ("r0", "c0", "h", "w")], ("mask", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     with arrow_rows(cells.sparkSession, 16):  # rows are tiles
         found = cut(stream.mapInArrow(look, "obs_id long, grid_id long, r0 int, c0 int, h int, w int, mask binary"), "masks")

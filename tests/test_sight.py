@@ -125,4 +125,4 @@ def test_eyes_of_a_grid_look_together(spark):
     for i, _, row, col, height in rows:
         assert got[i] == set(zip(*(v.tolist() for v in np.nonzero(sight.visible_from(z, row, col, height, 2.0))), strict=True)), i
     s = sight._sweeps("E", 40, 40, **sight._how(2.0, 0.0, 0.0, 0.13))
-    assert s.tile([3, 9], np.array([5.5, 9.0]), np.array([5.5, 9.0]), np.array([9.0, 9.0]), 0, 0, 0, z[:16, :16]).shape == (2, 16, 16)
+    assert s.tile([3, 9], np.array([5.5, 9.0]), np.array([5.5, 9.0]), np.array([9.0, 9.0]), 0, 0, 0, z[None, :16, :16], np.zeros(2, int)).shape == (2, 16, 16)
