@@ -13,29 +13,39 @@ M2_PER_HA = 10_000.0
 BAND_STREAM = 200
 
 
-def lattice(extents: DataFrame, legend: DataFrame, draws: int, stream: Column, seed: int, scale: Column, *kept: str) -> DataFrame:
-    """(grid_id, class, form, lr, lc, x, y, seed, first, kept): a jittered place in each lattice cell of a class, and where its ``draws`` draws begin.
-
-    ``extents`` has grid_id, width and height in metres; ``legend`` has class, form and density
-    per hectare, a few rows. A lattice cell is one plant's worth of ground. Draws are numbered
-    by lattice cell, so any of them is found without those before: the place takes the first two.
-    Places beyond the extent are left out."""
-    e = extents.crossJoin(F.broadcast(legend)).withColumn("density", F.col("density") * scale).where("density > 0")
-    e = e.withColumn("spacing", F.sqrt(M2_PER_HA / F.col("density")))
+def lattice(cells: DataFrame, extents: DataFrame, res: float, draws: int, stream: Column, seed: int, scale: Column, *kept: str) -> DataFrame:
+    """(grid_id, class, form, lr, lc, x, y, r, c, seed, first, kept): the jittered places of each class's lattice that lie in the cells given, and where their ``draws`` draws begin.
+
+    ``extents`` has grid_id, width and height in metres, mr and mc; ``cells`` has grid_id, r, c
+    and class, form and density per hectare of a lattice. A lattice cell is one plant's worth of
+    ground. Draws are numbered by lattice cell, so any of them is found without those before:
+    the place takes the first two. Places beyond the extent are left out, those beyond the last
+    cell lie in it. A cell draws only the lattice cells that reach it, so places aren't joined."""
+    # few files hold many cells: without a number of its own Spark would leave them to as few tasks
+    e = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grid_id", "r", "c").join(extents, "grid_id")
+    e = e.withColumn("density", F.col("density") * scale).where("density > 0").withColumn("spacing", F.sqrt(M2_PER_HA / F.col("density")))
     count = lambda x: F.greatest(F.lit(1), F.ceil(F.col(x) / F.col("spacing"))).cast("long")
     e = e.withColumn("cols", count("width")).withColumn("rows", count("height")).withColumn("seed", fn.stream_seed(F.lit(seed).cast("long"), stream))
-    up = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.col(x) - 1))
-    # a few rows make all the places: without a number of its own Spark would give them to one task
-    e = e.withColumn("lr", up("rows")).repartition(int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grid_id", "class", "lr")
-    e = e.withColumn("lc", up("cols")).withColumn("first", draws * (F.col("lr") * F.col("cols") + F.col("lc")))
-    e = e.withColumn("w", fn.draws(F.col("seed"), F.col("first"), 2))
-    x, y = (F.col("lc") + F.col("w")[0]) * F.col("spacing"), (F.col("lr") + F.col("w")[1]) * F.col("spacing")
-    e = e.withColumn("x", x).withColumn("y", y).where("x <= width AND y <= height")
-    return e.select("grid_id", "class", "form", "lr", "lc", "x", "y", "seed", "first", *kept)
+    for at, edge, many, name in (("r", "mr", "rows", "lr"), ("c", "mc", "cols", "lc")):
+        # a draw is a multiple of 2^-32 below 1; 2^-50 is more than rounding moves
+        first = F.ceil(F.col(at) * res / F.col("spacing") * (1 - 2.0**-50) - 1 + 2.0**-32)
+        last = F.when(F.col(at) < F.col(edge), F.ceil((F.col(at) + 1) * res / F.col("spacing") * (1 + 2.0**-50)) - 1)
+        first, last = F.greatest(F.lit(0), first).cast("long"), F.least(last, F.col(many) - 1).cast("long")
+        e = e.withColumn(name, F.explode(F.when(first <= last, F.sequence(first, last))))
+    e = e.withColumn("first", draws * (F.col("lr") * F.col("cols") + F.col("lc")))
+    # exploded, as Spark would work draws out anew for each condition on them
+    e = e.withColumn("w", F.explode(F.array(fn.draws(F.col("seed"), F.col("first"), 2))))
+    for axis, drawn, side, at, edge, line in (("x", 0, "width", "c", "mc", "lc"), ("y", 1, "height", "r", "mr", "lr")):
+        e = e.withColumn(axis, (F.col(line) + F.col("w")[drawn]) * F.col("spacing"))
+        cell = F.least(F.greatest(F.floor(F.col(axis) / res), F.lit(0)), F.col(edge))
+        e = e.where((F.col(axis) <= F.col(side)) & (cell == F.col(at)))
+    return e.select("grid_id", "class", "form", "lr", "lc", "x", "y", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "seed", "first", *kept)
 
 
 def _sized(extents: DataFrame, cells: DataFrame) -> DataFrame:
     """Extents with mr and mc: the last row and column of each grid."""
+    if {"mr", "mc"} <= set(extents.columns):
+        return extents
     return extents.join(cells.groupBy("grid_id").agg(F.max("r").alias("mr"), F.max("c").alias("mc")), "grid_id")
 
 
@@ -49,9 +59,9 @@ def at_cells(places: DataFrame, cells: DataFrame, res: float, *columns: str) ->
 
 def sampled(cells: DataFrame, extents: DataFrame, legend: DataFrame, res: float, seed: int = 1, scale: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """(grid_id, class, form, lr, lc, x, y, r, c, more): plants of each class, kept where the grid has that class; ``more`` are columns of the cell."""
-    places = lattice(_sized(extents, cells), legend, 2, F.col("class"), seed, scale if scale is not None else F.lit(1.0), "mr", "mc").drop("seed", "first")
-    p = at_cells(places, cells, res, "class", *more).where("cell_class = class").drop("cell_class")
-    return p.withColumnsRenamed({f"cell_{x}": x for x in more})
+    own = cells.select("grid_id", "r", "c", "class", *more).join(F.broadcast(legend), "class")  # a few rows
+    p = lattice(own, _sized(extents, cells), res, 2, F.col("class"), seed, scale if scale is not None else F.lit(1.0), *more)
+    return p.drop("seed", "first")
 
 
 def appearance(plants: DataFrame, forms: DataFrame, seed: int = 1, stream: int = 100) -> DataFrame:
@@ -76,8 +86,8 @@ def shore_band(cells: DataFrame, extents: DataFrame, legend: DataFrame, excluded
     isn't excluded; ``legend`` has the band's class, form and density. The order is that of
     connect, then of the lattice."""
     fits = (F.col("connect") > min(levels)) & (F.col("connect") <= max(levels) + band) & ~F.coalesce(F.col("class").isin(excluded), F.lit(False))
-    p = lattice(_sized(extents, cells), legend, 7, F.col("class") + BAND_STREAM, seed, scale if scale is not None else F.lit(1.0), "mr", "mc")
-    p = at_cells(p, cells.where(fits), res, "connect").withColumnRenamed("cell_connect", "connect")
+    wet = cells.where(fits).select("grid_id", "r", "c", "connect").crossJoin(F.broadcast(legend))  # a few rows
+    p = lattice(wet, _sized(extents, cells), res, 7, F.col("class") + BAND_STREAM, seed, scale if scale is not None else F.lit(1.0), "connect")
     p = p.withColumn("w", fn.draws(F.col("seed"), F.col("first") + 2, 3))  # the third to the fifth
     tall = height * (1 + (F.col("w")[0] * 2 - 1) * jitter)
     return p.select("grid_id", "class", "lr", "lc", "x", "y", "connect", tall.alias("height"), (F.col("w")[2] * 2 * 3.141592653589793).alias("yaw"))
@@ -85,8 +95,14 @@ def shore_band(cells: DataFrame, extents: DataFrame, legend: DataFrame, excluded
 
 def capacity(candidates: DataFrame, band: float) -> DataFrame:
     """(grid_id, capacity): the most candidates in any window [connect, connect + band]."""
-    n = F.expr(f"count(*) OVER (PARTITION BY grid_id ORDER BY connect RANGE BETWEEN CURRENT ROW AND {float(band)}D FOLLOWING)")
-    return candidates.select("grid_id", n.alias("n")).groupBy("grid_id").agg(F.max("n").alias("capacity"))
+    own = Window.partitionBy("grid_id").orderBy("connect").rowsBetween(Window.unboundedPreceding, -1)
+    n = candidates.groupBy("grid_id", "connect").agg(F.count("*").alias("n"))
+    n = n.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    # a window's end comes after all that it holds; frames that only grow are summed once, a sliding one anew for each row
+    ends = F.inline(F.array(F.struct(F.col("connect").alias("at"), F.lit(0).alias("end"), F.col("n").alias("here")), F.struct((F.col("connect") + float(band)).alias("at"), F.lit(1).alias("end"), F.lit(0).cast("long").alias("here"))))
+    upto = F.sum("here").over(Window.partitionBy("grid_id").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0))
+    n = n.select("grid_id", "before", ends).withColumn("upto", upto).where("end = 1")
+    return n.groupBy("grid_id").agg(F.max(F.col("upto") - F.col("before")).alias("capacity"))
 
 
 def trimmed(rows: DataFrame, budget: Column, order: list[Column]) -> DataFrame:
@@ -106,6 +122,7 @@ def budgeted(cells: DataFrame, extents: DataFrame, legend: DataFrame, band_legen
         most = capacity(shore_band(cells, ext, band_legend, excluded, res, levels, band, height, seed=seed, scale=scale), band)
         return own, most
 
+    extents = cut(_sized(extents, cells), "extents")  # a row a grid, for all four lattices
     once, most = drawn(extents.withColumn("scale", F.lit(1.0)))
     total = extents.select("grid_id").join(once.groupBy("grid_id").count(), "grid_id", "left").join(most, "grid_id", "left")
     n = F.coalesce("count", F.lit(0)) + F.coalesce("capacity", F.lit(0))
