@@ -75,10 +75,12 @@ def written(rows: DataFrame, kind: str, items: Column, name: str) -> DataFrame:
     return rows.select("site", F.lit(kind).alias("kind"), F.to_json(body).alias("doc"))
 
 
-def read_back(docs: DataFrame, kind: str) -> DataFrame:
-    """Documents of one kind as a struct d; a text that doesn't parse, or has another version, is a null."""
-    d = F.from_json("doc", DOCUMENTS[kind], {"mode": "PERMISSIVE"})
-    return docs.where(F.col("kind") == kind).select("site", F.when(d["schemaVersion"] == 1, d).alias("d"))
+def read_back(docs: DataFrame, kinds: list[str]) -> DataFrame:
+    """Documents (site, kind, doc) of all ``kinds`` in one reading: site, kind and a struct by the name of each kind, null for the others.
+
+    A text that doesn't parse, or has another version, is null too."""
+    parsed = docs.where(F.col("kind").isin(*kinds)).select("site", "kind", *[F.when(F.col("kind") == k, F.from_json("doc", DOCUMENTS[k], {"mode": "PERMISSIVE"})).alias(k) for k in kinds])
+    return parsed.select("site", "kind", *[F.when(F.col(k)["schemaVersion"] == 1, F.col(k)).alias(k) for k in kinds])
 
 
 def assembled_manifests(sites: DataFrame, grids: DataFrame, credits: DataFrame) -> DataFrame:

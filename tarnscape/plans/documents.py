@@ -91,14 +91,13 @@ def s10_documents(spark, sf):
     document_set.write_documents(docs, path)
     back = document_set.read_documents(spark, path).select(F.substring_index("name", "/", 1).alias("site"), F.regexp_extract("name", r"/(\w+)\.json$", 1).alias("kind"), "doc")
     at = {
-        "registry": ("sites", "d.sites[0].centerE"), "sites": ("sites", "d.sites[0].position.z"), "shoreline": ("steps", "d.steps[0].levelM"), "rampart": ("paths", "d.paths[0].lengthM"),
-        "legend": ("classes", "d.classes[0].areaFraction"), "manifest": ("layers", "d.grids.core.bounds3006.minE"), "index": ("sites", "d.sites[0].centerN"), "report": ("steps", "double(d.bytes)"),
+        "registry": ("sites", "registry.sites[0].centerE"), "sites": ("sites", "sites.sites[0].position.z"), "shoreline": ("steps", "shoreline.steps[0].levelM"), "rampart": ("paths", "rampart.paths[0].lengthM"),
+        "legend": ("classes", "legend.classes[0].areaFraction"), "manifest": ("layers", "manifest.grids.core.bounds3006.minE"), "index": ("sites", "index.sites[0].centerN"), "report": ("steps", "double(report.bytes)"),
     }
-    out = None
-    for kind, (items, number) in at.items():
-        part = doc.read_back(back, kind).select("site", F.lit(kind).alias("kind"), F.when(F.col("d").isNotNull(), F.size(f"d.{items}")).cast("long").alias("items"), F.expr(number).alias("number"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # every kind in one reading of the set
+    items = F.coalesce(*[F.when(F.col(kind).isNotNull(), F.size(f"{kind}.{items}")) for kind, (items, _) in at.items()])
+    number = F.coalesce(*[F.expr(number) for _, number in at.values()])
+    return doc.read_back(back, list(at)).select("site", "kind", items.cast("long").alias("items"), number.alias("number"))
 
 
 @query(f"""WITH {fx.SITES}, w AS (SELECT 'site-' || s_suppkey AS slug, g AS grid, s_suppkey FROM sites, (VALUES ('core'), ('context')) t(g))

@@ -70,3 +70,27 @@ def test_numbers_of_plain_files(spark, tmp_path):
 def test_every_kind_has_the_version_and_keeps_to_its_schema(spark, kind):
     names = {f.name for f in spark.sql(f"SELECT from_json('{{}}', '{documents.DOCUMENTS[kind]}') AS d").schema[0].dataType.fields}
     assert "schemaVersion" in names and len(names) >= 4
+
+
+def test_names_are_listed_by_tasks_and_not_by_the_commit(spark, tmp_path):
+    path = f"{tmp_path}/set"
+    rows = [(f"site-{i}/{kind}.json", f"{i} ") for i in range(30) for kind in ("a", "b")]
+    df = spark.createDataFrame(rows, "name string, doc string")
+    document_set.write_documents(df, path)
+    with open(f"{path}/current") as f, open(f"{path}/sets/{f.read()}/_documents") as index:
+        assert "site-" not in index.read()
+    got = spark.read.format(document_set.FORMAT).option("per_task", 7).load(path)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    # frames that aren't dealt out by name have their lists merged
+    direct = lambda d: d.write.format(document_set.FORMAT).mode("append").save(path)
+    with pytest.raises(Exception, match="one name"):
+        direct(df.repartition(3).union(df.limit(1)))
+    direct(df.repartition(3))
+    assert sorted(map(tuple, document_set.read_documents(spark, path).collect())) == sorted(rows)
+
+
+def test_all_kinds_are_read_in_one_pass(spark):
+    from tarnscape.plans import documents as plans
+
+    plan = plans.s10_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1
