@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,44 +139,75 @@ def circular(points: DataFrame, half: int, value: str, out: str, how: str = "avg
     return wrapped.withColumn(out, F.expr(f"{f} {frame}")).where("__i = i").drop("__i")
 
 
-def cells_in_rings(v: DataFrame, res: float) -> DataFrame:
-    """(feature_id, r, c): cells of a lattice of ``res`` whose centres lie in the closed rings of a feature: even-odd, half-open in y.
+def _spans(v: DataFrame, res: float) -> DataFrame:
+    """(feature_id, r, c0, c1): runs of cells of a lattice of ``res`` whose centres lie in the closed rings of a feature: even-odd, half-open in y; no run is empty.
 
     Each edge gives its crossing of every row in its reach, crossings pair up in order, and
-    the cells between the two of a pair are inside: work grows with what is covered."""
+    the cells between the two of a pair are inside."""
     s = segments(v.where("closed")).where("y != y2")
     low, high = F.least("y", "y2"), F.greatest("y", "y2")
     first, last = F.ceil(low / res - 0.5).cast("long"), (F.ceil(high / res - 0.5) - 1).cast("long")
     s = s.withColumn("r", F.explode(F.when(last >= first, F.sequence(first, last))))
     cross = F.col("x") + ((F.col("r") + 0.5) * res - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))
-    k = s.select("feature_id", "r", cross.alias("cx"))
-    w = Window.partitionBy("feature_id", "r").orderBy("cx")
-    k = k.withColumn("end", F.lead("cx").over(w)).withColumn("odd", F.row_number().over(w) % 2 == 1).where("odd AND end IS NOT NULL")
-    c0, c1 = F.ceil(F.col("cx") / res - 0.5).cast("long"), (F.ceil(F.col("end") / res - 0.5) - 1).cast("long")
-    return k.select("feature_id", F.col("r").cast("int").alias("r"), F.explode(F.when(c1 >= c0, F.sequence(c0.cast("int"), c1.cast("int")))).alias("c"))
+    # the first cell at or after a crossing: rounding keeps the order of crossings
+    k = s.select("feature_id", F.col("r").cast("int").alias("r"), F.ceil(cross / res - 0.5).cast("int").alias("c0"))
+    w = Window.partitionBy("feature_id", "r").orderBy("c0")
+    k = k.withColumn("c1", F.lead("c0").over(w) - 1).withColumn("odd", F.row_number().over(w) % 2 == 1)
+    return k.where("odd AND c1 >= c0").drop("odd")
 
 
-def cells_on_lines(v: DataFrame, res: float) -> DataFrame:
-    """(feature_id, r, c): cells that lines touch, at steps of half a cell at most."""
-    s = segments(v).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / (res / 2))).cast("long"))
+def cells_in_rings(v: DataFrame, res: float) -> DataFrame:
+    """(feature_id, r, c): cells of a lattice of ``res`` whose centres lie in the closed rings of a feature (see _spans): work grows with what is covered."""
+    return _spans(v, res).select("feature_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+
+
+def _touched(s: DataFrame, res: float, *kept: str) -> DataFrame:
+    """(feature_id, r, c, kept): cells that segments touch, at steps of half a cell at most; a cell may come several times."""
+    s = s.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / (res / 2))).cast("long"))
     s = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
     at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")) / res).cast("int")
-    return s.select("feature_id", at("y", "y2").alias("r"), at("x", "x2").alias("c")).distinct()
+    return s.select("feature_id", at("y", "y2").alias("r"), at("x", "x2").alias("c"), *kept)
+
+
+def cells_on_lines(v: DataFrame, res: float) -> DataFrame:
+    """(feature_id, r, c): cells that lines touch, at steps of half a cell at most."""
+    return _touched(segments(v), res).distinct()
 
 
 def burned(v: DataFrame, values: DataFrame, res: float) -> DataFrame:
     """(r, c, value, feature_id): of all features that cover a cell, the value of the one with the smallest area (ties: the larger feature_id, burned last).
 
     Closed rings cover the cells whose centres they hold; open lines and single points cover
-    the cells they touch, and have no area. ``values`` has feature_id and value. One minimum
-    a cell, combined before the shuffle."""
+    the cells they touch, and have no area. ``values`` has feature_id and value. Areas go to
+    runs of cells and to segments, and each batch of runs is brought to one row a cell, so
+    no single cell of a feature is sorted or shuffled, and one that comes twice does no harm."""
     area = centroids(v, 3).select("feature_id", "area")
+    value = values.groupBy("feature_id").agg(F.min("value").alias("value"))
+    of = value.join(area, "feature_id", "left").select("feature_id", F.coalesce("area", F.lit(0.0)).alias("area"))
     lines = v.where("NOT closed")
-    dots = lines.select("feature_id", F.floor(F.col("y") / res).cast("int").alias("r"), F.floor(F.col("x") / res).cast("int").alias("c")).distinct()
-    covered = cells_in_rings(v, res).unionByName(cells_on_lines(lines, res).unionByName(dots).distinct())
-    j = covered.join(area, "feature_id", "left").join(values, "feature_id")
-    best = F.min(F.struct(F.coalesce("area", F.lit(0.0)).alias("area"), (-F.col("feature_id")).alias("last"), "value")).alias("b")
-    return j.groupBy("r", "c").agg(best).select("r", "c", "b.value", (-F.col("b.last")).alias("feature_id"))
+    runs = _spans(v, res).join(of, "feature_id").withColumn("c0", F.explode(F.sequence("c0", "c1", F.lit(RUN)))).withColumn("c1", F.least("c1", F.col("c0") + RUN - 1))
+    dots = lines.join(of, "feature_id").select("feature_id", "area", F.floor(F.col("y") / res).cast("int").alias("r"), F.floor(F.col("x") / res).cast("int").alias("c"))
+    cells = _touched(segments(lines).join(of, "feature_id"), res, "area").unionByName(dots)
+    every = runs.select("feature_id", "area", "r", "c0", "c1").unionByName(cells.select("feature_id", "area", "r", F.col("c").alias("c0"), F.col("c").alias("c1")))
+    best = F.min(F.struct("area", (-F.col("feature_id")).alias("last"))).alias("b")
+    won = every.mapInPandas(_best, "r int, c int, area double, feature_id long").groupBy("r", "c").agg(best)
+    return won.select("r", "c", (-F.col("b.last")).alias("feature_id")).join(value, "feature_id").select("r", "c", "value", "feature_id")
+
+
+#: Cells of a run at most, so a batch of runs has a bounded number.
+RUN = 256
+
+
+def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch of runs the smallest area in each cell (ties: the larger feature_id): Spark would sort all cells for the least of a struct."""
+    for b in batches:
+        b = b.iloc[np.lexsort((-b["feature_id"].to_numpy(), b["area"].to_numpy()))]
+        many = (b["c1"] - b["c0"] + 1).to_numpy(np.int64)
+        at = np.repeat(np.arange(len(b)), many)
+        r, c = b["r"].to_numpy(np.int64)[at], b["c0"].to_numpy(np.int64)[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        _, first = np.unique(r * 2**32 + (c + 2**31), return_index=True)
+        own = at[first]
+        yield pd.DataFrame({"r": r[first], "c": c[first], "area": b["area"].to_numpy()[own], "feature_id": b["feature_id"].to_numpy()[own]})
 
 
 def merged_kinds(members: DataFrame) -> DataFrame:
