@@ -77,3 +77,12 @@ def test_capacity_counts_heights_once(spark):
     got = vegetation.capacity(spark.createDataFrame(heights, "grid_id long, connect double"), 1.0)
     assert "RangeFrame" not in _plan(got)  # a sliding frame is summed anew for each row
     assert {r.grid_id: r.capacity for r in got.collect()} == {g: max(sum(a <= b <= a + 1.0 for h, b in heights if h == g) for h, a in heights if h == g) for g in range(2)}
+
+
+def test_repair_ends_with_its_windows(spark):
+    """Cells that interpolation has gone over aren't joined with themselves."""
+    cells = _cells(spark).withColumn("z", F.when((F.col("r") != 1) | (F.col("c") != 2), F.col("z"))).withColumn("c", F.col("c").cast("int")).withColumn("r", F.col("r").cast("int"))
+    got = terrain.repaired(cells, 3.0)
+    plan = _plan(got)
+    assert plan.index("Window") < plan.index("SortMergeJoin")
+    assert {(x.r, x.c): (x.z, x.repair) for x in got.where("grid_id = 0").collect()} == {(r, c): (float(r + c), "interpolated" if (r, c) == (1, 2) else None) for r in range(4) for c in range(4)}
